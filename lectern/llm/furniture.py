@@ -13,10 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.llm.forms import FOLDS, fold_visible
-from lectern.llm.tools import written
+from lectern.llm.forms import fold_visible
+from lectern.llm.tools import BROADCAST_ROWS, written
 
 # Characters that scanners confuse, each with the one that stands for its class in a key.
 MISREAD_CLASSES = {
@@ -24,42 +23,57 @@ MISREAD_CLASSES = {
 }
 # Groups of letters that scanners confuse with one letter, applied in this order.
 MISREAD_GROUPS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("ci", "d"), ("vv", "w"))
-_MAP = str.maketrans(MISREAD_CLASSES)
-_NUMBER = re.compile(r"(?<![^\W\d_])[\dIlOo|!]*\d[\d.,:/IlOo|!-]*(?![^\W\d_])")
+_GROUPS = [(a.encode(), b.encode()) for a, b in MISREAD_GROUPS]
+_ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))  # fixed values
+_CLASS = {a: MISREAD_CLASSES.get(b, b) for a, b in _ACCENTS.items()} | {c: c for c in "abcdefghijklmnopqrstuvwxyzßæðøþ"} | MISREAD_CLASSES
+#: The classes as a table of bytes; what has no class is deleted, but for line ends.
+_TABLE = bytes(ord(_CLASS.get(chr(i), chr(i))) for i in range(256))
+_DELETED = bytes(i for i in range(256) if chr(i) not in _CLASS and chr(i) != "\n")
+_NO_LETTERS = bytes(i for i in range(256) if not chr(i).isalpha() and chr(i) != "\n")
+_NUMBER = re.compile(rb"(?<![a-z\xdf-\xff\d|!])[ilo|!]{0,2}\d[\d.,:/ilo|!-]*(?![a-z\xdf-\xff])")
 _LETTER = re.compile(r"[^\W\d_]")
-_ACCENTS = {ord(a): b for a, b in zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")}  # fixed values
 _DROP = re.compile(r"[\W\d_]+")
 
 
+def line_keys(text: str) -> list[str | None]:
+    """For each line of a text its key, without blanks and digits, or None if it has fewer than four letters.
+
+    All lines go through one pass as bytes of Latin-1; a line of which a quarter or more is in other scripts is keyed by itself.
+    """
+    t = (text if text.isascii() else fold_visible(text)).lower()
+    try:
+        raw, lines = t.encode("latin-1"), None
+    except UnicodeEncodeError:
+        raw, lines = t.encode("latin-1", "ignore"), t.split("\n")
+    letters = raw.translate(None, _NO_LETTERS).split(b"\n")
+    flat = _NUMBER.sub(b"", raw).translate(_TABLE, _DELETED)
+    for a, b in _GROUPS:
+        flat = flat.replace(a, b)
+    keys = flat.decode("latin-1").split("\n")
+    out = [k if k and len(x) >= 4 else None for k, x in zip(keys, letters)]
+    if lines is not None:
+        for k, line in enumerate(lines):
+            if not line.isascii() and 4 * len(line.encode("latin-1", "ignore")) < 3 * len(line) and len(_LETTER.findall(line)) >= 4:
+                out[k] = _DROP.sub("", line) or None
+    return out
+
+
 def line_key(line: str) -> str | None:
-    """Key of a line without blanks and digits, or None if it has fewer than four letters."""
-    t = fold_visible(line).lower()
-    t = _NUMBER.sub("", t)
-    if len(_LETTER.findall(t)) < 4:
-        return None
-    t = _DROP.sub("", t.translate(_ACCENTS).translate(_MAP))
-    for a, b in MISREAD_GROUPS:
-        if a in t:
-            t = t.replace(a, b)
-    return t or None
+    """Key of one line."""
+    return line_keys(line.replace("\n", " "))[0]
 
 
 def page_lines(pages: DataFrame, key: str, source: str, page: str, text: str = "text") -> DataFrame:
-    """(key, line_no, source, page, line_key) of every line with at least four letters; null keys, sources, pages or texts have none."""
+    """(key, line_no, source, page, line, line_key) of every line with at least four letters; null keys, sources, pages or texts have none.
+
+    source and line are 64-bit hashes of the source and of line_key; what is grouped and shuffled later are numbers only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, str | None] = {}
         for b in batches:
             at, no, keys = [], [], []
             for i, t in enumerate(b.column(3).to_pylist()):
-                for k, line in enumerate(t.split("\n")):
-                    if line in seen:
-                        w = seen[line]
-                    else:
-                        w = line_key(line)
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[line] = w
+                for k, w in enumerate(line_keys(t)):
                     if w is not None:
                         at.append(i)
                         no.append(k)
@@ -67,37 +81,41 @@ def page_lines(pages: DataFrame, key: str, source: str, page: str, text: str = "
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(no, pa.int32()), b.column(1).take(at), b.column(2).take(at), pa.array(keys, pa.string())], names=["key", "line_no", "source", "page", "line_key"])
 
-    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(source).cast("string").alias("source"), F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text"))
-    src = src.where("key is not null and source is not null and page is not null and text is not null")
-    return src.mapInArrow(run, "key bigint, line_no int, source string, page int, line_key string")
+    src = pages.where(F.col(source).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.xxhash64(F.col(source).cast("string")).alias("source"), F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text"))
+    src = src.where("key is not null and page is not null and text is not null")
+    return src.mapInArrow(run, "key bigint, line_no int, source bigint, page int, line_key string").withColumn("line", F.xxhash64("line_key"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its size allows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "source_file", page: str = "page_number", text: str = "text", least_pages: int = 6, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(per source: source, line_key, n_pages, file_pages), (per line: key, line_no, source, line_key).
+    """(per source: source_file, line_key, n_pages, file_pages), (per line: key, line_no).
 
     A line counts once per different page number. A line joins a frequent key of its source if the two are equal, or at
     most two edits apart: cores are the keys on at least half the needed pages, so that a file of n pages with m lines a
     page has at most 2*m/share of them, whatever its size; a line is compared with its own file's cores only.
     """
     lines = written(page_lines(pages, key, source, page, text), "lines")
-    total = pages.where(F.col(page).isNotNull()).groupBy(F.col(source).cast("string").alias("source")).agg(F.countDistinct(F.col(page).cast("int")).alias("file_pages"))
+    named = pages.where(F.col(source).isNotNull() & F.col(page).isNotNull()).select(F.col(source).cast("string").alias("source_file"), F.col(page).cast("int").alias("page"))
+    total = named.groupBy("source_file").agg(F.count_distinct("page").alias("file_pages")).withColumn("source", F.xxhash64("source_file"))
+    total = written(total, "file-pages")
     needed = F.greatest(F.lit(float(least_pages)), F.col("file_pages") * share)
     # Distinct pages in two steps, so that a hot line is first reduced within each task.
-    counts = lines.select("source", "line_key", "page").distinct().groupBy("source", "line_key").agg(F.count("*").alias("n_own"))
-    counts = written(counts.join(total, "source"), "line-counts")
-    cores = counts.where(F.col("n_own") >= needed / 2).groupBy("source").agg(F.collect_list("line_key").alias("cores"))
-    # Every key against the cores of its source: a bounded list, compared within the row.
-    near = (
-        counts.join(cores, "source")
-        .select("source", "line_key", F.explode(F.filter("cores", lambda c: (c == F.col("line_key")) | ((F.abs(F.length(c) - F.length("line_key")) <= 2) & (F.length("line_key") >= 6) & (F.levenshtein(c, F.col("line_key"), 2) >= 0)))).alias("core"))
-    )
+    counts = lines.select("source", "line", "page").distinct().groupBy("source", "line").agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least_pages / 2)
+    often = written(counts.join(_small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed / 2).select("source", "line"), "line-often")
+    keys = lines.join(_small(often), ["source", "line"], "left_semi").select("source", "line_key").distinct()
+    cores = written(keys.groupBy("source").agg(F.collect_list("line_key").alias("cores")), "line-cores")
+    # Every line against the cores of its source: a bounded list, compared within the row.
+    like = lambda c: (c == F.col("line_key")) | ((F.abs(F.length(c) - F.length("line_key")) <= 2) & (F.length("line_key") >= 6) & (F.levenshtein(c, F.col("line_key"), 2) >= 0))
+    near = lines.join(_small(cores), "source").select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
     near = written(near, "line-near")
-    # Pages of a core, with those of its variants.
-    per_core = lines.select("source", "line_key", "page").distinct().join(near, ["source", "line_key"]).select("source", "core", "page").distinct().groupBy("source", "core").agg(F.count("*").alias("n_pages"))
-    frequent = per_core.join(total, "source").where(F.col("n_pages") >= needed)
-    members = near.join(frequent.select("source", "core"), ["source", "core"]).select("source", "line_key").distinct()
-    found = lines.join(members, ["source", "line_key"]).select("key", "line_no", "source", "line_key")
-    return frequent.select("source", F.col("core").alias("line_key"), "n_pages", "file_pages"), found
+    per_core = near.select("source", "core", "page").distinct().groupBy("source", "core").agg(F.count("*").alias("n_pages"))
+    frequent = written(per_core.join(_small(total), "source").where(F.col("n_pages") >= needed), "line-frequent")
+    found = near.join(_small(frequent.select("source", "core")), ["source", "core"], "left_semi").select("key", "line_no").distinct()
+    return frequent.select("source_file", F.col("core").alias("line_key"), "n_pages", "file_pages"), found
 
 
 def without_lines(pages: DataFrame, found: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:

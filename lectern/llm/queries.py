@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_lines(spark: SparkSession, d: str) -> DataFrame:
     per_source, _ = furniture.furniture_lines(table(spark, d, "extracted_pages"))
-    return per_source.withColumnRenamed("source", "source_file")
+    return per_source
 
 
 def p4_clean_pages(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes up to which a table collected for a broadcast may grow; beyond it the operators join instead.
 BROADCAST_BYTES = 64 << 20
+#: Rows, of a few numbers or one short text each, up to which a counted table is marked for broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
