@@ -33,8 +33,9 @@ CONFUSIONS = {
 CONFUSED, JOINED, PARTED = math.log(0.05), math.log(1e-5), math.log(1e-3)
 
 _MATH = re.compile(r"\$[^$\n]*\$|\\\([^\n]*?\\\)|\\[a-z]+\{[^}\n]*\}(?:\{[^}\n]*\})?|\\[a-z]+")
-_CUT = re.compile(r"(?<=[^\W\d_])[-‐¬][^\S\n]*\n[^\S\n]*(?=[\w!|])")
-_TOKEN = re.compile(r"[\w!|\x01]*[^\W\d_\x01][\w!|\x01]*")
+_CUT = re.compile(r"[-‐¬](?<=[^\W\d_][-‐¬])[^\S\n]*\n[^\S\n]*(?=[\w!|])")
+_TOKEN = re.compile(r"[\w!|\x01]+")
+_LETTER = re.compile(r"[^\W\d_\x01]")
 _VARIABLE = re.compile(r"[^\W\d_]\d+")
 _NUM = r"(?:[\dlIOoSBzZ|!]{1,4}|[ivxlc]{1,7})"
 _PAGE_NO = re.compile(rf"\s*(?:[-—–·•*~]+\s*({_NUM})\s*[-—–·•*~]+|[\[({{<]\s*({_NUM})\s*[\])}}>]|(?:page|página|pagina|seite|pág\.?|pag\.?)\s*({_NUM})|({_NUM})\s*(?:/|of|de|von|sur|di)\s*{_NUM})\s*", re.I)
@@ -90,6 +91,7 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", tit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(words: Counter, found: Counter) -> pa.RecordBatch:
+            words = Counter({w: n for w, n in words.items() if _LETTER.search(w)})
             return pa.RecordBatch.from_arrays([pa.array(["w"] * len(words) + ["t"] * len(found), pa.string()), pa.array([*words, *found], pa.string()), pa.array([*words.values(), *found.values()], pa.int64())], names=["what", "word", "n"])
 
         words: Counter = Counter()
@@ -156,7 +158,7 @@ class Decoder:
 
     def _decode(self, token: str) -> tuple[str, int] | None:
         w = token.replace("\x01", "")
-        if len(w) < 2 or _VARIABLE.fullmatch(w) or len(w) > 40:
+        if len(w) < 2 or not _LETTER.search(w) or _VARIABLE.fullmatch(w) or len(w) > 40:
             return None
         own = self.words.get(w, 0)
         best, where, text = math.log(own + 0.5), -1, ""
@@ -265,7 +267,7 @@ def _cased(right: str, seen: str) -> str:
     return right.upper() if seen.isupper() and len(seen) > 1 else right[:1].upper() + right[1:] if seen[:1].isupper() else right
 
 
-_WORDS = re.compile(r"[\w!|]*[^\W\d_][\w!|]*")
+_WORDS = re.compile(r"[\w!|]+")
 _ENDS = (".", "!", "?", ":", "»", "”", '"', ")", "$", "。", "…")
 
 
