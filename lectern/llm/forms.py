@@ -91,7 +91,10 @@ def visual_form(text: str) -> str:
 
 def comparison_form(text: str) -> str:
     """The visual form, compatibility-normalised, composed and case-folded: for comparisons that ignore case too."""
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", visual_form(text)).casefold())
+    t = visual_form(text)
+    while (n := visual_form(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()))) != t:
+        t = n  # what compatibility normalisation brings out, such as a blank or a look-alike, is folded in turn
+    return t
 
 
 def _per_distinct(values: pa.ChunkedArray | pa.Array, of) -> list:

@@ -64,8 +64,6 @@ def word_spans(text: str) -> list[tuple[int, int]]:
         while j < len(src) and not src[j].isascii() and fold_visible("a" + src[j]) not in ("a" + src[j], "a") and len(fold_visible("a" + src[j])) == 1:
             j += 1  # a combining mark belongs to the character before it
         f = fold_visible(src[k:j])
-        if len(f) > 1 and j - k > 1:
-            f, j = fold_visible(src[k]), k + 1
         chars.append(f)
         at.extend([(k, j)] * len(f))
         k = j

@@ -30,7 +30,7 @@ CONFUSIONS = {
     "m": ("rn",), "ii": ("u",), "cl": ("d",), "9": ("g",), "b": ("h",), "h": ("li",), "6": ("ó", "é", "b"), "8": ("b",), "l": ("i",), "vv": ("w",),
 }
 #: Log probability of one confusion, of a lost and of an inserted blank.
-CONFUSED, JOINED, PARTED = math.log(0.05), math.log(1e-5), math.log(1e-3)
+CONFUSED, JOINED, PARTED = math.log(0.05), math.log(0.05), math.log(1e-3)
 
 _MATH = re.compile(r"\$[^$\n]*\$|\\\([^\n]*?\\\)|\\[a-z]+\{[^}\n]*\}(?:\{[^}\n]*\})?|\\[a-z]+")
 _CUT = re.compile(r"[-‐¬](?<=[^\W\d_][-‐¬])[^\S\n]*\n[^\S\n]*(?=[\w!|])")
@@ -185,7 +185,7 @@ class Decoder:
         best, split = math.log(self.words.get(w, 0) + 0.5), None
         for k in range(2, len(w) - 1):
             a, b = self.words.get(w[:k], 0), self.words.get(w[k:], 0)
-            if a >= 3 and b >= 3 and (s := math.log(a) + math.log(b) - math.log(self.total) + JOINED + math.log(self.total) / 2) > best:
+            if a >= 3 and b >= 3 and (s := math.log(a) + math.log(b) - math.log(self.total) + JOINED) > best:
                 best, split = s, (w[:k], w[k:])
         return split
 
