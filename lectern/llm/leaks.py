@@ -12,15 +12,15 @@ phrase hold no match: they are left out of the index without loss.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.forms import fold_visible
+from lectern.llm.forms import fold_visible, ignorable
 
 #: Words after which a shard is indexed and searched, so that a task holds one shard at a time.
 SHARD_WORDS = 4_000_000
@@ -61,8 +61,8 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     k = 0
     while k < len(src):
         j = k + 1
-        while j < len(src) and not src[j].isascii() and fold_visible("a" + src[j]) not in ("a" + src[j], "a") and len(fold_visible("a" + src[j])) == 1:
-            j += 1  # a combining mark belongs to the character before it
+        while j < len(src) and not src[j].isascii() and (ignorable(src[j]) or unicodedata.combining(src[j])):
+            j += 1  # accents and invisible characters belong to the character before them
         f = fold_visible(src[k:j])
         chars.append(f)
         at.extend([(k, j)] * len(f))
