@@ -40,7 +40,7 @@ def extract_pages(files: DataFrame, parse: Callable[[str, bytes], list[dict]], s
                     rows += [{**r, "_path": path, "_error": None} for r in parse(path, content)]
                 except Exception as e:  # one bad file doesn't end the job
                     rows.append({"_path": path, "_error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[*names, "_path", "_error"])
+            yield pd.DataFrame(rows, columns=[*names, "_path", "_error"], dtype=object)
 
     both = files.select("path", "content").mapInPandas(run, schema + ", _path string, _error string")
     return both.where("_error is null").drop("_path", "_error"), both.where("_error is not null").select(F.col("_path").alias("path"), F.col("_error").alias("error"))
