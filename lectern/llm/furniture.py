@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.forms import fold_visible
-from lectern.llm.tools import BROADCAST_ROWS, written
+from lectern.llm.tools import small, written
 
 # Characters that scanners confuse, each with the one that stands for its class in a key.
 MISREAD_CLASSES = {
@@ -86,11 +86,6 @@ def page_lines(pages: DataFrame, key: str, source: str, page: str, text: str = "
     return src.mapInArrow(run, "key bigint, line_no int, source bigint, page int, line_key string").withColumn("line", F.xxhash64("line_key"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its size allows; else Spark joins it by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "source_file", page: str = "page_number", text: str = "text", least_pages: int = 6, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(per source: source_file, line_key, n_pages, file_pages), (per line: key, line_no).
 
@@ -105,16 +100,16 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     needed = F.greatest(F.lit(float(least_pages)), F.col("file_pages") * share)
     # Distinct pages in two steps, so that a hot line is first reduced within each task.
     counts = lines.select("source", "line", "page").distinct().groupBy("source", "line").agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least_pages / 2)
-    often = written(counts.join(_small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed / 2).select("source", "line"), "line-often")
-    keys = lines.join(_small(often), ["source", "line"], "left_semi").select("source", "line_key").distinct()
+    often = written(counts.join(small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed / 2).select("source", "line"), "line-often")
+    keys = lines.join(small(often), ["source", "line"], "left_semi").select("source", "line_key").distinct()
     cores = written(keys.groupBy("source").agg(F.collect_list("line_key").alias("cores")), "line-cores")
     # Every line against the cores of its source: a bounded list, compared within the row.
     like = lambda c: (c == F.col("line_key")) | ((F.abs(F.length(c) - F.length("line_key")) <= 2) & (F.length("line_key") >= 6) & (F.levenshtein(c, F.col("line_key"), 2) >= 0))
-    near = lines.join(_small(cores), "source").select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
+    near = lines.join(small(cores), "source").select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
     near = written(near, "line-near")
     per_core = near.select("source", "core", "page").distinct().groupBy("source", "core").agg(F.count("*").alias("n_pages"))
-    frequent = written(per_core.join(_small(total), "source").where(F.col("n_pages") >= needed), "line-frequent")
-    found = near.join(_small(frequent.select("source", "core")), ["source", "core"], "left_semi").select("key", "line_no").distinct()
+    frequent = written(per_core.join(small(total), "source").where(F.col("n_pages") >= needed), "line-frequent")
+    found = near.join(small(frequent.select("source", "core")), ["source", "core"], "left_semi").select("key", "line_no").distinct()
     return frequent.select("source_file", F.col("core").alias("line_key"), "n_pages", "file_pages"), found
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.forms import fold_visible
 from lectern.llm.furniture import line_key
+from lectern.llm.tools import small, written
 
 #: Least share of all words (of all titles) that a lexicon entry has: the lexicon has at most 1/LEAST_SHARE entries.
 LEAST_SHARE = 1e-6
@@ -29,6 +30,8 @@ CONFUSIONS = {
     "c": ("e",), "ä": ("a",), "!": ("i",), "|": ("l", "i"), "f": ("t", "e"), "ri": ("n",), "5": ("s",), "0": ("o",), "1": ("l", "i"), "rn": ("m",),
     "m": ("rn",), "ii": ("u",), "cl": ("d",), "9": ("g",), "b": ("h",), "h": ("li",), "6": ("ó", "é", "b"), "8": ("b",), "l": ("i",), "vv": ("w",),
 }
+#: Share of a word's occurrences that one confusion takes at most: of a frequent reading less, as its count is sure.
+CONFUSED_MOST, CONFUSED_OFTEN, FEW = math.log(0.05), math.log(0.025), 5
 #: Log probability of one confusion, of a lost and of an inserted blank.
 CONFUSED, JOINED, PARTED = math.log(0.05), math.log(0.05), math.log(1e-3)
 
@@ -38,13 +41,14 @@ _TOKEN = re.compile(r"[\w!|\x01]+")
 _LETTER = re.compile(r"[^\W\d_\x01]")
 _VARIABLE = re.compile(r"[^\W\d_]\d+")
 _NUM = r"(?:[\dlIOoSBzZ|!]{1,4}|[ivxlc]{1,7})"
-_PAGE_NO = re.compile(rf"\s*(?:[-—–·•*~]+\s*({_NUM})\s*[-—–·•*~]+|[\[({{<]\s*({_NUM})\s*[\])}}>]|(?:page|página|pagina|seite|pág\.?|pag\.?)\s*({_NUM})|({_NUM})\s*(?:/|of|de|von|sur|di)\s*{_NUM})\s*", re.I)
-_BARE = re.compile(r"\s*(\d{1,4}|[ivxlc]{1,7})\s*")
+_PAGE_NO = re.compile(rf"\s*(?:[-—–·•*~]+\s*({_NUM})\s*[-—–·•*~]+|[\[({{<]\s*({_NUM})\s*[\])}}>]|(?:page|página|pagina|seite|pág\.?|pag\.?|pp?\.|s\.)\s*({_NUM})|({_NUM})\s*(?:/|of|de|von|sur|di)\s*{_NUM})\s*", re.I)
+_BARE = re.compile(r"\s*([\dlIOoSBzZ|!]{1,4}|[ivxlc]{1,7})\s*")
 _ATTACHED = re.compile(r"\s*([\dlIOoSB|!]{1,4})\s{2,}\S+(?:\s\S+)*\s*|\s*\S+(?:\s\S+)*\s{2,}([\dlIOoSB|!]{1,4})\s*")
 _DIGITS = str.maketrans("lIOoSBzZ|!", "1100582211")
 # The word for a chapter in the corpus' languages.
 CHAPTER_WORDS = ("chapter", "capítulo", "chapitre", "kapitel", "capitolo")
-_CHAPTER_KEYS = tuple(line_key(w) for w in CHAPTER_WORDS)
+#: Without its last letter, which may make a group with what follows.
+_CHAPTER_KEYS = tuple(line_key(w)[:-1] for w in CHAPTER_WORDS)
 #: Lines at the top and the foot of a page that may hold headers and page numbers.
 EDGE = 4
 
@@ -75,48 +79,76 @@ def number(s: str) -> int | None:
     return total
 
 
+def _misread_number(s: str) -> int | None:
+    """The value of a number of which at least one digit is printed as a letter or sign."""
+    t = s.translate(_DIGITS)
+    return int(t) if t.isdigit() and not s.isdigit() else None
+
+
+def _known(key: str, titles: frozenset[str]) -> bool:
+    """Is it the key of a title, be it with one E printed as F (which has the key of T)?"""
+    return key in titles or any(key[:i] + "c" + key[i + 1 :] in titles for i, ch in enumerate(key) if ch == "t")
+
+
 def title_key(line: str) -> str | None:
     """line_key of a title without its volume."""
     k = line_key(line)
     return k[:-3] if k and k.endswith("voi") and len(k) > 7 else k
 
 
-def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", titles: DataFrame | None = None) -> tuple[dict[str, int], frozenset[str]]:
-    """(word counts, title keys) of all pages.
+def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> tuple[dict[str, int], frozenset[str], DataFrame]:
+    """(word counts, title keys, a frame (source, offset)) of all pages.
 
     A title is a line at the top or foot that carries the page's own number beside it on some page; titles, a frame with
     a column `title`, adds known ones (a trailing number is dropped). Entries rarer than LEAST_SHARE, or seen fewer than
-    3 times, are left out, which bounds what goes to the driver by 1/LEAST_SHARE entries.
+    3 times, are left out, which bounds what goes to the driver by 1/LEAST_SHARE entries. A source has an offset if bare
+    numbers at the edge of its pages differ from the page number by the same amount on a tenth of its pages, 3 at least;
+    it stays a table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(words: Counter, found: Counter) -> pa.RecordBatch:
+        def out(words: Counter, others: Counter) -> pa.RecordBatch:
             words = Counter({w: n for w, n in words.items() if _LETTER.search(w)})
-            return pa.RecordBatch.from_arrays([pa.array(["w"] * len(words) + ["t"] * len(found), pa.string()), pa.array([*words, *found], pa.string()), pa.array([*words.values(), *found.values()], pa.int64())], names=["what", "word", "n"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(["w"] * len(words) + [k for k, _ in others], pa.string()), pa.array([*words, *(w for _, w in others)], pa.string()), pa.array([*words.values(), *others.values()], pa.int64())], names=["what", "word", "n"]
+            )
 
         words: Counter = Counter()
-        found: Counter = Counter()
+        others: Counter = Counter()
         for b in batches:
-            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for n, t, src in zip(*(c.to_pylist() for c in b.columns)):
                 words.update(_TOKEN.findall(stream(t)))
+                if n is None:
+                    continue
                 lines = t.split("\n")
-                for k in edge_lines(lines):
+                edge = edge_lines(lines)
+                for k in edge:
                     line = lines[k]
-                    if n is not None and len(line) < 90 and "  " in line and (m := _ATTACHED.fullmatch(fold_visible(line))):
-                        if number(m.group(1) or m.group(2)) is not None and abs(number(m.group(1) or m.group(2)) - n) <= 20 and (w := title_key(line)):
-                            found[w] += 1
-            if len(words) > 300_000:
-                yield out(words, found)
-                words, found = Counter(), Counter()
-        yield out(words, found)
-
-    src = pages.select(F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text")).where("text is not null")
+                    if len(line) < 90 and "  " in line and (m := _ATTACHED.fullmatch(fold_visible(line))):
+                        v = number(m.group(1) or m.group(2))
+                        if v is not None and abs(v - n) <= 20 and (w := title_key(line)):
+                            others["t", w] += 1
+                if src is not None:
+                    for k in {edge[0], edge[-1]} if edge else ():
+                        if len(lines[k]) < 12 and (m := _BARE.fullmatch(fold_visible(lines[k]))) and m.group(1).isdigit():
+                            others["o", f"{int(m.group(1)) - n} {src}"] += 1
+            if len(words) + len(others) > 300_000:
+                yield out(words, others)
+                words, others = Counter(), Counter()
+        yield out(words, others)
+
+    src = pages.select(F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source")).where("text is not null")
     raw = src.mapInArrow(run, "what string, word string, n bigint")
     if titles is not None:
         # Title words are folded once per distinct title, after counting.
         known = titles.where("title is not null").groupBy(F.regexp_replace("title", r"\s+\d+$", "").alias("word")).agg(F.count("*").alias("n"))
         raw = raw.unionByName(known.select(F.lit("k").alias("what"), "word", "n"))
-    counts = raw.groupBy("what", "word").agg(F.sum("n").alias("n"))
+    counts = written(raw.groupBy("what", "word").agg(F.sum("n").alias("n")), "scan-counts")
+    sizes = src.where("source is not null").groupBy("source").agg(F.count("*").alias("pages"))
+    shifts = counts.where("what = 'o'").select(F.split("word", " ", 2)[1].alias("source"), F.split("word", " ", 2)[0].cast("int").alias("shift"), "n")
+    best = shifts.groupBy("source").agg(F.max_by("shift", F.struct("n", -F.abs("shift"), "shift")).alias("shift"), F.max("n").alias("n"))
+    offsets = written(best.join(sizes, "source").where("n >= 3 and n >= 0.1 * pages").select("source", "shift"), "scan-offsets")
+    counts = counts.where("what <> 'o'")
     total = counts.groupBy("what").agg(F.sum("n").alias("total"))
     keep = counts.join(F.broadcast(total), "what").where(F.col("n") >= F.greatest(F.lit(3.0), F.col("total") * LEAST_SHARE))
     words: dict[str, int] = {}
@@ -129,7 +161,7 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", tit
             keys.add(r.word)
         elif k := title_key(r.word):
             keys.add(k)
-    return words, frozenset(keys)
+    return words, frozenset(keys), offsets
 
 
 class Decoder:
@@ -166,7 +198,7 @@ class Decoder:
             n = self.words.get(cand, 0)
             if n < 3 or len(cand) < 3 and n * 0.02 < own + 0.5:
                 continue
-            score = math.log(n) + edits * CONFUSED
+            score = math.log(n) + (edits - 1) * CONFUSED + (CONFUSED_MOST if own <= FEW else CONFUSED_OFTEN)
             if score > best:
                 best, where, text = score, at, cand
         if where < 0:
@@ -208,7 +240,7 @@ def _places(w: str, part: str) -> Iterator[int]:
         k = w.find(part, k + 1)
 
 
-def line_kinds(text: str, page: int | None, decoder: Decoder, titles: frozenset[str]) -> list[tuple[int, str]]:
+def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: frozenset[str]) -> list[tuple[int, str]]:
     """(line_no, kind) of what a page's lines have: hyphen, misread, header, page_no."""
     out: set[tuple[int, str]] = set()
     s = stream(text)
@@ -237,17 +269,28 @@ def line_kinds(text: str, page: int | None, decoder: Decoder, titles: frozenset[
             continue
         f = fold_visible(line)
         m = _PAGE_NO.fullmatch(f)
-        num = None
-        if m and (v := number(num := next(x for x in m.groups() if x))) is not None:
-            out.add((k, "page_no"))
-            if num and any(ch.isdigit() for ch in num) and not num.isdigit():
-                out.add((k, "misread"))
-            continue
-        if (r < 2 or r >= len(edge) - 2) and page is not None and (m := _BARE.fullmatch(f)) and (v := number(m.group(1))) is not None and (v == page or not m.group(1).isdigit() and v <= page):
-            out.add((k, "page_no"))
-            continue
+        if m:
+            num = next(x for x in m.groups() if x)
+            seen = _misread_number(num)
+            near = seen is not None and page is not None and abs(seen - page) <= 20
+            if near or number(num) is not None:
+                out.add((k, "page_no"))
+                if near or any(ch.isdigit() for ch in num) and not num.isdigit():
+                    out.add((k, "misread"))
+                continue
+        if (r < 3 or r >= len(edge) - 3) and page is not None and (m := _BARE.fullmatch(f)):
+            num = m.group(1)
+            seen = _misread_number(num)
+            v = int(num) if num.isdigit() else seen
+            # A bare number counts where the source has them, or at the very edge; a roman one where it is the page's own.
+            own = v is not None and v == page + (shift or 0) and (shift is not None or r in (0, len(edge) - 1) and any(ch.isdigit() for ch in num))
+            if own or num.islower() and number(num) == page:
+                out.add((k, "page_no"))
+                if own and not num.isdigit():
+                    out.add((k, "misread"))
+                continue
         w = title_key(line)
-        if w and (w in titles or w.startswith(_CHAPTER_KEYS) and not f.rstrip().endswith((".", ","))):
+        if w and (_known(w, titles) or w.startswith(_CHAPTER_KEYS) and not f.rstrip().endswith((".", ","))):
             out.add((k, "header"))
             m = _ATTACHED.fullmatch(f)
             num = m and (m.group(1) or m.group(2))
@@ -271,9 +314,9 @@ _WORDS = re.compile(r"[\w!|]+")
 _ENDS = (".", "!", "?", ":", "»", "”", '"', ")", "$", "。", "…")
 
 
-def paragraphs(text: str, page: int | None, decoder: Decoder, titles: frozenset[str]) -> list[str]:
+def paragraphs(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: frozenset[str]) -> list[str]:
     """Continuous paragraphs of a page: headers and page numbers dropped, cut words joined, misread words replaced."""
-    kinds = line_kinds(text, page, decoder, titles)
+    kinds = line_kinds(text, page, shift, decoder, titles)
     gone = {k for k, kind in kinds if kind in ("header", "page_no")}
     lines = [(k, line) for k, line in enumerate(fold_visible(text.replace("­\n", "-\n")).split("\n")) if k not in gone]
     blocks = _boundaries([line for _, line in lines])
@@ -351,27 +394,28 @@ def _halves(t: str, decoder: Decoder) -> str:
     return " ".join(out)
 
 
-def _decoded(pages: DataFrame, key: str, page: str, text: str, model: tuple[dict[str, int], frozenset[str]], schema: str, of) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titles: DataFrame | None, schema: str, of) -> DataFrame:
+    words, keys, offsets = lexicon(pages, page, text, source, titles)
+    shared = pages.sparkSession.sparkContext.broadcast((words, keys))
     kinds = [pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, titles = shared.value
         decoder = Decoder(words)
         for b in batches:
-            rows = [(k, *x) for k, n, t in zip(*(c.to_pylist() for c in b.columns)) for x in of(t, n, decoder, titles)]
+            rows = [(k, *x) for k, n, t, shift in zip(*(c.to_pylist() for c in b.columns)) for x in of(t, n, shift, decoder, titles)]
             cols = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
-    return src.mapInArrow(run, schema)
+    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(page).cast("int").alias("page"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source")).where("key is not null and text is not null")
+    return src.join(small(offsets), "source", "left").select("key", "page", "text", "shift").mapInArrow(run, schema)
 
 
-def scan_lines(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", titles: DataFrame | None = None, model=None) -> DataFrame:
+def scan_lines(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> DataFrame:
     """(page_id, line_no, kind), a row per kind that a line has. Null texts have none; a null page number matches no number without dress."""
-    return _decoded(pages, key, page, text, model or lexicon(pages, page, text, titles), "page_id bigint, line_no int, kind string", line_kinds)
+    return _decoded(pages, key, page, text, source, titles, "page_id bigint, line_no int, kind string", line_kinds)
 
 
-def scan_paragraphs(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", titles: DataFrame | None = None, model=None) -> DataFrame:
+def scan_paragraphs(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> DataFrame:
     """(page_id, para_no, paragraph): every page's text as continuous paragraphs; a blank page has none."""
-    return _decoded(pages, key, page, text, model or lexicon(pages, page, text, titles), "page_id bigint, para_no int, paragraph string", lambda t, n, d, x: enumerate(paragraphs(t, n, d, x)))
+    return _decoded(pages, key, page, text, source, titles, "page_id bigint, para_no int, paragraph string", lambda *x: enumerate(paragraphs(*x)))

@@ -73,13 +73,17 @@ def evidence(text: str, into: Counter) -> None:
         if b == i:
             continue
         word, gap, nxt = text[b:i], m.group(1), m.group(2)
+        if any(ch.isdigit() for ch in word):
+            continue
         if not nxt or gap.count("\n") > 1:
             kind = "end"
         elif not gap:
             if nxt[0].isalpha():
                 continue  # within an abbreviation or a missing blank
             kind = "on" if nxt in ",;:" else "other"
-        elif nxt[0].islower() or nxt.isdigit() or nxt in "($":
+        elif nxt.isdigit() or nxt in "($":
+            kind = "num"
+        elif nxt[0].islower():
             kind = "on"
         else:
             kind = "up"
@@ -111,14 +115,15 @@ def corpus_model(docs: DataFrame, text: str = "text") -> Model:
         yield out(counts)
 
     raw = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "what string, word string, kind string, n bigint")
-    per = raw.groupBy("what", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "on", F.col("n")).otherwise(0)).alias("on"), F.sum(F.when(F.col("kind") == "end", F.col("n")).otherwise(0)).alias("end"))
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+    per = raw.groupBy("what", "word").agg(F.sum("n").alias("n"), of("on", "num").alias("on"), of("num").alias("num"), of("end").alias("end"))
     dots = per.where("what = 'd'")
     caps = per.where("what <> 'd'").groupBy("word").agg(F.sum(F.when(F.col("what") == "m", F.col("n")).otherwise(0)).alias("mid"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("init"))
-    both = dots.selectExpr("'d' as what", "word", "n", "`on` as a", "`end` as b").unionByName(caps.selectExpr("'c' as what", "word", "mid + init as n", "mid as a", "init as b"))
+    both = dots.selectExpr("'d' as what", "word", "n", "`on` as a", "`end` as b", "num").unionByName(caps.selectExpr("'c' as what", "word", "mid + init as n", "mid as a", "init as b", "0L as num"))
     total = both.groupBy("what").agg(F.sum("n").alias("total"))
-    # An abbreviation goes on in most cases; or it is a short capitalised title that never ends a paragraph.
+    # An abbreviation goes on in most cases, a long one before numbers; or it is a short title that never ends a paragraph.
     keep = both.join(F.broadcast(total), "what").where(F.col("n") >= F.greatest(F.lit(3.0), F.col("total") * LEAST_SHARE))
-    keep = keep.where("what = 'c' or a >= 0.5 * n or (n >= 12 and b = 0 and length(word) <= 5)")
+    keep = keep.where("what = 'c' or (a >= 0.5 * n and (length(word) <= 4 or num >= 0.3 * n)) or (n >= 12 and b = 0 and length(word) <= 5 and a <= 0.1 * n)")
     got, size = ({"d": set(), "s": set(), "n": set()}), 0
     for r in keep.select("what", "word", "a", "b").toLocalIterator():
         size += len(r.word) + 60

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a table collected for a broadcast may grow; beyond it the operators join instead.
 BROADCAST_BYTES = 64 << 20
@@ -34,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its size allows; else Spark joins it by shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -140,10 +140,12 @@ def test_scan_lines(spark):
     body = "\n".join([word] * 3)
     pages = [(n, f"A course on chance   {n}\n{body}\n- {n} -", n) for n in range(1, 8)]
     pages += [(50, "Chapter 2. Urns\nthe clensity of the ran-\ndom variable c0nverges\n· l2 ·", 12), (51, None, 1), (52, "", 2), (53, "see page 3 of the\nbook", None), (50, "Chapter 2. Urns\nthe clensity of the ran-\ndom variable c0nverges\n· l2 ·", 12)]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, text string, page_number int, kind string")
+    pages += [(60 + n, f"{body}\n{n}", n + 4) for n in range(1, 6)] + [(70, f"{body}\n23", 25)]
+    df = spark.createDataFrame([(*p, "x", "g.pdf" if 60 < p[0] < 70 else None if p[0] == 51 else "f.pdf") for p in pages], "page_id bigint, text string, page_number int, kind string, source_file string")
     got = set(rows(scans.scan_lines(df)))
     assert {g for g in got if g[0] == 50} == {(50, 0, "header"), (50, 1, "misread"), (50, 1, "hyphen"), (50, 2, "misread"), (50, 3, "page_no"), (50, 3, "misread")}
     assert {g for g in got if g[0] == 3} == {(3, 0, "header"), (3, 4, "page_no")}
+    assert {g for g in got if g[0] > 60} == {(60 + n, 3, "page_no") for n in range(1, 6)}
     paragraphs = {r.paragraph for r in scans.scan_paragraphs(df).where("page_id = 50").collect()}
     assert paragraphs == {"the density of the random variable converges"}
     assert scans.scan_lines(df.limit(0)).count() == 0
