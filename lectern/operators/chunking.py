@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import ingest, segment
+from lectern.operators import ordered
 
 
 def _exploded(pages: DataFrame, of, name: str) -> DataFrame:
@@ -45,8 +45,7 @@ def chunk_pages(pages: DataFrame, config: Config = Config()) -> DataFrame:
     parts = _exploded(pages, lambda t: segment.page_chunks(t, size, overlap), "chunk")
     meta = pages.select(F.col("page_id").cast("bigint"), "source_file", "source_path", "source_type", "author", F.col("page_number").alias("page"), "chapter", "language", "has_latex", F.col("text").alias("page_text"))
     per_page = parts.groupBy("page_id").agg(F.count("*").alias("n")).join(meta.select("page_id", "source_path", "page"), "page_id")
-    before = F.coalesce(F.sum("n").over(W.partitionBy("source_path").orderBy("page", "page_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_page.select("page_id", before.alias("first"))
+    offsets = ordered.total_before(per_page, "source_path", "page", "page_id", "n", "first").select("page_id", "first")
     rows = parts.join(meta, "page_id").join(offsets, "page_id").withColumnRenamed("chunk", "text")
     rows = rows.withColumn("chunk_index", (F.col("first") + F.col("pos")).cast("int"))
     start, end = ingest.char_offsets(F.col("text"), F.col("page_text"))
@@ -96,8 +95,7 @@ def parents(children: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 def chapter_carry(pages: DataFrame) -> DataFrame:
     """(page_id, chapter): the last chapter detected up to each page of a document, in page order; 0 is none.
 
-    Only numbers are windowed, never texts.
+    Only numbers are windowed, never texts, and a long document in buckets of pages.
     """
     found = pages.select("page_id", "source_path", "page_number", F.nullif(ingest.chapter(F.col("text")), F.lit(0)).alias("c"))
-    order = W.partitionBy("source_path").orderBy("page_number", "page_id").rowsBetween(W.unboundedPreceding, 0)
-    return found.select("page_id", F.last("c", ignorenulls=True).over(order).alias("chapter"))
+    return ordered.last_known(found, "source_path", "page_number", "page_id", "c").select("page_id", F.col("c").alias("chapter"))

@@ -9,18 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators import ordered
 
-def emit_times(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", interval: float = 1.0) -> DataFrame:
-    """(order, emit_at): when each call of a key may go, at least `interval` seconds after the one before.
 
-    In closed form: i*d + max over j<=i of (t_j - j*d), a running maximum.
-    """
-    w = W.partitionBy(key).orderBy(ts, order)
+def emit_times(events: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", interval: float = 1.0) -> DataFrame:
+    """(key, order, emit_at): when each call of a key may go, at least `interval` seconds after the one before."""
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    i = F.row_number().over(w)
-    one = events.select(key, order, ts, (t - i * interval).alias("slack"), i.alias("i"))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    return one.select(key, order, F.round(F.max("slack").over(upto) + F.col("i") * interval, 3).alias("emit_at"))
+    return ordered.spaced(events.select(key, order, t.alias("t")), key, F.col("t"), order, interval, "emit_at").select(key, order, F.round("emit_at", 3).alias("emit_at"))
 
 
 def cache_hits(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", ttl: float = 3600.0) -> DataFrame:

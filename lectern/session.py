@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,4 +27,19 @@ def session(master: str = "local[8]", app: str = "lectern", **conf: str) -> Spar
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless PYTHONPATH gives it to them already."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if getattr(sc, "_lectern_shipped", False) or str(root) in [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]:
+        return
+    out = Path(tempfile.mkdtemp(prefix="spark-lectern-")) / "lectern.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted((root / "lectern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._lectern_shipped = True

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import config
 from lectern.functions import ingest, latex, models, present, segment
-from lectern.operators import bm25, chunking, confidence, dense, layout, retrieval, state, statistics
+from lectern.operators import bm25, chunking, confidence, dense, layout, ordered, retrieval, state, statistics
 from lectern.sources import collections, sinks
 
 
@@ -219,6 +219,31 @@ def test_first_relevant_author(spark):
     assert [r.author for r in statistics.priority_authors(names, ["devore", "ferrari"]).orderBy("position").collect()] == ["Devore", "Ferrari", "Ross"]
 
 
+# --- running values
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_two_levels_equal_one_window(spark, width):
+    rng = random.Random(width)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(20)]), k, rng.choice([None, None, 1, 2, 3]), float(rng.randint(0, 15))) for k in range(120)]
+    df = spark.createDataFrame(data, "g string, n int, k long, v int, t double")
+    key = lambda r: (-1 if r[1] is None else r[1], r[2])
+    last, total, emit = {}, {}, {}
+    for g in ("a", "b", None):
+        seen, s, prev = None, 0, None
+        for r in sorted((r for r in data if r[0] == g), key=key):
+            total[r[2]] = s
+            s += r[3] or 0
+            seen = r[3] if r[3] is not None else seen
+            last[r[2]] = seen
+        for r in sorted((r for r in data if r[0] == g), key=lambda r: (r[4], r[2])):
+            prev = r[4] if prev is None else max(r[4], prev + 0.5)
+            emit[r[2]] = prev
+    assert {r.k: r.v for r in ordered.last_known(df, "g", "n", "k", "v", width).collect()} == last
+    assert {r.k: r.before for r in ordered.total_before(df, "g", "n", "k", "v", "before", width).collect()} == total
+    assert {r.k: round(r.at, 6) for r in ordered.spaced(df, "g", F.col("t"), "k", 0.5, "at", width).collect()} == emit
+
+
 # --- state
 
 
