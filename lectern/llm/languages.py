@@ -40,6 +40,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\([^)]*\\\)", re.S)
 _CUT = re.compile(r"(?<=[^\W\d_])[-‐¬­]­?\n(?=[^\W\d_])")
 _STOP = re.compile(r"(?<=[.?!…»”\")])\s+(?=[A-ZÀ-ÖØ-Þ¿¡«“„\"(])")
+_ENDED = re.compile(r"[.?!…:;,][\"”»)\]“]*\s*$|[.?!…] ?[»“”]\s*$|[-‐¬\u00ad]\s*$")
 _SENTENCE_END = re.compile(r"[.?!…][\"”»)\]“]*[^\S\n]*(?:\n|\Z)|[.?!…] ?[»“”]")
 
 
@@ -128,6 +129,23 @@ def _grams(w: str) -> list[tuple[int, str]]:
     return [(n, t[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)]
 
 
+def without_edges(paragraph: str, first: bool, last: bool) -> str:
+    """A page's first paragraph without up to four heading lines at its top, its last without up to three at its foot.
+
+    A heading line has no end mark, and what follows it doesn't go on in lower case.
+    """
+    lines = paragraph.split("\n")
+    if first:
+        for _ in range(4):
+            if len(lines) > 1 and len(lines[0]) < 70 and not _ENDED.search(lines[0]) and not lines[1].lstrip()[:1].islower():
+                lines = lines[1:]
+    if last:
+        for _ in range(3):
+            if len(lines) > 1 and len(lines[-1]) < 70 and not _ENDED.search(lines[-1]) and (_ENDED.search(lines[-2]) or not lines[-1].strip()):
+                lines = lines[:-1]
+    return "\n".join(lines)
+
+
 def words(text: str) -> list[str]:
     return [w for s in sentence_words(text) for w in s]
 
@@ -154,8 +172,9 @@ def paragraph_scores(pages: DataFrame, samples: DataFrame, key: str, text: str,
             m.forget()
             at, no, n_words, n_sent, body, rows, sent, para = [], [], [], [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                for k, p in enumerate(t.split("\n\n")):
-                    ss = sentence_words(p)
+                ps = t.split("\n\n")
+                for k, p in enumerate(ps):
+                    ss = sentence_words(without_edges(p, k == 0, k == len(ps) - 1) if k in (0, len(ps) - 1) else p)
                     if not ss:
                         continue
                     at.append(i)
