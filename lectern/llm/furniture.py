@@ -17,44 +17,44 @@ from pyspark.sql import functions as F
 from lectern.llm.forms import fold_visible
 from lectern.llm.tools import small, written
 
-# Characters that scanners confuse, each with the one that stands for its class in a key.
-MISREAD_CLASSES = {
-    "0": "o", "1": "i", "5": "s", "8": "b", "6": "b", "9": "g", "|": "i", "!": "i", "l": "i", "j": "i", "e": "c", "f": "t", "h": "b", "q": "g",
-}
-# Groups of letters that scanners confuse with one letter, applied in this order.
-MISREAD_GROUPS = (("rn", "m"), ("ri", "n"), ("ii", "u"), ("ci", "d"), ("vv", "w"))
-_GROUPS = [(a.encode(), b.encode()) for a, b in MISREAD_GROUPS]
+# Characters that scanners confuse, each with the one that stands for its class in a key. What may be read
+# as 6 (é, ó) is left out, as is the 6.
+MISREAD_CLASSES = {"0": "o", "1": "i", "5": "s", "8": "b", "9": "g", "|": "i", "!": "i", "l": "i", "j": "i", "e": "c", "t": "c", "f": "c", "h": "b", "q": "g", "6": "", "é": "", "ó": ""}
+# Letters that scanners confuse with groups of letters, spelled out as the group's classes. As every letter
+# is spelled out, whatever stands beside it, a line has the same key with and without the confusion.
+SPELLED = (("m", "rri"), ("n", "ri"), ("u", "ii"), ("d", "ci"), ("w", "vv"), ("b", "ii"))
+_SPELLED = [(a.encode(), b.encode()) for a, b in SPELLED]
 _ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"))  # fixed values
 _CLASS = {a: MISREAD_CLASSES.get(b, b) for a, b in _ACCENTS.items()} | {c: c for c in "abcdefghijklmnopqrstuvwxyzßæðøþ"} | MISREAD_CLASSES
 #: The classes as a table of bytes; what has no class is deleted, but for line ends.
-_TABLE = bytes(ord(_CLASS.get(chr(i), chr(i))) for i in range(256))
-_DELETED = bytes(i for i in range(256) if chr(i) not in _CLASS and chr(i) != "\n")
+_TABLE = bytes(ord(_CLASS.get(chr(i)) or chr(i)) for i in range(256))
+_DELETED = bytes(i for i in range(256) if not _CLASS.get(chr(i)) and chr(i) != "\n")
 _NO_LETTERS = bytes(i for i in range(256) if not chr(i).isalpha() and chr(i) != "\n")
 _NUMBER = re.compile(rb"(?<![a-z\xdf-\xff\d|!])[ilo|!]{0,2}\d[\d.,:/ilo|!-]*(?![a-z\xdf-\xff])")
-_LETTER = re.compile(r"[^\W\d_]")
-_DROP = re.compile(r"[\W\d_]+")
+_BLANK = re.compile(r"[^\S\n -~]")
+_OTHER = re.compile(r"[^\x00-\xff]")
 
 
 def line_keys(text: str) -> list[str | None]:
     """For each line of a text its key, without blanks and digits, or None if it has fewer than four letters.
 
-    All lines go through one pass as bytes of Latin-1; a line of which a quarter or more is in other scripts is keyed by itself.
+    All lines go through one pass as bytes of Latin-1; letters of other scripts follow after a ~, as they are.
     """
-    t = (text if text.isascii() else fold_visible(text)).lower()
+    t = (text if text.isascii() else _BLANK.sub(" ", fold_visible(text))).lower()
     try:
         raw, lines = t.encode("latin-1"), None
     except UnicodeEncodeError:
         raw, lines = t.encode("latin-1", "ignore"), t.split("\n")
     letters = raw.translate(None, _NO_LETTERS).split(b"\n")
     flat = _NUMBER.sub(b"", raw).translate(_TABLE, _DELETED)
-    for a, b in _GROUPS:
+    for a, b in _SPELLED:
         flat = flat.replace(a, b)
     keys = flat.decode("latin-1").split("\n")
-    out = [k if k and len(x) >= 4 else None for k, x in zip(keys, letters)]
+    out = [k + "~" if len(x) >= 4 and k else None for k, x in zip(keys, letters)]
     if lines is not None:
         for k, line in enumerate(lines):
-            if not line.isascii() and 4 * len(line.encode("latin-1", "ignore")) < 3 * len(line) and len(_LETTER.findall(line)) >= 4:
-                out[k] = _DROP.sub("", line) or None
+            if (others := _OTHER.findall(line)) and (tail := [c for c in others if c.isalpha()]) and len(letters[k]) + len(tail) >= 4:
+                out[k] = keys[k] + "~" + "".join(tail)
     return out
 
 
@@ -90,7 +90,7 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     """(per source: source_file, line_key, n_pages, file_pages), (per line: key, line_no).
 
     A line counts once per different page number. A line joins a frequent key of its source if the two are equal, or at
-    most two edits apart: cores are the keys on at least half the needed pages, so that a file of n pages with m lines a
+    most two letters apart: cores are the keys on at least half the needed pages, so that a file of n pages with m lines a
     page has at most 2*m/share of them, whatever its size; a line is compared with its own file's cores only.
     """
     lines = written(page_lines(pages, key, source, page, text), "lines")
@@ -103,8 +103,10 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     often = written(counts.join(small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed / 2).select("source", "line"), "line-often")
     keys = lines.join(small(often), ["source", "line"], "left_semi").select("source", "line_key").distinct()
     cores = written(keys.groupBy("source").agg(F.collect_list("line_key").alias("cores")), "line-cores")
-    # Every line against the cores of its source: a bounded list, compared within the row.
-    like = lambda c: (c == F.col("line_key")) | ((F.abs(F.length(c) - F.length("line_key")) <= 2) & (F.length("line_key") >= 6) & (F.levenshtein(c, F.col("line_key"), 2) >= 0))
+    # Every line against the cores of its source: a bounded list, compared within the row. A letter misread otherwise than
+    # the key knows takes the place of a letter, so lengths are equal.
+    tail = lambda c: F.split(c, "~")[1]
+    like = lambda c: (c == F.col("line_key")) | ((F.length(c) == F.length("line_key")) & (F.length(c) >= 12) & (tail(c) == tail(F.col("line_key"))) & (F.levenshtein(c, F.col("line_key"), 2) >= 0))
     near = lines.join(small(cores), "source").select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
     near = written(near, "line-near")
     per_core = near.select("source", "core", "page").distinct().groupBy("source", "core").agg(F.count("*").alias("n_pages"))

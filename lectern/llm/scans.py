@@ -47,7 +47,6 @@ _ATTACHED = re.compile(r"\s*([\dlIOoSB|!]{1,4})\s{2,}\S+(?:\s\S+)*\s*|\s*\S+(?:\
 _DIGITS = str.maketrans("lIOoSBzZ|!", "1100582211")
 # The word for a chapter in the corpus' languages.
 CHAPTER_WORDS = ("chapter", "capítulo", "chapitre", "kapitel", "capitolo")
-#: Without its last letter, which may make a group with what follows.
 _CHAPTER_KEYS = tuple(line_key(w)[:-1] for w in CHAPTER_WORDS)
 #: Lines at the top and the foot of a page that may hold headers and page numbers.
 EDGE = 4
@@ -85,15 +84,10 @@ def _misread_number(s: str) -> int | None:
     return int(t) if t.isdigit() and not s.isdigit() else None
 
 
-def _known(key: str, titles: frozenset[str]) -> bool:
-    """Is it the key of a title, be it with one E printed as F (which has the key of T)?"""
-    return key in titles or any(key[:i] + "c" + key[i + 1 :] in titles for i, ch in enumerate(key) if ch == "t")
-
-
 def title_key(line: str) -> str | None:
     """line_key of a title without its volume."""
-    k = line_key(line)
-    return k[:-3] if k and k.endswith("voi") and len(k) > 7 else k
+    k = (line_key(line) or "").split("~")[0]
+    return k[:-3] if k.endswith("voi") and len(k) > 7 else k or None
 
 
 def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> tuple[dict[str, int], frozenset[str], DataFrame]:
@@ -290,7 +284,7 @@ def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder,
                     out.add((k, "misread"))
                 continue
         w = title_key(line)
-        if w and (_known(w, titles) or w.startswith(_CHAPTER_KEYS) and not f.rstrip().endswith((".", ","))):
+        if w and (w in titles or w.startswith(_CHAPTER_KEYS) and not f.rstrip().endswith((".", ","))):
             out.add((k, "header"))
             m = _ATTACHED.fullmatch(f)
             num = m and (m.group(1) or m.group(2))

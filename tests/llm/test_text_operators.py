@@ -275,3 +275,10 @@ def test_sentence_units(spark):
     got = rows(sentences.sentence_units(df), "doc_id", "start_char", "end_char")
     assert got == [(1, 0, 12), (1, 0, 12), (1, 13, 26), (1, 13, 26), (4, 0, 249_999)]
     assert sentences.sentence_units(df.limit(0)).count() == 0
+
+
+def test_line_keys_ignore_kinds_of_blanks_and_confusions():
+    assert furniture.line_key("Send corrections to room 9") == furniture.line_key("Send corrections to room 12")
+    for a, b in (("curso nocturno", "curso nocturrio"), ("alumnos inscritos", "aliimnos inscrifos"), ("Chapter 2. Order", "Chaptcr 7. 0rcler"), ("función", "funci6n"), ("the share", "tbe sbare"), ("EXERCISE", "FXERCI5E")):
+        assert furniture.line_key(a) == furniture.line_key(b)
+    assert furniture.line_key("limitam ρ") != furniture.line_key("limitam ν")
