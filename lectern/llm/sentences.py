@@ -33,9 +33,9 @@ _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"[^\S\n]+")
 _ORDINAL = re.compile(r"(?:\b(?:der|die|das|den|dem|des|am|im|vom|zum|beim|ab|bis|seit)\s+)\d{1,3}$", re.I)
 _MATH_OR_NOISE = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|[\d\W_]+")
-_JOINED = re.compile(r"[^\W\d_]{2}[.!?…]+$")
 #: Scripts without letter case, in which a mark needs no blank after it.
 _IDEOGRAPHIC = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_ARABIC = re.compile(r"[\u0620-\u064a]")
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 
 _UP = "A-ZÀ-ÖØ-ÞЀ-Я"
@@ -271,8 +271,7 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
     if last in "؟۔":
         return blank and (opened is None or p[start:opened].strip() != "")
     if not blank:
-        # A blank is missing: two letters, the mark, a capitalised word.
-        return mark in ".!?" and bool(_JOINED.search(p[max(0, i - 2) : j])) and bool(re.match(r"[^\W\d_a-zà-ÿ][^\W\d_A-Z]", p[k : k + 2])) and nxt.isupper() and p[i - 1].islower() and p[i - 2].islower()
+        return mark in ".!?" and _blank_missing(p, i, k, last, start, doc)
     if opened is not None:
         if nxt.islower():
             return False
@@ -324,6 +323,24 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
     return not doc.name(v, "." not in word)
 
 
+def _blank_missing(p: str, i: int, k: int, last: str, start: int, doc: _Doc) -> bool:
+    """Does the mark at i end a sentence although the next, at k, follows at once? Then that begins with a capitalised word."""
+    if i == 0:
+        return False
+    before, nxt = p[i - 1], p[k]
+    if _ARABIC.match(nxt):
+        return bool(_ARABIC.match(before)) and i > 1 and bool(_ARABIC.match(p[i - 2]))
+    after = p[k + 1 : k + 3]
+    if not nxt.isupper() or not (after[:1].islower() or after[:1].isspace() and after[1:].islower()):
+        return False
+    if last in "!?" or before.isdigit() or before in "$)]" or "α" <= before <= "ω":
+        return True
+    w = _word_before(p, i, max(start, i - 40))
+    if i - w == 1 and before.isupper():
+        return not p[start:w].rstrip().endswith(".") and p[start:w].strip() != ""
+    return i - w > 1 and not doc.abbreviation(p[w:i])
+
+
 def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, unit_no, start_char, end_char, unit) of every sentence unit, in order.
 

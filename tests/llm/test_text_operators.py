@@ -253,6 +253,9 @@ _MODEL = sentences.Model(frozenset(["Fig", "Dr", "etc", "cf", "p"]), frozenset([
         ("ในกรณีนี้ค่า12 ดูรูปที่5.11 จบ", ["ในกรณีนี้ค่า12", "ดูรูปที่5.11", "จบ"]),
         ("هل هو منته؟ نعم.", ["هل هو منته؟", "نعم."]),
         ("La somme est finie ? Oui. « Elle est. » Fin.", ["La somme est finie ?", "Oui.", "« Elle est. »", "Fin."]),
+        ("The bound is 0.5.The sum of σ.A walk stays.It ends at X.So it is.", ["The bound is 0.5.", "The sum of σ.", "A walk stays.", "It ends at X.", "So it is."]),
+        ("الزيادات مستقلة.في هذه", ["الزيادات مستقلة.", "في هذه"]),
+        ("See N.P. Ardelan and example.Com for e.g. this.", ["See N.P. Ardelan and example.", "Com for e.g. this."]),
         ("", []), (" \n\n ", []), ("...", ["..."]),
     ],
 )
