@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.tools import written
 
-#: Folder of the public tokenizer files; see tokens().
+#: Quality weight of a document that has none.
+LEAST_QUALITY = 0.05
+#: Folder of the public tokenizer files; see with_tokens().
 TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pre-tokenisation pattern published with byte-level BPE vocabularies of 50k entries.
 BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -33,14 +35,17 @@ def source_name(c: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.lower(c.cast("string")), r"(?U)[\s\p{Z}\p{Cf}_\-‐-―./\\|:+·]+", ""), F.lit(""))
 
 
-def quarter_chars(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, size): a quarter of the text's length, rounded down; a missing text has 0."""
-    return docs.select(F.col(key).alias("key"), F.expr(f"coalesce(length(`{text}`), 0) div 4").cast("bigint").alias("size"))
+def quarter_chars(text: Column | str = "text") -> Column:
+    """Size of a document: a quarter of its text's length, rounded down; a missing text has 0."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.floor(F.coalesce(F.length(c), F.lit(0)) / 4).cast("bigint")
 
 
-def tokens(docs: DataFrame, key: str, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(key, size): tokens of the text under a public byte-level BPE vocabulary; null and empty texts have 0."""
+def with_tokens(docs: DataFrame, *keep: str, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(*keep, size): tokens of the text under a public byte-level BPE vocabulary; null and empty texts have 0."""
     path = vocabulary or f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    src = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    names = [*keep, "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -49,18 +54,18 @@ def tokens(docs: DataFrame, key: str, text: str = "text", vocabulary: str | None
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("public", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            sizes = [0 if not t else len(bpe.encode_ordinary(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["key", "size"])
+            *columns, texts = b.columns
+            sizes = [0 if not t else len(bpe.encode_ordinary(t)) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names=names)
 
-    src = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, "key bigint, size bigint")
+    return src.mapInArrow(run, ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "size bigint"]))
 
 
 def text_quality(text: Column | str = "text") -> Column:
     """Quality weight in [0.05, 1]: the share of characters that are letters, marks or blanks; a missing text has the least."""
     c = F.col(text) if isinstance(text, str) else text
     plain = F.length(F.regexp_replace(c, r"[^\p{L}\p{M}\s]+", ""))
-    return F.greatest(F.lit(0.05), F.coalesce(plain / F.nullif(F.length(c), F.lit(0)), F.lit(0.05)))
+    return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(plain / F.nullif(F.length(c), F.lit(0)), F.lit(LEAST_QUALITY)))
 
 
 def mixture_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -81,16 +86,18 @@ def mixture_report(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return r.withColumn("reach", F.col("size") * F.col("max_repeats")).withColumn("below_target", F.col("reach") * F.col("weights") < F.col("weight") * F.col("total"))
 
 
-def mixture(docs: DataFrame, sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", quality: Column | None = None, seed: int = 7, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", quality: str = "quality", seed: int = 7, buckets: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(mix: key, source, repeats, size), (report per source with target and actual share).
 
-    Every document of a listed source is used `epochs` times, and those whose prefix sum fits the rest of the budget once
-    more. Ties of keys go to the smaller document key. Documents of size 0 follow the same rule and add nothing.
+    docs has a size and a quality weight for each document; missing ones count as 0 and as the least weight. Every
+    document of a listed source is used `epochs` times, and those whose prefix sum fits the rest of the budget once more.
+    Ties of keys go to the smaller document key; a repeated row is a document of its own. Documents of size 0 follow the
+    same rule and add nothing.
     """
-    q = text_quality() if quality is None else quality
     u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(source).alias("source"), (-F.log(u) / F.greatest(F.coalesce(q, F.lit(0.05)), F.lit(1e-6))).alias("draw"))
-    rows = written(rows.join(sizes, "key"), "mix-rows")
+    weight = F.greatest(F.coalesce(F.col(quality), F.lit(LEAST_QUALITY)), F.lit(1e-6))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(source).alias("source"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("size"), (-F.log(u) / weight).alias("draw"))
+    rows = written(rows, "mix-rows")
     report = written(mixture_report(rows.select("source", "size"), targets), "mix-report")
     plan = report.select("name", F.col("source").alias("listed"), "budget", F.col("size").alias("source_size"), "max_repeats")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("budget") / F.col("source_size")), F.col("max_repeats"))).otherwise(0))

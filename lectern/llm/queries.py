@@ -70,21 +70,23 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    _, report = mixture.mixture(docs, mixture.quarter_chars(docs, "doc_id"), table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents").select("doc_id", "source", mixture.quarter_chars().alias("size"), mixture.text_quality().alias("quality"))
+    _, report = mixture.mixture(docs, table(spark, d, "mix_targets"))
     # All documents of such a source are used as often as they may be, so what it gave is what it can give.
     return report.where(F.col("below_target") & (F.col("used") == F.col("size") * F.col("max_repeats"))).select("source")
 
 
+def _mixed_in_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("quality", mixture.text_quality())
+    return mixture.mixture(mixture.with_tokens(docs, "doc_id", "source", "quality"), table(spark, d, "mix_targets"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    mix, _ = mixture.mixture(docs, mixture.tokens(docs, "doc_id"), table(spark, d, "mix_targets"))
-    return mix
+    return _mixed_in_tokens(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    _, report = mixture.mixture(docs, mixture.tokens(docs, "doc_id"), table(spark, d, "mix_targets"))
+    _, report = _mixed_in_tokens(spark, d)
     return report.select("source", "n_docs", "size", "used", F.round("share", 9).alias("share"), F.round("actual_share", 9).alias("actual_share"), "below_target")
 
 

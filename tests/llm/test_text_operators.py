@@ -216,7 +216,8 @@ def test_mixture(spark):
     docs = [(i, "word " * (i % 7 + 1), ["Big Source", "big-source", "small", None, "other"][i % 5]) for i in range(200)] + [(900, None, "small"), (901, "", "small")]
     D = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, size int").drop("size")
     T = spark.createDataFrame([("big_source", 1, 3), ("small", 3, 2), ("none", 1, 5)], "source string, weight int, max_repeats int")
-    mix, report = mixture.mixture(D, mixture.quarter_chars(D, "doc_id"), T)
+    D = D.select("*", mixture.quarter_chars().alias("size"), mixture.text_quality().alias("quality"))
+    mix, report = mixture.mixture(D, T)
     got = mix.collect()
     limit = {"big_source": 3, "small": 2}
     assert all(1 <= r.repeats <= limit[r.source] for r in got) and len({r.doc_id for r in got}) == len(got)
@@ -225,10 +226,14 @@ def test_mixture(spark):
     total = sum(size.values())
     assert {s for s, r in rep.items() if r.below_target} == {s for s, w, m in (("big_source", 1, 3), ("small", 3, 2), ("none", 1, 5)) if size.get(s, 0) * m < w / 5 * total}
     assert all(r.used <= r.budget + 1e-6 for r in rep.values()) and abs(sum(r.actual_share for r in rep.values()) - 1) < 1e-9
-    again, _ = mixture.mixture(D, mixture.quarter_chars(D, "doc_id"), T, buckets=1)
+    again, _ = mixture.mixture(D, T, buckets=1)
     assert rows(again) == rows(mix)  # buckets don't change what is chosen
-    mix, report = mixture.mixture(D.limit(0), mixture.quarter_chars(D.limit(0), "doc_id"), T)
+    mix, report = mixture.mixture(D.limit(0), T)
     assert mix.count() == 0 and report.count() == 3
+    twice, _ = mixture.mixture(D.where("source = 'small'").unionByName(D.where("source = 'small'")), T)
+    assert twice.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
+    sized = rows(mixture.with_tokens(D, "doc_id").where("doc_id in (0, 6, 900, 901)"))
+    assert sized == [(0, 2), (6, 8), (900, 0), (901, 0)]
 
 
 # --- 8
