@@ -31,6 +31,17 @@ def last_known(rows: DataFrame, group: str, number: str, tie: str, value: str, w
     return joined.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_carry")).drop("_bucket", "_g", "_b", "_carry")
 
 
+def previous(rows: DataFrame, group: str, number: str, tie: str, name: str, width: float = BUCKET) -> DataFrame:
+    """rows with `name`: the ordering number of the row before in the group, null for the first."""
+    b = _bucketed(rows, number, width)
+    most = b.groupBy(group, "_bucket").agg(F.max(number).alias("_most"))
+    before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carry = most.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.max("_most").over(before).alias("_carry"))
+    joined = b.join(carry, b[group].eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")), "left")
+    inside = W.partitionBy(group, "_bucket").orderBy(number, tie)
+    return joined.withColumn(name, F.coalesce(F.lag(number).over(inside), "_carry")).drop("_bucket", "_g", "_b", "_carry")
+
+
 def total_before(rows: DataFrame, group: str, number: str, tie: str, value: str, name: str, width: float = BUCKET) -> DataFrame:
     """rows with `name`: the sum of value over the rows of the group before each row, in order of number and tie."""
     b = _bucketed(rows, number, width)

@@ -21,15 +21,14 @@ def emit_times(events: DataFrame, key: str = "user_id", ts: str = "ts", order: s
 def cache_hits(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", ttl: float = 3600.0) -> DataFrame:
     """(order, hit): a lookup of a key hits if its entry was put at most ttl seconds before; a miss puts it anew.
 
-    The age counts from the put, so an entry's misses follow from its own lookups alone; they are folded in order by
-    sorted batches of one key group at a time.
+    The age counts from the put, so an entry's misses follow from its own lookups alone.
     """
-    return _folded(events, key, ts, order, lambda: _Ttl(ttl), "hit boolean")
+    return _folded(events, key, ts, order, lambda: _Ttl(ttl), "hit boolean", ttl)
 
 
 def quota(events: DataFrame, key: list[str], ts: str = "ts", order: str = "event_id", limit: int = 5, seconds: float = 900.0) -> DataFrame:
     """(order, allowed): a window begins with a key's first event and again with the first later than `seconds` after; within it `limit` are allowed."""
-    return _folded(events, key, ts, order, lambda: _Quota(limit, seconds), "allowed boolean")
+    return _folded(events, key, ts, order, lambda: _Quota(limit, seconds), "allowed boolean", seconds)
 
 
 class _Ttl:
@@ -56,19 +55,28 @@ class _Quota:
         return True
 
 
-def _folded(events: DataFrame, key: list[str], ts: str, order: str, new, result: str) -> DataFrame:
-    """Folds each key's events in order. Rows stream through sorted partitions: a key's state is a few numbers, whatever its events."""
+def _folded(events: DataFrame, key: list[str], ts: str, order: str, new, result: str, apart: float) -> DataFrame:
+    """Folds each key's events in order.
+
+    An event more than `apart` seconds after the one before it begins anew whatever came before, so a key's events are cut
+    there and the stretches of one key go to different tasks. Rows stream through sorted partitions: the state is a few
+    numbers, whatever the number of events.
+    """
     src = events.select(F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]).alias("k"), F.col(order).cast("bigint").alias("o"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t")).where("t is not null")
-    src = src.repartition("k").sortWithinPartitions("k", "t", "o")
+    width = max(apart, 3600.0)
+    src = ordered.previous(src, "k", "t", "o", "_prev", width)
+    src = src.withColumn("stretch", F.when(F.col("_prev").isNull() | (F.col("t") - F.col("_prev") > apart), F.col("t")))
+    src = ordered.last_known(src, "k", "t", "o", "stretch", width).select("k", "stretch", "t", "o")
+    src = src.repartition("k", "stretch").sortWithinPartitions("k", "stretch", "t", "o")
     name = result.split(" ")[0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for f in frames:
             out = []
-            for k, t in zip(f["k"], f["t"]):
-                if state is None or k != last:
-                    last, state = k, new()
+            for k, stretch, t in zip(f["k"], f["stretch"], f["t"]):
+                if state is None or (k, stretch) != last:
+                    last, state = (k, stretch), new()
                 out.append(state.step(t))
             yield pd.DataFrame({order: f["o"], name: out})
 

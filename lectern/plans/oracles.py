@@ -173,6 +173,16 @@ def oracle_sql() -> dict[str, str]:
         "char_offsets": """WITH p AS (SELECT source_file, page_number, arg_min(text, page_id) AS page_text FROM extracted_pages WHERE source_file IS NOT NULL AND page_number IS NOT NULL GROUP BY ALL)
             SELECT chunk_key, greatest(coalesce(instr(page_text, substring(text, 1, 50)), 0) - 1, 0) AS start_char, greatest(coalesce(instr(page_text, substring(text, 1, 50)), 0) - 1, 0) + length(text) AS end_char
             FROM text_chunks c JOIN p ON c.source_file = p.source_file AND c.page = p.page_number WHERE NOT coalesce(is_parent, false)""",
+        "source_records": f"SELECT chunk_key, author, page, chapter, source_type, {_SNIPPET.format('text', 200)} AS snippet FROM text_chunks",
+        "badges": """WITH best AS (SELECT query_id, similarity FROM retrieval_hits WHERE similarity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) <= 3),
+            agg AS (SELECT query_id, max(similarity) AS top, avg(similarity) AS mean FROM best GROUP BY query_id),
+            lv AS (SELECT query_id, CASE WHEN top IS NULL OR top < 0.5 THEN 3 WHEN top > 0.75 AND mean > 0.65 THEN 0 WHEN top > 0.6 THEN 1 ELSE 2 END AS n FROM (SELECT DISTINCT query_id FROM retrieval_hits WHERE query_id IS NOT NULL) LEFT JOIN agg USING (query_id))
+            SELECT query_id, ['🟢', '🟡', '🟠', '🔴'][n + 1] AS emoji, ['green', 'orange', 'red', 'gray'][n + 1] AS colour FROM lv""",
+        "rewrites": r"""WITH c AS (SELECT *, lead(content) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM chat_messages),
+            a AS (SELECT conv_id, turn, content, trim(regexp_replace(regexp_replace(trim(after), '^"(.*)"$', '\1', 's'), '^\x27(.*)\x27$', '\1', 's')) AS t FROM c WHERE lower(trim(role)) = 'user' AND content IS NOT NULL),
+            r AS (SELECT conv_id, turn, content, CASE WHEN coalesce(length(t), 0) = 0 OR length(t) > greatest(300, 10 * length(content)) THEN content ELSE t END AS rewrite FROM a)
+            SELECT conv_id, turn, rewrite, CASE WHEN rewrite <> content THEN content || chr(10) || chr(10) || '[Context: Search performed for ' || chr(39) || rewrite || chr(39) || ']' ELSE content END AS asked FROM r""",
+        "scope_checks": f"WITH {_USER} SELECT conv_id, turn, EXISTS (SELECT 1 FROM query_expansions e WHERE e.term <> '' AND contains(lower(query), lower(e.term))) AS in_scope FROM users",
         "chat_window_prompt": """WITH r AS (SELECT conv_id, turn, upper(trim(role)) || ': ' || content AS s FROM chat_messages WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10),
             h AS (SELECT conv_id, string_agg(s, chr(10) ORDER BY turn) AS history FROM r GROUP BY conv_id),
             q AS (SELECT conv_id, arg_max(content, turn) AS question FROM chat_messages WHERE lower(trim(role)) = 'user' AND content IS NOT NULL GROUP BY conv_id),

@@ -303,6 +303,16 @@ def highlights(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_chunks").select("chunk_key", latex.highlight(F.col("parent_content"), F.col("text")).alias("shown"))
 
 
+def source_records(spark: SparkSession, d: str) -> DataFrame:
+    r = present.source_record(*[F.col(c) for c in ("author", "page", "chapter", "source_type", "text")])
+    return table(spark, d, "text_chunks").select("chunk_key", r.alias("r")).select("chunk_key", "r.*")
+
+
+def badges(spark: SparkSession, d: str) -> DataFrame:
+    emoji, colour = present.badge(F.col("level"))
+    return confidence_batch(spark, d).select("query_id", emoji.alias("emoji"), colour.alias("colour"))
+
+
 # --- layout and chunking
 
 
@@ -350,6 +360,21 @@ def rewrite_history(spark: SparkSession, d: str) -> DataFrame:
     return state.last_messages(table(spark, d, "chat_messages"), 3, 200)
 
 
+def rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """The user's questions with the message after each as its rewrite, and what is then asked of the generator."""
+    c = table(spark, d, "chat_messages").withColumn("after", F.lead("content").over(W.partitionBy("conv_id").orderBy("turn")))
+    c = c.where("lower(trim(role)) = 'user' and content is not null")
+    c = c.withColumn("rewrite", present.sanitised_rewrite(F.col("content"), F.col("after")))
+    return c.select("conv_id", "turn", "rewrite", present.generation_query(F.col("content"), F.col("rewrite")).alias("asked"))
+
+
+def scope_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which questions hold a term of the expansion dictionary: the stand-in for a model's verdict on their scope."""
+    q = _user_queries(spark, d)
+    known = retrieval.expansion_matches(q, table(spark, d, "query_expansions"), ["conv_id", "turn"]).select("conv_id", "turn").distinct().withColumn("in_scope", F.lit(True))
+    return q.join(known, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+
+
 def answer_language(spark: SparkSession, d: str) -> DataFrame:
     q = _user_queries(spark, d)
     return q.select("conv_id", "turn", present.answer_language(F.col("query"), ingest.language_heuristic(F.col("query"))).alias("language"))
