@@ -36,10 +36,10 @@ LABELS = {
 }
 NO_LABEL = ("", "unknown", "n/a", "na", "und", "none", "null", "-", "?", "zxx", "undetermined")
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+")
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*\$|\\\([^)]*\\\)", re.S)
-_CUT = re.compile(r"(?<=[^\W\d_])[-‐¬­]­?\n(?=[^\W\d_])")
-_STOP = re.compile(r"(?<=[.?!…»”\")])\s+(?=[A-ZÀ-ÖØ-Þ¿¡«“„\"(])")
+_CUT = re.compile(r"[-‐¬­](?<=[^\W\d_][-‐¬­])­?\n(?=[^\W\d_])")
+_STOP = re.compile(r"\s(?<=[.?!…»”\")]\s)\s*(?=[A-ZÀ-ÖØ-Þ¿¡«“„\"(])")
 _ENDED = re.compile(r"[.?!…:;,][\"”»)\]“]*\s*$|[.?!…] ?[»“”]\s*$|[-‐¬\u00ad]\s*$")
 _SENTENCE_END = re.compile(r"[.?!…][\"”»)\]“]*[^\S\n]*(?:\n|\Z)|[.?!…] ?[»“”]")
 
@@ -158,8 +158,10 @@ def sentence_words(text: str) -> list[list[str]]:
     return [w for s in _STOP.split(_MATH.sub(" ", t)) if (w := _WORD.findall(s.lower()))]
 
 
-def paragraph_scores(pages: DataFrame, samples: DataFrame, key: str, text: str, languages: Sequence[str]) -> DataFrame:
-    """(key, para_no, n_words, n_sent, body, scores): log likelihood of each language for each paragraph with a word.
+def paragraph_scores(pages: DataFrame, samples: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """(key, declared, code, source, kind, para_no, n_words, n_sent, body, scores) of pages (key, text, declared, code, source, kind).
+
+    scores: log likelihood of each language for each paragraph with a word.
 
     body: it reads as running text, with an end mark at the end of a line, and is not only a heading or page furniture.
     """
@@ -190,13 +192,13 @@ def paragraph_scores(pages: DataFrame, samples: DataFrame, key: str, text: str,
             scores = with_page(robust_scores(m.table, rows, sent, para), np.array(at), np.array(body)).ravel() if at else []
             offsets = pa.array(np.arange(len(at) + 1) * len(m.languages), pa.int32())
             ints = [pa.array(x, pa.int32()) for x in (no, n_words, n_sent)]
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), *ints, pa.array(body, pa.bool_()), pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))],
-                names=["key", "para_no", "n_words", "n_sent", "body", "scores"],
+                [*(b.column(c).take(take) for c in (0, 2, 3, 4, 5)), *ints, pa.array(body, pa.bool_()), pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))],
+                names=["key", "declared", "code", "source", "kind", "para_no", "n_words", "n_sent", "body", "scores"],
             )
 
-    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
-    return src.mapInArrow(run, "key bigint, para_no int, n_words int, n_sent int, body boolean, scores array<double>")
+    return pages.mapInArrow(run, "key bigint, declared string, code string, source string, kind string, para_no int, n_words int, n_sent int, body boolean, scores array<double>")
 
 
 def page_languages(
@@ -209,9 +211,10 @@ def page_languages(
     formulas) have no row. Null labels, sources and addresses give no evidence; repeated rows repeat their result.
     """
     L = len(languages)
-    scored = written(paragraph_scores(pages, samples, key, text, languages), "paragraph-scores")
-    meta = pages.select(F.col(key).cast("bigint").alias("key"), label_code(F.col(label).cast("string")).alias("declared"), address_code(F.col(address).cast("string")).alias("code"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("kind")).where("key is not null").dropDuplicates(["key"])
-    body = scored.where(F.col("body") & (F.col("n_words") >= least_words)).join(meta, "key")
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), label_code(F.col(label).cast("string")).alias("declared"), address_code(F.col(address).cast("string")).alias("code"), named(source).alias("source"), named(kind).alias("kind"))
+    scored = written(paragraph_scores(src.where("key is not null and text is not null"), samples, languages), "paragraph-scores")
+    body = scored.where(F.col("body") & (F.col("n_words") >= least_words))
     names = F.array(*map(F.lit, languages))
     best = F.element_at(names, F.array_position("scores", F.array_max("scores")).cast("int"))
     # Host priors: counts of the likeliest languages by source, smoothed towards source type and corpus.
