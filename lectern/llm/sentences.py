@@ -141,11 +141,21 @@ class _Doc:
         self._names: dict[str, bool | None] = {}
         self._abbr: dict[str, bool] = {}
 
+    def places(self, w: str) -> Iterator[int]:
+        """Where a word stands in the document, by itself."""
+        t, n = self.text, len(w)
+        k = t.find(w)
+        while k >= 0:
+            if not (k and (t[k - 1].isalnum() or t[k - 1] == "_")) and not t[k + n : k + n + 1].isalnum():
+                yield k
+            k = t.find(w, k + n)
+
     def name(self, w: str, unknown: bool) -> bool:
         """Is a capitalised word a name? unknown: what holds for a word that neither document nor corpus tells of."""
         if w not in self._names:
-            lower = re.search(r"(?<!\w)" + re.escape(w[0].lower() + w[1:]) + r"(?!\w)", self.text)
-            here = None if lower else re.search(r"[^\W\d_],? " + re.escape(w) + r"(?!\w)", self.text)
+            lower = any(True for _ in self.places(w[0].lower() + w[1:]))
+            t = self.text
+            here = not lower and any(k > 1 and t[k - 1] == " " and (t[k - 2].isalpha() or t[k - 2] == "," and k > 2 and t[k - 3].isalpha()) for k in self.places(w))
             self._names[w] = False if lower else True if here or w in self.model.names else False if w in self.model.starters else None
         known = self._names[w]
         return unknown if known is None else known
@@ -159,12 +169,21 @@ class _Doc:
             if not known and len(w) <= 5:
                 stop = w + "."
                 if self.text.find(stop, self.text.find(stop) + 1) >= 0:  # it stands elsewhere as well
-                    e = re.escape(w)
-                    on = re.search(r"(?<!\w)" + e + r"\.\s?(?:[,;:]|[^\S\n]+[a-zà-ÿа-я\d(])", self.text)
-                    known = bool(on) and not re.search(r"(?<!\w)" + e + r"(?![\w.])", self.text)
+                    known = self._goes_on(w)
             self._abbr[w] = known
         return known
 
+    def _goes_on(self, w: str) -> bool:
+        """Does the word stand before a full stop within a sentence, and never without one?"""
+        t, on = self.text, False
+        for k in self.places(w):
+            e = k + len(w)
+            if t[e : e + 1] != ".":
+                return False
+            after = t[e + 1 : e + 3]
+            on = on or after[:1] in (",", ";", ":") or after[:1] != "\n" and after[:1].isspace() and (after[1:].islower() or after[1:].isdigit() and w.lower() != w.upper())
+        return on
+
 
 def spans(text: str, model: Model) -> list[tuple[int, int]]:
     """[start, end) of each sentence unit of a text, without blanks at either end."""
