@@ -105,7 +105,9 @@ def located_pieces(chunks: DataFrame, pages: DataFrame, overlap: int = OVERLAP)
     in no page (a parent over several pages, a text stored otherwise) keeps the chunk's stated offset and located=false.
     """
     cut = split_oversized(chunks, "chunk_key", limit=chunk_limit(), overlap=overlap, carry=("source_file", "page", "start_char"))
-    p = pages.where("text is not null").select(F.col("source_file").alias("p_file"), F.col("page_number").alias("p_page"), F.col("text").alias("p_text"))
+    # Texts of pages without an oversized chunk needn't move.
+    wanted = chunks.where(F.length("text") > chunk_limit()).select(F.col("source_file").alias("p_file"), F.col("page").alias("p_page")).distinct()
+    p = pages.where("text is not null").select(F.col("source_file").alias("p_file"), F.col("page_number").alias("p_page"), F.col("text").alias("p_text")).join(wanted, ["p_file", "p_page"], "left_semi")
     both = cut.join(p, (F.col("source_file") == F.col("p_file")) & (F.col("page") == F.col("p_page")), "left")
     stated = F.coalesce("start_char", F.lit(0)) + F.col("piece_start")
     at_stated = F.expr("substring(p_text, coalesce(start_char, 0) + piece_start + 1, length(piece)) = piece")
