@@ -213,8 +213,11 @@ def _paragraph(text: str, a: int, b: int, doc: _Doc, out: list[tuple[int, int]])
     for e in cuts:
         while s < e and p[s].isspace():
             s += 1
-        if e > s:
-            out.append((a + s, a + e))
+        end = e
+        while end > s and p[end - 1].isspace():
+            end -= 1
+        if end > s:
+            out.append((a + s, a + end))
         s = e
     while s < len(p) and p[s].isspace():
         s += 1
@@ -229,6 +232,8 @@ def _thai(p: str, cuts: list[int]) -> list[int]:
         left = _MATH_OR_NOISE.sub("", p[max(0, m.start() - 80) : m.start()])[-1:]
         right = _MATH_OR_NOISE.sub("", p[m.end() : m.end() + 80])[:1]
         nxt = p[m.end() : m.end() + 1]
+        if nxt == "\n" or p[m.start() - 1 : m.start()] == "\n":
+            continue  # a blank beside a line break belongs to it
         if not (left and _THAI.match(left) or right and _THAI.match(right) and _THAI.match(nxt)):
             continue
         if _LIST_MARK.fullmatch(p[max(p.rfind("\n", 0, m.start()) + 1, max([0, *(c for c in more if c <= m.start())])) : m.end()].lstrip()[:8] or "x"):

@@ -261,6 +261,7 @@ _MODEL = sentences.Model(frozenset(["Fig", "Dr", "etc", "cf", "p"]), frozenset([
         ("The bound is 0.5.The sum of σ.A walk stays.It ends at X.So it is.", ["The bound is 0.5.", "The sum of σ.", "A walk stays.", "It ends at X.", "So it is."]),
         ("الزيادات مستقلة.في هذه", ["الزيادات مستقلة.", "في هذه"]),
         ("See N.P. Ardelan and example.Com for e.g. this.", ["See N.P. Ardelan and example.", "Com for e.g. this."]),
+        ("ก\n 1", ["ก\n 1"]),
         ("", []), (" \n\n ", []), ("...", ["..."]),
     ],
 )
