@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,10 +35,13 @@ CONFUSIONS = {
 CONFUSED_MOST, CONFUSED_OFTEN, FEW = math.log(0.05), math.log(0.025), 5
 #: Log probability of one confusion, of a lost and of an inserted blank.
 CONFUSED, JOINED, PARTED = math.log(0.05), math.log(0.05), math.log(1e-3)
+#: Log probability of a cut at one of a word's few places, against a compound's own hyphen; of a hyphen between two words that are no known compound.
+CUT, CUT_APART = math.log(1 / 3), math.log(0.05)
 
 _MATH = re.compile(r"\$[^$\n]*\$|\\\([^\n]*?\\\)|\\[a-z]+\{[^}\n]*\}(?:\{[^}\n]*\})?|\\[a-z]+")
 _CUT = re.compile(r"[-‐¬](?<=[^\W\d_][-‐¬])[^\S\n]*\n[^\S\n]*(?=[\w!|])")
 _TOKEN = re.compile(r"[\w!|\x01]+")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐][^\W\d_]+)+")
 _LETTER = re.compile(r"[^\W\d_\x01]")
 _VARIABLE = re.compile(r"[^\W\d_]\d+")
 _NUM = r"(?:[\dlIOoSBzZ|!]{1,4}|[ivxlc]{1,7})"
@@ -52,10 +56,15 @@ _CHAPTER_KEYS = tuple(line_key(w)[:-1] for w in CHAPTER_WORDS)
 EDGE = 4
 
 
-def stream(text: str) -> str:
-    """Folded lower-case text without formulas, in which a cut word is one token with \\x01 at the cut; line ends stay."""
+def cased_stream(text: str) -> str:
+    """Folded text with \\x02 for each formula, in which a cut word is one token with \\x01 at the cut; line ends stay."""
     t = text if text.isascii() else fold_visible(text.replace("­\n", "-\n"))
-    return _CUT.sub("\x01", _MATH.sub(" ", t).lower())
+    return _CUT.sub("\x01", _MATH.sub("\x02", t))
+
+
+def stream(text: str) -> str:
+    """cased_stream in lower case."""
+    return cased_stream(text).lower()
 
 
 def edge_lines(lines: list[str]) -> list[int]:
@@ -111,7 +120,10 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", sou
         others: Counter = Counter()
         for b in batches:
             for n, t, src in zip(*(c.to_pylist() for c in b.columns)):
-                words.update(_TOKEN.findall(stream(t)))
+                s = stream(t)
+                words.update(_TOKEN.findall(s))
+                if "-" in s or "‐" in s:
+                    words.update(w.replace("‐", "-") for w in _COMPOUND.findall(s))
                 if n is None:
                     continue
                 lines = t.split("\n")
@@ -158,103 +170,193 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", sou
     return words, frozenset(keys), offsets
 
 
+class Step(NamedTuple):
+    """One word of a reading: where it stands in the stretch, the word, the place of its first confusion or -1, hyphens dropped."""
+
+    start: int
+    end: int
+    word: str
+    first: int
+    cuts: tuple[int, ...]
+
+
 class Decoder:
-    """The likeliest reading of a stretch of characters; each distinct stretch is decoded once."""
+    """The likeliest reading of a stretch of tokens; each distinct stretch is decoded once.
+
+    A stretch is tokens parted by single blanks, with \x01 where a hyphen stood at a line end. Its reading is the best path
+    of steps: a lexicon word with up to two confusions undone, a blank or hyphen inside it dropped, a hyphen kept; a blank
+    put in; or a token as it stands.
+    """
 
     def __init__(self, words: dict[str, int]):
         self.words, self.total = words, max(1, sum(words.values()))
+        self.heads = {w[:k] for w, n in words.items() if n >= 3 for k in range(1, len(w) + 1)}
         self.fine: set[str] = set()
-        self.read: dict[str, tuple[str, int]] = {}
+        self.odd: set[str] = set()
+        self.read: dict[str, list[Step] | None] = {}
 
-    def wrong(self, token: str) -> tuple[str, int] | None:
-        """(right reading, place of the first confusion in the token) or None if the token stands as it is."""
+    def unsure(self, token: str) -> bool:
+        """Whether a token is more than a plainly known word."""
         if token in self.fine:
-            return None
-        got = self.read.get(token)
-        if got is None:
-            if len(self.fine) > 400_000 or len(self.read) > 400_000:
-                self.fine.clear()
-                self.read.clear()
-            got = self._decode(token)
-            if got is None:
-                self.fine.add(token)
-                return None
-            self.read[token] = got
+            return False
+        if token in self.odd:
+            return True
+        if len(self.fine) + len(self.odd) > 400_000:
+            self.fine.clear()
+            self.odd.clear()
+        w = token.replace("\x01", "")
+        odd = not _fixed(w) and (w != token or self.words.get(w, 0) < 3 or self.path(token) is not None)
+        (self.odd if odd else self.fine).add(token)
+        return odd
+
+    def path(self, stretch: str) -> list[Step] | None:
+        """The steps of the likeliest reading, or None if all stands as it is."""
+        if stretch in self.read:
+            return self.read[stretch]
+        if len(self.read) > 200_000:
+            self.read.clear()
+        got = self.read[stretch] = self._viterbi(stretch)
         return got
 
-    def _decode(self, token: str) -> tuple[str, int] | None:
-        w = token.replace("\x01", "")
-        if len(w) < 2 or not _LETTER.search(w) or _VARIABLE.fullmatch(w) or len(w) > 40:
-            return None
-        own = self.words.get(w, 0)
-        best, where, text = math.log(own + 0.5), -1, ""
-        for cand, edits, at in _readings(w):
-            n = self.words.get(cand, 0)
-            if n < 3 or len(cand) < 3 and n * 0.02 < own + 0.5:
+    def _viterbi(self, s: str) -> list[Step] | None:
+        base, size = math.log(self.total), len(s)
+        best: list[float] = [-math.inf] * (size + 1)
+        back: list[tuple[int, Step | None]] = [(0, None)] * (size + 1)
+        best[0] = 0.0
+        ends = {m.start(): m.end() for m in _TOKEN.finditer(s)}
+        fixed = {k: end for k, end in ends.items() if _fixed(s[k:end].replace("\x01", ""))}
+        for i in range(size):
+            at = best[i]
+            if at == -math.inf:
                 continue
-            score = math.log(n) + (edits - 1) * CONFUSED + (CONFUSED_MOST if own <= FEW else CONFUSED_OFTEN)
-            if score > best:
-                best, where, text = score, at, cand
-        if where < 0:
-            return None
-        cut = token.find("\x01")
-        return text, where + (0 <= cut <= where)
+            if s[i] in " \x01":
+                cost = at + (CUT_APART if s[i] == "\x01" else 0.0)
+                if cost > best[i + 1]:
+                    best[i + 1], back[i + 1] = cost, (i, None)
+                continue
+            if i in ends:
+                end = ends[i]
+                w = s[i:end].replace("\x01", "")
+                cost = at - base + math.log(self.words.get(w, 0) + 0.5) + (CUT if len(w) < end - i else 0.0)
+                if cost > best[end]:
+                    best[end], back[end] = cost, (i, Step(i, end, w, -1, tuple(_positions(s[:end], "\x01", i))))
+                if i in fixed:
+                    continue
+            inside = i > 0 and s[i - 1] not in " \x01"
+            for j, word, edits, first, cuts, cost in self._from(s, i, fixed):
+                part = inside or j < size and s[j] not in " \x01"
+                if part and (len(word) < 2 or edits and len(word) < 3):
+                    continue
+                n = self.words[word]
+                if edits:
+                    own = self.words.get(s[i:j].replace("\x01", "").replace(" ", ""), 0)
+                    if len(word) < 3 and n * 0.02 < own + 0.5:
+                        continue
+                    cost += (edits - 1) * CONFUSED + (CONFUSED_MOST if own <= FEW else CONFUSED_OFTEN)
+                cost += at + math.log(n) - base + (JOINED if inside else 0.0)
+                if cost > best[j]:
+                    best[j], back[j] = cost, (i, Step(i, j, word, first, cuts))
+        steps, j = [], size
+        while j:
+            j, step = back[j]
+            if step:
+                steps.append(step)
+        steps.reverse()
+        same = len(steps) == len(ends) and all(ends.get(x.start) == x.end and x.word == s[x.start : x.end] for x in steps)
+        return None if same else steps
+
+    def _from(self, s: str, i: int, fixed: dict[int, int]) -> Iterator[tuple[int, str, int, int, tuple[int, ...], float]]:
+        """Lexicon words that may be printed from i on: (end, word, confusions, place of the first, hyphens dropped, cost of blanks and hyphens)."""
+        words, heads, size = self.words, self.heads, len(s)
+        stack = [(i, "", 0, -1, (), 0.0, False)]
+        while stack:
+            k, head, edits, first, cuts, cost, parted = stack.pop()
+            if head and s[k - 1] not in " \x01" and words.get(head, 0) >= 3:
+                yield k, head, edits, first, cuts, cost
+            if k == size:
+                continue
+            ch = s[k]
+            if ch == " ":
+                if not parted and k + 1 < size and k + 1 not in fixed:
+                    stack.append((k + 1, head, edits, first, cuts, cost + PARTED, True))
+                continue
+            if ch == "\x01":
+                stack.append((k + 1, head, edits, first, (*cuts, k), cost + CUT, parted))
+                if head + "-" in heads:
+                    stack.append((k + 1, head + "-", edits, first, cuts, cost, parted))
+                continue
+            if head + ch in heads:
+                stack.append((k + 1, head + ch, edits, first, cuts, cost, parted))
+            if edits < 2:
+                for bad, end, more in ((ch, k + 1, 0.0), (s[k : k + 2], k + 2, 0.0), (ch + s[k + 2 : k + 3], k + 3, CUT)):
+                    if more and s[k + 1 : k + 2] != "\x01" or end > size:
+                        continue
+                    for good in CONFUSIONS.get(bad, ()):
+                        if head + good in heads:
+                            stack.append((end, head + good, edits + 1, k if first < 0 else first, (*cuts, k + 1) if more else cuts, cost + more, parted))
 
     def parted(self, a: str, b: str) -> str | None:
         """The word of which two neighbouring tokens are the halves, if that is likelier than two words."""
-        n = self.words.get(a + b, 0)
-        pair = math.log(self.words.get(a, 0) + 0.1) + math.log(self.words.get(b, 0) + 0.1) - math.log(self.total)
-        return a + b if n >= 3 and math.log(n) + PARTED > pair else None
+        got = self.path(f"{a} {b}")
+        return got[0].word if got and len(got) == 1 else None
 
     def joined(self, w: str) -> tuple[str, str] | None:
         """The two words that were run together as w, if that is likelier than one word."""
-        best, split = math.log(self.words.get(w, 0) + 0.5), None
-        for k in range(2, len(w) - 1):
-            a, b = self.words.get(w[:k], 0), self.words.get(w[k:], 0)
-            if a >= 3 and b >= 3 and (s := math.log(a) + math.log(b) - math.log(self.total) + JOINED) > best:
-                best, split = s, (w[:k], w[k:])
-        return split
-
-
-def _readings(w: str) -> Iterator[tuple[str, int, int]]:
-    """Readings of w with one or two confusions undone: (reading, confusions, place of the first)."""
-    sites = [(i, len(bad), good) for bad, goods in CONFUSIONS.items() for i in _places(w, bad) for good in goods]
-    sites.sort()
-    for x, (i, n, good) in enumerate(sites):
-        yield w[:i] + good + w[i + n :], 1, i
-        for j, m, other in sites[x + 1 :]:
-            if j >= i + n:
-                yield w[:i] + good + w[i + n : j] + other + w[j + m :], 2, i
-
-
-def _places(w: str, part: str) -> Iterator[int]:
-    k = w.find(part)
-    while k >= 0:
-        yield k
-        k = w.find(part, k + 1)
+        got = self.path(w)
+        return (got[0].word, got[1].word) if got and len(got) == 2 else None
+
+
+def _fixed(w: str) -> bool:
+    """Whether a token is no word: a number, a single letter, a variable, a string without blanks."""
+    return len(w) < 2 or len(w) > 40 or not _LETTER.search(w) or _VARIABLE.fullmatch(w) is not None
+
+
+def stretches(s: str, decoder: Decoder, cased: str | None = None) -> Iterator[tuple[list[tuple[int, int]], list[Step]]]:
+    """(spans of its tokens in s, steps) for each stretch of s that doesn't stand as it is.
+
+    A stretch is unsure tokens and the ones beside them, as far as nothing but blanks and at most one line end is between.
+    cased is s before lower-casing: a token that begins with a capital is no second half.
+    """
+    if not any(decoder.unsure(t) for t in set(_TOKEN.findall(s)) - decoder.fine):
+        return
+    spans = [m.span() for m in _TOKEN.finditer(s)]
+    odd = [k for k, (a, b) in enumerate(spans) if decoder.unsure(s[a:b])]
+    wanted = sorted({k + d for k in odd for d in (-1, 0, 1) if 0 <= k + d < len(spans)})
+    runs: list[list[int]] = []
+    for k in wanted:
+        a = spans[k][0]
+        if runs and runs[-1][-1] == k - 1 and (gap := s[spans[k - 1][1] : a]).isspace() and gap.count("\n") < 2 and not (cased and cased[a].isupper()):
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    known = set(odd)
+    for run in runs:
+        if not known.isdisjoint(run):
+            parts = [spans[k] for k in run]
+            if steps := decoder.path(" ".join(s[a:b] for a, b in parts)):
+                yield parts, steps
+
+
+def _place(parts: list[tuple[int, int]], k: int) -> int:
+    """Where in the text the k-th character of a stretch stands."""
+    for a, b in parts:
+        if k < b - a:
+            return a + k
+        k -= b - a + 1
+    return parts[-1][1]
 
 
 def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: frozenset[str]) -> list[tuple[int, str]]:
     """(line_no, kind) of what a page's lines have: hyphen, misread, header, page_no."""
     out: set[tuple[int, str]] = set()
-    s = stream(text)
-    if "\x01" in s:
-        # A cut with a space before the dash is a dash; the pattern asks for a letter there.
-        at = no = 0
-        for k in _positions(s, "\x01"):
-            no += s.count("\n", at, k)
-            out.add((no, "hyphen"))
-            no, at = no + 1, k + 1
-    tokens = set(_TOKEN.findall(s))
-    tokens -= decoder.fine
-    for token in tokens:
-        got = decoder.wrong(token)
-        if got:
-            for k in _positions(s, token):
-                if (k and (s[k - 1].isalnum() or s[k - 1] in "!|\x01")) or s[k + len(token) : k + len(token) + 1].isalnum() or s[k + len(token) : k + len(token) + 1] in ("\x01", "|"):
-                    continue
-                before = s[: k + got[1]]
-                out.add((before.count("\n") + before.count("\x01"), "misread"))
+    cased = cased_stream(text)
+    s = cased.lower()
+    for parts, steps in stretches(s, decoder, cased if len(cased) == len(s) else None):
+        for x in steps:
+            # A hyphen that a compound keeps is no cut.
+            out.update((_line(s, _place(parts, k)), "hyphen") for k in x.cuts)
+            if x.first >= 0:
+                out.add((_line(s, _place(parts, x.first)), "misread"))
     lines = text.split("\n")
     edge = edge_lines(lines)
     for r, k in enumerate(edge):
@@ -293,8 +395,12 @@ def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder,
     return sorted(out)
 
 
-def _positions(s: str, part: str) -> Iterator[int]:
-    k = s.find(part)
+def _line(s: str, k: int) -> int:
+    return s.count("\n", 0, k) + s.count("\x01", 0, k)
+
+
+def _positions(s: str, part: str, start: int = 0) -> Iterator[int]:
+    k = s.find(part, start)
     while k >= 0:
         yield k
         k = s.find(part, k + len(part))
@@ -304,7 +410,6 @@ def _cased(right: str, seen: str) -> str:
     return right.upper() if seen.isupper() and len(seen) > 1 else right[:1].upper() + right[1:] if seen[:1].isupper() else right
 
 
-_WORDS = re.compile(r"[\w!|]+")
 _ENDS = (".", "!", "?", ":", "»", "”", '"', ")", "$", "。", "…")
 
 
@@ -354,38 +459,33 @@ def _boundaries(lines: list[str]) -> list[list[str]]:
 
 
 def _mended(block: str, decoder: Decoder) -> str:
-    t = re.sub(r"(?<=[^\W\d_])[-‐¬]\s*\n\s*(?=[\w!|])", "", block)
+    t = re.sub(r"(?<=[^\W\d_])[-‐¬]\s*\n\s*(?=[\w!|])", "\x01", block)
     t = " ".join(t.split())
-
-    def one(m: re.Match) -> str:
-        seen = m.group()
-        got = decoder.wrong(seen.lower())
-        if got:
-            return _cased(got[0], seen)
-        if len(seen) > 5 and seen.isalpha() and seen.lower() not in decoder.words and (two := decoder.joined(seen.lower())):
-            return _cased(two[0], seen) + " " + two[1]
-        return seen
-
-    pieces = [(m.start(), m.end(), m.group()) for m in _MATH.finditer(t)]
     out, at = [], 0
-    for a, b, formula in pieces:
-        out += [_WORDS.sub(one, t[at:a]), formula]
-        at = b
-    out.append(_WORDS.sub(one, t[at:]))
-    return _halves("".join(out), decoder)
-
-
-def _halves(t: str, decoder: Decoder) -> str:
-    """Words parted by a blank are put together."""
-    ws = t.split(" ")
-    out = ws[:1]
-    for w in ws[1:]:
-        a, b = out[-1], w
-        if a.isalpha() and b[:1].islower() and (core := b.rstrip(".,;:")).isalpha() and (a.lower() not in decoder.words or core.lower() not in decoder.words) and decoder.parted(a.lower(), core.lower()):
-            out[-1] = a + b
-        else:
-            out.append(w)
-    return " ".join(out)
+    for m in _MATH.finditer(t):
+        out += [_reread(t[at : m.start()], decoder), m.group()]
+        at = m.end()
+    out.append(_reread(t[at:], decoder))
+    return "".join(out)
+
+
+def _reread(t: str, decoder: Decoder) -> str:
+    """Text without formulas, with the likeliest words in the case of what is printed."""
+    s = t.lower()
+    if len(s) != len(t):
+        t = s
+    out, at = [], 0
+    for parts, steps in stretches(s, decoder, t):
+        out.append(t[at : parts[0][0]])
+        at = parts[-1][1]
+        seen, end = " ".join(t[a:b] for a, b in parts), 0
+        for x in steps:
+            if x.start:
+                out.append("-" if "\x01" in seen[end : x.start] else " ")
+            end = x.end
+            printed = seen[x.start : x.end].replace("\x01", "").replace(" ", "")
+            out.append(printed if printed.lower() == x.word else _cased(x.word, printed))
+    return ("".join(out) + t[at:]).replace("\x01", "")
 
 
 def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titles: DataFrame | None, schema: str, of) -> DataFrame:

@@ -157,6 +157,18 @@ def test_decoder_joins_and_parts():
     assert d.parted("vari", "able") == "variable" and d.parted("the", "walk") is None
 
 
+def test_stretches_are_read_whole():
+    d = scans.Decoder({"the": 9000, "set": 3000, "of": 9000, "random": 500, "variable": 400, "well-known": 30, "well": 300, "known": 300, "distance": 200})
+    read = lambda t: scans.paragraphs(t, 1, None, d, frozenset())
+    kinds = lambda t: scans.line_kinds(t, 1, None, d, frozenset())
+    assert read("the tbeset of") == ["the the set of"] and kinds("of\nthe tbeset of") == [(1, "misread")]
+    assert read("the vari ab1e of") == ["the variable of"] and kinds("the vari ab1e of") == [(0, "misread")]
+    assert read("the Well-\nknown set") == ["the Well-known set"] and kinds("the well-\nknown set") == []
+    assert read("the ran-\nd0m set") == ["the random set"] and kinds("the ran-\nd0m set") == [(0, "hyphen"), (1, "misread")]
+    assert read("the qwx-\nzzk set") == ["the qwxzzk set"] and kinds("the qwx-\nzzk set") == [(0, "hyphen")]
+    assert read("the $x$ ran dom $vari$ able") == ["the $x$ random $vari$ able"]
+
+
 # --- 6
 
 
