@@ -10,12 +10,18 @@ are chosen by dynamic programming over the lines that are left.
 from __future__ import annotations
 
 import math
+import os
 import re
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +29,10 @@ from lectern.llm.forms import fold_visible
 from lectern.llm.furniture import line_key
 from lectern.llm.tools import small, written
 
-#: Least share of all words (of all titles) that a lexicon entry has: the lexicon has at most 1/LEAST_SHARE entries.
-LEAST_SHARE = 1e-6
+#: Entries of the lexicon that go to the driver in one piece.
+AT_ONCE = 100_000
+#: Looked-up strings that a task keeps.
+KEPT = 500_000
 
 # What scanners print, with the letters that may have stood there.
 CONFUSIONS = {
@@ -99,12 +107,12 @@ def title_key(line: str) -> str | None:
     return k[:-3] if k.endswith("voi") and len(k) > 7 else k or None
 
 
-def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> tuple[dict[str, int], frozenset[str], DataFrame]:
-    """(word counts, title keys, a frame (source, offset)) of all pages.
+def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> tuple[str, int, DataFrame]:
+    """(name of the files for Lexicon, sum of the word counts, a frame (source, offset)) of all pages.
 
     A title is a line at the top or foot that carries the page's own number beside it on some page; titles, a frame with
-    a column `title`, adds known ones (a trailing number is dropped). Entries rarer than LEAST_SHARE, or seen fewer than
-    3 times, are left out, which bounds what goes to the driver by 1/LEAST_SHARE entries. A source has an offset if bare
+    a column `title`, adds known ones (a trailing number is dropped). Entries seen fewer than 3 times are left out,
+    whatever the size of the input. A source has an offset if bare
     numbers at the edge of its pages differ from the page number by the same amount on a tenth of its pages, 3 at least;
     it stays a table.
     """
@@ -155,19 +163,76 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", sou
     best = shifts.groupBy("source").agg(F.max_by("shift", F.struct("n", -F.abs("shift"), "shift")).alias("shift"), F.max("n").alias("n"))
     offsets = written(best.join(sizes, "source").where("n >= 3 and n >= 0.1 * pages").select("source", "shift"), "scan-offsets")
     counts = counts.where("what <> 'o'")
-    total = counts.groupBy("what").agg(F.sum("n").alias("total"))
-    keep = counts.join(F.broadcast(total), "what").where(F.col("n") >= F.greatest(F.lit(3.0), F.col("total") * LEAST_SHARE))
-    words: dict[str, int] = {}
-    keys: set[str] = set()
-    for r in keep.select("what", "word", "n").toLocalIterator():
-        if r.what == "w":
-            w = r.word.replace("\x01", "")
-            words[w] = words.get(w, 0) + r.n
-        elif r.what == "t":
-            keys.add(r.word)
-        elif k := title_key(r.word):
-            keys.add(k)
-    return words, frozenset(keys), offsets
+    keep = counts.where("n >= 3")
+    total = keep.where("what = 'w'").agg(F.sum("n")).first()[0] or 0
+    return _filed(keep), total, offsets
+
+
+def _hash(s: str) -> int:
+    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _filed(keep: DataFrame) -> str:
+    """Words, their beginnings and title keys as files of sorted hashes and counts, 16 bytes each, sent to all executors; their name.
+
+    The driver writes them piece by piece, so neither it nor a task holds the lexicon.
+    """
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for what, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                if what == "w":
+                    w = word.replace("\x01", "")
+                    found[w] += n
+                    for k in range(1, len(w)):
+                        found[w[:k]] += 0
+                elif k := word if what == "t" else title_key(word):
+                    found["\x03" + k] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(map(_hash, found), pa.int64()), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(k, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in part.columns], names=["hash", "n"])
+
+    found = keep.select("what", "word", "n").mapInArrow(entries, "hash bigint, n bigint")
+    found = written(found.groupBy("hash").agg(F.sum("n").alias("n")), "scan-lexicon")
+    name = f"scan-lexicon-{uuid.uuid4().hex}"
+    at = tempfile.mkdtemp(prefix="spark-lectern-")  # executors fetch from there when they need the files
+    paths = [os.path.join(at, f"{name}.{part}") for part in ("hash", "n")]
+    with open(paths[0], "wb") as hashes, open(paths[1], "wb") as counts:
+        for x in found.orderBy("hash").mapInArrow(packed, "hash binary, n binary").toLocalIterator():
+            hashes.write(x[0])
+            counts.write(x[1])
+    for path in paths:
+        keep.sparkSession.sparkContext.addFile(path)
+    return name
+
+
+class Lexicon:
+    """Word counts and title keys in files that are mapped into memory; only what was looked up lately is held."""
+
+    def __init__(self, name: str):
+        files = [SparkFiles.get(f"{name}.{part}") for part in ("hash", "n")]
+        self.hashes, self.counts = (np.memmap(f, np.int64, "r") if os.path.getsize(f) else np.empty(0, np.int64) for f in files)
+        self.seen: dict[str, int] = {}
+
+    def get(self, s: str, missing: int = -1) -> int:
+        """The count of a word, 0 of what only begins words, else missing."""
+        n = self.seen.get(s)
+        if n is None:
+            if len(self.seen) > KEPT:
+                self.seen.clear()
+            h = np.int64(_hash(s))
+            k = self.hashes.searchsorted(h)
+            n = self.seen[s] = int(self.counts[k]) if k < len(self.hashes) and self.hashes[k] == h else -1
+        return missing if n < 0 else n
+
+    def __contains__(self, title: str) -> bool:
+        return self.get("\x03" + title) >= 0
 
 
 class Step(NamedTuple):
@@ -188,9 +253,11 @@ class Decoder:
     put in; or a token as it stands.
     """
 
-    def __init__(self, words: dict[str, int]):
-        self.words, self.total = words, max(1, sum(words.values()))
-        self.heads = {w[:k] for w, n in words.items() if n >= 3 for k in range(1, len(w) + 1)}
+    def __init__(self, words: dict[str, int] | Lexicon, total: int | None = None):
+        if isinstance(words, dict):
+            total = sum(words.values())
+            words = dict.fromkeys((w[:k] for w, n in words.items() if n >= 3 for k in range(1, len(w) + 1)), 0) | words
+        self.words, self.total = words, max(1, total)
         self.fine: set[str] = set()
         self.odd: set[str] = set()
         self.read: dict[str, list[Step] | None] = {}
@@ -247,7 +314,7 @@ class Decoder:
                 part = inside or j < size and s[j] not in " \x01"
                 if part and (len(word) < 2 or edits and len(word) < 3):
                     continue
-                n = self.words[word]
+                n = self.words.get(word, 0)
                 if edits:
                     own = self.words.get(s[i:j].replace("\x01", "").replace(" ", ""), 0)
                     if len(word) < 3 and n * 0.02 < own + 0.5:
@@ -267,11 +334,11 @@ class Decoder:
 
     def _from(self, s: str, i: int, fixed: dict[int, int]) -> Iterator[tuple[int, str, int, int, tuple[int, ...], float]]:
         """Lexicon words that may be printed from i on: (end, word, confusions, place of the first, hyphens dropped, cost of blanks and hyphens)."""
-        words, heads, size = self.words, self.heads, len(s)
+        find, size = self.words.get, len(s)
         stack = [(i, "", 0, -1, (), 0.0, False)]
         while stack:
             k, head, edits, first, cuts, cost, parted = stack.pop()
-            if head and s[k - 1] not in " \x01" and words.get(head, 0) >= 3:
+            if head and s[k - 1] not in " \x01" and find(head, 0) >= 3:
                 yield k, head, edits, first, cuts, cost
             if k == size:
                 continue
@@ -282,17 +349,17 @@ class Decoder:
                 continue
             if ch == "\x01":
                 stack.append((k + 1, head, edits, first, (*cuts, k), cost + CUT, parted))
-                if head + "-" in heads:
+                if find(head + "-", -1) >= 0:
                     stack.append((k + 1, head + "-", edits, first, cuts, cost, parted))
                 continue
-            if head + ch in heads:
+            if find(head + ch, -1) >= 0:
                 stack.append((k + 1, head + ch, edits, first, cuts, cost, parted))
             if edits < 2:
                 for bad, end, more in ((ch, k + 1, 0.0), (s[k : k + 2], k + 2, 0.0), (ch + s[k + 2 : k + 3], k + 3, CUT)):
                     if more and s[k + 1 : k + 2] != "\x01" or end > size:
                         continue
                     for good in CONFUSIONS.get(bad, ()):
-                        if head + good in heads:
+                        if find(head + good, -1) >= 0:
                             stack.append((end, head + good, edits + 1, k if first < 0 else first, (*cuts, k + 1) if more else cuts, cost + more, parted))
 
     def parted(self, a: str, b: str) -> str | None:
@@ -346,7 +413,7 @@ def _place(parts: list[tuple[int, int]], k: int) -> int:
     return parts[-1][1]
 
 
-def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: frozenset[str]) -> list[tuple[int, str]]:
+def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: Container[str]) -> list[tuple[int, str]]:
     """(line_no, kind) of what a page's lines have: hyphen, misread, header, page_no."""
     out: set[tuple[int, str]] = set()
     cased = cased_stream(text)
@@ -413,7 +480,7 @@ def _cased(right: str, seen: str) -> str:
 _ENDS = (".", "!", "?", ":", "»", "”", '"', ")", "$", "。", "…")
 
 
-def paragraphs(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: frozenset[str]) -> list[str]:
+def paragraphs(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: Container[str]) -> list[str]:
     """Continuous paragraphs of a page: headers and page numbers dropped, cut words joined, misread words replaced."""
     kinds = line_kinds(text, page, shift, decoder, titles)
     gone = {k for k, kind in kinds if kind in ("header", "page_no")}
@@ -489,13 +556,12 @@ def _reread(t: str, decoder: Decoder) -> str:
 
 
 def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titles: DataFrame | None, schema: str, of) -> DataFrame:
-    words, keys, offsets = lexicon(pages, page, text, source, titles)
-    shared = pages.sparkSession.sparkContext.broadcast((words, keys))
+    name, total, offsets = lexicon(pages, page, text, source, titles)
     kinds = [pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, titles = shared.value
-        decoder = Decoder(words)
+        words = titles = Lexicon(name)
+        decoder = Decoder(words, total)
         for b in batches:
             rows = [(k, *x) for k, n, t, shift in zip(*(c.to_pylist() for c in b.columns)) for x in of(t, n, shift, decoder, titles)]
             cols = list(zip(*rows)) or [[], [], []]

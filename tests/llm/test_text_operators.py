@@ -169,6 +169,14 @@ def test_stretches_are_read_whole():
     assert read("the $x$ ran dom $vari$ able") == ["the $x$ random $vari$ able"]
 
 
+def test_rare_words_stay_at_any_size(spark):
+    """Four million words more change nothing for a word seen three times."""
+    texts = [(n, "the bail of the case stays") for n in range(1, 61)] + [(n, "one ball of the case stays") for n in range(61, 64)]
+    df = spark.createDataFrame([(n, t, n, "f.pdf") for n, t in texts], "page_id bigint, text string, page_number int, source_file string")
+    more = spark.range(100, 140).select(F.col("id").alias("page_id"), F.expr("repeat('the ', 100000)").alias("text"), F.col("id").cast("int").alias("page_number"), F.lit("f.pdf").alias("source_file"))
+    assert scans.scan_lines(df).count() == scans.scan_lines(df.unionByName(more)).count() == 0
+
+
 # --- 6
 
 
