@@ -168,16 +168,13 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", sou
     return _filed(keep), total, offsets
 
 
-def _hash(s: str) -> int:
+def text_hash(s: str) -> int:
     h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def _filed(keep: DataFrame) -> str:
-    """Words, their beginnings and title keys as files of sorted hashes and counts, 16 bytes each, sent to all executors; their name.
-
-    The driver writes them piece by piece, so neither it nor a task holds the lexicon.
-    """
+    """Words, their beginnings and title keys as the files of a Lexicon; their name."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +187,16 @@ def _filed(keep: DataFrame) -> str:
                         found[w[:k]] += 0
                 elif k := word if what == "t" else title_key(word):
                     found["\x03" + k] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(map(_hash, found), pa.int64()), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(text_hash, found), pa.int64()), pa.array(found.values(), pa.int64())], names=["hash", "n"])
+
+    return filed(keep.select("what", "word", "n").mapInArrow(entries, "hash bigint, n bigint"))
+
+
+def filed(found: DataFrame) -> str:
+    """(hash, n) summed by hash as files of sorted hashes and counts, 16 bytes an entry, sent to all executors; their name.
+
+    The driver writes them piece by piece, so neither it nor a task holds them.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,7 +204,6 @@ def _filed(keep: DataFrame) -> str:
                 part = b.slice(k, AT_ONCE)
                 yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in part.columns], names=["hash", "n"])
 
-    found = keep.select("what", "word", "n").mapInArrow(entries, "hash bigint, n bigint")
     found = written(found.groupBy("hash").agg(F.sum("n").alias("n")), "scan-lexicon")
     name = f"scan-lexicon-{uuid.uuid4().hex}"
     at = tempfile.mkdtemp(prefix="spark-lectern-")  # executors fetch from there when they need the files
@@ -208,7 +213,7 @@ def _filed(keep: DataFrame) -> str:
             hashes.write(x[0])
             counts.write(x[1])
     for path in paths:
-        keep.sparkSession.sparkContext.addFile(path)
+        found.sparkSession.sparkContext.addFile(path)
     return name
 
 
@@ -226,7 +231,7 @@ class Lexicon:
         if n is None:
             if len(self.seen) > KEPT:
                 self.seen.clear()
-            h = np.int64(_hash(s))
+            h = np.int64(text_hash(s))
             k = self.hashes.searchsorted(h)
             n = self.seen[s] = int(self.counts[k]) if k < len(self.hashes) and self.hashes[k] == h else -1
         return missing if n < 0 else n

@@ -7,19 +7,21 @@ corpus (a first pass). Other end marks follow the rules of their script.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.forms import fold_visible
-from lectern.llm.tools import BROADCAST_BYTES
+from lectern.llm.scans import Lexicon, filed, text_hash
+from lectern.llm.tools import written
 
-#: Least share of all evidence that a word of the corpus model has, so the model has at most 1/LEAST_SHARE words.
-LEAST_SHARE = 1e-6
+#: A title ends a paragraph at most at this share of the rate of all words before full stops, and as seldom by chance at most with this probability.
+TITLE_RATE, BY_CHANCE = 0.05, 0.05
 
 # End marks by script, and pairs of quotes and brackets.
 _MARK = re.compile(r"(?:[!?…。！？؟।॥۔｡]|\.(?![\d,;:$\\a-zà-ÿ]))[.!?…。！？؟।॥۔｡]*")
@@ -61,7 +63,7 @@ def _word_before(text: str, i: int, least: int) -> int:
 class Model:
     """abbreviations: words that end in a full stop within sentences. starters: capitalised words that are no names."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), starters: frozenset[str] = frozenset(), names: frozenset[str] = frozenset()):
+    def __init__(self, abbreviations: Container[str] = frozenset(), starters: Container[str] = frozenset(), names: Container[str] = frozenset()):
         self.abbreviations, self.starters, self.names = abbreviations, starters, names
 
 
@@ -96,8 +98,24 @@ def evidence(text: str, into: Counter) -> None:
             into["m", m.group(1), ""] += 1
 
 
-def corpus_model(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all documents: evidence is counted within the tasks, summed by word, and only words that are frequent enough are kept."""
+class _Words:
+    """The words of one kind in the files of a corpus model."""
+
+    def __init__(self, lexicon: Lexicon, kind: str):
+        self.lexicon, self.kind = lexicon, kind
+
+    def __contains__(self, word: str) -> bool:
+        return self.lexicon.get(self.kind + word) >= 0
+
+
+def filed_model(name: str) -> Model:
+    """The model in the files that corpus_model made; for use in tasks."""
+    lexicon = Lexicon(name)
+    return Model(*(_Words(lexicon, kind) for kind in "dsn"))
+
+
+def corpus_model(docs: DataFrame, text: str = "text") -> str:
+    """The model of all documents as files, by name: evidence is counted within the tasks and summed by word; words seen three times are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
@@ -120,17 +138,21 @@ def corpus_model(docs: DataFrame, text: str = "text") -> Model:
     dots = per.where("what = 'd'")
     caps = per.where("what <> 'd'").groupBy("word").agg(F.sum(F.when(F.col("what") == "m", F.col("n")).otherwise(0)).alias("mid"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("init"))
     both = dots.selectExpr("'d' as what", "word", "n", "`on` as a", "`end` as b", "num").unionByName(caps.selectExpr("'c' as what", "word", "mid + init as n", "mid as a", "init as b", "0L as num"))
-    total = both.groupBy("what").agg(F.sum("n").alias("total"))
-    # An abbreviation goes on in most cases, a long one before numbers; or it is a short title that never ends a paragraph.
-    keep = both.join(F.broadcast(total), "what").where(F.col("n") >= F.greatest(F.lit(3.0), F.col("total") * LEAST_SHARE))
-    keep = keep.where("what = 'c' or (a >= 0.5 * n and (length(word) <= 4 or num >= 0.3 * n)) or (n >= 12 and b = 0 and length(word) <= 5 and a <= 0.1 * n)")
-    got, size = ({"d": set(), "s": set(), "n": set()}), 0
-    for r in keep.select("what", "word", "a", "b").toLocalIterator():
-        size += len(r.word) + 60
-        if size > 4 * BROADCAST_BYTES:
-            raise ValueError("the corpus model outgrew its bound")
-        got["d" if r.what == "d" else "s" if r.b > r.a else "n"].add(r.word)
-    return Model(frozenset(got["d"]), frozenset(got["s"]), frozenset(got["n"]))
+    both = written(both, "sentence-counts")
+    rate = both.where("what = 'd'").agg((F.sum("b") / F.sum("n")).alias("rate"))
+    # An abbreviation goes on in most cases, a long one before numbers; or it is a short title that ends a paragraph far too seldom to be an ordinary word.
+    keep = both.where("n >= 3").crossJoin(F.broadcast(rate)).withColumn("p", F.col("b") / F.col("n"))  # one row
+    unlikely = keep.withColumn("odds", F.expr("n * (if(p > 0, p * ln(p / rate), 0) + if(p < 1 and rate < 1, (1 - p) * ln((1 - p) / (1 - rate)), 0))"))
+    title = (F.col("p") <= TITLE_RATE * F.col("rate")) & (F.col("odds") >= -math.log(BY_CHANCE)) & F.expr("length(word) <= 5 and a <= 0.1 * n")
+    keep = unlikely.where(F.expr("what = 'c' or (a >= 0.5 * n and (length(word) <= 4 or num >= 0.3 * n))") | title)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [text_hash(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([1] * len(hashes), pa.int64())], names=["hash", "n"])
+
+    kind = F.when(F.col("what") == "d", "d").when(F.col("b") > F.col("a"), "s").otherwise("n")
+    return filed(keep.select(F.concat(kind, "word").alias("word")).mapInArrow(hashed, "hash bigint, n bigint"))
 
 
 class _Doc:
@@ -371,11 +393,10 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     Positions count code points of the stored text. Null, empty and blank texts have no unit; documents are independent,
     so repeated keys and rows give repeated units. Without a model the corpus is counted first.
     """
-    model = model or corpus_model(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model or corpus_model(docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value if isinstance(shared.value, Model) else filed_model(shared.value)
         for b in batches:
             at, no, starts, ends, units = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):

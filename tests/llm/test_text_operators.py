@@ -306,6 +306,14 @@ def test_sentence_units(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+def test_one_shortened_document_leaves_titles(spark):
+    texts = [f"We met Dr. Ardelan {'again ' * (i % 5)}there. It rained. All went home.\n\nThe rest was calm." for i in range(400)]
+    last = "She knows Dr. Melvari well."
+    for more in ([], ["Then came Dr."]):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([last, *texts, *more])], "doc_id bigint, text string")
+        assert rows(sentences.sentence_units(df).where("doc_id = 0"), "unit") == [(last,)]
+
+
 def test_line_keys_ignore_kinds_of_blanks_and_confusions():
     assert furniture.line_key("Send corrections to room 9") == furniture.line_key("Send corrections to room 12")
     for a, b in (("curso nocturno", "curso nocturrio"), ("alumnos inscritos", "aliimnos inscrifos"), ("Chapter 2. Order", "Chaptcr 7. 0rcler"), ("función", "funci6n"), ("the share", "tbe sbare"), ("EXERCISE", "FXERCI5E")):
