@@ -120,6 +120,18 @@ def normalised(df: DataFrame, key: str, text: str = "text", casefold: bool = Tru
     return out.select(F.col("key").alias(key), F.col("text").alias(text), "norm_text")
 
 
+def both_forms(tables: list[tuple[str, DataFrame, str]], text: str = "text") -> DataFrame:
+    """(tbl, key, visual_form, comparison_form) of every row of all tables, given as (name, frame, key column); nulls and repeats as in normalised()."""
+    rows = None
+    for name, df, key in tables:
+        seen = normalised(df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")), "key", casefold=False)
+        # The comparison form is made from the visual form, so the stored text is read once.
+        both = normalised(seen.select("key", F.col("norm_text").alias("visual_form")), "key", "visual_form")
+        one = both.select(F.lit(name).alias("tbl"), "key", "visual_form", F.col("norm_text").alias("comparison_form"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def form_hashes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, form, stored): 128-bit hashes of the visual form and of the stored text; rows with nothing visible are left out."""
 

@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.lookalike_pairs([("extracted_pages", table(spark, d, "extracted_pages"), "page_id"), ("text_chunks", table(spark, d, "text_chunks"), "chunk_key")])
 
 
+def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, key, visual_form, comparison_form) of every row of both tables; the visual form is the one that keeps apart what visibly differs."""
+    return forms.both_forms([("extracted_pages", table(spark, d, "extracted_pages"), "page_id"), ("text_chunks", table(spark, d, "text_chunks"), "chunk_key")])
+
+
 def p3_normalised_pages(spark: SparkSession, d: str) -> DataFrame:
     return forms.normalised(table(spark, d, "extracted_pages"), "page_id").select("page_id", "norm_text")
 

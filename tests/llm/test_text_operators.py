@@ -107,6 +107,17 @@ def test_normalised_keeps_rows(spark):
     assert [r.norm_text for r in forms.normalised(df, "key").orderBy("key").collect()] == ["ab", "ab", None, ""]
 
 
+def test_both_tables_have_a_form_that_keeps_apart_what_differs(spark, tmp_path):
+    from lectern.llm import queries
+
+    texts = ["Plаin x²", "Plain  x²", "plain x²", "Plain x2", None, ""]
+    for name, key in (("extracted_pages", "page_id"), ("text_chunks", "chunk_key")):
+        spark.createDataFrame(list(enumerate(texts)), f"{key} bigint, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = rows(queries.queries()["p3_normalised"](spark, str(tmp_path)))
+    want = [("Plain x²", "plain x2"), ("Plain x²", "plain x2"), ("plain x²", "plain x2"), ("Plain x2", "plain x2"), (None, None), ("", "")]
+    assert got == [(tbl, k, *w) for tbl in ("extracted_pages", "text_chunks") for k, w in enumerate(want)]
+
+
 # --- 4
 
 
