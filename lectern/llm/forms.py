@@ -50,6 +50,9 @@ def seen_as(ch: str) -> str:
         return ""
     if ch in LOOKALIKES:
         return LOOKALIKES[ch]
+    apart = unicodedata.normalize("NFD", ch)
+    if len(apart) > 1 and apart[0] in LOOKALIKES:
+        return unicodedata.normalize("NFC", LOOKALIKES[apart[0]] + apart[1:])
     tag = unicodedata.decomposition(ch).split(" ")[0]
     if tag in _UNSEEN_TAGS and (tag != "<compat>" or any(a <= ord(ch) <= b for a, b in _COMPAT_BLOCKS)):
         return "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFKC", ch))
@@ -58,9 +61,8 @@ def seen_as(ch: str) -> str:
 
 def _build() -> tuple[dict[str, str], re.Pattern]:
     # Hangul, ideographs and private use hold nothing to fold, so the scan over code points leaves them out.
-    spans = [(0xA0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x10000), (0xE0000, 0xE0200)]
-    folds = {ch: to for a, b in spans for ch in map(chr, range(a, b)) if not 0xD800 <= ord(ch) < 0xE000 and (to := seen_as(ch)) != ch}
-    marks = [chr(i) for a, b in spans for i in range(a, b) if not 0xD800 <= i < 0xE000 and unicodedata.combining(chr(i))]
+    spans = [(0xA0, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0xE0000, 0xE0200)]
+    folds = {ch: to for a, b in spans for ch in map(chr, range(a, b)) if (to := seen_as(ch)) != ch}
     one = sorted(map(ord, folds))
     parts, k = [], 0
     while k < len(one):
@@ -69,10 +71,10 @@ def _build() -> tuple[dict[str, str], re.Pattern]:
             j += 1
         parts.append(re.escape(chr(one[k])) + ("-" + re.escape(chr(one[j])) if j > k else ""))
         k = j + 1
-    return folds, re.compile("[" + "".join(parts) + "]"), re.compile("[" + "".join(map(re.escape, marks)) + "]")
+    return folds, re.compile("[" + "".join(parts) + "]")
 
 
-FOLDS, SPECIAL, MARKS = _build()
+FOLDS, SPECIAL = _build()
 
 
 def fold_visible(text: str) -> str:
@@ -81,7 +83,7 @@ def fold_visible(text: str) -> str:
         return text
     if SPECIAL.search(text):
         text = SPECIAL.sub(lambda m: FOLDS[m.group()], text)
-    return unicodedata.normalize("NFC", text) if MARKS.search(text) else text
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def visual_form(text: str) -> str:
@@ -150,12 +152,11 @@ def form_hashes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return src.mapInArrow(run, "key bigint, form binary, stored binary")
 
 
-def lookalike_pairs(tables: list[tuple[str, DataFrame, str]], text: str = "text") -> DataFrame:
-    """(tbl, key_a, key_b): two rows of one table, key_a < key_b, stored differently yet of one visual form.
+def _of_several_spellings(tables: list[tuple[str, DataFrame, str]], text: str) -> DataFrame:
+    """(tbl, form, key, stored) of the rows whose form is stored in two ways or more, each row once.
 
-    tables: (name, frame, key column). Copies stored alike form no pairs with each other; they are first counted as one
-    class (form, stored), so that only forms with two classes or more, few by nature, reach the join of rows.
-    Null texts and texts with nothing visible form no pairs.
+    Copies stored alike are first counted as one class (form, stored), so that only forms with two classes, few by nature,
+    are joined back.
     """
     rows = None
     for name, df, key in tables:
@@ -163,7 +164,27 @@ def lookalike_pairs(tables: list[tuple[str, DataFrame, str]], text: str = "text"
         rows = one if rows is None else rows.unionByName(one)
     rows = written(rows, "forms")
     several = rows.groupBy("tbl", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("tbl", "form")
-    rows = written(rows.join(several, ["tbl", "form"], "left_semi"), "forms-several")
+    return written(rows.join(several, ["tbl", "form"], "left_semi").distinct(), "forms-several")
+
+
+def lookalike_pairs(tables: list[tuple[str, DataFrame, str]], text: str = "text") -> DataFrame:
+    """(tbl, key_a, key_b): two rows of one table, key_a < key_b, stored differently yet of one visual form.
+
+    tables: (name, frame, key column). Null texts and texts with nothing visible form no pairs. The output itself grows
+    with the square of a form's rows; lookalike_classes() states the same in a row a row.
+    """
+    rows = _of_several_spellings(tables, text)
     a = rows.select("tbl", "form", F.col("key").alias("key_a"), F.col("stored").alias("stored_a"))
     b = rows.select("tbl", "form", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, ["tbl", "form"]).where("key_a < key_b and stored_a <> stored_b").select("tbl", "key_a", "key_b").distinct()
+    return a.join(b, ["tbl", "form"]).where("key_a < key_b and stored_a <> stored_b").select("tbl", "key_a", "key_b")
+
+
+def lookalike_classes(tables: list[tuple[str, DataFrame, str]], text: str = "text") -> DataFrame:
+    """(tbl, key, class_key, spelling_key): the rows of lookalike_pairs() with the least key of their form and of their stored text.
+
+    Two rows are a pair if their class_key agrees and their spelling_key differs; the table grows with the rows, not the pairs.
+    """
+    rows = _of_several_spellings(tables, text)
+    spelled = rows.groupBy("tbl", "form", "stored").agg(F.min("key").alias("spelling_key"))
+    classes = spelled.groupBy("tbl", "form").agg(F.min("spelling_key").alias("class_key"))
+    return rows.join(spelled, ["tbl", "form", "stored"]).join(classes, ["tbl", "form"]).select("tbl", "key", "class_key", "spelling_key")

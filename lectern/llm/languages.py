@@ -15,13 +15,14 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.forms import fold_visible
-from lectern.llm.tools import written
+from lectern.llm.tools import small, written
 
 LANGUAGES = ("en", "es", "pt", "fr", "de", "it")
-#: Labelled rows used at most for fitting the character models.
+#: Labelled rows used at most for fitting the character models; of each language the same number.
 SAMPLE_ROWS = 20_000
 
 # Spellings of labels beside the code, which may carry a region; and those that say nothing.
@@ -158,14 +159,24 @@ def sentence_words(text: str) -> list[list[str]]:
     return [w for s in _STOP.split(_MATH.sub(" ", t)) if (w := _WORD.findall(s.lower()))]
 
 
-def paragraph_scores(pages: DataFrame, samples: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """(key, declared, code, source, kind, para_no, n_words, n_sent, body, scores) of pages (key, text, declared, code, source, kind).
+def sampled(samples: DataFrame, rows: int) -> DataFrame:
+    """(lang, text) of at most `rows` labelled rows: of each language the same number at most, chosen by a hash of the text."""
+    s = samples.where("lang is not null and text is not null").select("lang", "text")
+    n = max(1, s.select("lang").distinct().count())
+    order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    return s.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max(1, rows // n)).drop("_n")
 
-    scores: log likelihood of each language for each paragraph with a word.
 
-    body: it reads as running text, with an end mark at the end of a line, and is not only a heading or page furniture.
+_PARAGRAPH = "struct<para_no:int,n_words:int,n_sent:int,body:boolean,scores:array<double>>"
+
+
+def page_scores(pages: DataFrame, samples: DataFrame, languages: Sequence[str], least_words: int) -> DataFrame:
+    """(key, declared, code, source, kind, paras) of pages (key, text, declared, code, source, kind), a row a page.
+
+    paras has an entry for each paragraph with a word. scores: its log likelihood in each language. body: it reads as
+    running text, with least_words words and an end mark at the end of a line, and is not only a heading or page furniture.
     """
-    rows = [(r[0], r[1]) for r in samples.where("lang is not null and text is not null").select("lang", "text").limit(SAMPLE_ROWS).collect()]
+    rows = [(r[0], r[1]) for r in sampled(samples, SAMPLE_ROWS).orderBy("lang", "text").collect()]
     model = pages.sparkSession.sparkContext.broadcast((rows, tuple(languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +184,7 @@ def paragraph_scores(pages: DataFrame, samples: DataFrame, languages: Sequence[s
         for b in batches:
             m.forget()
             at, no, n_words, n_sent, body, rows, sent, para = [], [], [], [], [], [], [], []
+            ends = [0]
             for i, t in enumerate(b.column(1).to_pylist()):
                 ps = t.split("\n\n")
                 for k, p in enumerate(ps):
@@ -184,66 +196,84 @@ def paragraph_scores(pages: DataFrame, samples: DataFrame, languages: Sequence[s
                     n = sum(map(len, ss))
                     n_words.append(n)
                     n_sent.append(len(ss))
-                    body.append(n >= 6 and bool(_SENTENCE_END.search(p)))
+                    body.append(n >= least_words and bool(_SENTENCE_END.search(p)))
                     para.append(len(sent))
                     for ws in ss:
                         sent.append(len(rows))
                         rows += m.rows(ws)
+                ends.append(len(at))
             scores = with_page(robust_scores(m.table, rows, sent, para), np.array(at), np.array(body)).ravel() if at else []
             offsets = pa.array(np.arange(len(at) + 1) * len(m.languages), pa.int32())
             ints = [pa.array(x, pa.int32()) for x in (no, n_words, n_sent)]
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(take) for c in (0, 2, 3, 4, 5)), *ints, pa.array(body, pa.bool_()), pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))],
-                names=["key", "declared", "code", "source", "kind", "para_no", "n_words", "n_sent", "body", "scores"],
-            )
+            one = pa.StructArray.from_arrays([*ints, pa.array(body, pa.bool_()), pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64()))], names=["para_no", "n_words", "n_sent", "body", "scores"])
+            paras = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (0, 2, 3, 4, 5)), paras], names=["key", "declared", "code", "source", "kind", "paras"])
 
-    return pages.mapInArrow(run, "key bigint, declared string, code string, source string, kind string, para_no int, n_words int, n_sent int, body boolean, scores array<double>")
+    return pages.mapInArrow(run, f"key bigint, declared string, code string, source string, kind string, paras array<{_PARAGRAPH}>")
 
 
 def page_languages(
     pages: DataFrame, samples: DataFrame, key: str = "page_id", text: str = "text", label: str = "language", source: str = "source_file", kind: str = "source_type", address: str = "source_path",
     languages: Sequence[str] = LANGUAGES, smoothing: float = 20.0, least_words: int = 6,
-) -> tuple[DataFrame, DataFrame]:
-    """(page: key, lang, confidence, declared), (paragraph: key, para_no, lang, confidence, n_sent, in_mixed_page).
-
-    A page whose running paragraphs are in two or more languages is 'mixed'. Pages without running text (blank, figures,
-    formulas) have no row. Null labels, sources and addresses give no evidence; repeated rows repeat their result.
+) -> DataFrame:
+    """(key, lang, confidence, declared, running, paras), a row for each row of pages.
+
+    paras: (para_no, lang, confidence, n_words, n_sent, body) of each paragraph with a word. A page whose running
+    paragraphs (body) are in two or more languages is 'mixed'. A page without running text (blank, figures, formulas, too
+    short) has running=false and the language that its few words, label, address and source speak for, with the low
+    confidence that follows. Null texts count as blank; null labels, sources and addresses give no evidence; null keys
+    are kept; repeated rows repeat their result.
     """
     L = len(languages)
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    src = pages.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), label_code(F.col(label).cast("string")).alias("declared"), address_code(F.col(address).cast("string")).alias("code"), named(source).alias("source"), named(kind).alias("kind"))
-    scored = written(paragraph_scores(src.where("key is not null and text is not null"), samples, languages), "paragraph-scores")
-    body = scored.where(F.col("body") & (F.col("n_words") >= least_words))
+    src = pages.select(F.col(key).cast("bigint").alias("key"), named(text).alias("text"), label_code(F.col(label).cast("string")).alias("declared"), address_code(F.col(address).cast("string")).alias("code"), named(source).alias("source"), named(kind).alias("kind"))
+    scored = written(page_scores(src, samples, languages, least_words), "page-scores")
     names = F.array(*map(F.lit, languages))
-    best = F.element_at(names, F.array_position("scores", F.array_max("scores")).cast("int"))
+    best = lambda x: F.element_at(names, F.array_position(x, F.array_max(x)).cast("int"))
     # Host priors: counts of the likeliest languages by source, smoothed towards source type and corpus.
-    counts = body.groupBy("source", "kind", best.alias("lang")).agg(F.count("*").alias("n"))
-    wide = counts.groupBy("source", "kind").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double").alias(x) for x in languages])
+    body = scored.select("source", "kind", F.explode(F.filter("paras", lambda p: p["body"])).alias("p")).select("source", "kind", best(F.col("p.scores")).alias("lang"))
+    counts = [F.count(F.when(F.col("lang") == x, 1)).cast("double").alias(x) for x in languages]
+    wide = body.groupBy("source", "kind").agg(*counts)
     by_kind = wide.groupBy("kind").agg(*[F.sum(x).alias(f"k_{x}") for x in languages])
-    corpus = wide.agg(*[F.sum(x).alias(f"c_{x}") for x in languages])
+    corpus = wide.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"c_{x}") for x in languages])
     total = lambda pre: sum((F.coalesce(F.col(f"{pre}{x}"), F.lit(0.0)) for x in languages), F.lit(0.0))
-    pri = wide.join(by_kind, "kind").crossJoin(F.broadcast(corpus))  # one row
+    # Sources of which no page has running text take the prior of their type, or of the corpus.
+    every = scored.select("source", "kind").distinct()
+    pri = every.join(wide, ["source", "kind"], "left").join(by_kind, "kind", "left").crossJoin(F.broadcast(corpus))  # one row
     for x in languages:
         c = (F.col(f"c_{x}") + 1) / (total("c_") + L)
-        k = (F.col(f"k_{x}") + smoothing * c) / (total("k_") + smoothing)
-        pri = pri.withColumn(f"p_{x}", (F.col(x) + smoothing * k) / (total("") + smoothing))
-    pri = pri.select("source", "kind", F.array(*[F.log(f"p_{x}") for x in languages]).alias("prior"))
-    post = body.join(pri, ["source", "kind"])
+        k = (F.coalesce(F.col(f"k_{x}"), F.lit(0.0)) + smoothing * c) / (total("k_") + smoothing)
+        pri = pri.withColumn(f"p_{x}", (F.coalesce(F.col(x), F.lit(0.0)) + smoothing * k) / (total("") + smoothing))
+    pri = written(pri.select("source", "kind", F.array(*[F.log(f"p_{x}") for x in languages]).alias("prior")), "page-priors")
     # A right label is seen in most cases, a code in the address in many.
     evidence = F.array(*[F.when(F.col("declared") == x, F.lit(math.log(8.0))).otherwise(0.0) + F.when(F.col("code") == x, F.lit(math.log(4.0))).otherwise(0.0) for x in languages])
-    post = post.withColumn("lp", F.zip_with(F.zip_with("scores", "prior", lambda a, b: a + b), evidence, lambda a, b: a + b))
-    post = post.withColumn("top", F.array_max("lp")).withColumn("lang", F.element_at(names, F.array_position("lp", F.col("top")).cast("int")))
-    post = post.withColumn("confidence", 1 / F.aggregate("lp", F.lit(0.0), lambda s, v: s + F.exp(F.greatest(v - F.col("top"), F.lit(-700.0)))))
-    post = post.select("key", "para_no", "declared", "lang", "confidence", "n_words", "n_sent")
-    per_page = post.groupBy("key").agg(F.first("declared").alias("declared"), F.count_distinct("lang").alias("n_lang"), F.min("lang").alias("one"), (F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words")).alias("confidence"))
-    per_page = per_page.withColumn("lang", F.when(F.col("n_lang") > 1, F.lit("mixed")).otherwise(F.col("one"))).select("key", "lang", "confidence", "declared")
-    paragraphs = post.join(per_page.select("key", (F.col("lang") == "mixed").alias("in_mixed_page")), "key").select("key", "para_no", "lang", "confidence", "n_sent", "in_mixed_page")
-    return per_page, paragraphs
+    rows = scored.join(small(pri), ["source", "kind"]).withColumn("known", F.zip_with("prior", evidence, lambda a, b: a + b))
+    sure = lambda lp: 1 / F.aggregate(lp, F.lit(0.0), lambda s, v: s + F.exp(F.greatest(v - F.array_max(lp), F.lit(-700.0))))
+    lp = F.transform("paras", lambda p: F.struct(p["para_no"].alias("para_no"), F.zip_with(p["scores"], "known", lambda a, b: a + b).alias("lp"), p["n_words"].alias("n_words"), p["n_sent"].alias("n_sent"), p["body"].alias("body")))
+    rows = rows.select("key", "declared", "known", lp.alias("lps"))
+    paras = F.transform("lps", lambda p: F.struct(p["para_no"].alias("para_no"), best(p["lp"]).alias("lang"), sure(p["lp"]).alias("confidence"), p["n_words"].alias("n_words"), p["n_sent"].alias("n_sent"), p["body"].alias("body")))
+    rows = rows.withColumn("paras", paras).withColumn("bodies", F.filter("paras", lambda p: p["body"]))
+    # Without running text the few words count together.
+    few = F.aggregate("lps", F.col("known"), lambda s, p: F.zip_with(s, F.zip_with(p["lp"], "known", lambda a, b: a - b), lambda a, b: a + b))
+    rows = rows.withColumn("few", few)
+    running = F.size("bodies") > 0
+    langs = F.array_distinct(F.transform("bodies", lambda p: p["lang"]))
+    weights = F.aggregate("bodies", F.lit(0.0), lambda s, p: s + p["n_words"])
+    mean = F.aggregate("bodies", F.lit(0.0), lambda s, p: s + p["confidence"] * p["n_words"]) / weights
+    lang = F.when(~running, best(F.col("few"))).when(F.size(langs) > 1, "mixed").otherwise(F.element_at(langs, 1))
+    return rows.select("key", lang.alias("lang"), F.when(running, mean).otherwise(sure(F.col("few"))).alias("confidence"), "declared", running.alias("running"), "paras")
+
+
+def paragraph_languages(page: DataFrame) -> DataFrame:
+    """(key, para_no, lang, confidence, running) of every paragraph with a word of the mixed pages of page_languages()."""
+    return page.where("lang = 'mixed'").select("key", F.explode("paras").alias("p")).select("key", "p.para_no", "p.lang", "p.confidence", F.col("p.body").alias("running"))
 
 
 def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
-    """(page_id, para_no, lang): right labels of pages whose own is missing or wrong, and paragraphs of mixed pages."""
-    page, paragraph = page_languages(pages, samples)
-    wrong = page.where("declared is null or declared <> lang").select(F.col("key").alias("page_id"), F.lit(-1).alias("para_no"), "lang")
-    return wrong.unionByName(paragraph.where("in_mixed_page").select(F.col("key").alias("page_id"), "para_no", "lang"))
+    """(page_id, para_no, lang): right labels of pages whose own is missing or wrong, and running paragraphs of mixed pages."""
+    page = page_languages(pages, samples).where("running and key is not null")
+    one = lambda no, lang: F.struct(no.cast("int").alias("para_no"), lang.alias("lang"))
+    whole = F.when(F.col("declared").isNull() | (F.col("declared") != F.col("lang")), F.array(one(F.lit(-1), F.col("lang"))))
+    parts = F.when(F.col("lang") == "mixed", F.transform(F.filter("paras", lambda p: p["body"]), lambda p: one(p["para_no"], p["lang"])))
+    none = F.array().cast("array<struct<para_no:int,lang:string>>")
+    return page.select(F.col("key").alias("page_id"), F.explode(F.concat(F.coalesce(whole, none), F.coalesce(parts, none))).alias("f")).select("page_id", "f.para_no", "f.lang")

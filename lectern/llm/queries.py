@@ -25,8 +25,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_pages(spark: SparkSession, d: str) -> DataFrame:
-    page, _ = languages.page_languages(table(spark, d, "extracted_pages"), table(spark, d, "language_samples"))
-    return page.select(F.col("key").alias("page_id"), "lang", "declared", F.round("confidence", 6).alias("confidence"))
+    page = languages.page_languages(table(spark, d, "extracted_pages"), table(spark, d, "language_samples"))
+    return page.select(F.col("key").alias("page_id"), "lang", "declared", F.round("confidence", 6).alias("confidence"), "running")
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of each paragraph of a page in several languages."""
+    page = languages.page_languages(table(spark, d, "extracted_pages"), table(spark, d, "language_samples"))
+    return languages.paragraph_languages(page).select(F.col("key").alias("page_id"), "para_no", "lang", F.round("confidence", 6).alias("confidence"), "running")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +48,11 @@ def p3_normalised_pages(spark: SparkSession, d: str) -> DataFrame:
     return forms.normalised(table(spark, d, "extracted_pages"), "page_id").select("page_id", "norm_text")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p3_found as classes, a row a row of a table."""
+    return forms.lookalike_classes([("extracted_pages", table(spark, d, "extracted_pages"), "page_id"), ("text_chunks", table(spark, d, "text_chunks"), "chunk_key")])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     _, lines = furniture.furniture_lines(table(spark, d, "extracted_pages"))
     return lines.select(F.col("key").alias("page_id"), "line_no")

@@ -72,8 +72,12 @@ def test_page_languages(spark):
     pages = spark.createDataFrame([(i, t, lb, "f", "book", None, 3) for i, t, lb in cases], "page_id bigint, text string, language string, source_file string, source_type string, source_path string, key int")
     got = rows(languages.found(pages.drop("key"), _samples(spark)).distinct())
     assert got == [(2, -1, "es"), (3, -1, "mixed"), (3, 0, "en"), (3, 1, "es"), (7, -1, "en")]
-    page, _ = languages.page_languages(pages.limit(0), _samples(spark))
-    assert page.count() == 0
+    page = languages.page_languages(pages.drop("key"), _samples(spark))
+    every = {r.key: r for r in page.collect()}
+    assert page.count() == len(cases) and not every[4].running and every[4].lang and every[4].confidence < every[1].confidence
+    assert rows(languages.paragraph_languages(page), "key", "para_no", "lang", "running") == [(3, 0, "en", True), (3, 1, "es", True)]
+    assert languages.page_languages(pages.limit(0), _samples(spark)).count() == 0
+    assert languages.sampled(_samples(spark), 3).groupBy("lang").count().where("count = 1").count() == 3
 
 
 def test_label_codes(spark):
@@ -102,6 +106,19 @@ def test_forms_are_stable(text):
     assert unicodedata.is_normalized("NFC", forms.visual_form(text))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("ÅKΩ가क़ே豈їё\u0308\u0301\u200d")), max_size=40))
+def test_canonically_equal_texts_look_the_same(text):
+    for f in ("NFC", "NFD"):
+        assert forms.visual_form(unicodedata.normalize(f, text)) == forms.visual_form(text)
+
+
+def test_lookalike_classes_state_the_pairs(spark):
+    df = spark.createDataFrame([(5, "a b"), (2, "a  b"), (9, "a b"), (7, "a  b"), (1, "c"), (3, None), (2, "a  b")], "page_id bigint, text string")
+    assert rows(forms.lookalike_classes([("t", df, "page_id")])) == [("t", 2, 2, 2), ("t", 5, 2, 5), ("t", 7, 2, 2), ("t", 9, 2, 5)]
+    assert rows(forms.lookalike_pairs([("t", df, "page_id")])) == [("t", 2, 5), ("t", 2, 9), ("t", 5, 7), ("t", 7, 9)]
+
+
 def test_normalised_keeps_rows(spark):
     df = spark.createDataFrame([(1, "ＡＢ"), (1, "ＡＢ"), (2, None), (3, "")], "key bigint, text string")
     assert [r.norm_text for r in forms.normalised(df, "key").orderBy("key").collect()] == ["ab", "ab", None, ""]
