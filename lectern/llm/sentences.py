@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Container, Iterator
 
@@ -22,6 +23,8 @@ from lectern.llm.tools import written
 
 #: A title ends a paragraph at most at this share of the rate of all words before full stops, and as seldom by chance at most with this probability.
 TITLE_RATE, BY_CHANCE = 0.05, 0.05
+#: An abbreviation stands without its full stop at most so often, for each time with it, in the documents that have it.
+PLAIN_SHARE = 1.0
 
 # End marks by script, and pairs of quotes and brackets.
 _MARK = re.compile(r"(?:[!?…。！？؟।॥۔｡]|\.(?![\d,;:$\\a-zà-ÿ]))[.!?…。！？؟।॥۔｡]*")
@@ -33,8 +36,9 @@ _LIST_MARK = re.compile(r"(?:\(?\d{1,3}[.)]|\(?[^\W\d_][)]|[-–—•*·‣])\s
 _LIST_NUMBER = re.compile(r"\(?\d{1,3}$")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"[^\S\n]+")
-_ORDINAL = re.compile(r"(?:\b(?:der|die|das|den|dem|des|am|im|vom|zum|beim|ab|bis|seit)\s+)\d{1,3}$", re.I)
-_MATH_OR_NOISE = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|[\d\W_]+")
+# German words after which a number with a full stop is an ordinal.
+_BEFORE_ORDINAL = frozenset("der die das den dem des am im vom zum beim ab bis seit".split())
+_MATH_OR_NOISE = re.compile(r"\$[^$]*\$|\\\([^)]*\\\)|(?:[^\w$\\]|[\d_])+|[$\\]")
 #: Scripts without letter case, in which a mark needs no blank after it.
 _IDEOGRAPHIC = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _ARABIC = re.compile(r"[\u0620-\u064a]")
@@ -43,21 +47,36 @@ _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 _UP = "A-ZÀ-ÖØ-ÞЀ-Я"
 _DOT = re.compile(r"\.(\s*)([^\W\d_]+|\S)?")
 _CAPITAL = re.compile(rf" ([{_UP}]\w+)")
-_INSIDE = frozenset("​‌‍⁠﻿­̧̀́̂̃̈")
-
-
-def _word_before(text: str, i: int, least: int) -> int:
-    """Where the word that ends at i begins; full stops between letters belong to it. i itself if there is none."""
-    k = i
-    while k > least:
-        ch = text[k - 1]
-        if ch.isalnum() or ch in _INSIDE or ch == "." and k < i and k - 1 > least and text[k - 2].isalpha():
-            k -= 1
-        else:
-            break
-    while k < i and not text[k].isalpha():
-        k += 1
-    return k
+_TOKEN = re.compile(r"\w+\.?")
+#: A word with a full stop after which the sentence plainly goes on.
+_GOES_ON = re.compile(r"(\w+)\.(?=([,;:]|[^\S\n][^\W_]))")
+_INSIDE = frozenset("​‌‍⁠﻿­̧̀́̂̃̈")
+
+
+class _Back:
+    """Walks back over the word before a place; what was walked before the last full stop isn't walked again."""
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.began = text, -1, 0
+
+    def word(self, i: int, least: int) -> int:
+        """Where the word that ends at i begins, least at the earliest; full stops between letters belong to it. i itself if there is none."""
+        text, k = self.text, i
+        while k > least:
+            ch = text[k - 1]
+            if ch.isalnum() or ch in _INSIDE:
+                k -= 1
+            elif ch == "." and k < i and k - 1 > least and text[k - 2].isalpha():
+                k -= 1
+                if k == self.stop:
+                    k = max(self.began, least)
+                    break
+            else:
+                break
+        self.stop, self.began = i, k
+        while k < i and not text[k].isalpha():
+            k += 1
+        return k
 
 
 class Model:
@@ -68,10 +87,11 @@ class Model:
 
 
 def evidence(text: str, into: Counter) -> None:
-    """Counts ('d', word, kind) of words before full stops and ('m' or 'i', word, '') of capitalised words."""
+    """Counts ('d', word, kind) of words before full stops, of those ('d', word, 'plain') without one, and ('m' or 'i', word, '') of capitalised words."""
+    back, dotted = _Back(text), set()
     for m in _DOT.finditer(text):
         i = m.start()
-        b = _word_before(text, i, max(0, i - 24))
+        b = back.word(i, 0)
         if b == i:
             continue
         word, gap, nxt = text[b:i], m.group(1), m.group(2)
@@ -92,6 +112,12 @@ def evidence(text: str, into: Counter) -> None:
             if len(word) > 4 and len(nxt) > 1:
                 into["i", nxt, ""] += 1
         into["d", word, kind] += 1
+        dotted.add(word)
+    if dotted:
+        words = Counter(_TOKEN.findall(text))
+        for w in dotted:
+            if n := words.get(w):
+                into["d", w, "plain"] += n
     for m in _CAPITAL.finditer(text):
         i = m.start()
         if i and text[i - 1].isalpha():
@@ -134,24 +160,25 @@ def corpus_model(docs: DataFrame, text: str = "text") -> str:
 
     raw = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "what string, word string, kind string, n bigint")
     of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
-    per = raw.groupBy("what", "word").agg(F.sum("n").alias("n"), of("on", "num").alias("on"), of("num").alias("num"), of("end").alias("end"))
-    dots = per.where("what = 'd'")
-    caps = per.where("what <> 'd'").groupBy("word").agg(F.sum(F.when(F.col("what") == "m", F.col("n")).otherwise(0)).alias("mid"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("init"))
-    both = dots.selectExpr("'d' as what", "word", "n", "`on` as a", "`end` as b", "num").unionByName(caps.selectExpr("'c' as what", "word", "mid + init as n", "mid as a", "init as b", "0L as num"))
-    both = written(both, "sentence-counts")
-    rate = both.where("what = 'd'").agg((F.sum("b") / F.sum("n")).alias("rate"))
-    # An abbreviation goes on in most cases, a long one before numbers; or it is a short title that ends a paragraph far too seldom to be an ordinary word.
-    keep = both.where("n >= 3").crossJoin(F.broadcast(rate)).withColumn("p", F.col("b") / F.col("n"))  # one row
+    per = raw.groupBy(F.when(F.col("what") == "d", "d").otherwise("c").alias("what"), "word").agg(
+        F.sum(F.when(F.col("kind") != "plain", F.col("n")).otherwise(0)).alias("n"), of("on", "num").alias("on"), of("end").alias("end"), of("up").alias("up"), of("plain").alias("plain"),
+        F.sum(F.when(F.col("what") == "m", F.col("n")).otherwise(0)).alias("mid"), F.sum(F.when(F.col("what") == "i", F.col("n")).otherwise(0)).alias("init"),
+    )
+    per = written(per, "sentence-counts")  # the texts are read once
+    rate = per.where("what = 'd'").agg((F.sum("end") / F.sum("n")).alias("rate"))
+    # An abbreviation goes on in most cases and hardly stands without a stop; or it is a title that ends a paragraph far too seldom to be an ordinary word.
+    keep = per.where("n >= 3").crossJoin(F.broadcast(rate)).withColumn("p", F.col("end") / F.col("n"))  # one row
     unlikely = keep.withColumn("odds", F.expr("n * (if(p > 0, p * ln(p / rate), 0) + if(p < 1 and rate < 1, (1 - p) * ln((1 - p) / (1 - rate)), 0))"))
-    title = (F.col("p") <= TITLE_RATE * F.col("rate")) & (F.col("odds") >= -math.log(BY_CHANCE)) & F.expr("length(word) <= 5 and a <= 0.1 * n")
-    keep = unlikely.where(F.expr("what = 'c' or (a >= 0.5 * n and (length(word) <= 4 or num >= 0.3 * n))") | title)
+    title = (F.col("p") <= TITLE_RATE * F.col("rate")) & (F.col("odds") >= -math.log(BY_CHANCE)) & F.expr("`on` <= 0.1 * n and up >= 0.5 * n")
+    seldom_plain = F.col("plain") <= PLAIN_SHARE * F.col("n")
+    keep = unlikely.where((F.col("what") == "c") | (seldom_plain & (F.expr("`on` >= 0.5 * n") | title)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [text_hash(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([1] * len(hashes), pa.int64())], names=["hash", "n"])
 
-    kind = F.when(F.col("what") == "d", "d").when(F.col("b") > F.col("a"), "s").otherwise("n")
+    kind = F.when(F.col("what") == "d", "d").when(F.col("init") > F.col("mid"), "s").otherwise("n")
     return filed(keep.select(F.concat(kind, "word").alias("word")).mapInArrow(hashed, "hash bigint, n bigint"))
 
 
@@ -161,7 +188,15 @@ class _Doc:
     def __init__(self, text: str, model: Model):
         self.text, self.model, self.thai = text, model, False
         self._names: dict[str, bool | None] = {}
-        self._abbr: dict[str, bool] = {}
+        self._abbr: dict[tuple[str, bool], bool] = {}
+        self._words: Counter | None = None
+        self._on: Counter = Counter()
+        self.back = _Back("")
+
+    def closed_by_abbreviation(self, p: str, i: int, opened: int) -> bool:
+        """Is the full stop at i, the last in a bracket opened within a sentence, one of an abbreviation or a number?"""
+        b = self.back.word(i, opened + 1)
+        return b == i or i - b == 1 or self.abbreviation(p[b:i])
 
     def places(self, w: str) -> Iterator[int]:
         """Where a word stands in the document, by itself."""
@@ -182,30 +217,22 @@ class _Doc:
         known = self._names[w]
         return unknown if known is None else known
 
-    def abbreviation(self, w: str) -> bool:
+    def abbreviation(self, w: str, goes_on: bool = False) -> bool:
+        """Is a word before a full stop an abbreviation? goes_on: at this place the sentence seems to go on.
+
+        The document tells by the word's other places, the corpus where it is silent or divided.
+        """
         if "." in w:
             return True
-        known = self._abbr.get(w)
+        known = self._abbr.get((w, goes_on))
         if known is None:
-            known = w in self.model.abbreviations
-            if not known and len(w) <= 5:
-                stop = w + "."
-                if self.text.find(stop, self.text.find(stop) + 1) >= 0:  # it stands elsewhere as well
-                    known = self._goes_on(w)
-            self._abbr[w] = known
+            if self._words is None:
+                self._words = Counter(_TOKEN.findall(self.text))
+                self._on = Counter(x for x, after in _GOES_ON.findall(self.text) if len(after) == 1 or after[1].islower() or after[1].isdigit() and x.lower() != x.upper())
+            plain, on = self._words.get(w, 0), self._on.get(w, 0) - goes_on
+            known = self._abbr[w, goes_on] = on > plain if on != plain and max(on, plain) > 0 else w in self.model.abbreviations
         return known
 
-    def _goes_on(self, w: str) -> bool:
-        """Does the word stand before a full stop within a sentence, and never without one?"""
-        t, on = self.text, False
-        for k in self.places(w):
-            e = k + len(w)
-            if t[e : e + 1] != ".":
-                return False
-            after = t[e + 1 : e + 3]
-            on = on or after[:1] in (",", ";", ":") or after[:1] != "\n" and after[:1].isspace() and (after[1:].islower() or after[1:].isdigit() and w.lower() != w.upper())
-        return on
-
 
 def spans(text: str, model: Model) -> list[tuple[int, int]]:
     """[start, end) of each sentence unit of a text, without blanks at either end."""
@@ -228,6 +255,7 @@ def _paragraph(text: str, a: int, b: int, doc: _Doc, out: list[tuple[int, int]])
     if a == b:
         return
     p = text[a:b]
+    doc.back = _Back(p)
     cuts = _cuts(p, doc)
     if doc.thai and _THAI.search(p):
         cuts = _thai(p, cuts)
@@ -250,19 +278,37 @@ def _paragraph(text: str, a: int, b: int, doc: _Doc, out: list[tuple[int, int]])
 def _thai(p: str, cuts: list[int]) -> list[int]:
     """Thai sets no end marks: a blank beside Thai text ends the unit, unless it follows a list mark."""
     more = set(cuts)
+    # Formulas, numbers and signs show no script: the letters beyond them do.
+    begins: list[int] = []
+    ends: list[int] = []
+    for m in _MATH_OR_NOISE.finditer(p):
+        if ends and ends[-1] == m.start():
+            ends[-1] = m.end()
+        else:
+            begins.append(m.start())
+            ends.append(m.end())
+    at, last = 0, 0
     for m in _THAI_GAP.finditer(p):
-        left = _MATH_OR_NOISE.sub("", p[max(0, m.start() - 80) : m.start()])[-1:]
-        right = _MATH_OR_NOISE.sub("", p[m.end() : m.end() + 80])[:1]
+        while at < len(cuts) and cuts[at] <= m.start():
+            last = max(last, cuts[at])
+            at += 1
+        n = bisect_left(begins, m.start()) - 1
+        k = begins[n] if n >= 0 and ends[n] >= m.start() else m.start()
+        left = p[k - 1 : k] if k else ""
+        n = bisect_right(begins, m.end()) - 1
+        k = ends[n] if n >= 0 and ends[n] > m.end() else m.end()
+        right = p[k : k + 1]
         nxt = p[m.end() : m.end() + 1]
         if nxt == "\n" or p[m.start() - 1 : m.start()] == "\n":
             continue  # a blank beside a line break belongs to it
         if not (left and _THAI.match(left) or right and _THAI.match(right) and _THAI.match(nxt)):
             continue
-        if _LIST_MARK.fullmatch(p[max(p.rfind("\n", 0, m.start()) + 1, max([0, *(c for c in more if c <= m.start())])) : m.end()].lstrip()[:8] or "x"):
+        if _LIST_MARK.fullmatch(p[max(p.rfind("\n", 0, m.start()) + 1, last) : m.end()].lstrip()[:8] or "x"):
             continue
         if nxt in "–—-" or p[m.start() - 1] in "–—-":
             continue
         more.add(m.start())
+        last = m.start()
     return sorted(more)
 
 
@@ -324,17 +370,16 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
         whole = p[start:opened].strip() == ""
         if whole and p[opened] not in "([（" and not nxt.isupper() and nxt.isalpha():
             return False  # a script without case: "...?" asked the pupil
-        if last == "." and p[opened] in "([" and not whole and j - opened < 12:
+        if last == "." and p[opened] in "([" and not whole and doc.closed_by_abbreviation(p, i, opened):
             return False
         return True
     if last in "!?":
         return True
     if last == "…" or len(mark) > 1:
         return not (nxt.islower() or nxt in ",;:)")
-    before = p[start:i]
     if i and _DEVANAGARI.match(p[i - 1]):
         return False
-    if _LIST_NUMBER.fullmatch(before.strip()):
+    if i - start < 8 and _LIST_NUMBER.fullmatch(p[start:i].strip()):
         return False  # the mark of a list item
     new_item = "\n" in p[j:k] and _LIST_MARK.match(p, k)
     if p[i - 1].isdigit() if i else False:
@@ -342,8 +387,8 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
             return True
         if nxt.islower():
             return False
-        return not (nxt.isupper() and _ORDINAL.search(p[max(0, i - 16) : i]))
-    w = _word_before(p, i, max(start, i - 40))
+        return not (nxt.isupper() and _ordinal(p, i, start))
+    w = doc.back.word(i, start)
     if w == i:
         return True
     raw = p[w:i]
@@ -352,11 +397,13 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
         if word.isupper():
             if nxt.isdigit() and not new_item:
                 return False
-            head = p[start:w].rstrip()
-            initial = head == "" or head.endswith(".") or bool(_LIST_MARK.fullmatch(head + " "))
+            e = w
+            while e > start and p[e - 1].isspace():
+                e -= 1
+            initial = e == start or p[e - 1] == "." or e - start < 8 and bool(_LIST_MARK.fullmatch(p[start:e] + " "))
             return not (initial and nxt.isalpha())
         return "α" <= word <= "ω"
-    if not doc.abbreviation(word):
+    if not doc.abbreviation(word, nxt.islower() or nxt.isdigit()):
         return True
     if nxt.islower() or nxt.isdigit() and not new_item or nxt in "([$\\<>=≤≥":
         return False
@@ -369,6 +416,20 @@ def _ends(p: str, i: int, j: int, k: int, last: str, mark: str, opened: int | No
     return not doc.name(v, "." not in word)
 
 
+def _ordinal(p: str, i: int, start: int) -> bool:
+    """Is the number that ends at i an ordinal, as in "am 3. Mai"?"""
+    k = i
+    while k > start and p[k - 1].isdigit():
+        k -= 1
+    e = k
+    while e > start and p[e - 1].isspace():
+        e -= 1
+    b = e
+    while b > start and p[b - 1].isalpha():
+        b -= 1
+    return i - k <= 3 and e < k and p[b:e].lower() in _BEFORE_ORDINAL
+
+
 def _blank_missing(p: str, i: int, k: int, last: str, start: int, doc: _Doc) -> bool:
     """Does the mark at i end a sentence although the next, at k, follows at once? Then that begins with a capitalised word."""
     if i == 0:
@@ -381,7 +442,7 @@ def _blank_missing(p: str, i: int, k: int, last: str, start: int, doc: _Doc) ->
         return False
     if last in "!?" or before.isdigit() or before in "$)]" or "α" <= before <= "ω":
         return True
-    w = _word_before(p, i, max(start, i - 40))
+    w = doc.back.word(i, start)
     if i - w == 1 and before.isupper():
         return not p[start:w].rstrip().endswith(".") and p[start:w].strip() != ""
     return i - w > 1 and not doc.abbreviation(p[w:i])

@@ -334,6 +334,20 @@ def test_sentence_units(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
+def test_the_document_comes_before_the_corpus():
+    cut = lambda t, m: [t[a:b] for a, b in sentences.spans(t, m)]
+    corpus = sentences.Model(frozenset(["sol", "cap"]), frozenset(), frozenset())
+    assert cut("El sol brilla. Vemos el sol. 3 casas hay. Luego el sol canta.", corpus) == ["El sol brilla.", "Vemos el sol.", "3 casas hay.", "Luego el sol canta."]
+    assert cut("See Propos. 3 here. By Propos. 4 it holds.", corpus) == ["See Propos. 3 here.", "By Propos. 4 it holds."]
+    assert cut("Read cap. 3 now.", corpus) == ["Read cap. 3 now."] and cut("It ends. 3 more follow.", corpus) == ["It ends.", "3 more follow."]
+    assert cut("He left (see the long list of the names). Then he came. (in part, cap. 3.) So", corpus) == ["He left (see the long list of the names).", "Then he came.", "(in part, cap. 3.)", "So"]
+
+
+def test_long_runs_without_blanks_take_linear_time():
+    for t in ("A." * 20_000, "A. " * 20_000, "(" * 20_000 + "a. B", "1. " * 20_000, "ก " + "$ " * 20_001, "ก ข " * 10_000):
+        assert sentences.spans(t, _MODEL)
+
+
 def test_one_shortened_document_leaves_titles(spark):
     texts = [f"We met Dr. Ardelan {'again ' * (i % 5)}there. It rained. All went home.\n\nThe rest was calm." for i in range(400)]
     last = "She knows Dr. Melvari well."
