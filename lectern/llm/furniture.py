@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.forms import fold_visible
@@ -31,6 +31,7 @@ _TABLE = bytes(ord(_CLASS.get(chr(i)) or chr(i)) for i in range(256))
 _DELETED = bytes(i for i in range(256) if not _CLASS.get(chr(i)) and chr(i) != "\n")
 _NO_LETTERS = bytes(i for i in range(256) if not chr(i).isalpha() and chr(i) != "\n")
 _NUMBER = re.compile(rb"(?<![a-z\xdf-\xff\d|!])[ilo|!]{0,2}\d[\d.,:/ilo|!-]*(?![a-z\xdf-\xff])")
+_SIX = re.compile(r"6[^\W\d_]|[^\W\d_]6(?!\d)")
 _BLANK = re.compile(r"[^\S\n -~]")
 _OTHER = re.compile(r"[^\x00-\xff]")
 
@@ -73,11 +74,14 @@ def page_lines(pages: DataFrame, key: str, source: str, page: str, text: str = "
         for b in batches:
             at, no, keys = [], [], []
             for i, t in enumerate(b.column(3).to_pylist()):
+                lines = t.split("\n") if _SIX.search(t) else ()
                 for k, w in enumerate(line_keys(t)):
-                    if w is not None:
-                        at.append(i)
-                        no.append(k)
-                        keys.append(w)
+                    # A 6 may be a b: such a line has a second key.
+                    for w in {w, line_key(lines[k].replace("6", "b"))} if lines and _SIX.search(lines[k]) else (w,):
+                        if w is not None:
+                            at.append(i)
+                            no.append(k)
+                            keys.append(w)
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(no, pa.int32()), b.column(1).take(at), b.column(2).take(at), pa.array(keys, pa.string())], names=["key", "line_no", "source", "page", "line_key"])
 
@@ -86,12 +90,14 @@ def page_lines(pages: DataFrame, key: str, source: str, page: str, text: str = "
     return src.mapInArrow(run, "key bigint, line_no int, source bigint, page int, line_key string").withColumn("line", F.xxhash64("line_key"))
 
 
-def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "source_file", page: str = "page_number", text: str = "text", least_pages: int = 6, share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "source_file", page: str = "page_number", text: str = "text", least_pages: int = 6, share: float = 0.05, core_share: float = 1 / 3) -> tuple[DataFrame, DataFrame]:
     """(per source: source_file, line_key, n_pages, file_pages), (per line: key, line_no).
 
-    A line counts once per different page number. A line joins a frequent key of its source if the two are equal, or at
-    most two letters apart: cores are the keys on at least half the needed pages, so that a file of n pages with m lines a
-    page has at most 2*m/share of them, whatever its size; a line is compared with its own file's cores only.
+    A line counts once per different page number. A line joins a core of its source if their keys are equal or if one has
+    at most `misread_letters` others in place of the core's: a misread letter takes the place of a letter, so both keys are
+    of one length. Cores are the keys that stand unharmed on at least core_share of the
+    needed pages, so a file with m lines a page has at most m / (share * core_share) of them, whatever its size. Lines
+    meet the cores of their own source and length only: a hot source is spread over its lengths.
     """
     lines = written(page_lines(pages, key, source, page, text), "lines")
     named = pages.where(F.col(source).isNotNull() & F.col(page).isNotNull()).select(F.col(source).cast("string").alias("source_file"), F.col(page).cast("int").alias("page"))
@@ -99,15 +105,14 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     total = written(total, "file-pages")
     needed = F.greatest(F.lit(float(least_pages)), F.col("file_pages") * share)
     # Distinct pages in two steps, so that a hot line is first reduced within each task.
-    counts = lines.select("source", "line", "page").distinct().groupBy("source", "line").agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least_pages / 2)
-    often = written(counts.join(small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed / 2).select("source", "line"), "line-often")
+    counts = lines.select("source", "line", "page").distinct().groupBy("source", "line").agg(F.count("*").alias("n_own")).where(F.col("n_own") >= least_pages * core_share)
+    often = written(counts.join(small(total.select("source", "file_pages")), "source").where(F.col("n_own") >= needed * core_share).select("source", "line"), "line-often")
     keys = lines.join(small(often), ["source", "line"], "left_semi").select("source", "line_key").distinct()
-    cores = written(keys.groupBy("source").agg(F.collect_list("line_key").alias("cores")), "line-cores")
-    # Every line against the cores of its source: a bounded list, compared within the row. A letter misread otherwise than
-    # the key knows takes the place of a letter, so lengths are equal.
+    cores = written(keys.groupBy("source", F.length("line_key").alias("n")).agg(F.collect_list("line_key").alias("cores")), "line-cores")
     tail = lambda c: F.split(c, "~")[1]
-    like = lambda c: (c == F.col("line_key")) | ((F.length(c) == F.length("line_key")) & (F.length(c) >= 12) & (tail(c) == tail(F.col("line_key"))) & (F.levenshtein(c, F.col("line_key"), 2) >= 0))
-    near = lines.join(small(cores), "source").select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
+    like = lambda c: (c == F.col("line_key")) | ((tail(c) == tail(F.col("line_key"))) & F.levenshtein(c, F.col("line_key"), 2).between(0, misread_letters(c)))
+    near = lines.withColumn("n", F.length("line_key")).join(small(cores), ["source", "n"])
+    near = near.select("key", "line_no", "source", "page", F.explode(F.filter("cores", like)).alias("core"))
     near = written(near, "line-near")
     per_core = near.select("source", "core", "page").distinct().groupBy("source", "core").agg(F.count("*").alias("n_pages"))
     frequent = written(per_core.join(small(total), "source").where(F.col("n_pages") >= needed), "line-frequent")
@@ -115,6 +120,11 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     return frequent.select("source_file", F.col("core").alias("line_key"), "n_pages", "file_pages"), found
 
 
+def misread_letters(line_key: Column) -> Column:
+    """Letters of a key that may be misread otherwise than the key knows: two, and one where two would be half of it."""
+    return F.when(F.length(line_key) - 1 >= 6, 2).otherwise(1)
+
+
 def without_lines(pages: DataFrame, found: DataFrame, key: str = "page_id", text: str = "text") -> DataFrame:
     """Every row of pages with clean_text: its text without the lines found; rows without such lines keep theirs, null stays null."""
     gone = found.groupBy("key").agg(F.collect_set("line_no").alias("_gone"))
