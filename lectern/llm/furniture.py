@@ -94,9 +94,8 @@ def furniture_lines(pages: DataFrame, key: str = "page_id", source: str = "sourc
     """(per source: source_file, line_key, n_pages, file_pages), (per line: key, line_no).
 
     A line counts once per different page number. A line joins a core of its source if their keys are equal or if one has
-    at most `misread_letters` others in place of the core's: a misread letter takes the place of a letter, so both keys are
-    of one length. Cores are the keys that stand unharmed on at least core_share of the
-    needed pages, so a file with m lines a page has at most m / (share * core_share) of them, whatever its size. Lines
+    at most `misread_letters` others in place of the core's, both of one length (a letter that the key spells as a group, as m,
+    counts for its group). Cores are the keys that stand unharmed on at least core_share of the needed pages, so a file with m lines a page has at most m / (share * core_share) of them, whatever its size. Lines
     meet the cores of their own source and length only: a hot source is spread over its lengths.
     """
     lines = written(page_lines(pages, key, source, page, text), "lines")

@@ -364,9 +364,9 @@ def test_line_keys_ignore_kinds_of_blanks_and_confusions():
 
 
 def test_short_furniture_with_other_letters_misread(spark):
-    heads = ["Kurs Zwei"] * 5 + ["Kurs Zwoi", "Kuxs Zwei", "Kurs Zxoi"]
+    heads = ["Kurs Zwei"] * 5 + ["Kurs Zwoi", "Kuxs Zwei", "Kuxs Zwoi"]
     pages = [(n, f"{h}\nLine with the words {'abcdefgh'[n] * 9} only", n, "f") for n, h in enumerate(heads)]
-    pages += [(20 + n, h, n, "g") for n, h in enumerate(["Big b6ok of sums", "Big book of sums"] * 3)]
+    pages += [(20 + n, h, n, "g") for n, h in enumerate(["Big 6ook of sums", "Big book of sums"] * 3)]
     df = spark.createDataFrame(pages, "page_id bigint, text string, page_number int, source_file string")
     _, found = furniture.furniture_lines(df)
     assert {(r.key, r.line_no) for r in found.collect()} == {(n, 0) for n in range(8)} | {(20 + n, 0) for n in range(6)}
