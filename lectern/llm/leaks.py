@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from lectern.llm.forms import fold_visible, ignorable
 
 #: Words after which a shard is indexed and searched, so that a task holds one shard at a time.
 SHARD_WORDS = 4_000_000
-#: Test items per search; a larger test set is searched in several passes over the corpus.
+#: Test items that are searched for at once in a shard's index.
 ITEMS_AT_ONCE = 20_000
 #: One of so many suffix positions is kept.
 SAMPLE = 8
@@ -71,14 +73,32 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [(at[m.start()][0], at[m.end() - 1][1]) for m in _WORD.finditer(folded)]
 
 
+class Bits:
+    """Bits in words of 64 with the number of ones before each word: a rank is one lookup and one count of bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        packed = np.packbits(bits.astype(np.uint8), bitorder="little")
+        self.words = np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8 + 8), dtype=np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))[:-1].astype(np.int32)
+
+    def rank(self, pos: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        w, rest = pos >> 6, (pos & 63).astype(np.uint64)
+        return self.before[w] + np.bitwise_count(self.words[w] & ((np.uint64(1) << rest) - np.uint64(1)))
+
+    def get(self, pos: np.ndarray) -> np.ndarray:
+        return (self.words[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1)
+
+
 class WaveletTree:
     """Rank over a sequence of numbers below 2**levels: bits of the value, highest first, stably sorted at each level."""
 
     def __init__(self, seq: np.ndarray, levels: int):
-        self.levels, self.ones, self.zeros = levels, [], []
+        self.levels, self.bits, self.zeros = levels, [], []
         for k in range(levels - 1, -1, -1):
             bit = (seq >> k) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int64))))
+            self.bits.append(Bits(bit))
             self.zeros.append(len(seq) - int(bit.sum()))
             seq = np.concatenate((seq[bit == 0], seq[bit == 1]))
 
@@ -87,33 +107,43 @@ class WaveletTree:
         lo = np.zeros_like(pos)
         for k in range(self.levels):
             bit = (symbol >> (self.levels - 1 - k)) & 1
-            a, b = self.ones[k][lo], self.ones[k][pos]
+            a, b = self.bits[k].rank(lo), self.bits[k].rank(pos)
             lo = np.where(bit == 1, self.zeros[k] + a, lo - a)
             pos = np.where(bit == 1, self.zeros[k] + b, pos - b)
         return pos - lo
 
+    def get(self, pos: np.ndarray) -> np.ndarray:
+        """The number at each position."""
+        out = np.zeros_like(pos)
+        for k in range(self.levels):
+            bit, ones = self.bits[k].get(pos).astype(np.int64), self.bits[k].rank(pos)
+            out = 2 * out + bit
+            pos = np.where(bit == 1, self.zeros[k] + ones, pos - ones)
+        return out
+
 
 class FmIndex:
-    """FM-index of a sequence of word numbers, in which 0 ends a run."""
+    """FM-index of a sequence of word numbers, in which 0 ends a run. Only the wavelet tree and the sampled positions are kept."""
 
     def __init__(self, seq: np.ndarray, sigma: int, sample: int = SAMPLE):
-        n = len(seq)
+        self.n = len(seq)
         order = _suffixes(seq)
-        self.bwt = seq[order - 1]
-        self.tree = WaveletTree(self.bwt, max(1, int(sigma).bit_length()))
+        last = seq[order - 1]
+        self.tree = WaveletTree(last, max(1, int(sigma).bit_length()))
         self.less = np.concatenate(([0], np.cumsum(np.bincount(seq, minlength=sigma + 1))))
-        self.sampled = np.full(n, -1, dtype=np.int64)
-        keep = (order % sample == 0) | (self.bwt == 0)  # where a run begins the walk stops as well
-        self.sampled[keep] = order[keep]
+        keep = (order % sample == 0) | (last == 0)  # where a run begins the walk stops as well
+        self.kept, self.sampled = Bits(keep), order[keep].astype(np.int32)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Range of suffixes that begin with each row of phrases, found backwards for all rows at once."""
         lo = np.zeros(len(phrases), dtype=np.int64)
-        hi = np.full(len(phrases), len(self.bwt), dtype=np.int64)
+        hi = np.full(len(phrases), self.n, dtype=np.int64)
+        left = np.arange(len(phrases))
         for k in range(phrases.shape[1] - 1, -1, -1):
-            s = phrases[:, k]
-            lo, hi = self.less[s] + self.tree.rank(s, lo), self.less[s] + self.tree.rank(s, hi)
-            hi = np.maximum(lo, hi)
+            s = phrases[left, k].astype(np.int64)
+            a, b = self.less[s] + self.tree.rank(s, lo[left]), self.less[s] + self.tree.rank(s, hi[left])
+            lo[left], hi[left] = a, np.maximum(a, b)
+            left = left[b > a]
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -121,11 +151,12 @@ class FmIndex:
         rows, steps, out = rows.copy(), 0, np.full(len(rows), -1, dtype=np.int64)
         left = np.arange(len(rows))
         while len(left):
-            p = self.sampled[rows[left]]
-            out[left[p >= 0]] = p[p >= 0] + steps
-            left = left[p < 0]
-            s = self.bwt[rows[left]]
-            rows[left] = self.less[s] + self.tree.rank(s, rows[left])
+            at = rows[left]
+            here = self.kept.get(at) == 1
+            out[left[here]] = self.sampled[self.kept.rank(at[here])] + steps
+            left, at = left[~here], at[~here]
+            s = self.tree.get(at)
+            rows[left] = self.less[s] + self.tree.rank(s, at)
             steps += 1
         return out
 
@@ -150,114 +181,130 @@ def _suffixes(seq: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """All phrases of `size` words of a set of items, as numbers."""
+    """All phrases of `size` words of a block of items, as numbers of a vocabulary."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
-        self.ids: dict[str, int] = {}
-        self.size = size
+    def __init__(self, items: list[tuple[int, str]], size: int, ids: dict[str, int]):
         first: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
+            w = [ids[x] for x in words(text)]
             for k in range(len(w) - size + 1):
                 first.setdefault(tuple(w[k : k + size]), set()).add(item)
-        self.rows = np.array(list(first), dtype=np.int64).reshape(-1, size)
+        self.size = size
+        self.rows = np.array(list(first), dtype=np.int32).reshape(-1, size)
         self.items = [sorted(x) for x in first.values()]
 
 
 class _Shard:
-    def __init__(self, phrases: Phrases):
-        self.p, self.seq, self.doc, self.word, self.n = phrases, [0], [-1], [-1], 0
+    """Runs of vocabulary words of some documents."""
 
-    def add(self, doc: int, text: str) -> None:
-        ids, size = self.p.ids, self.p.size
+    def __init__(self, ids: dict[str, int], size: int):
+        self.ids, self.size, self.n = ids, size, 0
+        # One entry a run: its document, its first word and where it begins.
+        self.seq, self.doc, self.word, self.begin = array("i", [0]), array("q"), array("i"), array("q")
+
+    def add(self, doc: int, text: str) -> bool:
+        """Whether the document has a run that may hold a phrase."""
+        ids, size = self.ids, self.size
         numbers = [ids.get(w, 0) for w in words(text)]
         self.n += len(numbers)
         if len(numbers) < size:
-            return
-        a = np.array(numbers + [0])
+            return False
+        a = np.array(numbers + [0], dtype=np.int32)
         ends = np.flatnonzero(a == 0)
         begin = np.concatenate(([0], ends[:-1] + 1))
-        for b, e in zip(begin, ends):
-            if e - b >= size:
-                self.seq.extend(numbers[b:e] + [0])
-                self.doc.extend([doc] * (e - b + 1))
-                self.word.extend(range(b, e + 1))
-
-    def hits(self) -> Iterator[tuple[int, int, int, int]]:
+        long = ends - begin >= size
+        for b, e in zip(begin[long].tolist(), ends[long].tolist()):
+            self.doc.append(doc)
+            self.word.append(b)
+            self.begin.append(len(self.seq))
+            self.seq.frombytes(a[b : e + 1].tobytes())
+        return bool(long.any())
+
+    def index(self) -> FmIndex | None:
+        return FmIndex(np.frombuffer(self.seq, dtype=np.int32), len(self.ids)) if len(self.begin) else None
+
+    def hits(self, fm: FmIndex, phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
         """(doc, item, first word, end word) of each merged span."""
-        if len(self.seq) <= self.p.size or not len(self.p.rows):
+        if not len(phrases.rows):
             return
-        seq = np.array(self.seq, dtype=np.int64)
-        fm = FmIndex(seq, len(self.p.ids))
-        lo, hi = fm.search(self.p.rows)
+        lo, hi = fm.search(phrases.rows)
         found = np.flatnonzero(hi > lo)
         counts = (hi - lo)[found]
         rows = np.repeat(lo[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = fm.locate(rows)
+        run = np.searchsorted(np.frombuffer(self.begin, dtype=np.int64), at, side="right") - 1
+        docs = np.frombuffer(self.doc, dtype=np.int64)[run]
+        firsts = np.frombuffer(self.word, dtype=np.int32)[run] + at - np.frombuffer(self.begin, dtype=np.int64)[run]
         spans: dict[tuple[int, int], list[int]] = {}
-        for p, pos in zip(np.repeat(found, counts).tolist(), at.tolist()):
-            for item in self.p.items[p]:
-                spans.setdefault((self.doc[pos], item), []).append(self.word[pos])
+        for p, doc, word in zip(np.repeat(found, counts).tolist(), docs.tolist(), firsts.tolist()):
+            for item in phrases.items[p]:
+                spans.setdefault((doc, item), []).append(word)
         for (doc, item), starts in spans.items():
             starts = sorted(set(starts))
             b = e = starts[0]
             for s in starts[1:]:
-                if s > e + self.p.size:
-                    yield doc, item, b, e + self.p.size
+                if s > e + self.size:
+                    yield doc, item, b, e + self.size
                     b = s
                 e = s
-            yield doc, item, b, e + self.p.size
+            yield doc, item, b, e + self.size
 
 
-def _blocks(items: DataFrame, key: str, text: str, at_once: int) -> Iterator[list[tuple[int, str]]]:
-    block = []
+def _blocks(items: DataFrame, key: str, text: str, at_once: int) -> tuple[dict[str, int], list[Broadcast]]:
+    """(numbers of the items' words, the items in broadcast blocks): the driver holds the vocabulary and one block at a time."""
+    sc = items.sparkSession.sparkContext
+    ids: dict[str, int] = {}
+    blocks, block = [], []
     for r in items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).toLocalIterator():
         block.append((r[0], r[1]))
+        for w in words(r[1]):
+            ids.setdefault(w, len(ids) + 1)
         if len(block) == at_once:
-            yield block
+            blocks.append(sc.broadcast(block))
             block = []
-    yield block
+    return ids, [*blocks, sc.broadcast(block)] if block else blocks
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = 12, at_once: int = ITEMS_AT_ONCE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, first_word, end_word, start_char, end_char): spans of at least `size` words of an item in a document.
 
     The spans are what to remove; positions count code points of the stored text. Null texts and keys match nothing, an
-    item of fewer words than `size` neither. The test items, a stated set, go to the tasks in blocks of at most `at_once`.
+    item of fewer words than `size` neither. The corpus is read once; each shard is indexed once and searched for the test
+    items, a stated set, block by block, of which a task holds one at a time beside the index and the vocabulary.
     """
     schema = "doc_id bigint, item_id bigint, first_word int, end_word int, start_char int, end_char int"
     src = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
-    out = None
-    for block in _blocks(items, item_key, item_text, at_once):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(block, size)
-
-            def found(shard: _Shard, kept: dict[int, tuple[int, str]]) -> pa.RecordBatch:
+    ids, blocks = _blocks(items, item_key, item_text, at_once)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ids)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+    names = ["doc_id", "item_id", "first_word", "end_word", "start_char", "end_char"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = vocabulary.value
+        only = Phrases(blocks[0].value, size, ids) if len(blocks) == 1 else None
+
+        def found(shard: _Shard, kept: dict[int, tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+            fm = shard.index()
+            where: dict[int, list[tuple[int, int]]] = {}
+            for block in blocks if fm else ():
                 rows = []
-                where: dict[int, list[tuple[int, int]]] = {}
-                for n, item, b, e in shard.hits():
+                for n, item, b, e in shard.hits(fm, only or Phrases(block.value, size, ids)):
                     doc, t = kept[n]
                     if n not in where:
                         where[n] = word_spans(t)
                     rows.append((doc, item, b, e, where[n][b][0], where[n][e - 1][1]))
-                cols = list(zip(*rows)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "first_word", "end_word", "start_char", "end_char"])
-
-            shard, kept, n = _Shard(phrases), {}, 0
-            for b in batches:
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    size_before = len(shard.seq)
-                    shard.add(n, t)
-                    if len(shard.seq) > size_before:
-                        kept[n] = (doc, t)
-                    n += 1
-                    if shard.n >= shard_words:
-                        yield found(shard, kept)
-                        shard, kept = _Shard(phrases), {}
-            yield found(shard, kept)
-
-        one = src.mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        shard, kept, n = _Shard(ids, size), {}, 0
+        for b in batches:
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if shard.add(n, t):
+                    kept[n] = (doc, t)
+                n += 1
+                if shard.n >= shard_words:
+                    yield from found(shard, kept)
+                    shard, kept = _Shard(ids, size), {}
+        yield from found(shard, kept)
+
+    return src.mapInArrow(run, schema)
