@@ -184,14 +184,22 @@ class Phrases:
     """All phrases of `size` words of a block of items, as numbers of a vocabulary."""
 
     def __init__(self, items: list[tuple[int, str]], size: int, ids: dict[str, int]):
-        first: dict[tuple[int, ...], set[int]] = {}
+        rows, owners = [np.zeros((0, size), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for item, text in items:
-            w = [ids[x] for x in words(text)]
-            for k in range(len(w) - size + 1):
-                first.setdefault(tuple(w[k : k + size]), set()).add(item)
-        self.size = size
-        self.rows = np.array(list(first), dtype=np.int32).reshape(-1, size)
-        self.items = [sorted(x) for x in first.values()]
+            w = np.array([ids[x] for x in words(text)], dtype=np.int32)
+            if len(w) >= size:
+                rows.append(np.lib.stride_tricks.sliding_window_view(w, size))
+                owners.append(np.full(len(w) - size + 1, item, dtype=np.int64))
+        every = np.concatenate(rows)
+        # Rows as single values of bytes: equal phrases of several items become one.
+        _, first, which = np.unique(every.view(f"V{4 * size}").ravel(), return_index=True, return_inverse=True)
+        self.size, self.rows = size, every[first]
+        self.owners = np.concatenate(owners)[np.argsort(which, kind="stable")]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(first)))))
+
+    def items(self, p: int) -> set[int]:
+        """The items that have a phrase."""
+        return set(self.owners[self.begin[p] : self.begin[p + 1]].tolist())
 
 
 class _Shard:
@@ -237,7 +245,7 @@ class _Shard:
         firsts = np.frombuffer(self.word, dtype=np.int32)[run] + at - np.frombuffer(self.begin, dtype=np.int64)[run]
         spans: dict[tuple[int, int], list[int]] = {}
         for p, doc, word in zip(np.repeat(found, counts).tolist(), docs.tolist(), firsts.tolist()):
-            for item in phrases.items[p]:
+            for item in phrases.items(p):
                 spans.setdefault((doc, item), []).append(word)
         for (doc, item), starts in spans.items():
             starts = sorted(set(starts))
