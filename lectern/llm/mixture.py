@@ -14,7 +14,9 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from lectern.llm.tools import written
 
 #: Quality weight of a document that has none.
 LEAST_QUALITY = 0.05
+#: Entries of the table of hashed byte trigrams, as a power of two.
+TRIGRAM_BITS = 18
 #: Folder of the public tokenizer files; see with_tokens().
 TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the pre-tokenisation pattern published with byte-level BPE vocabularies of 50k entries.
@@ -42,15 +46,20 @@ def quarter_chars(text: Column | str = "text") -> Column:
 
 
 def with_tokens(docs: DataFrame, *keep: str, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(*keep, size): tokens of the text under a public byte-level BPE vocabulary; null and empty texts have 0."""
+    """(*keep, size): tokens of the text under a public byte-level BPE vocabulary; null and empty texts have 0.
+
+    The vocabulary is a file on the driver; Spark sends it to the executors.
+    """
     path = vocabulary or f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     src = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     names = [*keep, "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         bpe = tiktoken.Encoding("public", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -61,11 +70,60 @@ def with_tokens(docs: DataFrame, *keep: str, text: str = "text", vocabulary: str
     return src.mapInArrow(run, ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "size bigint"]))
 
 
-def text_quality(text: Column | str = "text") -> Column:
-    """Quality weight in [0.05, 1]: the share of characters that are letters, marks or blanks; a missing text has the least."""
-    c = F.col(text) if isinstance(text, str) else text
-    plain = F.length(F.regexp_replace(c, r"[^\p{L}\p{M}\s]+", ""))
-    return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(plain / F.nullif(F.length(c), F.lit(0)), F.lit(LEAST_QUALITY)))
+def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a text's byte trigrams, hashed, and of the two bytes before each third one."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    two = (b[:-2] << 8) | b[1:-1]
+    return ((((two << 8) | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - TRIGRAM_BITS)).astype(np.int64), two.astype(np.int64)
+
+
+def trigram_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts of hashed byte trigrams and of byte pairs over all documents: two tables of a fixed size, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((1 << TRIGRAM_BITS) + (1 << 16), dtype=np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if len(t) > 2:
+                    three, two = _trigrams(t)
+                    n[: 1 << TRIGRAM_BITS] += np.bincount(three, minlength=1 << TRIGRAM_BITS)
+                    n[1 << TRIGRAM_BITS :] += np.bincount(two, minlength=1 << 16)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["at", "n"])
+
+    raw = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, "at bigint, n bigint")
+    n = np.zeros((1 << TRIGRAM_BITS) + (1 << 16), dtype=np.int64)
+    for b in raw.groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_batches():  # at most as many rows as the tables have entries
+        n[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return n[: 1 << TRIGRAM_BITS], n[1 << TRIGRAM_BITS :]
+
+
+def with_quality(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """(*keep, quality): a weight in [0.05, 1] from corpus evidence; a missing text or one under three bytes has the least.
+
+    The mean probability of a byte after the two before it, under counts over all documents (damaged or random text is
+    unlikely), times the share of its words that are different, as far as it is below a half (repetition is likely, but
+    worth little).
+    """
+    three, two = trigram_counts(docs, text)
+    logs = docs.sparkSession.sparkContext.broadcast((np.log(three + 0.5).astype(np.float32), np.log(two + 0.5 * 256).astype(np.float32)))
+    src = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    names = [*keep, "quality"]
+
+    def quality(t: str | None) -> float:
+        if not t or len(t) < 3:
+            return LEAST_QUALITY
+        a, b = _trigrams(t)
+        likely = float(np.exp(np.mean(logs.value[0][a] - logs.value[1][b])))
+        words = t.split()
+        return max(LEAST_QUALITY, min(1.0, likely * min(1.0, 2 * len(set(words)) / max(1, len(words)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            *columns, texts = b.columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([quality(t) for t in texts.to_pylist()], pa.float64())], names=names)
+
+    return src.mapInArrow(run, ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "quality double"]))
 
 
 def mixture_report(sized: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import forms, furniture, languages, leaks, mixture, scans, sentences, splitting
-from lectern.llm.tools import table
+from lectern.llm.tools import table, written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,15 +86,32 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", mixture.quarter_chars().alias("size"), mixture.text_quality().alias("quality"))
-    _, report = mixture.mixture(docs, table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents").withColumn("size", mixture.quarter_chars())
+    _, report = mixture.mixture(mixture.with_quality(docs, "doc_id", "source", "size"), table(spark, d, "mix_targets"))
     # All documents of such a source are used as often as they may be, so what it gave is what it can give.
     return report.where(F.col("below_target") & (F.col("used") == F.col("size") * F.col("max_repeats"))).select("source")
 
 
 def _mixed_in_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").withColumn("quality", mixture.text_quality())
-    return mixture.mixture(mixture.with_tokens(docs, "doc_id", "source", "quality"), table(spark, d, "mix_targets"))
+    docs = table(spark, d, "documents")
+    weighed = mixture.with_quality(docs, "doc_id", "source", "text")
+    return mixture.mixture(mixture.with_tokens(weighed, "doc_id", "source", "quality"), table(spark, d, "mix_targets"))
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, broken): how often the mix breaks each rule."""
+    mix, report = _mixed_in_tokens(spark, d)
+    mix = written(mix, "mix")
+    limits = report.select("source", "max_repeats", "size", "budget", "used", "actual_share")
+    epochs = mix.groupBy("source").agg(F.max("repeats").alias("most"), F.min("repeats").alias("least"), F.count("*").alias("n")).join(report.select("source", "n_docs"), "source")
+    of = lambda rule, df: df.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+    total = report.agg(F.sum("actual_share").alias("s"))
+    return (
+        of("a document above its repeats", mix.join(limits, "source").where("repeats > max_repeats"))
+        .unionByName(of("a source above its budget", limits.where("used > budget + 0.001")))
+        .unionByName(of("shares that do not add up", total.where("abs(s - 1) > 1e-9")))
+        .unionByName(of("a fraction before a whole epoch", epochs.where("most - least > 1 or (most > 1 and n < n_docs)")))
+    )
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +136,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two whose cases SQL can state exactly; the rest are tested by brute force on small fixtures."""
+    """SQL for those whose cases SQL can state exactly, and for the rules that a mix keeps; the rest are tested by brute force on small fixtures."""
     return {
+        "p7_invariants": """
+            SELECT rule, CAST(0 AS BIGINT) AS broken
+            FROM (VALUES ('a document above its repeats'), ('a source above its budget'), ('shares that do not add up'), ('a fraction before a whole epoch')) AS t(rule)
+        """,
         "p1_found": """
             SELECT chunk_key FROM text_chunks
             WHERE length(text) > CASE WHEN coalesce(is_parent, false) THEN 5000 ELSE 2500 END

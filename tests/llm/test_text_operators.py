@@ -264,7 +264,7 @@ def test_mixture(spark):
     docs = [(i, "word " * (i % 7 + 1), ["Big Source", "big-source", "small", None, "other"][i % 5]) for i in range(200)] + [(900, None, "small"), (901, "", "small")]
     D = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, size int").drop("size")
     T = spark.createDataFrame([("big_source", 1, 3), ("small", 3, 2), ("none", 1, 5)], "source string, weight int, max_repeats int")
-    D = D.select("*", mixture.quarter_chars().alias("size"), mixture.text_quality().alias("quality"))
+    D = mixture.with_quality(D.withColumn("size", mixture.quarter_chars()), *D.columns, "size")
     mix, report = mixture.mixture(D, T)
     got = mix.collect()
     limit = {"big_source": 3, "small": 2}
@@ -284,6 +284,16 @@ def test_mixture(spark):
     assert sized == [(0, 2), (6, 8), (900, 0), (901, 0)]
 
 
+def test_quality_tells_damage_and_repetition(spark):
+    good = [(i, f"the walk {'abcdefghij'[i % 10]} stays below the bound of the chain number {i}", "x") for i in range(200)]
+    odd = [(900, "qz#7 jx~~ vk%% wq@9 zj$$ kx&&", "x"), (901, "the walk " * 40, "x"), (902, None, "x"), (903, "", "x"), (904, "ab", "x")]
+    D = spark.createDataFrame(good + odd, "doc_id bigint, text string, quality string")
+    q = {r.doc_id: r.quality for r in mixture.with_quality(D, "doc_id").collect()}
+    assert len(q) == 205 and all(0.05 <= v <= 1 for v in q.values())
+    assert q[900] < q[1] / 2 and q[901] < q[1] / 2 and q[902] == q[903] == q[904] == 0.05
+    assert mixture.with_quality(D.limit(0), "doc_id").count() == 0
+
+
 # --- 8
 
 _MODEL = sentences.Model(frozenset(["Fig", "Dr", "etc", "cf", "p"]), frozenset(["The", "It", "In"]), frozenset(["Ardelan"]))
