@@ -138,13 +138,13 @@ def lexicon(pages: DataFrame, page: str = "page_number", text: str = "text", sou
                 edge = edge_lines(lines)
                 for k in edge:
                     line = lines[k]
-                    if len(line) < 90 and "  " in line and (m := _ATTACHED.fullmatch(fold_visible(line))):
+                    if "  " in line and (m := _ATTACHED.fullmatch(fold_visible(line))):
                         v = number(m.group(1) or m.group(2))
                         if v is not None and abs(v - n) <= 20 and (w := title_key(line)):
                             others["t", w] += 1
                 if src is not None:
                     for k in {edge[0], edge[-1]} if edge else ():
-                        if len(lines[k]) < 12 and (m := _BARE.fullmatch(fold_visible(lines[k]))) and m.group(1).isdigit():
+                        if (m := _BARE.fullmatch(fold_visible(lines[k]))) and m.group(1).isdigit():
                             others["o", f"{int(m.group(1)) - n} {src}"] += 1
             if len(words) + len(others) > 300_000:
                 yield out(words, others)
@@ -254,15 +254,15 @@ class Decoder:
     """The likeliest reading of a stretch of tokens; each distinct stretch is decoded once.
 
     A stretch is tokens parted by single blanks, with \x01 where a hyphen stood at a line end. Its reading is the best path
-    of steps: a lexicon word with up to two confusions undone, a blank or hyphen inside it dropped, a hyphen kept; a blank
+    of steps: a lexicon word with confusions undone, a blank or hyphen inside it dropped, a hyphen kept; a blank
     put in; or a token as it stands.
     """
 
-    def __init__(self, words: dict[str, int] | Lexicon, total: int | None = None):
+    def __init__(self, words: dict[str, int] | Lexicon, total: int | None = None, confusions: dict[str, tuple[str, ...]] = CONFUSIONS):
         if isinstance(words, dict):
             total = sum(words.values())
             words = dict.fromkeys((w[:k] for w, n in words.items() if n >= 3 for k in range(1, len(w) + 1)), 0) | words
-        self.words, self.total = words, max(1, total)
+        self.words, self.total, self.confusions = words, max(1, total), confusions
         self.fine: set[str] = set()
         self.odd: set[str] = set()
         self.read: dict[str, list[Step] | None] = {}
@@ -359,11 +359,11 @@ class Decoder:
                 continue
             if find(head + ch, -1) >= 0:
                 stack.append((k + 1, head + ch, edits, first, cuts, cost, parted))
-            if edits < 2:
+            if 2 * edits <= k - i:  # one letter in two may be wrong, beyond that nothing is left to read
                 for bad, end, more in ((ch, k + 1, 0.0), (s[k : k + 2], k + 2, 0.0), (ch + s[k + 2 : k + 3], k + 3, CUT)):
                     if more and s[k + 1 : k + 2] != "\x01" or end > size:
                         continue
-                    for good in CONFUSIONS.get(bad, ()):
+                    for good in self.confusions.get(bad, ()):
                         if find(head + good, -1) >= 0:
                             stack.append((end, head + good, edits + 1, k if first < 0 else first, (*cuts, k + 1) if more else cuts, cost + more, parted))
 
@@ -379,8 +379,8 @@ class Decoder:
 
 
 def _fixed(w: str) -> bool:
-    """Whether a token is no word: a number, a single letter, a variable, a string without blanks."""
-    return len(w) < 2 or len(w) > 40 or not _LETTER.search(w) or _VARIABLE.fullmatch(w) is not None
+    """Whether a token is no word: a number, a single letter, a variable."""
+    return len(w) < 2 or not _LETTER.search(w) or _VARIABLE.fullmatch(w) is not None
 
 
 def stretches(s: str, decoder: Decoder, cased: str | None = None) -> Iterator[tuple[list[tuple[int, int]], list[Step]]]:
@@ -433,8 +433,6 @@ def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder,
     edge = edge_lines(lines)
     for r, k in enumerate(edge):
         line = lines[k]
-        if len(line) > 120:
-            continue
         f = fold_visible(line)
         m = _PAGE_NO.fullmatch(f)
         if m:
@@ -516,13 +514,14 @@ def _boundaries(lines: list[str]) -> list[list[str]]:
     run = [0.0] * n
     for j in range(1, n):
         run[j] = run[j - 1] - gain[j - 1]  # price of crossing a likely boundary
+    # A paragraph of lines i to j costs what it crosses, run[j - 1] - run[i], and its boundary; the best i so far is carried along.
+    best, at = math.inf, 0
     for j in range(1, n + 1):
-        best = None
-        for i in range(max(0, j - 400), j):
-            c = cost[i] + (run[j - 1] - run[i]) / 2 + (gain[i - 1] / 2 if i else 0.0)
-            if best is None or c < best:
-                best, back[j] = c, i
-        cost[j] = best
+        i = j - 1
+        c = cost[i] - run[i] / 2 + (gain[i - 1] / 2 if i else 0.0)
+        if c < best:
+            best, at = c, i
+        cost[j], back[j] = best + run[j - 1] / 2, at
     cuts, j = [], n
     while j:
         cuts.append((back[j], j))
@@ -560,13 +559,13 @@ def _reread(t: str, decoder: Decoder) -> str:
     return ("".join(out) + t[at:]).replace("\x01", "")
 
 
-def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titles: DataFrame | None, schema: str, of) -> DataFrame:
+def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titles: DataFrame | None, schema: str, of, confusions: dict[str, tuple[str, ...]]) -> DataFrame:
     name, total, offsets = lexicon(pages, page, text, source, titles)
     kinds = [pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = titles = Lexicon(name)
-        decoder = Decoder(words, total)
+        decoder = Decoder(words, total, confusions)
         for b in batches:
             rows = [(k, *x) for k, n, t, shift in zip(*(c.to_pylist() for c in b.columns)) for x in of(t, n, shift, decoder, titles)]
             cols = list(zip(*rows)) or [[], [], []]
@@ -576,11 +575,11 @@ def _decoded(pages: DataFrame, key: str, page: str, text: str, source: str, titl
     return src.join(small(offsets), "source", "left").select("key", "page", "text", "shift").mapInArrow(run, schema)
 
 
-def scan_lines(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> DataFrame:
-    """(page_id, line_no, kind), a row per kind that a line has. Null texts have none; a null page number matches no number without dress."""
-    return _decoded(pages, key, page, text, source, titles, "page_id bigint, line_no int, kind string", line_kinds)
+def scan_lines(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None, confusions: dict[str, tuple[str, ...]] = CONFUSIONS) -> DataFrame:
+    """(page_id, line_no, kind), a row per kind that a line has. confusions: what scanners print, with what may have stood there. Null texts have none; a null page number matches no number without dress."""
+    return _decoded(pages, key, page, text, source, titles, "page_id bigint, line_no int, kind string", line_kinds, confusions)
 
 
-def scan_paragraphs(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None) -> DataFrame:
+def scan_paragraphs(pages: DataFrame, key: str = "page_id", page: str = "page_number", text: str = "text", source: str = "source_file", titles: DataFrame | None = None, confusions: dict[str, tuple[str, ...]] = CONFUSIONS) -> DataFrame:
     """(page_id, para_no, paragraph): every page's text as continuous paragraphs; a blank page has none."""
-    return _decoded(pages, key, page, text, source, titles, "page_id bigint, para_no int, paragraph string", lambda *x: enumerate(paragraphs(*x)))
+    return _decoded(pages, key, page, text, source, titles, "page_id bigint, para_no int, paragraph string", lambda *x: enumerate(paragraphs(*x)), confusions)

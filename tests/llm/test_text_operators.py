@@ -197,6 +197,18 @@ def test_stretches_are_read_whole():
     assert read("the $x$ ran dom $vari$ able") == ["the $x$ random $vari$ able"]
 
 
+def test_no_limits_on_confusions_and_lengths():
+    d = scans.Decoder({"theorem": 500_000, "the": 9_000_000, "supercalifragilisticexpialidociousness": 50_000, "of": 9_000_000, "zap": 40_000}, confusions=scans.CONFUSIONS | {"q": ("z",)})
+    kinds = lambda t: scans.line_kinds(t, 7, None, d, {scans.title_key("the of " * 40)})
+    assert kinds("of\nthe thcorcrn of") == [(1, "misread")]
+    assert kinds("the qap of") == [(0, "misread")]
+    assert kinds("supercalifragilisticexpialidociousnesstheorem of") == []
+    assert scans.paragraphs("supercalifragilisticexpialidociousnesstheorem of", 1, None, d, ()) == ["supercalifragilisticexpialidociousness theorem of"]
+    assert kinds("the of " * 40 + "\nof") == [(0, "header")]
+    long = "\n".join(["the theorem of"] * 3000)
+    assert len(scans.paragraphs(long, 1, None, d, ())) == 1
+
+
 def test_rare_words_stay_at_any_size(spark):
     """Four million words more change nothing for a word seen three times."""
     texts = [(n, "the bail of the case stays") for n in range(1, 61)] + [(n, "one ball of the case stays") for n in range(61, 64)]
