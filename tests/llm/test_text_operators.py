@@ -57,6 +57,28 @@ def test_located_pieces(spark):
             assert page[r.start_char : r.end_char] == r.text
 
 
+def test_pieces_prefer_paragraphs_to_fullness():
+    text = ("One two three. " * 4).strip() + "\n\n" + ("Four five six. " * 30).strip()
+    assert splitting.pieces(text, 90, 5)[0] == (0, text.index("Four"))
+
+
+def test_pieces_are_seen_in_other_spelling(spark):
+    page = "Intro.\n\n" + "\n".join(f"Sentence number {i} of the p\u00e1ge." for i in range(200))
+    other = page[8:].replace("\n", "  ").replace("\u00e1", "a\u0301").replace("Sentence", "Sеntence\u200b")
+    children = page[8:2000].strip() + "\n\n" + page[2200:6000].strip()
+    chunks = spark.createDataFrame([(1, other, False, "f", 1, 0), (2, children, True, "f", 1, 0), (3, "zz " * 1000, False, "f", 1, 7)], "chunk_key bigint, text string, is_parent boolean, source_file string, page int, start_char int")
+    pages = spark.createDataFrame([("f", 1, page)], "source_file string, page_number int, text string")
+    bare = lambda t: "".join(forms.visual_form(t).split())
+    got = splitting.located_pieces(chunks, pages).collect()
+    assert {r.chunk_key for r in got} == {1, 2, 3}
+    for r in got:
+        assert r.located == (r.chunk_key < 3)
+        if r.chunk_key == 1:
+            assert bare(page[r.start_char : r.end_char]) == bare(r.text)
+        if r.chunk_key == 2 and r.piece_no == 0:
+            assert page[r.start_char : r.end_char] == page[8:2000] + page[2000 : r.end_char]
+
+
 # --- 2
 
 
