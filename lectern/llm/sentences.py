@@ -48,8 +48,8 @@ _UP = "A-ZÀ-ÖØ-ÞЀ-Я"
 _DOT = re.compile(r"\.(\s*)([^\W\d_]+|\S)?")
 _CAPITAL = re.compile(rf" ([{_UP}]\w+)")
 _TOKEN = re.compile(r"\w+\.?")
-#: A word with a full stop after which the sentence plainly goes on.
-_GOES_ON = re.compile(r"(\w+)\.(?=([,;:]|[^\S\n][^\W_]))")
+#: A full stop after a word, after which a sentence may plainly go on.
+_GOES_ON = re.compile(r"\.(?<=\w\.)(?=([,;:]|[^\S\n][^\W_]))")
 _INSIDE = frozenset("​‌‍⁠﻿­̧̀́̂̃̈")
 
 
@@ -189,8 +189,7 @@ class _Doc:
         self.text, self.model, self.thai = text, model, False
         self._names: dict[str, bool | None] = {}
         self._abbr: dict[tuple[str, bool], bool] = {}
-        self._words: Counter | None = None
-        self._on: Counter = Counter()
+        self._on: Counter | None = None
         self.back = _Back("")
 
     def closed_by_abbreviation(self, p: str, i: int, opened: int) -> bool:
@@ -226,13 +225,31 @@ class _Doc:
             return True
         known = self._abbr.get((w, goes_on))
         if known is None:
-            if self._words is None:
-                self._words = Counter(_TOKEN.findall(self.text))
-                self._on = Counter(x for x, after in _GOES_ON.findall(self.text) if len(after) == 1 or after[1].islower() or after[1].isdigit() and x.lower() != x.upper())
-            plain, on = self._words.get(w, 0), self._on.get(w, 0) - goes_on
-            known = self._abbr[w, goes_on] = on > plain if on != plain and max(on, plain) > 0 else w in self.model.abbreviations
+            if self._on is None:
+                self._on = self._counted()
+            on, corpus = max(0, self._on.get(w, 0) - goes_on), w in self.model.abbreviations
+            known = False
+            if on > 0 or corpus:  # else neither document nor corpus speaks for it
+                t, n = self.text, len(w)
+                plain = sum(1 for k in self.places(w) if t[k + n : k + n + 1] != ".")
+                known = on > plain if on != plain else corpus
+            self._abbr[w, goes_on] = known
         return known
 
+    def _counted(self) -> Counter:
+        """Words before full stops after which the sentence plainly goes on."""
+        t, on = self.text, Counter()
+        for m in _GOES_ON.finditer(t):
+            after, e = m.group(1), m.start()
+            if len(after) == 1 or after[1].islower() or after[1].isdigit():
+                k = e
+                while k and (t[k - 1].isalnum() or t[k - 1] == "_"):
+                    k -= 1
+                w = t[k:e]
+                if not (len(after) == 2 and after[1].isdigit() and w.lower() == w.upper()):
+                    on[w] += 1
+        return on
+
 
 def spans(text: str, model: Model) -> list[tuple[int, int]]:
     """[start, end) of each sentence unit of a text, without blanks at either end."""
