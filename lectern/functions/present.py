@@ -6,8 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Badges of the confidence levels.
-EMOJI = {"high": "🟢", "medium": "🟡", "low": "🟠", "insufficient": "🔴"}
-COLOUR = {"high": "green", "medium": "orange", "low": "red", "insufficient": "gray"}
+EMOJI = {"high": "🟢", "medium": "🟡", "low": "🔴", "insufficient": "⚫"}
+COLOUR = {"high": "#28a745", "medium": "#ffc107", "low": "#dc3545", "insufficient": "#6c757d"}
+# Labels of the source types that a user may choose.
+SOURCE_TYPE_OF_LABEL = {"Books": "book", "Lecture Notes": "lecture_notes", "Exercises": "exercises"}
+# The parts of a prompt.
+NO_CONTEXT = "\n=== NO RELEVANT CONTEXT FOUND ===\n"
+CONTEXT = ("\n=== CONTEXT FROM BIBLIOGRAPHY ===\n\n", "\n\n=== END OF CONTEXT ===\n")
+HISTORY = ("\n=== PREVIOUS CONVERSATION ===\n", "\n=== END OF CONVERSATION ===\n")
+ANSWER_IN = {
+    "en": "\n\nCRITICAL: The user asked in English. You MUST respond in ENGLISH.",
+    "es": "\n\nCRITICAL: The user asked in Spanish. You MUST respond in SPANISH.",
+}
+# Fixed value: what is shown before an answer of low confidence.
+LOW_CONFIDENCE = "⚠️ **Note:** The available bibliography has limited information on this specific topic. The response below may be incomplete. Please verify with your professor or additional resources."
 
 
 def similarity(distance: Column) -> Column:
@@ -49,7 +61,7 @@ def sigmoid(x: Column) -> Column:
 
 def badge(level: Column) -> tuple[Column, Column]:
     one = lambda m, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), level), F.lit(other))
-    return one(EMOJI, "⚪"), one(COLOUR, "gray")
+    return one(EMOJI, "⚪"), one(COLOUR, "#6c757d")
 
 
 def token_estimate(text: Column) -> Column:
@@ -75,18 +87,32 @@ def cache_key(query: Column, context: Column) -> Column:
     return F.md5(F.concat(F.lower(F.trim(query)), F.lit(":"), F.md5(F.substring(context, 1, 1000).cast("binary"))).cast("binary"))
 
 
+def defaulted(source_file: Column, page: Column, author: Column, source_type: Column, chapter: Column) -> Column:
+    """A hit's fields with the values that stand for missing ones; chapter -1 is none."""
+    return F.struct(
+        F.coalesce(source_file, F.lit("Unknown")).alias("source_file"), F.coalesce(page, F.lit(0)).alias("page"), F.coalesce(author, F.lit("Unknown")).alias("author"),
+        F.coalesce(source_type, F.lit("unknown")).alias("source_type"), F.nullif(chapter, F.lit(-1)).alias("chapter"),
+    )
+
+
+def source_type_of_label(label: Column) -> Column:
+    """The source type behind a label; null, which filters nothing, for 'All' and any other."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_TYPE_OF_LABEL.items() for x in kv]), label)
+
+
+def low_confidence_notice(level: Column) -> Column:
+    return F.when(level == "low", F.lit(LOW_CONFIDENCE))
+
+
 def context_section(context: Column) -> Column:
-    return F.when(F.trim(F.coalesce(context, F.lit(""))) == "", F.lit("No relevant context was found.\n")).otherwise(F.concat(F.lit("## Context\n\n"), context, F.lit("\n")))
+    return F.when(F.trim(F.coalesce(context, F.lit(""))) == "", F.lit(NO_CONTEXT)).otherwise(F.concat(F.lit(CONTEXT[0]), context, F.lit(CONTEXT[1])))
 
 
 def prompt(context: Column, history: Column, question: Column, language: Column) -> Column:
-    """Context, history, question and, for Spanish, the language to answer in."""
-    return F.concat(
-        context_section(context),
-        F.when(F.coalesce(F.trim(history), F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("\n## Conversation\n\n"), history, F.lit("\n"))),
-        F.lit("\n## Question\n\n"), F.coalesce(question, F.lit("")),
-        F.when(language == "es", F.lit("\n\nAnswer in Spanish.")).otherwise(F.lit("")),
-    )
+    """Context, history and question, and the language to answer in if it is one of ANSWER_IN."""
+    told = F.when(F.coalesce(history, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(HISTORY[0]), history, F.lit(HISTORY[1])))
+    directive = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ANSWER_IN.items() for x in kv]), language), F.lit(""))
+    return F.concat(F.lit("\n"), context_section(context), F.lit("\n\n"), told, F.lit("\n\nQUESTION: "), F.coalesce(question, F.lit("")), F.lit("\n\nANSWER (with citations):"), directive)
 
 
 def answer_language(query: Column, detected: Column) -> Column:

@@ -102,10 +102,10 @@ def flat_context(hits: DataFrame) -> DataFrame:
 
 
 def grouped_context(hits: DataFrame) -> DataFrame:
-    """(query_id, context): texts in reading order, with a header where the source changes."""
+    """(query_id, context): citation and text of each hit in reading order, with a header of author and file where the file changes."""
     order = W.partitionBy("query_id").orderBy("source_file", "page", F.desc("similarity"), "chunk_id")
-    n = F.row_number().over(order).alias("n")
-    head = F.when(F.lag("source_file").over(order).eqNullSafe(F.col("source_file")) & (F.row_number().over(order) > 1), F.lit("")).otherwise(F.concat(F.lit("=== "), F.coalesce("source_file", F.lit("Unknown")), F.lit(" ===\n")))
-    part = F.concat(head, F.lit("[page "), F.coalesce(F.col("page").cast("string"), F.lit("0")), F.lit("]\n"), F.coalesce(context_text(F.col("parent_content"), F.col("text")), F.lit("")))
-    one = hits.select("query_id", F.struct(n, part.alias("s")).alias("p"))
-    return one.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "\n\n").alias("context"))
+    same = F.lag("source_file").over(order).eqNullSafe(F.col("source_file")) & (F.row_number().over(order) > 1)
+    head = F.concat(F.lit("\n=== From: "), F.coalesce("author", F.lit("Unknown")), F.lit(" - "), F.coalesce("source_file", F.lit("Unknown")), F.lit(" ===\n\n"))
+    part = F.concat(F.lit("["), citation(F.col("author"), F.col("chapter"), F.col("page")), F.lit("]\n"), F.coalesce(context_text(F.col("parent_content"), F.col("text")), F.lit("")), F.lit("\n"))
+    one = hits.select("query_id", F.struct(F.row_number().over(order).alias("n"), F.concat(F.when(same, F.lit("")).otherwise(head), part).alias("s")).alias("p"))
+    return one.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["s"]), "\n").alias("context"))

@@ -101,12 +101,12 @@ def oracle_sql() -> dict[str, str]:
             done AS (SELECT query_id, string_agg(s, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM parts GROUP BY query_id)
             SELECT query_id, md5(context) AS digest, length(context) AS n_chars FROM done""".replace("h.h.page", "h.page").replace("'h.page '", "'page '"),
         "context_grouped": f"""WITH {_CHUNKS}, {_HITS},
-            ordered AS (SELECT h.query_id, h.source_file, h.page, coalesce(nullif(parent_content, ''), text, '') AS body,
+            ordered AS (SELECT h.query_id, h.source_file, h.page, c.author, c.chapter, coalesce(nullif(parent_content, ''), text, '') AS body,
                 row_number() OVER w AS n, lag(h.source_file) OVER w AS before FROM hits h JOIN chunks c USING (chunk_id)
                 WINDOW w AS (PARTITION BY h.query_id ORDER BY h.source_file NULLS FIRST, h.page NULLS FIRST, h.similarity DESC NULLS LAST, h.chunk_id)),
-            parts AS (SELECT query_id, n, CASE WHEN n > 1 AND before IS NOT DISTINCT FROM source_file THEN '' ELSE '=== ' || coalesce(source_file, 'Unknown') || E' ===\\n' END
-                || '[page ' || coalesce(page::VARCHAR, '0') || E']\\n' || body AS s FROM ordered),
-            done AS (SELECT query_id, string_agg(s, E'\\n\\n' ORDER BY n) AS context FROM parts GROUP BY query_id)
+            parts AS (SELECT query_id, n, CASE WHEN n > 1 AND before IS NOT DISTINCT FROM source_file THEN '' ELSE E'\\n=== From: ' || coalesce(author, 'Unknown') || ' - ' || coalesce(source_file, 'Unknown') || E' ===\\n\\n' END
+                || '[' || {_CITE} || E']\\n' || body || E'\\n' AS s FROM ordered),
+            done AS (SELECT query_id, string_agg(s, E'\\n' ORDER BY n) AS context FROM parts GROUP BY query_id)
             SELECT query_id, md5(context) AS digest, length(context) AS n_chars FROM done""",
         "reading_order": f"""WITH {_HITS} SELECT query_id, chunk_id,
             row_number() OVER (PARTITION BY query_id ORDER BY source_file NULLS FIRST, page NULLS FIRST, similarity DESC NULLS LAST, chunk_id) AS read_pos,
@@ -177,7 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "badges": """WITH best AS (SELECT query_id, similarity FROM retrieval_hits WHERE similarity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) <= 3),
             agg AS (SELECT query_id, max(similarity) AS top, avg(similarity) AS mean FROM best GROUP BY query_id),
             lv AS (SELECT query_id, CASE WHEN top IS NULL OR top < 0.5 THEN 3 WHEN top > 0.75 AND mean > 0.65 THEN 0 WHEN top > 0.6 THEN 1 ELSE 2 END AS n FROM (SELECT DISTINCT query_id FROM retrieval_hits WHERE query_id IS NOT NULL) LEFT JOIN agg USING (query_id))
-            SELECT query_id, ['🟢', '🟡', '🟠', '🔴'][n + 1] AS emoji, ['green', 'orange', 'red', 'gray'][n + 1] AS colour FROM lv""",
+            SELECT query_id, ['🟢', '🟡', '🔴', '⚫'][n + 1] AS emoji, ['#28a745', '#ffc107', '#dc3545', '#6c757d'][n + 1] AS colour FROM lv""",
         "rewrites": r"""WITH c AS (SELECT *, lead(content) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM chat_messages),
             a AS (SELECT conv_id, turn, content, trim(regexp_replace(regexp_replace(trim(after), '^"(.*)"$', '\1', 's'), '^\x27(.*)\x27$', '\1', 's')) AS t FROM c WHERE lower(trim(role)) = 'user' AND content IS NOT NULL),
             r AS (SELECT conv_id, turn, content, CASE WHEN coalesce(length(t), 0) = 0 OR length(t) > greatest(300, 10 * length(content)) THEN content ELSE t END AS rewrite FROM a)
@@ -186,8 +186,14 @@ def oracle_sql() -> dict[str, str]:
         "chat_window_prompt": """WITH r AS (SELECT conv_id, turn, upper(trim(role)) || ': ' || content AS s FROM chat_messages WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10),
             h AS (SELECT conv_id, string_agg(s, chr(10) ORDER BY turn) AS history FROM r GROUP BY conv_id),
             q AS (SELECT conv_id, arg_max(content, turn) AS question FROM chat_messages WHERE lower(trim(role)) = 'user' AND content IS NOT NULL GROUP BY conv_id),
-            p AS (SELECT conv_id, E'No relevant context was found.\\n' || CASE WHEN trim(history) = '' THEN '' ELSE E'\\n## Conversation\\n\\n' || history || E'\\n' END || E'\\n## Question\\n\\n' || question AS prompt FROM h JOIN q USING (conv_id))
+            p AS (SELECT conv_id, E'\\n\\n=== NO RELEVANT CONTEXT FOUND ===\\n\\n\\n' || CASE WHEN history = '' THEN '' ELSE E'\\n=== PREVIOUS CONVERSATION ===\\n' || history || E'\\n=== END OF CONVERSATION ===\\n' END
+                || E'\\n\\nQUESTION: ' || question || E'\\n\\nANSWER (with citations):\\n\\nCRITICAL: The user asked in English. You MUST respond in ENGLISH.' AS prompt FROM h JOIN q USING (conv_id))
             SELECT conv_id, prompt, length(prompt) // 4 AS tokens FROM p""",
+        "highlights": r"""WITH c AS (SELECT chunk_key, trim(regexp_replace(regexp_replace(parent_content, 'CHAPTER \d+\.[^\n]*\n', chr(10), 'g'), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS p,
+                trim(regexp_replace(regexp_replace(text, 'CHAPTER \d+\.[^\n]*\n', chr(10), 'g'), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM text_chunks),
+            f AS (SELECT *, instr(lower(p), lower(t)) AS k, length(t) AS n FROM c)
+            SELECT chunk_key, CASE WHEN coalesce(p, '') = '' THEN t WHEN t = '' OR k = 0 THEN trim(regexp_replace('... ' || t || ' ...', ' +', ' ', 'g'))
+                ELSE trim(regexp_replace(CASE WHEN k > 201 THEN '...' ELSE '' END || substring(p, greatest(1, k - 200), k - greatest(1, k - 200)) || ' :orange[**' || substring(p, k, n) || '**] ' || substring(p, k + n, 200) || CASE WHEN length(p) >= k + n + 200 THEN '...' ELSE '' END, ' +', ' ', 'g')) END AS shown FROM f""",
         "rewrite_history": """WITH r AS (SELECT conv_id, turn, upper(trim(role)) || ': ' || CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS s FROM chat_messages WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)
             SELECT conv_id, string_agg(s, chr(10) ORDER BY turn) AS history FROM r GROUP BY conv_id""",
         "answer_language": f"WITH {_USER}, c AS (SELECT conv_id, turn, query, {_ES.format('query')} AS es, {_EN.format('query')} AS en FROM users) SELECT conv_id, turn, CASE WHEN length(query) < 20 THEN 'en' WHEN ({_LANG}) = 'es' THEN 'es' ELSE 'en' END AS language FROM c",

@@ -304,10 +304,11 @@ def test_latex(spark):
     assert norm("α here") == "$ \\alpha $  here" and norm("already $\\mu$ done") == "already $\\mu$ done"
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="a $\\{}_^`()\n1fracleft", max_size=60))
-def test_scan_never_raises(text):
-    assert isinstance(latex.scan(text), str)
+def test_latex_leaves_prose_and_long_lines(spark):
+    norm = lambda t: one(spark, latex.normalize_latex(F.lit(t)))
+    assert norm("so x = \\frac{a}{b} + 1 holds, as \\mu is.") == "so $ x = \\frac{a}{b} + 1 $ holds, as $ \\mu $ is."
+    assert norm("$$\n\\mu\n$$ and $\\nu$") == "$$\n\\mu\n$$ and $\\nu$" and norm("no command \\foo here") == "no command \\foo here"
+    assert norm("{" * 5000 + "\\frac{a" + "(x+" * 5000)
 
 
 def test_highlight(spark):
