@@ -5,12 +5,12 @@ Each is a function of pandas series wrapped as an Arrow function; a model is loa
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +27,25 @@ def loaded_once(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str)
 
 
 def hashed_embedder(dim: int = 64) -> Callable[[], Callable[[pd.Series], pd.Series]]:
-    """Stand-in embedder: signed hashes of words, of unit length."""
+    """Stand-in embedder: each word adds or takes one from a place, both told by its MD5; of unit length, or zero without words."""
 
     def load():
+        places: dict[str, tuple[int, int]] = {}
+
         def embed(texts: pd.Series) -> pd.Series:
             out = []
             for t in texts:
                 v = np.zeros(dim)
                 for w in (t or "").lower().split():
-                    h = xxhash.xxh64_intdigest(w)
-                    v[h % dim] += 1 if h >> 63 else -1
+                    at = places.get(w)
+                    if at is None:
+                        if len(places) > 500_000:
+                            places.clear()
+                        h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+                        at = places[w] = int(h[:4], 16) % dim, 1 if h[4] >= "8" else -1
+                    v[at[0]] += at[1]
                 n = np.linalg.norm(v)
-                out.append((v / n if n else v).astype(np.float32))
+                out.append(v / n if n else v)
             return pd.Series(out)
 
         return embed
@@ -47,7 +54,7 @@ def hashed_embedder(dim: int = 64) -> Callable[[], Callable[[pd.Series], pd.Seri
 
 
 def embedding(text: Column, load=None) -> Column:
-    return loaded_once(load or hashed_embedder(), "array<float>")(text)
+    return loaded_once(load or hashed_embedder(), "array<double>")(text)
 
 
 def retried(call: Callable[[str], str], tries: int = 5, first: float = 2.0, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:

@@ -1,8 +1,8 @@
-"""BM25 over tables: postings, lengths and term statistics, and searches that touch matching postings only."""
+"""BM25 over tables: term statistics in one pass, searches that shuffle matching words only, and a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,36 +11,79 @@ from lectern.functions.ingest import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, term, tf), (chunk_id, dl). Null texts have no terms and length 0."""
-    words = docs.select(F.col(key).alias("chunk_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
-    # Counted within the row: no shuffle is needed for term frequencies.
-    pairs = words.select("chunk_id", F.explode(F.array_distinct("words")).alias("term"), "words")
-    tf = pairs.select("chunk_id", "term", F.size(F.filter("words", lambda w: w == F.col("term"))).cast("bigint").alias("tf"))
-    return tf, words.select("chunk_id", F.size("words").cast("bigint").alias("dl"))
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("chunk_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
 
 
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(chunk_id, term, tf) by exploding and grouping; better than postings() for long texts, and combined map-side."""
-    return docs.select(F.col(key).alias("chunk_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(chunk_id, term, tf, dl): what an index stores. Null and empty texts have none. Counted map-side."""
+    words = _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
+    return words.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
 
 
-def term_stats(tf: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(term, df, idf): a negative idf becomes EPSILON times the mean over the vocabulary."""
-    n_docs = lengths.agg(F.count("*").alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(chunk_id, dl) of every document; null texts have length 0."""
+    return _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"))
+
+
+def term_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, df, idf, n_docs, avgdl): a negative idf becomes EPSILON times the mean over the vocabulary.
+
+    One pass: each document gives its different words and one row without a term, which counts documents and lengths; what
+    is shuffled is the vocabulary of each task.
+    """
+    words = _words(docs, key, text).select(F.size("words").cast("bigint").alias("dl"), F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return _with_idf(words.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dls")))
+
+
+def index_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """term_stats() of a stored index."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.lit(None).cast("bigint").alias("dls"))
+    return _with_idf(df.unionByName(lengths.agg(F.count("*").alias("df"), F.sum("dl").alias("dls")).select(F.lit(None).cast("string").alias("term"), "df", "dls")))
+
+
+def _with_idf(counts: DataFrame) -> DataFrame:
+    whole = counts.where("term is null").select(F.col("df").alias("n_docs"), (F.col("dls") / F.col("df")).alias("avgdl"))
+    raw = counts.where("term is not null").crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.col("mean_raw")).alias("idf"))  # one row
+    idf = F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.col("mean_raw"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "n_docs", "avgdl")  # one row
 
 
-def search(queries: DataFrame, tf: DataFrame, lengths: DataFrame, stats: DataFrame, k: int, query_key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best k of each query; repeated query words count again, ties go to the smaller chunk_id."""
+def _weights(queries: DataFrame, stats: DataFrame, query_key: str, text: str) -> DataFrame:
     q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = q.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"))
-    avg = lengths.agg(F.avg("dl").alias("avgdl"))
-    hits = tf.join(weighted, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(avg))  # one row
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    ranked = scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")))
-    return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+    return q.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl")
+
+
+def _score() -> Column:
+    return F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def search(queries: DataFrame, docs: DataFrame, key: str, k: int, text: str = "text", query_key: str = "query_id", query_text: str = "text") -> DataFrame:
+    """(query_id, chunk_id, score, rank): the best k documents of each query; repeated query words count again, ties go to the smaller chunk_id.
+
+    Only words that some query has are grouped and shuffled. A query with fewer matches is filled up with documents of score 0.
+    """
+    weights = _weights(queries, term_stats(docs, key, text), query_key, query_text)
+    asked = weights.select("term").distinct()
+    words = _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
+    tf = words.join(asked, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return _best(queries, tf.join(weights, "term"), docs.select(F.col(key).alias("chunk_id")), k, query_key)
+
+
+def search_index(queries: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, k: int, query_key: str = "query_id", query_text: str = "text") -> DataFrame:
+    """search() in a stored index."""
+    return _best(queries, postings.join(_weights(queries, stats, query_key, query_text), "term"), lengths.select("chunk_id"), k, query_key)
+
+
+def _best(queries: DataFrame, hits: DataFrame, ids: DataFrame, k: int, query_key: str) -> DataFrame:
+    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(_score()).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
+    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Among the 2k smallest ids are k that a query with fewer than k hits hasn't found.
+    first = ids.orderBy("chunk_id").limit(2 * k)
+    short = queries.select(F.col(query_key).alias("query_id")).distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+    zero = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")  # 2k rows
+    zero = zero.withColumn("rank", F.coalesce("n", F.lit(0)) + F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("rank") <= k)
+    both = best.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return both.unionByName(zero.select("query_id", "chunk_id", F.lit(0.0).alias("score"), F.col("rank").cast("bigint").alias("rank")))

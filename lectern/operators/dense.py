@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.present import similarity
 
-#: Query vectors a task compares with its rows at once; more queries are searched in several passes.
+#: Query vectors that a task compares with a batch of rows at once.
 QUERIES_AT_ONCE = 4_096
 
 
@@ -20,66 +21,88 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
     """(query_id, key, distance, similarity, rank [, group]): the k rows of least squared distance to each query.
 
     With group, the k best within each value of that column (a row's null group is one of its own); with same, only
-    rows whose group equals the query's. Each task keeps k candidates a query, so that what is shuffled is bounded by
-    tasks times queries times k (times groups). Null vectors are left out; ties go to the smaller key.
+    rows whose group equals the query's are scored. The rows are read once, the stated queries are broadcast in blocks of
+    QUERIES_AT_ONCE. Each task keeps k candidates a query, so that what is shuffled is bounded by tasks times queries times
+    k (times groups). Null vectors are left out; ties go to the smaller key.
     """
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"), *([F.col(group).cast("string").alias("g")] if same else []))
-    out = None
-    for block in _blocks(q):
-        ids = np.array([r.q for r in block])
-        m = np.array([r.v for r in block], dtype=np.float64)
-        wanted = [r.g for r in block] if same else None
-        one = _search(rows, ids, m, wanted, k, key, vector, group)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = _search(rows.limit(0), np.zeros(0, dtype=np.int64), np.zeros((0, 1)), [], k, key, vector, group)
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.col(group).cast("string") if same else F.lit(None).cast("string")).alias("g"))
+    out = _candidates(rows, _blocks(q), k, key, vector, group, same)
     by = ["query_id"] + (["group_value"] if group and not same else [])
     ranked = out.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.round("distance", 9), "key"))).where(F.col("rank") <= k)
     extra = [F.col("group_value").alias(group)] if group and not same else []
     return ranked.select("query_id", F.col("key").alias(key), F.round("distance", 6).alias("distance"), F.round(similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"), *extra)
 
 
-def _blocks(q: DataFrame) -> Iterator[list]:
-    block = []
+def _blocks(q: DataFrame) -> list[Broadcast]:
+    """Blocks of (ids, vectors, groups); the driver holds one at a time."""
+    sc, out, block = q.sparkSession.sparkContext, [], []
+
+    def send() -> None:
+        out.append(sc.broadcast((np.array([r.q for r in block]), np.array([r.v for r in block], dtype=np.float64), np.array([r.g for r in block], dtype=object))))
+        block.clear()
+
     for r in q.toLocalIterator():
         block.append(r)
         if len(block) == QUERIES_AT_ONCE:
-            yield block
-            block = []
+            send()
     if block:
-        yield block
+        send()
+    return out
+
+
+class _Best:
+    """The k nearest rows of each query seen so far, as flat arrays."""
+
+    def __init__(self, k: int, n_queries: int):
+        self.k, self.edge = k, np.full(n_queries, np.inf)
+        self.q, self.key, self.d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    def add(self, which: np.ndarray, keys: np.ndarray, d: np.ndarray) -> None:
+        """d: distances of the queries `which` to the rows `keys`."""
+        k = self.k
+        edge = self.edge[which]
+        if d.shape[1] > k:
+            edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(d <= edge[:, None] + 1e-9)  # with all ties at the edge
+        self.q, self.key, self.d = np.concatenate((self.q, which[i])), np.concatenate((self.key, keys[j])), np.concatenate((self.d, d[i, j]))
+        order = np.lexsort((self.key, np.round(self.d, 9), self.q))
+        q = self.q[order]
+        starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=np.int64)
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        kept = order[place < k]
+        last = order[place == k - 1]
+        self.edge[self.q[last]] = self.d[last]
+        self.q, self.key, self.d = self.q[kept], self.key[kept], self.d[kept]
 
 
-def _search(rows: DataFrame, ids: np.ndarray, m: np.ndarray, wanted: list | None, k: int, key: str, vector: str, group: str | None) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((ids, m, wanted))
+def _candidates(rows: DataFrame, blocks: list[Broadcast], k: int, key: str, vector: str, group: str | None, same: bool) -> DataFrame:
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     src = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), g.alias("g"), F.col(vector).cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m, wanted = shared.value
-        norms = (m * m).sum(axis=1)
-        best: dict[tuple[int, str | None], list[tuple[float, int]]] = {}
+        best: dict[tuple[int, str | None], _Best] = {}
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(n, -1)
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            groups = np.array(b.column(1).to_pylist(), dtype=object)
-            d = np.maximum(norms[:, None] + (x * x).sum(axis=1)[None, :] - 2 * m @ x.T, 0)
-            parts = [(None, np.arange(n))] if group is None else [(v, np.flatnonzero(groups == v)) for v in set(groups)]
-            for v, at in parts:
-                for i in range(len(ids)) if wanted is None or group is None else [i for i in range(len(ids)) if wanted[i] == v]:
-                    row = d[i, at]
-                    near = np.argpartition(row, k)[:k] if len(row) > k else np.arange(len(row))
-                    edge = row[near].max(initial=0)
-                    near = np.flatnonzero(row <= edge + 1e-9)  # with all ties at the edge
-                    c = best.get((i, v), []) + [(float(row[j]), int(keys[at[j]])) for j in near]
-                    best[i, v] = sorted(c, key=lambda x: (round(x[0], 9), x[1]))[:k]
-        out = [(int(ids[i]), kk, dist, v) for (i, v), c in best.items() for dist, kk in c]
-        cols = list(zip(*out)) or [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "key", "distance", "group_value"])
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            norms, keys = (x * x).sum(axis=1), b.column(0).to_numpy(zero_copy_only=False)
+            parts = [(None, np.arange(n))]
+            if group:
+                groups = np.array(b.column(1).to_pylist(), dtype=object)
+                parts = [(v, np.flatnonzero(groups == v)) for v in set(groups)]
+            for nth, block in enumerate(blocks):
+                ids, m, wanted = block.value
+                for v, at in parts:
+                    which = np.flatnonzero(wanted == v) if same else np.arange(len(ids))
+                    if same and v is None or not len(which):
+                        continue
+                    mine = m[which]
+                    d = np.maximum((mine * mine).sum(axis=1)[:, None] + norms[at][None, :] - 2 * mine @ x[at].T, 0)
+                    if (nth, v) not in best:
+                        best[nth, v] = _Best(k, len(ids))
+                    best[nth, v].add(which, keys[at], d)
+        for (nth, v), c in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[nth].value[0][c.q], pa.int64()), pa.array(c.key, pa.int64()), pa.array(c.d, pa.float64()), pa.array([v] * len(c.q), pa.string())], names=["query_id", "key", "distance", "group_value"])
 
     return src.mapInArrow(run, "query_id bigint, key bigint, distance double, group_value string")

@@ -11,32 +11,75 @@ def _tok(c: str) -> str:
     return _TOK.format(c)
 
 
-_BM25 = f"""
-    words AS (SELECT doc_id, unnest({_tok("text")}) AS term FROM documents),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
-    lens AS (SELECT doc_id, coalesce(len({_tok("text")}), 0) AS dl FROM documents),
+_QUESTIONS = "questions AS (SELECT doc_id AS query_id, title AS query FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL)"
+_LIBRARY = "library AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) AS nth FROM text_chunks WHERE chunk_id IS NOT NULL) WHERE nth = 1)"
+
+
+def _bm25(docs: str, key: str, asked: str = "questions") -> str:
+    """Common tables up to `sparse`, the best 15 of each query, filled up with documents of score 0."""
+    return f"""
+    words AS (SELECT {key} AS id, unnest({_tok("text")}) AS term FROM {docs}),
+    tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL),
+    lens AS (SELECT {key} AS id, coalesce(len({_tok("text")}), 0) AS dl FROM {docs}),
     dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    raws AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs),
+    raws AS (SELECT term, df, ln((SELECT count(*) FROM lens) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs),
     terms AS (SELECT term, df, CASE WHEN raw >= 0 THEN raw ELSE 0.25 * (SELECT avg(raw) FROM raws) END AS idf FROM raws),
-    asked AS (SELECT item_id AS query_id, unnest({_tok("text")}) AS term FROM benchmark_items WHERE item_id % 100 = 0),
-    weights AS (SELECT query_id, a.term, count(*) * any_value(idf) AS w FROM asked a JOIN terms USING (term) GROUP BY ALL),
+    said AS (SELECT query_id, unnest({_tok("query")}) AS term FROM {asked}),
+    weights AS (SELECT query_id, a.term, count(*) * any_value(idf) AS w FROM said a JOIN terms USING (term) GROUP BY ALL),
     scores AS (
-        SELECT query_id, doc_id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lens)))) AS score
-        FROM weights JOIN tf USING (term) JOIN lens USING (doc_id) GROUP BY ALL
+        SELECT query_id, id, sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lens)))) AS score
+        FROM weights JOIN tf USING (term) JOIN lens USING (id) GROUP BY ALL
     ),
-    sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores QUALIFY rank <= 15)
+    every AS (SELECT query_id, id, coalesce(score, 0) AS score, score IS NULL AS unseen FROM (SELECT DISTINCT query_id FROM {asked}) CROSS JOIN (SELECT DISTINCT id FROM lens) LEFT JOIN scores USING (query_id, id)),
+    sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY unseen, round(score, 9) DESC, id) AS rank FROM every QUALIFY rank <= 15)
+"""
+
+
+def _places(name: str, rows: str, key: str, text: str) -> str:
+    """Common tables of the stand-in embedding: each word adds or takes one at a place told by its MD5."""
+    return f"""
+    {name}_hashes AS (SELECT {key} AS id, md5(unnest({_tok(text)})) AS h FROM {rows}),
+    {name}_places AS (SELECT id, ('0x' || h[1:4])::BIGINT % 64 AS place, sum(CASE WHEN h[5] >= '8' THEN 1 ELSE -1 END) AS v FROM {name}_hashes GROUP BY ALL),
+    {name}_sizes AS (SELECT {key} AS id, coalesce(sum(v * v), 0) AS n FROM {rows} LEFT JOIN {name}_places p ON p.id = {key} GROUP BY ALL)
+"""
+
+
+_NEAR = f"""
+    {_places("q", "questions", "query_id", "query")}, {_places("c", "library", "chunk_key", "text")},
+    dots AS (SELECT q.id AS query_id, c.id, sum(q.v * c.v) AS dot FROM q_places q JOIN c_places c USING (place) GROUP BY ALL),
+    near AS (SELECT q.id AS query_id, c.id, greatest((q.n > 0)::INT + (c.n > 0)::INT - CASE WHEN q.n > 0 AND c.n > 0 THEN 2 * coalesce(dot, 0) / sqrt(q.n * c.n) ELSE 0 END, 0) AS dd
+        FROM q_sizes q CROSS JOIN c_sizes c LEFT JOIN dots d ON d.query_id = q.id AND d.id = c.id)
+"""
+
+
+def _fused(asked: str = "questions") -> str:
+    return f"""{_LIBRARY}, {_bm25("library", "chunk_key", asked)}, {_NEAR},
+    dense AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(dd, 9), id) AS rank FROM near QUALIFY rank <= 15),
+    lists AS (SELECT query_id, id, rank, 'd' AS list FROM dense UNION ALL SELECT query_id, id, rank, 's' FROM sparse),
+    sums AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS rrf, min(rank) FILTER (list = 'd') AS dr, min(rank) FILTER (list = 's') AS sr FROM lists GROUP BY ALL),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, sr NULLS LAST) AS rank FROM sums QUALIFY rank <= 10)
+"""
+
+
+def _widened(m: int) -> str:
+    """Common tables up to `wider`: questions with the first m synonyms of their longest term."""
+    return f"""{_QUESTIONS},
+    d AS (SELECT lower(term) AS term, min(expansions) AS expansions FROM query_expansions WHERE term IS NOT NULL AND term <> '' GROUP BY 1),
+    m AS (SELECT query_id, d.term, expansions FROM questions JOIN d ON contains(lower(query), d.term) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(d.term) DESC, d.term) = 1),
+    wider AS (SELECT q.query_id, CASE WHEN m.term IS NULL OR len(expansions) = 0 THEN query ELSE query || ' ' || array_to_string(expansions[1:{m}], ' ') END AS query FROM questions q LEFT JOIN m USING (query_id))
+"""
+
+
+_RERANKED = f"""{_widened(2)}, {_fused("wider")},
+    scored AS (SELECT f.query_id, f.id, f.rank AS old, c.text, c.author, c.chapter, c.page, c.parent_content,
+        round(1 / (1 + exp(-(6 * coalesce(len(list_intersect(list_distinct({_tok("q.query")}), list_distinct({_tok("c.text")}))) / nullif(len(list_distinct({_tok("q.query")})), 0), 0) - 3))), 6) AS similarity
+        FROM fused f JOIN library c ON c.chunk_key = f.id JOIN questions q USING (query_id)),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank FROM scored QUALIFY rank <= 5)
 """
 _DIST = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE)))"
 _DENSE = f"""
     near AS (SELECT a.vec_id AS query_id, a.label AS own, b.vec_id, b.label, {_DIST} AS dd FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
 """
-_FUSED = f"""
-    {_BM25}, {_DENSE},
-    dense AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(dd, 9), vec_id) AS rank FROM near QUALIFY rank <= 15),
-    lists AS (SELECT query_id, doc_id, rank, 'd' AS list FROM dense UNION ALL SELECT query_id, doc_id, rank, 's' FROM sparse),
-    sums AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf, min(rank) FILTER (list = 'd') AS dr, min(rank) FILTER (list = 's') AS sr FROM lists GROUP BY ALL),
-    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dr NULLS LAST, sr NULLS LAST) AS rank FROM sums QUALIFY rank <= 10)
-"""
 _DENSE_OUT = "round(dd, 6) AS distance, round(least(greatest(1 - dd / 2, 0), 1), 6) AS similarity"
 _SNIPPET = "CASE WHEN length({0}) <= {1} THEN {0} ELSE regexp_replace(substring({0}, 1, {1}), ' [^ ]*$', '') || '...' END"
 _CHUNKS = "chunks AS (SELECT * FROM text_chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_key) = 1)"
@@ -70,17 +113,34 @@ def _relevant(content: str) -> str:
 def oracle_sql() -> dict[str, str]:
     known = lambda c: f"coalesce(nullif(trim({c}), ''), 'unknown')"
     return {
-        "bm25_term_stats": f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms",
-        "bm25_multi_query_topk": f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM sparse",
+        "bm25_term_stats": f"WITH {_QUESTIONS}, {_bm25('documents', 'doc_id')} SELECT term, df, round(idf, 6) AS idf FROM terms",
+        "bm25_multi_query_topk": f"WITH {_QUESTIONS}, {_bm25('documents', 'doc_id')} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM sparse",
+        "stored_index_topk": f"""WITH {_QUESTIONS}, marked AS (SELECT *, indexed_at < '2025-01-01' AS early FROM text_chunks WHERE chunk_id IS NOT NULL),
+            first AS (SELECT * FROM marked WHERE early OR chunk_id NOT IN (SELECT chunk_id FROM marked WHERE early) QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_index NULLS FIRST, text NULLS FIRST) = 1),
+            {_bm25('first', 'chunk_id')} SELECT query_id, id AS chunk_id, round(score, 6) AS score, rank FROM sparse""",
         "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, {_DENSE_OUT}, row_number() OVER (PARTITION BY query_id ORDER BY round(dd, 9), vec_id) AS rank FROM near QUALIFY rank <= 15",
         "dense_topk_filtered": f"WITH {_DENSE} SELECT query_id, vec_id, {_DENSE_OUT}, row_number() OVER (PARTITION BY query_id ORDER BY round(dd, 9), vec_id) AS rank FROM near WHERE own = label QUALIFY rank <= 5",
         "dense_topk_per_label": f"WITH {_DENSE} SELECT query_id, vec_id, {_DENSE_OUT}, row_number() OVER (PARTITION BY query_id, label ORDER BY round(dd, 9), vec_id) AS rank, label::VARCHAR AS label FROM near QUALIFY rank <= 3",
-        "rrf_fusion": f"WITH {_FUSED} SELECT query_id, doc_id, round(rrf, 9) AS rrf_score, rank FROM fused",
-        "hybrid_reranked": f"""WITH {_FUSED},
-            scored AS (SELECT f.query_id, f.doc_id, f.rank AS old, d.text,
-                round(1 / (1 + exp(-(6 * coalesce(len(list_intersect(list_distinct({_tok("i.text")}), list_distinct({_tok("d.text")}))) / nullif(len(list_distinct({_tok("i.text")})), 0), 0) - 3))), 6) AS similarity
-                FROM fused f JOIN documents d USING (doc_id) JOIN benchmark_items i ON i.item_id = f.query_id)
-            SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, old) AS rank, {_SNIPPET.format("text", 200)} AS snippet FROM scored QUALIFY rank <= 5""",
+        "dense_topk_where": f"""WITH {_QUESTIONS}, {_LIBRARY}, {_NEAR}
+            SELECT query_id, id AS chunk_id, round(least(greatest(1 - dd / 2, 0), 1), 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(dd, 9), id) AS rank
+            FROM near JOIN library c ON c.chunk_key = near.id WHERE c.source_type = 'book' QUALIFY rank <= 5""",
+        "rrf_fusion": f"WITH {_QUESTIONS}, {_fused()} SELECT query_id, id AS chunk_id, round(rrf, 9) AS rrf_score, rank FROM fused",
+        "rrf_fusion_expanded": f"WITH {_widened(2)}, {_fused('wider')} SELECT query_id, id AS chunk_id, round(rrf, 9) AS rrf_score, rank FROM fused",
+        "hybrid_reranked": f"WITH {_RERANKED} SELECT query_id, id AS chunk_id, similarity, rank, {_SNIPPET.format('text', 200)} AS snippet FROM reranked",
+        "retrieved_context": f"""WITH {_RERANKED},
+            parts AS (SELECT query_id, rank, '[Source ' || rank || ' - ' || {_CITE} || E']\\n' || coalesce(nullif(parent_content, ''), text) AS s FROM reranked),
+            done AS (SELECT query_id, string_agg(s, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM parts GROUP BY query_id)
+            SELECT query_id, md5(context) AS digest, length(context) AS n_chars FROM done""",
+        "deep_search_by_author": f"""WITH {_widened(3)}, {_LIBRARY}, {_NAMED},
+            asked AS (SELECT query_id * 2 AS query_id, query FROM questions UNION ALL SELECT query_id * 2 + 1, query FROM wider),
+            {_NEAR.replace("questions", "asked")},
+            authors AS (SELECT author, row_number() OVER (ORDER BY CASE WHEN contains(lower(author), 'kelmora') OR contains(lower(author), 'duvarin') THEN 0 ELSE 1 END, author) AS position FROM (SELECT DISTINCT author FROM named)),
+            best AS (SELECT n.query_id // 2 AS query_id, n.query_id % 2 AS list, id, c.author, c.text, c.parent_content, round(least(greatest(1 - dd / 2, 0), 1), 6) AS similarity
+                FROM near n JOIN library c ON c.chunk_key = n.id WHERE trim(c.author) <> '' QUALIFY row_number() OVER (PARTITION BY n.query_id, c.author ORDER BY round(dd, 9), id) <= 3),
+            top AS (SELECT b.*, a.position, coalesce(nullif(parent_content, ''), text) AS body, q.query FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY list) = 1) b
+                JOIN authors a USING (author) JOIN questions q USING (query_id)),
+            won AS (SELECT query_id, min(position) AS position FROM top WHERE {_relevant("body")} GROUP BY query_id)
+            SELECT query_id, id AS chunk_id, author, greatest(similarity, 0.9) AS similarity FROM top JOIN won USING (query_id, position)""",
         "query_expansion": f"""WITH {_USER},
             d AS (SELECT lower(term) AS term, min(expansions) AS expansions FROM query_expansions WHERE term IS NOT NULL AND term <> '' GROUP BY 1),
             m AS (SELECT conv_id, turn, d.term, expansions FROM users JOIN d ON contains(lower(query), d.term) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(d.term) DESC, d.term) = 1)

@@ -5,6 +5,7 @@ Searches take as queries the rows whose id is divisible by 100, against all rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +14,23 @@ from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import ingest, latex, models, present
-from lectern.operators import bm25, chunking, confidence, dense, layout, retrieval, state, statistics
+from lectern.operators import bm25, chunking, confidence, dense, hybrid, layout, retrieval, state, statistics
+from lectern.session import shared_dir
 from lectern.sources import sinks
-from lectern.sources.collections import table
+from lectern.sources.collections import open_collection, sparse_index, table
 
 K = Config().top_k
 FETCH = Config().overfetch * K
 
 
-def _item_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Test items whose id is divisible by 100."""
-    return table(spark, d, "benchmark_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, query): the titles of the documents whose id is divisible by 100."""
+    return table(spark, d, "documents").where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
+
+
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that are searched: one of each id, by its number."""
+    return _chunks(spark, d, "text", "author", "chapter", "parent_content", "source_type").drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id")
 
 
 def _chunks(spark: SparkSession, d: str, *extra: str) -> DataFrame:
@@ -46,32 +53,36 @@ def _hydrated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _query_texts(spark: SparkSession, d: str) -> DataFrame:
-    """A text for each query id of the hits: the test items in turn."""
-    items = table(spark, d, "benchmark_items").select((F.col("item_id") - 1).alias("slot"), F.col("text").alias("query"))
-    n = 240  # the number of test items is fixed
+    """A text for each query id of the hits: the test items in turn, however many there are."""
+    items = table(spark, d, "benchmark_items").where("item_id is not null")
+    slots = items.select((F.row_number().over(W.orderBy("item_id")) - 1).alias("slot"), F.col("text").alias("query"))  # a small stated set
+    n = items.agg(F.count("*").alias("n"))
     ids = table(spark, d, "retrieval_hits").where("query_id is not null").select("query_id").distinct()
-    return ids.withColumn("slot", F.pmod("query_id", F.lit(n))).join(items, "slot").select("query_id", "query")
+    return ids.crossJoin(F.broadcast(n)).withColumn("slot", F.pmod("query_id", "n")).join(slots, "slot").select("query_id", "query")  # one row
 
 
 # --- sparse, dense and hybrid search
 
 
-def _bm25(spark: SparkSession, d: str):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    tf = bm25.term_counts(docs, "doc_id")
-    lengths = docs.select(F.col("doc_id").alias("chunk_id"), F.coalesce(F.size(ingest.tokens(F.col("text"))), F.lit(0)).cast("bigint").alias("dl"))
-    return tf, lengths, bm25.term_stats(tf, lengths)
-
-
 def bm25_term_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(table(spark, d, "documents"), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_multi_query_topk(spark: SparkSession, d: str) -> DataFrame:
-    r = bm25.search(_item_queries(spark, d), *_bm25(spark, d), FETCH)
+    r = bm25.search(_questions(spark, d), table(spark, d, "documents"), "doc_id", FETCH, query_text="query")
     return r.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def stored_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The search of a collection's stored index, which two appends have built."""
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    open_collection(spark, path, create=True)
+    chunks = table(spark, d, "text_chunks").where("chunk_id is not null")
+    sinks.add_chunks(chunks.where("indexed_at < '2025-01-01'"), path)
+    sinks.add_chunks(chunks, path)
+    return bm25.search_index(_questions(spark, d), *sparse_index(spark, path), FETCH, query_text="query").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
 
@@ -81,7 +92,7 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    """Only rows with the query's own label, filtered before scoring."""
+    """Only rows with the query's own label are scored."""
     return dense.nearest(table(spark, d, "embeddings"), _vector_queries(spark, d), K, group="label", same=True)
 
 
@@ -89,21 +100,41 @@ def dense_topk_per_label(spark: SparkSession, d: str) -> DataFrame:
     return dense.nearest(table(spark, d, "embeddings"), _vector_queries(spark, d), 3, group="label")
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    sparse = bm25.search(_item_queries(spark, d), *_bm25(spark, d), FETCH).select("query_id", "chunk_id", "rank")
-    near = dense.nearest(table(spark, d, "embeddings"), _vector_queries(spark, d), FETCH)
-    return retrieval.fuse(near.select("query_id", F.col("vec_id").alias("chunk_id"), "rank"), sparse, 2 * K)
+def dense_topk_where(spark: SparkSession, d: str) -> DataFrame:
+    """Chosen filters: they reach the scan."""
+    hits = hybrid.retrieved(_questions(spark, d), _library(spark, d), K, retrieval.where(source_type="book", author=None, language=""))
+    return hits.select("query_id", "chunk_id", "similarity", "rank")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), F.round("rrf_score", 9).alias("rrf_score"), "rank")
+    return hybrid.fused(_questions(spark, d), _library(spark, d), K).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
+
+
+def rrf_fusion_expanded(spark: SparkSession, d: str) -> DataFrame:
+    return hybrid.fused(_questions(spark, d), _library(spark, d), K, table(spark, d, "query_expansions")).select("query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
 def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
-    hits = _fused(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
-    asked = _item_queries(spark, d).withColumnRenamed("text", "query")
-    r = retrieval.rerank(hits.join(asked, "query_id"), K)
-    return r.select("query_id", F.col("chunk_id").alias("doc_id"), "similarity", "rank", present.snippet(F.col("text"), 200).alias("snippet"))
+    r = hybrid.hybrid(_questions(spark, d), _library(spark, d), K, table(spark, d, "query_expansions"))
+    return r.select("query_id", "chunk_id", "similarity", "rank", present.snippet(F.col("text"), 200).alias("snippet"))
+
+
+def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval without an answer: the context of each question's hits."""
+    library = _library(spark, d)
+    hits = hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions"))
+    c = retrieval.flat_context(hits.join(library, "chunk_id"))
+    return c.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("bigint").alias("n_chars"))
+
+
+def deep_search_by_author(spark: SparkSession, d: str) -> DataFrame:
+    """The first author, by position, one of whose own best chunks is relevant, searched for in both wordings."""
+    q, library = _questions(spark, d), _library(spark, d)
+    other = retrieval.expanded(q, table(spark, d, "query_expansions")).select("query_id", F.col("expanded").alias("query"))
+    hits = hybrid.by_author(q, library, other).join(library.select("chunk_id", "text", "parent_content"), "chunk_id").join(q, "query_id")
+    authors = statistics.priority_authors(table(spark, d, "text_chunks"), ["Kelmora", "Duvarin"])
+    r = confidence.first_relevant_author(hits, authors, confidence.relevant(F.col("query"), present.context_text(F.col("parent_content"), F.col("text"))), per_author=6)
+    return r.select("query_id", "chunk_id", "author", "similarity")
 
 
 # --- query expansion

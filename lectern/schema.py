@@ -6,7 +6,7 @@ CHUNK = (
     "block_type string, has_theorem boolean, has_proof boolean, has_definition boolean, start_char int, end_char int, parent_id string, parent_content string, is_parent boolean, child_count int, "
     "child_ids array<string>, embedding array<float>, extra map<string,string>"
 )
-POSTINGS = "chunk_id string, term string, tf bigint"
+POSTINGS = "chunk_id string, term string, tf bigint, dl bigint"
 LENGTHS = "chunk_id string, dl bigint"
-TERMS = "term string, df bigint, idf double"
+TERMS = "term string, df bigint, idf double, n_docs bigint, avgdl double"
 QUOTA_STATE = "count int, start_time double"

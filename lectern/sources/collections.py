@@ -49,7 +49,7 @@ def extract_pages(files: DataFrame, parse: Callable[[str, bytes], list[dict]], s
 def open_collection(spark: SparkSession, path: str, create: bool = False, description: str = "", model: str = "") -> DataFrame:
     """The chunk table at a path. With create, one is made if it is missing; else a missing one is an error."""
     try:
-        return spark.read.parquet(f"{path}/chunks")
+        return stored(spark, path, "chunks")
     except AnalysisException:
         if not create:
             raise MissingCollection(path) from None
@@ -68,12 +68,18 @@ def lookup(chunks: DataFrame, predicate: Column, *fields: str) -> DataFrame:
     return chunks.where(predicate).select(*fields) if fields else chunks.where(predicate)
 
 
+def stored(spark: SparkSession, path: str, name: str, parts: bool = False) -> DataFrame:
+    """One of a collection's tables; parts adds source_part, the part that a row's source is in."""
+    df = spark.read.schema({"chunks": CHUNK, "postings": POSTINGS, "lengths": LENGTHS}[name] + ", source_part int").parquet(f"{path}/{name}")
+    return df if parts else df.drop("source_part")
+
+
 def sparse_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, lengths, terms) of a collection; empty tables if the index was never written."""
     out = []
     for name, schema in (("postings", POSTINGS), ("lengths", LENGTHS), ("terms", TERMS)):
         try:
-            out.append(spark.read.parquet(f"{path}/{name}"))
+            out.append(spark.read.schema(schema).parquet(f"{path}/terms") if name == "terms" else stored(spark, path, name))
         except AnalysisException:
             out.append(spark.createDataFrame([], schema))
     return tuple(out)

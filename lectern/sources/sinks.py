@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import logging
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators import bm25
 from lectern.schema import CHUNK
+from lectern.sources.collections import stored
 
 log = logging.getLogger("lectern")
+#: Parts of a collection: each source is in one, so that deleting a file rewrites one part.
+PARTS = 64
+
+
+def part_of(source_file: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(source_file, F.lit(""))), F.lit(PARTS)).cast("int")
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -22,8 +31,10 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def new_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id isn't stored yet, one of each id."""
-    return chunks.dropDuplicates(["chunk_id"]).join(existing.select("chunk_id"), "chunk_id", "left_anti")
+    """Chunks whose id isn't stored yet, one of each id: the first by index and text. Chunks without an id can't be told apart and are left out."""
+    order = [F.col(c) for c in ("chunk_index", "text") if c in chunks.columns]
+    one = chunks.where("chunk_id is not null").withColumn("_n", F.row_number().over(W.partitionBy("chunk_id").orderBy(*order or ["chunk_id"]))).where("_n = 1").drop("_n")
+    return one.join(existing.select("chunk_id"), "chunk_id", "left_anti")
 
 
 def new_files(files: DataFrame, existing: DataFrame, key: str = "source_path") -> DataFrame:
@@ -31,41 +42,69 @@ def new_files(files: DataFrame, existing: DataFrame, key: str = "source_path") -
 
 
 def add_chunks(chunks: DataFrame, path: str, index: bool = True, dry_run: bool = False) -> dict[str, int]:
-    """Append the chunks that aren't stored yet and rebuild the sparse index over the whole collection.
+    """Append the chunks that aren't stored yet, and their postings to the sparse index, of which only the terms are counted anew.
 
-    Returns {added, skipped}; a failed write is an error, never a silent loss. With dry_run nothing is written.
+    Returns {added, skipped, errors}: errors counts chunks without an id. A failed write is an exception, never a silent
+    loss. With dry_run nothing is written.
     """
     spark = chunks.sparkSession
     began = time.time()
     given = Observation("given")
-    chunks = chunks.observe(given, F.count("*").alias("n"))
-    fresh = _typed(new_chunks(chunks, spark.read.parquet(f"{path}/chunks")))
+    chunks = chunks.observe(given, F.count("*").alias("n"), F.count_if(F.col("chunk_id").isNull()).alias("bad"))
+    fresh = _typed(new_chunks(chunks, stored(spark, path, "chunks")))
     if dry_run:
         n = fresh.count()
-        return {"added": 0, "skipped": given.get["n"] - n}
-    done = Observation("added")
-    fresh.observe(done, F.count("*").alias("n")).write.mode("append").parquet(f"{path}/chunks")
+        return {"added": 0, "skipped": given.get["n"] - given.get["bad"] - n, "errors": given.get["bad"]}
+    # Written aside first, so that chunks and index get the same rows whatever happens in between.
+    aside, done = f"{path}/_batch-{uuid.uuid4().hex}", Observation("added")
+    fresh.observe(done, F.count("*").alias("n")).withColumn("source_part", part_of(F.col("source_file"))).write.parquet(aside)
+    batch = spark.read.parquet(aside)
+    if index:
+        _write_index(batch, path, "append")
+    batch.write.mode("append").partitionBy("source_part").parquet(f"{path}/chunks")
+    _delete(spark, aside)
     if index:
-        save_sparse_index(spark.read.parquet(f"{path}/chunks"), path)
+        save_terms(spark, path)
     log_throughput("add_chunks", done.get["n"], time.time() - began)
-    return {"added": done.get["n"], "skipped": given.get["n"] - done.get["n"]}
+    return {"added": done.get["n"], "skipped": given.get["n"] - given.get["bad"] - done.get["n"], "errors": given.get["bad"]}
 
 
-def save_sparse_index(chunks: DataFrame, path: str) -> None:
-    spark = chunks.sparkSession
-    tf = bm25.term_counts(chunks, "chunk_id")
-    lengths = chunks.select("chunk_id", F.coalesce(F.size(bm25.tokens(F.col("text"))), F.lit(0)).cast("bigint").alias("dl"))
-    tf.write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    bm25.term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/terms")
+def _write_index(chunks: DataFrame, path: str, mode: str) -> None:
+    """Postings and lengths of chunks with their source_part; mode overwrite replaces the parts that the chunks are in."""
+    part = chunks.select(F.col("chunk_id").alias("_id"), "source_part")
+    for name, df in (("postings", bm25.postings(chunks, "chunk_id")), ("lengths", bm25.lengths(chunks, "chunk_id"))):
+        rows = df.join(part, df["chunk_id"] == F.col("_id")).drop("_id")
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_part").parquet(f"{path}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def save_terms(spark: SparkSession, path: str) -> None:
+    """The terms of the stored postings."""
+    bm25.index_stats(stored(spark, path, "postings"), stored(spark, path, "lengths")).write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def save_sparse_index(spark: SparkSession, path: str) -> None:
+    """The index of all stored chunks anew."""
+    for name in ("postings", "lengths"):
+        _delete(spark, f"{path}/{name}")
+    _write_index(stored(spark, path, "chunks", parts=True), path, "append")
+    save_terms(spark, path)
 
 
 def reset(spark: SparkSession, path: str, description: str = "", model: str = "") -> DataFrame:
     """An empty collection in place of the one at path, if any."""
-    spark.createDataFrame([], CHUNK).write.mode("overwrite").parquet(f"{path}/chunks")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in ("chunks", "postings", "lengths", "terms"):
+        _delete(spark, f"{path}/{name}")
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        p.getFileSystem(conf).mkdirs(p)
     meta = spark.range(1).select(F.lit(description).alias("description"), F.lit(model).alias("embedding_model"), F.current_timestamp().alias("created_at"))
     meta.write.mode("overwrite").parquet(f"{path}/meta")
-    return spark.read.parquet(f"{path}/chunks")
+    return stored(spark, path, "chunks")
 
 
 def without_file(chunks: DataFrame, source_file: str) -> DataFrame:
@@ -74,12 +113,23 @@ def without_file(chunks: DataFrame, source_file: str) -> DataFrame:
 
 
 def delete_file(spark: SparkSession, path: str, source_file: str) -> int:
-    """Delete a file's chunks; the rest is written beside the table first, then takes its place. Returns how many are gone."""
-    chunks = spark.read.parquet(f"{path}/chunks")
+    """Delete a file's chunks and postings; only the part of the collection that the file is in is rewritten. Returns how many are gone.
+
+    What stays is written beside the collection first, then takes the part's place.
+    """
+    part = spark.range(1).select(part_of(F.lit(source_file))).first()[0]
+    chunks = stored(spark, path, "chunks", parts=True).where(F.col("source_part") == part)
     gone = chunks.where(F.col("source_file") == source_file).count()
     if gone:
-        without_file(chunks, source_file).write.mode("overwrite").parquet(f"{path}/chunks_next")
-        spark.read.parquet(f"{path}/chunks_next").write.mode("overwrite").parquet(f"{path}/chunks")
+        aside = f"{path}/_kept-{uuid.uuid4().hex}"
+        without_file(chunks, source_file).write.parquet(aside)
+        kept = spark.read.parquet(aside)
+        for name in ("chunks", "postings", "lengths"):
+            _delete(spark, f"{path}/{name}/source_part={part}")
+        kept.write.mode("append").partitionBy("source_part").parquet(f"{path}/chunks")
+        _write_index(kept, path, "append")
+        _delete(spark, aside)
+        save_terms(spark, path)
     return gone
 
 

@@ -154,10 +154,14 @@ def test_bm25_against_plain_python(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choices(["a", "b", "c", "d", "e", "the"], weights=[1, 2, 3, 4, 1, 30], k=rng.randint(0, 30)))) for i in range(60)] + [(99, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    tf, dl = bm25.postings(df, "doc_id")
-    assert rows(tf, "chunk_id", "term", "tf") == rows(bm25.term_counts(df, "doc_id"), "chunk_id", "term", "tf")
-    q = spark.createDataFrame([(1, "the a a zzz")], "query_id long, text string")
-    got = {r.chunk_id: r.score for r in bm25.search(q, tf, dl, bm25.term_stats(tf, dl), 100).collect()}
+    q = spark.createDataFrame([(1, "the a a zzz"), (2, "zzz"), (3, None)], "query_id long, text string")
+    found = bm25.search(q, df, "doc_id", 100).collect()
+    got = {r.chunk_id: r.score for r in found if r.query_id == 1}
+    assert len(got) == 61 and sorted((r.rank, r.chunk_id) for r in found if r.query_id == 2) == [(k + 1, i) for k, (i, _) in enumerate(docs)]
+    tf, dl = bm25.postings(df, "doc_id"), bm25.lengths(df, "doc_id")
+    assert rows(bm25.search_index(q, tf, dl, bm25.index_stats(tf, dl), 7)) == rows(bm25.search(q, df, "doc_id", 7))
+    assert rows(bm25.index_stats(tf, dl)) == rows(bm25.term_stats(df, "doc_id"))
+    assert bm25.search(q, df.limit(0), "doc_id", 7).count() == 0
     words = {i: (t or "").split() for i, t in docs}
     n, avg = len(docs), sum(map(len, words.values())) / len(docs)
     df_of = lambda t: sum(t in w for w in words.values())
@@ -344,11 +348,17 @@ def test_collection_round_trip(spark, tmp_path):
     assert collections.open_collection(spark, path, create=True, description="d").count() == 0
     new = spark.createDataFrame([("a", "one two", "f.pdf"), ("a", "one two", "f.pdf"), ("b", None, "g.pdf")], "chunk_id string, text string, source_file string")
     assert sinks.add_chunks(new, path, dry_run=True)["added"] == 0
-    assert sinks.add_chunks(new, path) == {"added": 2, "skipped": 1}
-    assert sinks.add_chunks(new, path, index=False) == {"added": 0, "skipped": 3}
+    assert sinks.add_chunks(new, path) == {"added": 2, "skipped": 1, "errors": 0}
+    assert sinks.add_chunks(new, path, index=False) == {"added": 0, "skipped": 3, "errors": 0}
     tf, dl, terms = collections.sparse_index(spark, path)
     assert tf.count() == 2 and terms.count() == 2 and rows(dl, "chunk_id", "dl") == [("a", 2), ("b", 0)]
-    assert sinks.delete_file(spark, path, "f.pdf") == 1 and collections.open_collection(spark, path).count() == 1
+    assert sinks.add_chunks(spark.createDataFrame([("c", "two three", "f2.pdf"), (None, "no id", "f.pdf")], new.schema), path) == {"added": 1, "skipped": 0, "errors": 1}
+    grown = [rows(x) for x in collections.sparse_index(spark, path)]
+    sinks.save_sparse_index(spark, path)
+    assert grown == [rows(x) for x in collections.sparse_index(spark, path)]
+    assert sinks.delete_file(spark, path, "f.pdf") == 1 and collections.open_collection(spark, path).count() == 2
+    assert sinks.delete_file(spark, path, "f.pdf") == 0 and rows(collections.sparse_index(spark, path)[1], "chunk_id") == [("b",), ("c",)]
+    assert sinks.delete_file(spark, path, "f2.pdf") == 1 and collections.sparse_index(spark, path)[2].count() == 0
     flat = sinks.exported(spark.read.parquet(f"{path}/chunks")).first()
     assert flat.text == "" and flat.chapter == -1 and collections.properties(spark, path).first().description == "d"
 
