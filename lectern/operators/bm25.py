@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.ingest import tokens
+from lectern.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -29,8 +30,8 @@ def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def term_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(term, df, idf, n_docs, avgdl): a negative idf becomes EPSILON times the mean over the vocabulary.
 
-    One pass: each document gives its different words and one row without a term, which counts documents and lengths; what
-    is shuffled is the vocabulary of each task.
+    One pass: each document gives its different words and one row without a term, which counts documents and lengths. What
+    is shuffled is the vocabulary of each task; the counts, one row a word, are written once.
     """
     words = _words(docs, key, text).select(F.size("words").cast("bigint").alias("dl"), F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))).alias("term"))
     return _with_idf(words.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("dls")))
@@ -43,6 +44,7 @@ def index_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def _with_idf(counts: DataFrame) -> DataFrame:
+    counts = written(counts, "term-counts")
     whole = counts.where("term is null").select(F.col("df").alias("n_docs"), (F.col("dls") / F.col("df")).alias("avgdl"))
     raw = counts.where("term is not null").crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_raw"))
