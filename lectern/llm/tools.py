@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import clear, shared_dir, written
+
+__all__ = ["clear", "shared_dir", "small", "table", "written"]
+
 #: Bytes, as JSON text, up to which a written table is marked for broadcast; beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -16,40 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in the one that all executors share.
-
-    That is the one in spark.checkpoint.dir, or the context's checkpoint folder. Only a local session, as in tests, falls
-    back to a folder of its own; on a cluster a missing setting is an error. The JVM deletes the folder when it ends.
-    """
-    sc = spark.sparkContext
-    where = getattr(sc, "_lectern_dir", None)
-    if where is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        if not base:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="spark-lectern-")
-        where = sc._lectern_dir = f"{base}/lectern-{sc.applicationId}"
-        path = sc._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; frames that read them can't be used afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later stages neither recompute it nor depend on executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if its measured size allows; else Spark joins it by shuffle."""
     size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
