@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.config import Config
 from lectern.functions import ingest, segment
 from lectern.operators import ordered
+from lectern.session import written
 
 
 def _exploded(pages: DataFrame, of, name: str) -> DataFrame:
@@ -35,23 +36,46 @@ def atomic_blocks(pages: DataFrame, config: Config = Config()) -> DataFrame:
     return _exploded(pages, lambda t: segment.atomic_blocks(t, size), "block")
 
 
+_META = ("source_file", "source_path", "source_type", "author", "page", "chapter", "language", "has_latex")
+
+
 def chunk_pages(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """Children of every page in the chunk schema, with their running index in the document.
 
-    The index needs counts of earlier pages only: chunks are counted per page, summed up over the pages of a document,
-    and added to the position in the page, so no task holds a document's texts.
+    Texts pass once through Python, which gives each page's chunks with their places, and are written. The index needs
+    counts of earlier pages only: numbers are summed up over the pages of a document and joined to the chunks, so no task
+    holds a document's texts. Pages without text have no chunk; repeated rows of a page are pages of their own.
     """
     size, overlap = config.chunk_chars, config.overlap_chars
-    parts = _exploded(pages, lambda t: segment.page_chunks(t, size, overlap), "chunk")
-    meta = pages.select(F.col("page_id").cast("bigint"), "source_file", "source_path", "source_type", "author", F.col("page_number").alias("page"), "chapter", "language", "has_latex", F.col("text").alias("page_text"))
-    per_page = parts.groupBy("page_id").agg(F.count("*").alias("n")).join(meta.select("page_id", "source_path", "page"), "page_id")
-    offsets = ordered.total_before(per_page, "source_path", "page", "page_id", "n", "first").select("page_id", "first")
-    rows = parts.join(meta, "page_id").join(offsets, "page_id").withColumnRenamed("chunk", "text")
-    rows = rows.withColumn("chunk_index", (F.col("first") + F.col("pos")).cast("int"))
-    start, end = ingest.char_offsets(F.col("text"), F.col("page_text"))
-    rows = rows.withColumns({"block_type": ingest.block_type(F.col("text")), **ingest.content_flags(F.col("text")), "start_char": start.cast("int"), "end_char": end.cast("int")})
-    rows = rows.withColumn("chunk_id", ingest.chunk_id(F.col("source_file"), F.col("page"), F.col("chunk_index"), F.col("text")))
-    return rows.drop("first", "pos", "page_text")
+    meta = [F.col("page_number").alias("page") if c == "page" else F.col(c) for c in _META]
+    src = pages.where("text is not null and trim(text) <> ''").select(F.col("page_id").cast("bigint"), *meta, "text").withColumn("row_id", F.monotonically_increasing_id())
+    names = ["page_id", *_META, "row_id", "chunks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, texts, starts = [0], [], []
+            for t in b.column("text").to_pylist():
+                for piece in segment.page_chunks(t, size, overlap):
+                    texts.append(piece)
+                    starts.append(max(0, t.find(piece[:50])))
+                ends.append(len(texts))
+            one = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(starts, pa.int32())], names=["text", "start_char"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), one)], names=names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
+    parts = written(src.mapInArrow(run, kinds + ", chunks array<struct<text:string,start_char:int>>").where("size(chunks) > 0"), "page-chunks")
+    counted = parts.select("source_path", "page", "page_id", "row_id", F.size("chunks").alias("n"))
+    offsets = ordered.total_before(counted.withColumn("tie", F.struct("page_id", "row_id")), "source_path", "page", "tie", "n", "first").select("row_id", "first")
+    rows = parts.join(offsets, "row_id").select("page_id", *_META, "first", F.posexplode("chunks").alias("pos", "c"))
+    rows = rows.select("page_id", "pos", F.col("c.text").alias("text"), *_META, (F.col("first") + F.col("pos")).cast("int").alias("chunk_index"), "c.start_char")
+    rows = rows.withColumns({"block_type": ingest.block_type(F.col("text")), **ingest.content_flags(F.col("text")), "end_char": F.col("start_char") + F.length("text")})
+    return rows.withColumn("chunk_id", ingest.chunk_id(F.col("source_file"), F.col("page"), F.col("chunk_index"), F.col("text"))).drop("pos")
+
+
+def library(pages: DataFrame, config: Config = Config()) -> DataFrame:
+    """Children and parents of pages in one table: children carry their parent's id and text, parents the ids of their children."""
+    up, children = parents(written(chunk_pages(pages, config), "chunks"), config.parent_chars)
+    return children.drop("page_id").unionByName(up, allowMissingColumns=True)
 
 
 def packed(children: DataFrame, limit: int, group: list[str], order: list[str], length: str = "chars") -> DataFrame:

@@ -42,6 +42,16 @@ def verified(hits: DataFrame, verdict: Column, first: int = 5) -> DataFrame:
     return kept.withColumn("verified", F.col("rank") <= first).drop("_ok", "_any")
 
 
+def verified_confidence(hits: DataFrame, verdict: Column, queries: DataFrame, least: float = LOW) -> DataFrame:
+    """confidence() of what verified() leaves; a query whose judged hits all fail is low with score 0 and goes on to a deeper search."""
+    left = verified(hits, verdict)
+    sure = confidence(left, queries, least)
+    failed = hits.select("query_id").distinct().join(left.select("query_id").distinct(), "query_id", "left_anti").withColumn("_failed", F.lit(True))
+    r = sure.join(failed, "query_id", "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
+    pick = lambda bad, c: F.when(F.col("_failed"), F.lit(bad)).otherwise(F.col(c)).alias(c)
+    return r.select("query_id", pick("low", "level"), pick(0.0, "score"), pick(0.0, "avg_similarity"), pick(True, "should_respond"))
+
+
 def first_relevant_author(hits: DataFrame, authors: DataFrame, verdict: Column, per_author: int = 3, floor: float = 0.9) -> DataFrame:
     """All hits of the first author, by position, of whose best hits one is relevant; their similarity is at least `floor`.
 

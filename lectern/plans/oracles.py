@@ -110,6 +110,21 @@ def _relevant(content: str) -> str:
     return f"(CASE WHEN coalesce(length({content}), 0) < 50 THEN false ELSE coalesce(len(list_intersect({q}, list_distinct({_tok(f'substring({content}, 1, 2000)')}))) / nullif(len({q}), 0) >= 0.2, true) END)"
 
 
+_LAYOUT = r"""WITH pages AS (SELECT DISTINCT source_path, page FROM page_blocks),
+            idx AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY source_path) AS n FROM pages),
+            lim AS (SELECT *, n // 4 AS s, least(n, n // 4 + n // 2) AS e FROM idx),
+            picked AS (SELECT source_path, page, count(*) OVER (PARTITION BY source_path) AS ns FROM (
+                SELECT * FROM lim WHERE CASE WHEN e > s THEN i >= s AND i < e AND (i - s) % greatest(1, (e - s) // 10) = 0 AND (i - s) // greatest(1, (e - s) // 10) < 10 ELSE i < 10 END)),
+            b AS (SELECT k.source_path, k.page, ns, page_height AS h, bbox[2] AS y0, bbox[4] AS y1,
+                regexp_replace(array_to_string(list_transform(lines, lambda l: array_to_string(list_transform(l.spans, lambda x: x.text), ' ') || chr(10)), ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS text
+                FROM page_blocks k JOIN picked USING (source_path, page) WHERE lines IS NOT NULL),
+            m AS (SELECT source_path, ns, h, CASE WHEN y1 < 0.15 * h THEN 'top' ELSE 'foot' END AS zone, CASE WHEN y1 < 0.15 * h THEN round(y1) ELSE round(y0) END AS y, text FROM b WHERE y1 < 0.15 * h OR y0 > (1 - 0.15) * h),
+            ys AS (SELECT source_path, zone, y, max(h) AS h FROM m GROUP BY source_path, ns, zone, y HAVING count(*) >= 0.4 * ns),
+            hs AS (SELECT source_path, max(y) FILTER (zone = 'top') + 5 AS hh, max(h) - min(y) FILTER (zone = 'foot') + 5 AS fh FROM ys GROUP BY source_path),
+            ts AS (SELECT source_path, text FROM m WHERE text <> '' GROUP BY source_path, ns, zone, text HAVING count(*) >= 0.4 * ns),
+            rs AS (SELECT source_path, array_to_string(list_sort(list_distinct(list(text))), '|') AS recurring FROM ts GROUP BY source_path)"""
+
+
 def oracle_sql() -> dict[str, str]:
     known = lambda c: f"coalesce(nullif(trim({c}), ''), 'unknown')"
     return {
@@ -201,8 +216,23 @@ def oracle_sql() -> dict[str, str]:
         "incremental_new_files": "SELECT DISTINCT source_path FROM extracted_pages p WHERE source_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM text_chunks c WHERE c.source_path = p.source_path)",
         "incremental_new_chunks": """SELECT DISTINCT chunk_id FROM text_chunks a WHERE chunk_id IS NOT NULL AND indexed_at >= '2025-01-01'
             AND NOT EXISTS (SELECT 1 FROM text_chunks b WHERE b.chunk_id = a.chunk_id AND b.indexed_at < '2025-01-01')""",
-        "delete_by_file": """WITH gone AS (SELECT source_file FROM text_chunks WHERE source_file IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-            SELECT source_type, count(*) FILTER (source_file IS DISTINCT FROM (SELECT source_file FROM gone)) AS remaining, count(*) FILTER (source_file = (SELECT source_file FROM gone)) AS deleted FROM text_chunks GROUP BY 1""",
+        "delete_by_file": """WITH kept AS (SELECT * FROM text_chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_index NULLS FIRST, text NULLS FIRST) = 1),
+            gone AS (SELECT source_file FROM kept WHERE source_file IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+            SELECT source_type, count(*) FILTER (source_file IS DISTINCT FROM (SELECT source_file FROM gone)) AS remaining, count(*) FILTER (source_file = (SELECT source_file FROM gone)) AS deleted FROM kept GROUP BY 1""",
+        "hit_fields": "SELECT chunk_key, coalesce(source_file, 'Unknown') AS source_file, coalesce(page, 0) AS page, coalesce(author, 'Unknown') AS author, coalesce(source_type, 'unknown') AS source_type, nullif(chapter, -1) AS chapter FROM text_chunks",
+        "ingested_library": r"""SELECT 'different pages with chunks' AS rule, count(*) AS n FROM (SELECT DISTINCT source_path, page_number FROM extracted_pages WHERE regexp_matches(text, '[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]'))
+            UNION ALL SELECT rule, 0 FROM (VALUES ('chunks over the limit'), ('documents whose index has gaps or repeats'), ('children without a parent'), ('children not counted by a parent'),
+                ('parents over the limit with several children'), ('chunks not stored'), ('chunks added twice')) t(rule)""",
+        "verified_confidence": f"""WITH {_CHUNKS}, {_HITS}, {_QTEXT},
+            judged AS (SELECT h.query_id, h.rank, h.similarity, {_relevant("c.text")} AS ok FROM hits h JOIN chunks c USING (chunk_id) JOIN asked USING (query_id)),
+            any_ok AS (SELECT query_id FROM judged WHERE rank <= 5 AND ok GROUP BY query_id),
+            kept AS (SELECT * FROM judged JOIN any_ok USING (query_id) WHERE (rank > 5 OR ok) AND similarity IS NOT NULL),
+            best AS (SELECT query_id, similarity FROM kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC) <= 3),
+            agg AS (SELECT query_id, max(similarity) AS top, avg(similarity) AS mean FROM best GROUP BY query_id),
+            lv AS (SELECT a.query_id, top, mean, a.query_id IN (SELECT query_id FROM judged) AND a.query_id NOT IN (SELECT query_id FROM any_ok) AS failed FROM (SELECT DISTINCT query_id FROM asked) a LEFT JOIN agg USING (query_id)),
+            named AS (SELECT *, CASE WHEN failed THEN 'low' WHEN top IS NULL OR top < 0.5 THEN 'insufficient' WHEN top > 0.75 AND mean > 0.65 THEN 'high' WHEN top > 0.6 THEN 'medium' ELSE 'low' END AS level FROM lv)
+            SELECT query_id, level, CASE WHEN failed THEN 0 ELSE coalesce(top, 0) END AS score, CASE WHEN failed THEN 0 ELSE round(coalesce(mean, 0), 9) END AS avg_similarity, failed OR level <> 'insufficient' AS should_respond,
+                CASE WHEN level = 'low' THEN '⚠️ **Note:** The available bibliography has limited information on this specific topic. The response below may be incomplete. Please verify with your professor or additional resources.' END AS notice FROM named""",
         "exported_chunks": """SELECT chunk_key, coalesce(author, '') AS author, coalesce(nullif(chapter, 0), -1) AS chapter, coalesce(parent_id, '') AS parent_id, coalesce(array_to_string(child_ids, ','), '') AS child_ids, has_latex FROM text_chunks""",
         "citations": f"SELECT chunk_key, {_CITE} AS citation, concat_ws(', ', coalesce(nullif(author, ''), 'Unknown'), CASE WHEN chapter <> 0 AND chapter <> -1 THEN 'Chapter ' || chapter END, 'page ' || coalesce(page, 0)) AS ui_citation FROM text_chunks",
         "snippets": f"SELECT chunk_key, {_SNIPPET.format('text', 200)} AS snippet, length(text) // 4 AS tokens, len({_tok('text')}) AS words, length(coalesce(nullif(parent_content, ''), text)) AS context_chars FROM text_chunks",
@@ -238,10 +268,13 @@ def oracle_sql() -> dict[str, str]:
             agg AS (SELECT query_id, max(similarity) AS top, avg(similarity) AS mean FROM best GROUP BY query_id),
             lv AS (SELECT query_id, CASE WHEN top IS NULL OR top < 0.5 THEN 3 WHEN top > 0.75 AND mean > 0.65 THEN 0 WHEN top > 0.6 THEN 1 ELSE 2 END AS n FROM (SELECT DISTINCT query_id FROM retrieval_hits WHERE query_id IS NOT NULL) LEFT JOIN agg USING (query_id))
             SELECT query_id, ['🟢', '🟡', '🔴', '⚫'][n + 1] AS emoji, ['#28a745', '#ffc107', '#dc3545', '#6c757d'][n + 1] AS colour FROM lv""",
-        "rewrites": r"""WITH c AS (SELECT *, lead(content) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM chat_messages),
-            a AS (SELECT conv_id, turn, content, trim(regexp_replace(regexp_replace(trim(after), '^"(.*)"$', '\1', 's'), '^\x27(.*)\x27$', '\1', 's')) AS t FROM c WHERE lower(trim(role)) = 'user' AND content IS NOT NULL),
-            r AS (SELECT conv_id, turn, content, CASE WHEN coalesce(length(t), 0) = 0 OR length(t) > greatest(300, 10 * length(content)) THEN content ELSE t END AS rewrite FROM a)
-            SELECT conv_id, turn, rewrite, CASE WHEN rewrite <> content THEN content || chr(10) || chr(10) || '[Context: Search performed for ' || chr(39) || rewrite || chr(39) || ']' ELSE content END AS asked FROM r""",
+        "rewrites": rf"""WITH {_USER},
+            d AS (SELECT lower(term) AS term, min(expansions) AS expansions FROM query_expansions WHERE term IS NOT NULL AND term <> '' GROUP BY 1),
+            m AS (SELECT conv_id, turn, d.term, expansions FROM users JOIN d ON contains(lower(query), d.term) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(d.term) DESC, d.term) = 1),
+            e AS (SELECT u.conv_id, u.turn, query, CASE WHEN m.term IS NULL OR len(expansions) = 0 THEN query ELSE query || ' ' || array_to_string(expansions[1:3], ' ') END AS t FROM users u LEFT JOIN m USING (conv_id, turn)),
+            a AS (SELECT conv_id, turn, query, trim(regexp_replace(t, '^\x27(.*)\x27$', '\1', 's')) AS t FROM e),
+            r AS (SELECT conv_id, turn, query, CASE WHEN length(t) = 0 OR length(t) > greatest(300, 10 * length(query)) THEN query ELSE t END AS rewrite FROM a)
+            SELECT conv_id, turn, rewrite, CASE WHEN rewrite <> query THEN query || chr(10) || chr(10) || '[Context: Search performed for ' || chr(39) || rewrite || chr(39) || ']' ELSE query END AS asked FROM r""",
         "scope_checks": f"WITH {_USER} SELECT conv_id, turn, EXISTS (SELECT 1 FROM query_expansions e WHERE e.term <> '' AND contains(lower(query), lower(e.term))) AS in_scope FROM users",
         "chat_window_prompt": """WITH r AS (SELECT conv_id, turn, upper(trim(role)) || ': ' || content AS s FROM chat_messages WHERE content IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10),
             h AS (SELECT conv_id, string_agg(s, chr(10) ORDER BY turn) AS history FROM r GROUP BY conv_id),
@@ -280,19 +313,14 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT c.source_path, c.page, c.chunk_key, c.i, CASE WHEN size > 0 AND size + c.n + 2 > 5000 OR size = 0 THEN c.n ELSE size + c.n + 2 END, CASE WHEN size > 0 AND size + c.n + 2 > 5000 THEN seq + 1 ELSE seq END
                 FROM s JOIN c ON c.source_path = s.source_path AND c.page = s.page AND c.i = s.i + 1)
             SELECT chunk_key, seq AS parent_seq FROM s""",
-        "layout_recurring_text": r"""WITH pages AS (SELECT DISTINCT source_path, page FROM page_blocks),
-            idx AS (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY page) - 1 AS i, count(*) OVER (PARTITION BY source_path) AS n FROM pages),
-            lim AS (SELECT *, n // 4 AS s, least(n, n // 4 + n // 2) AS e FROM idx),
-            picked AS (SELECT source_path, page, count(*) OVER (PARTITION BY source_path) AS ns FROM (
-                SELECT * FROM lim WHERE CASE WHEN e > s THEN i >= s AND i < e AND (i - s) % greatest(1, (e - s) // 10) = 0 AND (i - s) // greatest(1, (e - s) // 10) < 10 ELSE i < 10 END)),
-            b AS (SELECT k.source_path, k.page, ns, page_height AS h, bbox[2] AS y0, bbox[4] AS y1,
-                regexp_replace(array_to_string(list_transform(lines, lambda l: array_to_string(list_transform(l.spans, lambda x: x.text), ' ') || chr(10)), ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS text
-                FROM page_blocks k JOIN picked USING (source_path, page) WHERE lines IS NOT NULL),
-            m AS (SELECT source_path, ns, h, CASE WHEN y1 < 0.15 * h THEN 'top' ELSE 'foot' END AS zone, CASE WHEN y1 < 0.15 * h THEN round(y1) ELSE round(y0) END AS y, text FROM b WHERE y1 < 0.15 * h OR y0 > (1 - 0.15) * h),
-            ys AS (SELECT source_path, zone, y, max(h) AS h FROM m GROUP BY source_path, ns, zone, y HAVING count(*) >= 0.4 * ns),
-            hs AS (SELECT source_path, max(y) FILTER (zone = 'top') + 5 AS hh, max(h) - min(y) FILTER (zone = 'foot') + 5 AS fh FROM ys GROUP BY source_path),
-            ts AS (SELECT source_path, text FROM m WHERE text <> '' GROUP BY source_path, ns, zone, text HAVING count(*) >= 0.4 * ns),
-            rs AS (SELECT source_path, array_to_string(list_sort(list_distinct(list(text))), '|') AS recurring FROM ts GROUP BY source_path)
+        "layout_recurring_text": _LAYOUT + r"""
             SELECT d.source_path, round(coalesce(hh, 50), 3) AS header_height, round(coalesce(fh, 50), 3) AS footer_height, coalesce(recurring, '') AS recurring
             FROM (SELECT DISTINCT source_path FROM page_blocks) d LEFT JOIN hs USING (source_path) LEFT JOIN rs USING (source_path)""",
+        "layout_pages": _LAYOUT + r""",
+            marks AS (SELECT d.source_path, coalesce(hh, 50) AS hh, coalesce(fh, 50) AS fh, coalesce(texts, []) AS texts FROM (SELECT DISTINCT source_path FROM page_blocks) d LEFT JOIN hs USING (source_path)
+                LEFT JOIN (SELECT source_path, list_distinct(list(text)) AS texts FROM ts GROUP BY source_path) USING (source_path)),
+            raws AS (SELECT block_id, source_path, page, bbox, page_height, array_to_string(list_transform(lines, lambda l: array_to_string(list_transform(l.spans, lambda x: x.text), ' ') || chr(10)), '') AS raw FROM page_blocks WHERE lines IS NOT NULL),
+            kept AS (SELECT k.*, regexp_replace(raw, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS text, hh, fh, texts FROM raws k JOIN marks USING (source_path))
+            SELECT source_path, page, string_agg(raw, chr(10) ORDER BY block_id) AS text FROM kept
+            WHERE text <> '' AND NOT list_contains(texts, text) AND NOT ((bbox[4] < hh OR bbox[2] > page_height - fh) AND regexp_full_match(replace(text, ' ', ''), '\p{Nd}+')) GROUP BY ALL""",
     }

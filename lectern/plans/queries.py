@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lectern.config import Config
 from lectern.functions import ingest, latex, models, present
 from lectern.operators import bm25, chunking, confidence, dense, hybrid, layout, retrieval, state, statistics
-from lectern.session import shared_dir
-from lectern.sources import sinks
+from lectern.session import shared_dir, written
+from lectern.sources import ingestion, sinks
 from lectern.sources.collections import open_collection, sparse_index, table
 
 K = Config().top_k
@@ -102,7 +102,7 @@ def dense_topk_per_label(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_topk_where(spark: SparkSession, d: str) -> DataFrame:
     """Chosen filters: they reach the scan."""
-    hits = hybrid.retrieved(_questions(spark, d), _library(spark, d), K, retrieval.where(source_type="book", author=None, language=""))
+    hits = hybrid.retrieved(_questions(spark, d), _library(spark, d), K, retrieval.where(source_type=present.SOURCE_TYPE_OF_LABEL["Books"], author=None, language=""))
     return hits.select("query_id", "chunk_id", "similarity", "rank")
 
 
@@ -185,6 +185,14 @@ def relevance_top5_filter(spark: SparkSession, d: str) -> DataFrame:
     return confidence.verified(hits, confidence.relevant(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "rank", "verified")
 
 
+def verified_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence after the check of relevance, with what is said before an answer of low confidence."""
+    q = _query_texts(spark, d)
+    hits = _hydrated(spark, d).join(q, "query_id")
+    r = confidence.verified_confidence(hits, confidence.relevant(F.col("query"), F.col("text")), q)
+    return r.select("*", present.low_confidence_notice(F.col("level")).alias("notice"))
+
+
 def deep_search_first_author(spark: SparkSession, d: str) -> DataFrame:
     hits = _hydrated(spark, d).join(_query_texts(spark, d), "query_id")
     authors = statistics.priority_authors(table(spark, d, "text_chunks"), ["Kelmora", "Duvarin"])
@@ -247,11 +255,24 @@ def incremental_new_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of each type when the largest file is deleted, and what goes."""
-    c = table(spark, d, "text_chunks").select("source_file", "source_type")
-    gone = c.where("source_file is not null").groupBy("source_file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_file").limit(1).select(F.col("source_file").alias("gone"))
-    marked = c.crossJoin(F.broadcast(gone)).withColumn("is_gone", F.col("source_file").eqNullSafe(F.col("gone")))  # one row
-    return marked.groupBy("source_type").agg(F.sum(F.when(F.col("is_gone"), 0).otherwise(1)).alias("remaining"), F.sum(F.col("is_gone").cast("int")).alias("deleted"))
+    """What is left of each type in a collection when the largest file is deleted from it, and what goes."""
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    open_collection(spark, path, create=True)
+    sinks.add_chunks(table(spark, d, "text_chunks"), path, index=False)
+    count = lambda name: open_collection(spark, path).groupBy("source_type").agg(F.count("*").alias(name))
+    before = written(count("before"), "before")
+    largest = open_collection(spark, path).where("source_file is not null").groupBy("source_file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_file").first()
+    if largest:
+        sinks.delete_file(spark, path, largest.source_file)
+    after = count("remaining").withColumnRenamed("source_type", "_type")
+    both = before.join(after, F.col("source_type").eqNullSafe(F.col("_type")), "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)).cast("bigint"))
+    return both.select("source_type", "remaining", (F.col("before") - F.col("remaining")).alias("deleted"))
+
+
+def hit_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of the stored chunks with the values that stand for missing ones."""
+    c = table(spark, d, "text_chunks")
+    return c.select("chunk_key", present.defaulted(*[F.col(x) for x in ("source_file", "page", "author", "source_type", "chapter")]).alias("f")).select("chunk_key", "f.*")
 
 
 def exported_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -372,10 +393,32 @@ def parent_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
-    up, _ = chunking.parents(chunking.chunk_pages(table(spark, d, "extracted_pages")), Config().parent_chars)
+    up, _ = chunking.parents(written(chunking.chunk_pages(table(spark, d, "extracted_pages")), "chunks"), Config().parent_chars)
     return up.select("chunk_id", "source_path", "page", "child_count", F.concat_ws(",", "child_ids").alias("child_ids"), "text")
 
 
+def ingested_library(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, n): what holds of the pages once they are chunked, packed and stored in a collection; adding them again adds nothing."""
+    pages, c = table(spark, d, "extracted_pages"), Config()
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    open_collection(spark, path, create=True)
+    first, again = ingestion.ingest_pages(pages, path), ingestion.ingest_pages(pages, path)
+    rows = open_collection(spark, path)
+    kids, up = rows.where("not is_parent"), rows.where("is_parent")
+    of = lambda rule, df, n: df.agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    runs = kids.groupBy("source_path").agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("different"), F.max("chunk_index").alias("last"))
+    return (
+        of("different pages with chunks", kids.select("source_path", "page").distinct(), F.count("*"))
+        .unionByName(of("chunks over the limit", kids.where(F.length("text") > c.chunk_chars), F.count("*")))
+        .unionByName(of("documents whose index has gaps or repeats", runs.where("n <> different or last <> n - 1"), F.count("*")))
+        .unionByName(of("children without a parent", kids.join(up.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_anti"), F.count("*")))
+        .unionByName(of("children not counted by a parent", kids.agg(F.count("*").alias("k")).crossJoin(up.agg(F.sum("child_count").alias("p"))), F.sum(F.abs(F.col("k") - F.col("p")))))  # one row each
+        .unionByName(of("parents over the limit with several children", up.where((F.length("text") > c.parent_chars) & (F.col("child_count") > 1)), F.count("*")))
+        .unionByName(of("chunks not stored", spark.range(1), F.lit(first["added"]) - F.lit(rows.count())))
+        .unionByName(of("chunks added twice", spark.range(1), F.lit(again["added"])))
+    )
+
+
 # --- conversations and state
 
 
@@ -392,18 +435,16 @@ def rewrite_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rewrites(spark: SparkSession, d: str) -> DataFrame:
-    """The user's questions with the message after each as its rewrite, and what is then asked of the generator."""
-    c = table(spark, d, "chat_messages").withColumn("after", F.lead("content").over(W.partitionBy("conv_id").orderBy("turn")))
-    c = c.where("lower(trim(role)) = 'user' and content is not null")
-    c = c.withColumn("rewrite", present.sanitised_rewrite(F.col("content"), F.col("after")))
-    return c.select("conv_id", "turn", "rewrite", present.generation_query(F.col("content"), F.col("rewrite")).alias("asked"))
+    """The user's questions as a stand-in rewriter words them, in quotes, and what is then asked of the generator."""
+    c = retrieval.expanded(_user_queries(spark, d), table(spark, d, "query_expansions"))
+    c = c.withColumn("rewrite", present.sanitised_rewrite(F.col("query"), F.concat(F.lit('"'), F.col("expanded"), F.lit('"'))))
+    return c.select("conv_id", "turn", "rewrite", present.generation_query(F.col("query"), F.col("rewrite")).alias("asked"))
 
 
 def scope_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Which questions hold a term of the expansion dictionary: the stand-in for a model's verdict on their scope."""
-    q = _user_queries(spark, d)
-    known = retrieval.expansion_matches(q, table(spark, d, "query_expansions"), ["conv_id", "turn"]).select("conv_id", "turn").distinct().withColumn("in_scope", F.lit(True))
-    return q.join(known, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+    """Which questions hold a term of the dictionary: the stand-in for a model's verdict on their scope."""
+    vocabulary = [r[0] for r in table(spark, d, "query_expansions").where("term <> ''").select(F.lower("term")).distinct().limit(1000).collect()]  # a dictionary of a field
+    return _user_queries(spark, d).select("conv_id", "turn", models.in_scope(F.col("query"), vocabulary).alias("in_scope"))
 
 
 def answer_language(spark: SparkSession, d: str) -> DataFrame:

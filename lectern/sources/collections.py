@@ -28,21 +28,23 @@ def find_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", content
     return files.select(*cols, *(["content"] if content else []))
 
 
-def extract_pages(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors): parse(path, content) gives a file's pages as rows of schema; a file it fails on becomes (path, error)."""
+def extract_pages(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors): parse(path, content) gives a file's pages as rows of schema, beside the columns in keep; a file it fails on becomes (path, error)."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, content in zip(f["path"], f["content"]):
+            for path, content, *kept in zip(f["path"], f["content"], *(f[c] for c in keep)):
+                own = {"_path": path, **dict(zip(keep, kept))}
                 try:
-                    rows += [{**r, "_path": path, "_error": None} for r in parse(path, content)]
+                    rows += [{**r, **own, "_error": None} for r in parse(path, content)]
                 except Exception as e:  # one bad file doesn't end the job
-                    rows.append({"_path": path, "_error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[*names, "_path", "_error"], dtype=object)
+                    rows.append({**own, "_error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=[*names, *keep, "_path", "_error"], dtype=object)
 
-    both = files.select("path", "content").mapInPandas(run, schema + ", _path string, _error string")
+    kinds = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    both = files.select("path", "content", *keep).mapInPandas(run, f"{schema}{kinds}, _path string, _error string")
     return both.where("_error is null").drop("_path", "_error"), both.where("_error is not null").select(F.col("_path").alias("path"), F.col("_error").alias("error"))
 
 

@@ -10,16 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.config import Config
-from lectern.operators.chunking import chunk_pages
+from lectern.operators.chunking import library
 from lectern.sources.sinks import add_chunks
 
 
 def ingest_pages(spark: SparkSession, folder: str, collection: str, checkpoint: str, schema, config: Config = Config(), once: bool = True) -> StreamingQuery:
-    """Chunk every page file that appears in a folder and add what the collection lacks; files are taken once."""
+    """Chunk every page file that appears in a folder and add what the collection lacks, index included; files are taken once."""
     pages = spark.readStream.schema(schema).parquet(folder)
 
     def add(batch: DataFrame, _: int) -> None:
-        add_chunks(chunk_pages(batch, config), collection, index=False)
+        add_chunks(library(batch, config), collection)
 
     writer = pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
