@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from lectern import config
 from lectern.functions import ingest, latex, models, present, segment
-from lectern.operators import bm25, chunking, confidence, dense, layout, ordered, retrieval, state, statistics
-from lectern.sources import collections, sinks
+from lectern.operators import bm25, chunking, confidence, dense, hybrid, layout, ordered, retrieval, state, statistics
+from lectern.sources import collections, ingestion, sinks
 
 
 def one(spark, column, **values):
@@ -130,6 +130,54 @@ def test_chunk_and_parents(spark):
     assert chunking.chunk_pages(pages.limit(0)).count() == 0
 
 
+def test_library_has_children_and_parents(spark):
+    page = ("Theorem 1. One.\n\nTwo two.", 1, "a.pdf", "/books/a.pdf", "book", "X", None, "en", False)
+    pages = spark.createDataFrame([(1, *page), (1, *page), (2, "  ", *page[1:])], "page_id long, text string, page_number int, source_file string, source_path string, source_type string, author string, chapter int, language string, has_latex boolean")
+    both = chunking.library(pages).collect()
+    kids = [r for r in both if not r.is_parent]
+    assert sorted(r.chunk_index for r in kids) == [0, 1] and len(both) == 3
+    assert {r.parent_id for r in kids} == {r.chunk_id for r in both if r.is_parent} and {c for r in both if r.is_parent for c in r.child_ids} == {r.chunk_id for r in kids}
+
+
+def test_files_become_a_collection(spark, tmp_path):
+    (tmp_path / "books").mkdir()
+    for name, text in (("ross-a.pdf", "Chapter 2\nThe walk stays below the bound.|The coin is fair."), ("bad.pdf", "!")):
+        (tmp_path / "books" / name).write_text(text)
+
+    def parse(path, content):
+        text = content.decode()
+        if text == "!":
+            raise ValueError("no pages")
+        return [{"page_number": k + 1, "text": t} for k, t in enumerate(text.split("|"))]
+
+    path = str(tmp_path / "c")
+    counts, errors = ingestion.ingest_files(spark, str(tmp_path / "books"), path, parse)
+    assert counts == {"added": 4, "skipped": 0, "errors": 0} and [r.error for r in errors.collect()] == ["ValueError: no pages"]
+    c = collections.open_collection(spark, path)
+    assert rows(c.where("not is_parent"), "page", "author", "chapter", "source_type") == [(1, "Ross", 2, "book"), (2, "Ross", 2, "book")]
+    assert collections.sparse_index(spark, path)[1].count() == 4
+    again, _ = ingestion.ingest_files(spark, str(tmp_path / "books"), path, parse)
+    assert again["added"] == 0
+
+
+def test_verified_confidence(spark):
+    hits = spark.createDataFrame([(1, "a", 1, 0.9, False), (1, "b", 2, 0.7, True), (2, "c", 1, 0.9, False), (2, "d", 6, 0.8, True)], "query_id long, chunk_id string, rank int, similarity double, ok boolean")
+    r = {x.query_id: x for x in confidence.verified_confidence(hits, F.col("ok"), spark.range(1, 4).withColumnRenamed("id", "query_id")).collect()}
+    assert (r[1].level, r[1].score) == ("medium", 0.7) and (r[2].level, r[2].score, r[2].should_respond) == ("low", 0.0, True)
+    assert r[3].level == "insufficient" and not r[3].should_respond
+    assert one(spark, present.low_confidence_notice(F.lit("low"))).startswith("⚠️") and one(spark, present.low_confidence_notice(F.lit("high"))) is None
+    assert [one(spark, present.source_type_of_label(F.lit(x))) for x in ("All", "Books", "Lecture Notes", "Exercises", "?")] == [None, "book", "lecture_notes", "exercises", None]
+
+
+def test_search_by_author_finds_authors_outside_the_best(spark):
+    lib = spark.createDataFrame([(k, f"walk bound coin {k}", "A") for k in range(30)] + [(90, "an urn of balls", "B"), (91, None, "C"), (92, "x", None)], "chunk_id long, text string, author string")
+    q = spark.createDataFrame([(1, "walk bound")], "query_id long, query string")
+    got = hybrid.by_author(q, lib, q, 2)
+    assert {(r.author, r.chunk_id) for r in got.collect()} >= {("B", 90), ("C", 91)} and got.where("author = 'A'").count() == 2
+    assert hybrid.retrieved(q, lib, 3, retrieval.where(author="B")).count() == 1
+    assert hybrid.hybrid(q, lib.limit(0), 3).count() == 0
+
+
 def test_layout(spark):
     span = lambda t: [{"spans": [{"text": t}]}]
     blocks = []

@@ -13,7 +13,8 @@ def test_pages_are_taken_once(spark, tmp_path):
     for i in (1, 2):
         page(i).write.mode("append").parquet(str(tmp_path / "in"))
         ingest.ingest_pages(spark, str(tmp_path / "in"), path, str(tmp_path / "cp"), SCHEMA).awaitTermination()
-        assert collections.open_collection(spark, path).count() == i
+        assert collections.open_collection(spark, path).where("not is_parent").count() == i
+        assert collections.sparse_index(spark, path)[1].count() == collections.open_collection(spark, path).count()
 
 
 def test_live_quota(spark, tmp_path):
