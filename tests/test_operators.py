@@ -52,8 +52,11 @@ def test_presentation(spark):
     assert one(spark, present.sanitised_rewrite(F.lit("query"), F.lit('"better"'))) == "better"
     assert [one(spark, present.verdict(F.lit(a))) for a in ("IRRELEVANT.", "relevant", "maybe")] == [False, True, True]
     assert one(spark, present.answer_language(F.lit("¿Qué es una urna?"), F.lit("es"))) == "en"
-    assert one(spark, present.badge(F.lit("high"))[1]) == "green"
-    assert "Conversation" not in one(spark, present.prompt(F.lit(""), F.lit(""), F.lit("q"), F.lit("es")))
+    assert [one(spark, c) for c in present.badge(F.lit("low"))] == ["🔴", "#dc3545"] and [one(spark, c) for c in present.badge(F.lit("?"))] == ["⚪", "#6c757d"]
+    p = one(spark, present.prompt(F.lit(" "), F.lit(""), F.lit("q"), F.lit("es")))
+    assert p == "\n\n=== NO RELEVANT CONTEXT FOUND ===\n\n\n\n\nQUESTION: q\n\nANSWER (with citations):\n\nCRITICAL: The user asked in Spanish. You MUST respond in SPANISH."
+    p = one(spark, present.prompt(F.lit("c"), F.lit("USER: x"), F.lit("q"), F.lit("en")))
+    assert "\n=== CONTEXT FROM BIBLIOGRAPHY ===\n\nc\n\n=== END OF CONTEXT ===\n" in p and "\n=== PREVIOUS CONVERSATION ===\nUSER: x\n=== END OF CONVERSATION ===\n" in p and p.endswith("ENGLISH.")
     assert one(spark, present.generation_query(F.lit("a"), F.lit("b"))).endswith("for 'b']")
 
 
