@@ -7,17 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.ingest import block_text
+from lectern.operators import ordered
 
 
 def sampled_pages(blocks: DataFrame, most: int = 10) -> DataFrame:
     """(source_path, page, n_sampled): at most `most` evenly spaced pages from the middle half of each document."""
     pages = blocks.select("source_path", "page").distinct()
-    idx = pages.withColumn("i", F.row_number().over(W.partitionBy("source_path").orderBy("page")) - 1).withColumn("n", F.count("*").over(W.partitionBy("source_path")))
+    # Positions are counted in buckets of pages, so no task holds the pages of a long document.
+    idx = ordered.total_before(pages.withColumn("one", F.lit(1)), "source_path", "page", "page", "one", "i")
+    sizes = pages.groupBy("source_path").agg(F.count("*").alias("n"))
+    idx = idx.join(sizes.withColumnRenamed("source_path", "_doc"), F.col("source_path").eqNullSafe(F.col("_doc"))).drop("_doc")
     start, stop = F.floor(F.col("n") / 4), F.least(F.col("n"), F.floor(F.col("n") / 4) + F.floor(F.col("n") / 2))
     step = F.greatest(F.lit(1), F.floor((stop - start) / 10))
     middle = (F.col("i") >= start) & (F.col("i") < stop) & ((F.col("i") - start) % step == 0) & ((F.col("i") - start) / step < most)
     chosen = idx.where(F.when(stop > start, middle).otherwise(F.col("i") < most)).select("source_path", "page")
-    return chosen.withColumn("n_sampled", F.count("*").over(W.partitionBy("source_path")))
+    return chosen.withColumn("n_sampled", F.count("*").over(W.partitionBy("source_path")))  # `most` rows a document
 
 
 def margins(blocks: DataFrame, share: float = 0.4, zone: float = 0.15) -> DataFrame:

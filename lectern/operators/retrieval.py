@@ -47,6 +47,17 @@ def top_ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("_new", F.row_number().over(order).cast("bigint")).where(F.col("_new") <= k).drop("rank").withColumnRenamed("_new", "rank")
 
 
+#: Terms of a dictionary at most: each text is searched for every one of them.
+DICTIONARY_TERMS = 100_000
+
+
+def _dictionary(terms: DataFrame) -> DataFrame:
+    n = terms.count()
+    if n > DICTIONARY_TERMS:
+        raise ValueError(f"{n} terms are no dictionary; at most {DICTIONARY_TERMS} are sent to all tasks")
+    return F.broadcast(terms)
+
+
 def expanded(queries: DataFrame, terms: DataFrame, m: int = 3, query: str = "query") -> DataFrame:
     """queries with `expanded`: the first m synonyms of the longest dictionary term within the query are appended.
 
@@ -56,7 +67,7 @@ def expanded(queries: DataFrame, terms: DataFrame, m: int = 3, query: str = "que
     best = F.max_by(F.struct("term", "expansions"), F.struct(F.length("term"), F.transform(F.split("term", ""), lambda c: -F.ascii(c))))
     q = queries.withColumn("_low", F.lower(F.coalesce(F.col(query), F.lit(""))))
     distinct = q.select("_low").distinct()
-    hit = distinct.join(F.broadcast(d), F.contains(distinct["_low"], d["term"])).groupBy("_low").agg(best.alias("_hit"))
+    hit = distinct.join(_dictionary(d), F.contains(distinct["_low"], d["term"])).groupBy("_low").agg(best.alias("_hit"))
     joined = q.join(hit, "_low", "left")
     more = F.array_join(F.slice("_hit.expansions", 1, m), " ")
     return joined.withColumn("expanded", F.when(F.col("_hit").isNull() | (more == ""), F.col(query)).otherwise(F.concat(F.col(query), F.lit(" "), more))).withColumn("term", F.col("_hit.term")).drop("_low", "_hit")
@@ -66,7 +77,7 @@ def expansion_matches(queries: DataFrame, terms: DataFrame, key: list[str], quer
     """(*key, term, position, n_expansions) of every dictionary term within each query."""
     d = terms.where("term is not null and term <> ''").select(F.lower("term").alias("term"), F.size("expansions").cast("bigint").alias("n_expansions"))
     q = queries.select(*key, F.lower(query).alias("_low"))
-    return q.join(F.broadcast(d), F.contains(F.col("_low"), F.col("term"))).select(*key, "term", (F.position(F.col("term"), F.col("_low")) - 1).cast("bigint").alias("position"), "n_expansions")
+    return q.join(_dictionary(d), F.contains(F.col("_low"), F.col("term"))).select(*key, "term", (F.position(F.col("term"), F.col("_low")) - 1).cast("bigint").alias("position"), "n_expansions")
 
 
 def first_of(rows: DataFrame, key: list[str], *order: str) -> DataFrame:

@@ -102,7 +102,7 @@ _KIND = " ".join(
 )
 _LATEX = r"\$[^$]+\$|\\\[.*?\\\]|\\\(.*?\\\)"
 _NAMED = "named AS (SELECT author FROM text_chunks WHERE author IS NOT NULL AND trim(author) <> '' AND lower(author) <> 'unknown')"
-_QTEXT = "asked AS (SELECT query_id, i.text AS query FROM (SELECT DISTINCT query_id FROM retrieval_hits WHERE query_id IS NOT NULL) q JOIN benchmark_items i ON i.item_id - 1 = q.query_id % 240)"
+_QTEXT = "asked AS (SELECT query_id, i.text AS query FROM (SELECT DISTINCT query_id FROM retrieval_hits WHERE query_id IS NOT NULL) q JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS slot, count(*) OVER () AS n FROM benchmark_items) i ON i.slot = q.query_id % i.n)"
 
 
 def _relevant(content: str) -> str:
@@ -125,6 +125,18 @@ _LAYOUT = r"""WITH pages AS (SELECT DISTINCT source_path, page FROM page_blocks)
             rs AS (SELECT source_path, array_to_string(list_sort(list_distinct(list(text))), '|') AS recurring FROM ts GROUP BY source_path)"""
 
 
+def _around(pages: int) -> str:
+    """Rows of `hits` and the `chunks` of so many pages around them."""
+    return f"""files AS (SELECT query_id, source_file, min(rank) AS file_order FROM hits WHERE source_file <> '' AND page > 0 GROUP BY ALL),
+            around AS (SELECT DISTINCT query_id, source_file, unnest(range(greatest(1, page - {pages}), page + {pages + 1})) AS page FROM hits WHERE source_file <> '' AND page > 0),
+            cand AS (SELECT a.query_id, c.chunk_id, file_order, a.source_file, a.page FROM around a JOIN files USING (query_id, source_file) JOIN chunks c ON c.source_file = a.source_file AND c.page = a.page),
+            fresh AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = cand.query_id AND h.chunk_id = cand.chunk_id)),
+            counts AS (SELECT query_id, count(*) AS n, greatest(0.3, min(similarity) - 0.05) AS least FROM hits GROUP BY query_id),
+            added AS (SELECT f.*, n, least, row_number() OVER (PARTITION BY query_id ORDER BY file_order, source_file, page, chunk_id) AS pos FROM fresh f JOIN counts USING (query_id) QUALIFY pos <= 25 - n)
+            SELECT query_id, chunk_id, similarity, true AS initial FROM hits
+            UNION ALL SELECT query_id, chunk_id, coalesce(least, 0.3), false FROM added"""
+
+
 def oracle_sql() -> dict[str, str]:
     known = lambda c: f"coalesce(nullif(trim({c}), ''), 'unknown')"
     return {
@@ -162,15 +174,25 @@ def oracle_sql() -> dict[str, str]:
             SELECT u.conv_id, u.turn, m.term, CASE WHEN m.term IS NULL OR len(expansions) = 0 THEN query ELSE query || ' ' || array_to_string(expansions[1:3], ' ') END AS expanded
             FROM users u LEFT JOIN m USING (conv_id, turn)""",
         "expansion_info": f"WITH {_USER} SELECT conv_id, turn, lower(term) AS term, instr(lower(query), lower(term)) - 1 AS position, len(expansions) AS n_expansions FROM users JOIN query_expansions ON contains(lower(query), lower(term)) WHERE term <> ''",
-        "neighbour_expansion": f"""WITH {_CHUNKS}, {_HITS},
-            files AS (SELECT query_id, source_file, min(rank) AS file_order FROM hits WHERE source_file <> '' AND page > 0 GROUP BY ALL),
-            around AS (SELECT DISTINCT query_id, source_file, unnest(range(greatest(1, page - 1), page + 2)) AS page FROM hits WHERE source_file <> '' AND page > 0),
-            cand AS (SELECT a.query_id, c.chunk_id, file_order, a.source_file, a.page FROM around a JOIN files USING (query_id, source_file) JOIN chunks c ON c.source_file = a.source_file AND c.page = a.page),
-            fresh AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = cand.query_id AND h.chunk_id = cand.chunk_id)),
-            counts AS (SELECT query_id, count(*) AS n, greatest(0.3, min(similarity) - 0.05) AS least FROM hits GROUP BY query_id),
-            added AS (SELECT f.*, n, least, row_number() OVER (PARTITION BY query_id ORDER BY file_order, source_file, page, chunk_id) AS pos FROM fresh f JOIN counts USING (query_id) QUALIFY pos <= 25 - n)
-            SELECT query_id, chunk_id, similarity, true AS initial FROM hits
-            UNION ALL SELECT query_id, chunk_id, coalesce(least, 0.3), false FROM added""",
+        "neighbour_expansion": f"WITH {_CHUNKS}, {_HITS}, {_around(1)}",
+        "expanded_retrieval": f"""WITH {_RERANKED}, chunks AS (SELECT chunk_key AS chunk_id, source_file, page FROM library),
+            hits AS (SELECT query_id, id AS chunk_id, c.source_file, c.page, similarity, rank FROM reranked JOIN chunks c ON c.chunk_id = id), {_around(2)}""",
+        "answer_prompts": f"""WITH {_CHUNKS}, {_HITS}, {_QTEXT},
+            judged AS (SELECT h.query_id, h.chunk_id, h.rank AS old, c.author, c.chapter, h.page, coalesce(nullif(parent_content, ''), text) AS body, {_relevant("c.text")} AS ok FROM hits h JOIN chunks c USING (chunk_id) JOIN asked USING (query_id)),
+            any_ok AS (SELECT query_id FROM judged WHERE old <= 5 AND ok GROUP BY query_id),
+            kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM judged JOIN any_ok USING (query_id) WHERE old > 5 OR ok),
+            context AS (SELECT query_id, string_agg('[Source ' || rank || ' - ' || {_CITE} || E']\\n' || body, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM kept GROUP BY query_id),
+            found AS (SELECT a.query_id, query, context, {_ES.format('query')} AS es, {_EN.format('query')} AS en FROM asked a LEFT JOIN context USING (query_id)),
+            told AS (SELECT *, CASE WHEN length(query) < 20 THEN 'en' WHEN ({_LANG}) = 'es' THEN 'es' ELSE 'en' END AS language FROM found),
+            p AS (SELECT query_id, language, E'\\n' || CASE WHEN trim(coalesce(context, '')) = '' THEN E'\\n=== NO RELEVANT CONTEXT FOUND ===\\n' ELSE E'\\n=== CONTEXT FROM BIBLIOGRAPHY ===\\n\\n' || context || E'\\n\\n=== END OF CONTEXT ===\\n' END
+                || E'\\n\\n\\n\\nQUESTION: ' || query || E'\\n\\nANSWER (with citations):\\n\\nCRITICAL: The user asked in ' || CASE language WHEN 'es' THEN 'Spanish. You MUST respond in SPANISH.' ELSE 'English. You MUST respond in ENGLISH.' END AS prompt FROM told)
+            SELECT query_id, language, md5(prompt) AS digest, length(prompt) // 4 AS tokens FROM p""",
+        "clean_text_recurring": _LAYOUT + r""",
+            marks AS (SELECT source_path, list_distinct(list(text)) AS texts FROM ts GROUP BY source_path),
+            less AS (SELECT page_id, CASE WHEN texts IS NULL THEN p.text ELSE list_reduce(list_prepend(p.text, list_sort(texts)), lambda a, x: replace(a, x, '')) END AS text FROM extracted_pages p LEFT JOIN marks USING (source_path))
+            SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+                '([\pL\pM\pN\p{Pc}])-\n([\pL\pM\pN\p{Pc}])', '\1\2', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), '(?m)^[^\S\n]*[0-9]+[^\S\n]*$', '', 'g'),
+                '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS text FROM less""",
         "context_flat": f"""WITH {_CHUNKS}, {_HITS},
             parts AS (SELECT h.query_id, h.rank, '[Source ' || h.rank || ' - ' || {_CITE.replace("page", "h.page")} || E']\\n' || coalesce(nullif(parent_content, ''), text) AS s FROM hits h JOIN chunks c USING (chunk_id)),
             done AS (SELECT query_id, string_agg(s, E'\\n\\n---\\n\\n' ORDER BY rank) AS context FROM parts GROUP BY query_id)

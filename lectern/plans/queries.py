@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.functions import ingest, latex, models, present
-from lectern.operators import bm25, chunking, confidence, dense, hybrid, layout, retrieval, state, statistics
+from lectern.operators import bm25, chunking, confidence, dense, hybrid, layout, ordered, retrieval, state, statistics
 from lectern.session import shared_dir, written
 from lectern.sources import ingestion, sinks
 from lectern.sources.collections import open_collection, sparse_index, table
@@ -127,6 +127,13 @@ def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     return c.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("bigint").alias("n_chars"))
 
 
+def expanded_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Each question's hits and the chunks of the two pages around them."""
+    library = _library(spark, d)
+    hits = written(hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions")), "hits").join(library.select("chunk_id", "source_file", "page"), "chunk_id")
+    return retrieval.with_neighbours(hits, library, pages=2).select("query_id", "chunk_id", "similarity", "initial")
+
+
 def deep_search_by_author(spark: SparkSession, d: str) -> DataFrame:
     """The first author, by position, one of whose own best chunks is relevant, searched for in both wordings."""
     q, library = _questions(spark, d), _library(spark, d)
@@ -200,6 +207,18 @@ def deep_search_first_author(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "chunk_id", "author", "similarity")
 
 
+def answer_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What the generator is asked: the verified hits as context, the question and the language to answer in."""
+    q = _query_texts(spark, d)
+    hits = _hydrated(spark, d).join(q, "query_id")
+    left = confidence.verified(hits, confidence.relevant(F.col("query"), F.col("text")))
+    left = left.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")).cast("bigint"))
+    asked = q.join(retrieval.flat_context(left), "query_id", "left")
+    lang = present.answer_language(F.col("query"), ingest.language_heuristic(F.col("query")))
+    p = present.prompt(F.col("context"), F.lit(""), F.col("query"), lang)
+    return asked.select("query_id", lang.alias("language"), F.md5(p.cast("binary")).alias("digest"), present.token_estimate(p).alias("tokens"))
+
+
 def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Hits with neighbours, confidence, context and prompt, and an answer where the confidence allows one."""
     texts = _chunks(spark, d, "text", "author", "chapter", "parent_content").drop("chunk_key")
@@ -329,6 +348,13 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_pages").select("page_id", ingest.clean(F.col("text")).alias("text"))
 
 
+def clean_text_recurring(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without what recurs in the margins of their document."""
+    marks = layout.margins(table(spark, d, "page_blocks")).select("source_path", "recurring")
+    p = table(spark, d, "extracted_pages").select("page_id", "source_path", "text").join(marks, "source_path", "left")
+    return p.select("page_id", ingest.clean(F.col("text"), F.col("recurring")).alias("text"))
+
+
 def block_types(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "text_chunks").select("chunk_key", ingest.block_type(t).alias("block_type"), *[c.alias(n) for n, c in ingest.content_flags(t).items()])
@@ -453,10 +479,13 @@ def answer_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of the user's questions with the message before them as context."""
-    c = table(spark, d, "chat_messages").withColumn("before", F.lag("content").over(W.partitionBy("conv_id").orderBy("turn")))
-    c = c.where("lower(trim(role)) = 'user' and content is not null")
-    return c.select("conv_id", "turn", present.cache_key(F.col("content"), F.coalesce("before", F.lit(""))).alias("cache_key"))
+    """Keys of the user's questions with the message before them as context; turns are found in buckets, however long a conversation is."""
+    c = table(spark, d, "chat_messages")
+    turns = ordered.previous(c.select("conv_id", "turn"), "conv_id", "turn", "turn", "_before")
+    asked = c.where("lower(trim(role)) = 'user' and content is not null").join(turns, ["conv_id", "turn"])
+    before = c.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("content").alias("before"))
+    both = asked.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("_before") == F.col("_turn")), "left")
+    return both.select("conv_id", "turn", present.cache_key(F.col("content"), F.coalesce("before", F.lit(""))).alias("cache_key"))
 
 
 def cache_ttl_hits(spark: SparkSession, d: str) -> DataFrame:
