@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import forms, furniture, languages, leaks, mixture, scans, sentences, splitting
@@ -20,6 +21,33 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.located_pieces(table(spark, d, "text_chunks"), table(spark, d, "extracted_pages"))
 
 
+#: Blanks and line ends, as a class of a regular expression.
+_BLANKS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
+
+
+def _rules(*rules: tuple[str, DataFrame, Column]) -> DataFrame:
+    """(rule, n): a number for each rule."""
+    out = None
+    for rule, df, n in rules:
+        one = df.agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).select(F.lit(rule).alias("rule"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p1_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, n): what holds of the pieces of all oversized chunks."""
+    chunks = table(spark, d, "text_chunks")
+    cut = written(splitting.split_oversized(chunks, "chunk_key", limit=splitting.chunk_limit()), "pieces")
+    placed = cut.join(chunks.select(F.col("chunk_key").alias("key"), F.col("text").alias("whole"), splitting.chunk_limit().alias("limit")), "key")
+    differs = F.expr("substring(whole, piece_start + 1, piece_end - piece_start) <> piece")
+    return _rules(
+        ("chunks cut", cut, F.count_distinct("key")),
+        ("characters, overlaps counted once", cut, F.sum(F.length("piece")) - splitting.OVERLAP * (F.count("*") - F.count_distinct("key"))),
+        ("pieces over the limit", placed.where(F.length("piece") > F.col("limit")), F.count("*")),
+        ("pieces that differ from their place", placed.where(differs), F.count("*")),
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(table(spark, d, "extracted_pages"), table(spark, d, "language_samples"))
 
@@ -35,6 +63,19 @@ def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return languages.paragraph_languages(page).select(F.col("key").alias("page_id"), "para_no", "lang", F.round("confidence", 6).alias("confidence"), "running")
 
 
+def p2_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, n): what holds of the languages of all pages."""
+    page = written(languages.page_languages(table(spark, d, "extracted_pages"), table(spark, d, "language_samples")), "page-languages")
+    parts = page.select("key", "lang", F.explode("paras").alias("p"))
+    known = F.col("lang").isin(*languages.LANGUAGES, "mixed") & F.col("confidence").between(0, 1)
+    return _rules(
+        ("pages", page, F.count("*")),
+        ("pages without a language or a confidence", page.where(~F.coalesce(known, F.lit(False))), F.count("*")),
+        ("paragraphs without a language or a confidence", parts.where(~(F.col("p.lang").isin(*languages.LANGUAGES) & F.col("p.confidence").between(0, 1))), F.count("*")),
+        ("mixed pages with one language", parts.where("lang = 'mixed' and p.body").groupBy("key").agg(F.count_distinct("p.lang").alias("n")).where("n < 2"), F.count("*")),
+    )
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.lookalike_pairs([("extracted_pages", table(spark, d, "extracted_pages"), "page_id"), ("text_chunks", table(spark, d, "text_chunks"), "chunk_key")])
 
@@ -131,13 +172,38 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, n): what holds of the units of all documents."""
+    docs = table(spark, d, "documents")
+    units = written(sentences.sentence_units(docs), "units")
+    placed = units.join(docs.select("doc_id", "text"), "doc_id").where(F.expr("substring(text, start_char + 1, end_char - start_char) <> unit"))
+    before = F.lag("end_char").over(W.partitionBy("doc_id").orderBy("unit_no"))
+    return _rules(
+        ("documents with units", units, F.count_distinct("doc_id")),
+        ("visible characters in units", units, F.sum(F.length(F.regexp_replace("unit", _BLANKS, "")))),
+        ("units over a blank line", units.where(F.regexp_like("unit", F.lit(r"\n[^\S\n]*\n"))), F.count("*")),
+        ("units that differ from their place", placed, F.count("*")),
+        ("units before the end of the last", units.select("start_char", before.alias("before")).where("start_char < before"), F.count("*")),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those whose cases SQL can state exactly, and for the rules that a mix keeps; the rest are tested by brute force on small fixtures."""
+    visible = f"regexp_replace(text, '{_BLANKS}+', '', 'g')"
+    none = "UNION ALL SELECT rule, 0 FROM (VALUES {}) t(rule)"
     return {
+        "p1_rules": """WITH big AS (SELECT text FROM text_chunks WHERE length(text) > CASE WHEN coalesce(is_parent, false) THEN 5000 ELSE 2500 END)
+            SELECT 'chunks cut' AS rule, count(*) AS n FROM big UNION ALL SELECT 'characters, overlaps counted once', coalesce(sum(length(text)), 0) FROM big """
+        + none.format("('pieces over the limit'), ('pieces that differ from their place')"),
+        "p2_rules": "SELECT 'pages' AS rule, count(*) AS n FROM extracted_pages "
+        + none.format("('pages without a language or a confidence'), ('paragraphs without a language or a confidence'), ('mixed pages with one language')"),
+        "p8_rules": f"""WITH v AS (SELECT {visible} AS text FROM documents)
+            SELECT 'documents with units' AS rule, count(*) AS n FROM v WHERE text <> '' UNION ALL SELECT 'visible characters in units', coalesce(sum(length(text)), 0) FROM v """
+        + none.format("('units over a blank line'), ('units that differ from their place'), ('units before the end of the last')"),
         "p7_invariants": """
             SELECT rule, CAST(0 AS BIGINT) AS broken
             FROM (VALUES ('a document above its repeats'), ('a source above its budget'), ('shares that do not add up'), ('a fraction before a whole epoch')) AS t(rule)
