@@ -10,7 +10,7 @@ from lectern.session import clear, shared_dir, written
 __all__ = ["clear", "shared_dir", "small", "table", "written"]
 
 #: Bytes, as JSON text, up to which a written table is marked for broadcast; beyond it Spark joins by shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
