@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.functions.ingest import ENGLISH, SPANISH
+# Words that tell Spanish and English.
+SPANISH = ("el ", "la ", "los ", "las ", "de ", "que ", "en ", "y ", "sea ", "para ", "por ", "como ", "con ", "se ")
+ENGLISH = ("the ", "and ", "is ", "are ", "for ", "that ", "with ", "this ", "from ", "have ", "has ")
 
 _TOK = r"list_filter(regexp_split_to_array(lower({}), '[\s\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda x: x <> '')"
 

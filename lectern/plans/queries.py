@@ -29,8 +29,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks that are searched: one of each id, by its number."""
-    return _chunks(spark, d, "text", "author", "chapter", "parent_content", "source_type").drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id")
+    """The chunks that are searched: one of each id, by its number, stored as a collection is, as searches read it several times."""
+    return written(_chunks(spark, d, "text", "author", "chapter", "parent_content", "source_type").drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id"), "library")
 
 
 def _chunks(spark: SparkSession, d: str, *extra: str) -> DataFrame:
