@@ -429,6 +429,12 @@ def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder,
             out.update((_line(s, _place(parts, k)), "hyphen") for k in x.cuts)
             if x.first >= 0:
                 out.add((_line(s, _place(parts, x.first)), "misread"))
+    return sorted(out | edge_kinds(text, page, shift, titles))
+
+
+def edge_kinds(text: str, page: int | None, shift: int | None, titles: Container[str]) -> set[tuple[int, str]]:
+    """(line_no, kind) of the lines at the edges of a page: header, page_no, and misread where a digit of theirs is."""
+    out: set[tuple[int, str]] = set()
     lines = text.split("\n")
     edge = edge_lines(lines)
     for r, k in enumerate(edge):
@@ -462,7 +468,7 @@ def line_kinds(text: str, page: int | None, shift: int | None, decoder: Decoder,
             num = m and (m.group(1) or m.group(2))
             if num and any(ch.isdigit() for ch in num) and not num.isdigit():
                 out.add((k, "misread"))
-    return sorted(out)
+    return out
 
 
 def _line(s: str, k: int) -> int:
@@ -485,8 +491,7 @@ _ENDS = (".", "!", "?", ":", "»", "”", '"', ")", "$", "。", "…")
 
 def paragraphs(text: str, page: int | None, shift: int | None, decoder: Decoder, titles: Container[str]) -> list[str]:
     """Continuous paragraphs of a page: headers and page numbers dropped, cut words joined, misread words replaced."""
-    kinds = line_kinds(text, page, shift, decoder, titles)
-    gone = {k for k, kind in kinds if kind in ("header", "page_no")}
+    gone = {k for k, kind in edge_kinds(text, page, shift, titles) if kind != "misread"}
     lines = [(k, line) for k, line in enumerate(fold_visible(text.replace("­\n", "-\n")).split("\n")) if k not in gone]
     blocks = _boundaries([line for _, line in lines])
     return [p for b in blocks if (p := _mended(" \n".join(b), decoder))]
