@@ -25,11 +25,12 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 _BLANKS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]"
 
 
-def _rules(*rules: tuple[str, DataFrame, Column]) -> DataFrame:
-    """(rule, n): a number for each rule."""
+def _rules(*frames: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """(rule, n): a number for each rule; those of one frame are counted in one pass."""
     out = None
-    for rule, df, n in rules:
-        one = df.agg(F.coalesce(n, F.lit(0)).cast("bigint").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    for df, rules in frames:
+        row = df.agg(*[F.coalesce(n, F.lit(0)).cast("bigint").alias(f"n{k}") for k, n in enumerate(rules.values())])
+        one = row.select(F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"n{k}").alias("n")) for k, rule in enumerate(rules)])).alias("r")).select("r.*")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -41,10 +42,8 @@ def p1_rules(spark: SparkSession, d: str) -> DataFrame:
     placed = cut.join(chunks.select(F.col("chunk_key").alias("key"), F.col("text").alias("whole"), splitting.chunk_limit().alias("limit")), "key")
     differs = F.expr("substring(whole, piece_start + 1, piece_end - piece_start) <> piece")
     return _rules(
-        ("chunks cut", cut, F.count_distinct("key")),
-        ("characters, overlaps counted once", cut, F.sum(F.length("piece")) - splitting.OVERLAP * (F.count("*") - F.count_distinct("key"))),
-        ("pieces over the limit", placed.where(F.length("piece") > F.col("limit")), F.count("*")),
-        ("pieces that differ from their place", placed.where(differs), F.count("*")),
+        (cut, {"chunks cut": F.count_distinct("key"), "characters, overlaps counted once": F.sum(F.length("piece")) - splitting.OVERLAP * (F.count("*") - F.count_distinct("key"))}),
+        (placed, {"pieces over the limit": F.count_if(F.length("piece") > F.col("limit")), "pieces that differ from their place": F.count_if(differs)}),
     )
 
 
@@ -68,11 +67,11 @@ def p2_rules(spark: SparkSession, d: str) -> DataFrame:
     page = written(languages.page_languages(table(spark, d, "extracted_pages"), table(spark, d, "language_samples")), "page-languages")
     parts = page.select("key", "lang", F.explode("paras").alias("p"))
     known = F.col("lang").isin(*languages.LANGUAGES, "mixed") & F.col("confidence").between(0, 1)
+    sure = F.col("p.lang").isin(*languages.LANGUAGES) & F.col("p.confidence").between(0, 1)
     return _rules(
-        ("pages", page, F.count("*")),
-        ("pages without a language or a confidence", page.where(~F.coalesce(known, F.lit(False))), F.count("*")),
-        ("paragraphs without a language or a confidence", parts.where(~(F.col("p.lang").isin(*languages.LANGUAGES) & F.col("p.confidence").between(0, 1))), F.count("*")),
-        ("mixed pages with one language", parts.where("lang = 'mixed' and p.body").groupBy("key").agg(F.count_distinct("p.lang").alias("n")).where("n < 2"), F.count("*")),
+        (page, {"pages": F.count("*"), "pages without a language or a confidence": F.count_if(~F.coalesce(known, F.lit(False)))}),
+        (parts, {"paragraphs without a language or a confidence": F.count_if(~F.coalesce(sure, F.lit(False)))}),
+        (parts.where("lang = 'mixed' and p.body").groupBy("key").agg(F.count_distinct("p.lang").alias("n")), {"mixed pages with one language": F.count_if(F.col("n") < 2)}),
     )
 
 
@@ -175,15 +174,15 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
 def p8_rules(spark: SparkSession, d: str) -> DataFrame:
     """(rule, n): what holds of the units of all documents."""
     docs = table(spark, d, "documents")
-    units = written(sentences.sentence_units(docs), "units")
-    placed = units.join(docs.select("doc_id", "text"), "doc_id").where(F.expr("substring(text, start_char + 1, end_char - start_char) <> unit"))
+    units = sentences.sentence_units(docs)
+    visible, broken = F.length(F.regexp_replace("unit", _BLANKS + "+", "")), F.regexp_like("unit", F.lit(r"\n[^\S\n]*\n"))
+    units = written(units.select("*", visible.alias("visible"), broken.alias("broken")), "units")
+    placed = units.select("doc_id", "start_char", "end_char", "unit").join(docs.select("doc_id", "text"), "doc_id")
     before = F.lag("end_char").over(W.partitionBy("doc_id").orderBy("unit_no"))
     return _rules(
-        ("documents with units", units, F.count_distinct("doc_id")),
-        ("visible characters in units", units, F.sum(F.length(F.regexp_replace("unit", _BLANKS, "")))),
-        ("units over a blank line", units.where(F.regexp_like("unit", F.lit(r"\n[^\S\n]*\n"))), F.count("*")),
-        ("units that differ from their place", placed, F.count("*")),
-        ("units before the end of the last", units.select("start_char", before.alias("before")).where("start_char < before"), F.count("*")),
+        (units, {"documents with units": F.count_distinct("doc_id"), "visible characters in units": F.sum("visible"), "units over a blank line": F.count_if("broken")}),
+        (placed, {"units that differ from their place": F.count_if(F.expr("substring(text, start_char + 1, end_char - start_char) <> unit"))}),
+        (units.select("start_char", before.alias("before")), {"units before the end of the last": F.count_if(F.col("start_char") < F.col("before"))}),
     )
 
 
