@@ -1,15 +1,25 @@
-"""BM25 over tables: term statistics in one pass, searches that shuffle matching words only, and a stored index."""
+"""BM25 over tables: term statistics in one pass, searches that keep the best documents in each task, and a stored index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.ingest import tokens
+from lectern.operators.best import QUERIES_AT_ONCE, Best, rows_at_once
 from lectern.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Blanks as tokens() knows them, and controls that Arrow alone takes for blanks.
+BLANKS, CONTROLS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+", "[\\x1c-\\x1f]"
+#: Words whose documents a task counts before it passes them on.
+COUNTED_AT_ONCE = 500_000
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,36 +62,164 @@ def _with_idf(counts: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "n_docs", "avgdl")  # one row
 
 
-def _weights(queries: DataFrame, stats: DataFrame, query_key: str, text: str) -> DataFrame:
-    q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    return q.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl")
-
-
-def _score() -> Column:
-    return F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+def _said(queries: DataFrame, query_key: str, text: str) -> DataFrame:
+    """(query_id, term, times), written once."""
+    q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term"))
+    return written(q.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+
+
+def _weights(said: DataFrame, stats: DataFrame) -> DataFrame:
+    return said.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl")
+
+
+def split(lower: pa.Array) -> pa.Array:
+    """The words of lower-case texts as tokens() has them, and perhaps empty ones; nulls stay."""
+    odd = pc.any(pc.match_substring_regex(lower, CONTROLS)).as_py()
+    return pc.split_pattern_regex(lower, BLANKS) if odd else pc.utf8_split_whitespace(lower)
+
+
+def _scanned(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
+    """One pass over the texts, written once: rows (chunk_id, dl, words, tfs) of documents with some of the terms, words being places in terms;
+    and rows (term, df, dls) as term_stats() counts them, several a term."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    src = docs.select(F.col(key).alias("chunk_id"), F.lower(F.col(text)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, counts, n_docs, dls, schema = pa.array(sent.value, pa.string()), {}, 0, 0, None
+
+        def counted(terms: list, dfs: list, sums: list) -> pa.RecordBatch:
+            cols = {"term": pa.array(terms, pa.string()), "df": pa.array(dfs, pa.int64()), "dls": pa.array(sums, pa.int64())}
+            return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(terms), f.type)) for f in schema], schema=schema)
+
+        for b in batches:
+            n = b.num_rows
+            schema = pa.schema([("chunk_id", b.column(0).type), ("dl", pa.int64()), ("words", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("term", pa.string()), ("df", pa.int64()), ("dls", pa.int64())])
+            lists = split(b.column(1))
+            flat = lists.flatten()
+            doc = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+            flat, doc = flat.filter(pa.array(full)), doc[full]
+            coded = flat.dictionary_encode()
+            dl = np.bincount(doc, minlength=n)
+            n_docs, dls = n_docs + n, dls + len(doc)
+            pairs, tf = np.unique(doc * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            doc, word = np.divmod(pairs, max(1, len(coded.dictionary)))
+            for t, df in zip(coded.dictionary.to_pylist(), np.bincount(word, minlength=len(coded.dictionary)).tolist()):
+                counts[t] = counts.get(t, 0) + df
+            if len(counts) > COUNTED_AT_ONCE:
+                yield counted([*counts], [*counts.values()], [None] * len(counts))
+                counts = {}
+            place = pc.fill_null(pc.index_in(coded.dictionary, asked), -1).to_numpy()[word]
+            at = np.flatnonzero(place >= 0)
+            if len(at):
+                starts = np.flatnonzero(np.concatenate(([True], doc[at][1:] != doc[at][:-1])))
+                edges = pa.array(np.append(starts, len(at)), pa.int32())
+                have = doc[at][starts]
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x[at], pa.int32())) for x in (place, tf)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(have)), pa.array(dl[have], pa.int64()), *lists, *(pa.nulls(len(have), schema.field(k).type) for k in (4, 5, 6))], schema=schema)
+        if schema:
+            yield counted([*counts, None], [*counts.values(), n_docs], [None] * len(counts) + [dls])
+
+    kind = dict(src.dtypes)["chunk_id"]
+    return written(src.mapInArrow(run, f"chunk_id {kind}, dl bigint, words array<int>, tfs array<int>, term string, df bigint, dls bigint"), "scanned")
 
 
 def search(queries: DataFrame, docs: DataFrame, key: str, k: int, text: str = "text", query_key: str = "query_id", query_text: str = "text") -> DataFrame:
     """(query_id, chunk_id, score, rank): the best k documents of each query; repeated query words count again, ties go to the smaller chunk_id.
 
-    Only words that some query has are grouped and shuffled. A query with fewer matches is filled up with documents of score 0.
+    key is unique. The words of the queries are broadcast, the texts are read once, for the counts of all words and the
+    places of those asked for; then each task keeps k candidates a query. What is shuffled is bounded by tasks times queries
+    times k, however many documents have a word. A query with fewer matches is filled up with documents of score 0.
     """
-    weights = _weights(queries, term_stats(docs, key, text), query_key, query_text)
-    asked = weights.select("term").distinct()
-    words = _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
-    tf = words.join(asked, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return _best(queries, tf.join(weights, "term"), docs.select(F.col(key).alias("chunk_id")), k, query_key)
+    said = _said(queries, query_key, query_text)
+    terms = said.select("term").distinct().toArrow()["term"].to_pylist()
+    scanned = _scanned(docs, key, text, terms)
+    stats = _with_idf(scanned.where("df is not null").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dls").alias("dls")))
+    found = scanned.where("words is not null").select("chunk_id", "dl", "words", "tfs")
+    return _best(queries, found, _weights(said, stats), terms, docs.select(F.col(key).alias("chunk_id")), k, query_key)
 
 
 def search_index(queries: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, k: int, query_key: str = "query_id", query_text: str = "text") -> DataFrame:
-    """search() in a stored index."""
-    return _best(queries, postings.join(_weights(queries, stats, query_key, query_text), "term"), lengths.select("chunk_id"), k, query_key)
+    """search() in a stored index; only postings of words that some query has are gathered by document."""
+    said = _said(queries, query_key, query_text)
+    asked = said.select("term").distinct()
+    found = postings.join(asked, "term", "left_semi").groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    terms = asked.toArrow()["term"].to_pylist()
+    return _best(queries, found.select("chunk_id", "dl", F.col("p.term").alias("words"), F.col("p.tf").alias("tfs")), _weights(said, stats), terms, lengths.select("chunk_id"), k, query_key)
+
 
+def _candidates(docs: DataFrame, weights: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, score): each task's k best of docs (chunk_id, dl, words, tfs) for each query; words are terms or places in terms.
 
-def _best(queries: DataFrame, hits: DataFrame, ids: DataFrame, k: int, query_key: str) -> DataFrame:
-    scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(_score()).alias("score"))
+    The driver holds the words of all queries once, and so does each task.
+    """
+    asked = weights.toArrow()
+    ids, q = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    code = pc.index_in(asked["term"], pa.array(terms, pa.string())).to_numpy()
+    w = asked["w"].to_numpy()
+    blocks = []
+    for low in range(0, len(ids), QUERIES_AT_ONCE):
+        at = np.flatnonzero((q >= low) & (q < low + QUERIES_AT_ONCE))
+        at = at[np.argsort(code[at], kind="stable")]
+        blocks.append((q[at] - low, w[at], np.searchsorted(code[at], np.arange(len(terms) + 1)), ids[low : low + QUERIES_AT_ONCE]))
+    sent = docs.sparkSession.sparkContext.broadcast((terms, blocks, asked["avgdl"][0].as_py() if len(asked) else 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, blocks, avgdl = sent.value
+        best = [Best(k, len(own)) for *_, own in blocks]
+        step = rows_at_once(max((len(own) for *_, own in blocks), default=1))
+        for b in batches:
+            kind = b.column(0).type
+            keys = b.column(0).to_numpy() if pa.types.is_integer(kind) else np.array(b.column(0).to_pylist(), dtype=object)
+            for (low, high), code, doc, factor in _matches(b, pa.array(terms, pa.string()), avgdl, step):
+                for (q, w, starts, own), c in zip(blocks, best):
+                    _add(c, q, w, starts, len(own), keys[low:high], code, doc, factor)
+        for (*_, own), c in zip(blocks, best):
+            q, key, d = c.settle()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(key.tolist() if key.dtype == object else key, kind), pa.array(-d)], names=["query_id", "chunk_id", "score"])
+
+    types = dict(weights.dtypes) | dict(docs.dtypes)
+    return docs.mapInArrow(run, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
+
+
+def _matches(b: pa.RecordBatch, terms: pa.Array, avgdl: float, step: int) -> Iterator[tuple]:
+    """((low, high), places in terms, documents, factors) of each `step` documents of a batch, by term; documents count from low."""
+    n, flat = b.num_rows, b.column(2).flatten()
+    code = (flat if pa.types.is_integer(flat.type) else pc.index_in(flat, terms)).to_numpy()
+    doc = np.repeat(np.arange(n), pc.list_value_length(b.column(2)).to_numpy())
+    tf, dl = b.column(3).flatten().to_numpy(), b.column(1).to_numpy()[doc]
+    factor = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    order = np.lexsort((doc, code, doc // step))
+    code, doc, factor = code[order], doc[order], factor[order]
+    slot = doc // step
+    edges = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1], [True]))) if len(slot) else []
+    for lo, hi in zip(edges, edges[1:]):
+        low = int(slot[lo]) * step
+        yield (low, min(n, low + step)), code[lo:hi], doc[lo:hi] - low, factor[lo:hi]
+
+
+def _add(best: Best, q: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int, keys: np.ndarray, code: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> None:
+    """The documents `keys` into the best of n queries. Values are scores below zero; where weights allow scores that don't tell a match, matches are marked."""
+    d, told = np.zeros((n, len(keys))), bool(len(w)) and w.min() > 0
+    seen = None if told else np.zeros(d.shape, dtype=bool)
+    edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
+    for lo, hi in zip(edges, edges[1:]):
+        a, z = starts[code[lo]], starts[code[lo] + 1]
+        if a == z:
+            continue
+        at = (q[a:z, None] * d.shape[1] + doc[None, lo:hi]).ravel()
+        d.ravel()[at] -= (w[a:z, None] * factor[None, lo:hi]).ravel()
+        if seen is not None:
+            seen.ravel()[at] = True
+    if seen is not None:
+        d[~seen] = np.inf
+    best.add(np.arange(n), keys, d, 0.0 if told else np.inf)
+
+
+def _best(queries: DataFrame, docs: DataFrame, weights: DataFrame, terms: list[str], ids: DataFrame, k: int, query_key: str) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = written(_candidates(docs, weights, terms, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
     # Among the 2k smallest ids are k that a query with fewer than k hits hasn't found.
     first = ids.orderBy("chunk_id").limit(2 * k)
     short = queries.select(F.col(query_key).alias("query_id")).distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
