@@ -30,20 +30,23 @@ def hashed_embedder(dim: int = 64) -> Callable[[], Callable[[pd.Series], pd.Seri
     """Stand-in embedder: each word adds or takes one from a place, both told by its MD5; of unit length, or zero without words."""
 
     def load():
-        places: dict[str, tuple[int, int]] = {}
+        class Places(dict):
+            """Where a word adds one, or dim further where it takes one."""
+
+            def __missing__(self, w: str) -> int:
+                h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
+                at = self[w] = int(h[:4], 16) % dim + (0 if h[4] >= "8" else dim)
+                return at
+
+        places = Places()
 
         def embed(texts: pd.Series) -> pd.Series:
             out = []
             for t in texts:
-                v = np.zeros(dim)
-                for w in (t or "").lower().split():
-                    at = places.get(w)
-                    if at is None:
-                        if len(places) > 500_000:
-                            places.clear()
-                        h = hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
-                        at = places[w] = int(h[:4], 16) % dim, 1 if h[4] >= "8" else -1
-                    v[at[0]] += at[1]
+                if len(places) > 500_000:
+                    places.clear()
+                n = np.bincount(np.fromiter(map(places.__getitem__, (t or "").lower().split()), np.int64), minlength=2 * dim)
+                v = (n[:dim] - n[dim:]).astype(float)
                 n = np.linalg.norm(v)
                 out.append(v / n if n else v)
             return pd.Series(out)

@@ -12,9 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.present import similarity
-
-#: Query vectors that a task compares with a batch of rows at once.
-QUERIES_AT_ONCE = 4_096
+from lectern.operators.best import QUERIES_AT_ONCE, Best, rows_at_once
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", group: str | None = None, same: bool = False) -> DataFrame:
@@ -50,43 +48,20 @@ def _blocks(q: DataFrame) -> list[Broadcast]:
     return out
 
 
-class _Best:
-    """The k nearest rows of each query seen so far, as flat arrays."""
-
-    def __init__(self, k: int, n_queries: int):
-        self.k, self.edge = k, np.full(n_queries, np.inf)
-        self.q, self.key, self.d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-
-    def add(self, which: np.ndarray, keys: np.ndarray, d: np.ndarray) -> None:
-        """d: distances of the queries `which` to the rows `keys`."""
-        k = self.k
-        edge = self.edge[which]
-        if d.shape[1] > k:
-            edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero(d <= edge[:, None] + 1e-9)  # with all ties at the edge
-        self.q, self.key, self.d = np.concatenate((self.q, which[i])), np.concatenate((self.key, keys[j])), np.concatenate((self.d, d[i, j]))
-        order = np.lexsort((self.key, np.round(self.d, 9), self.q))
-        q = self.q[order]
-        starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=np.int64)
-        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
-        kept = order[place < k]
-        last = order[place == k - 1]
-        self.edge[self.q[last]] = self.d[last]
-        self.q, self.key, self.d = self.q[kept], self.key[kept], self.d[kept]
-
-
 def _candidates(rows: DataFrame, blocks: list[Broadcast], k: int, key: str, vector: str, group: str | None, same: bool) -> DataFrame:
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     src = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), g.alias("g"), F.col(vector).cast("array<double>").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, str | None], _Best] = {}
+        best: dict[tuple[int, str | None], Best] = {}
+        left: dict[tuple[int, str | None], tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            norms, keys = (x * x).sum(axis=1), b.column(0).to_numpy(zero_copy_only=False)
+            right = np.column_stack((x, np.ones(n), (x * x).sum(axis=1)))
+            keys = b.column(0).to_numpy(zero_copy_only=False)
             parts = [(None, np.arange(n))]
             if group:
                 groups = np.array(b.column(1).to_pylist(), dtype=object)
@@ -94,15 +69,22 @@ def _candidates(rows: DataFrame, blocks: list[Broadcast], k: int, key: str, vect
             for nth, block in enumerate(blocks):
                 ids, m, wanted = block.value
                 for v, at in parts:
-                    which = np.flatnonzero(wanted == v) if same else np.arange(len(ids))
+                    own = (nth, v if same else None)
+                    if own not in left:  # the squared distance is the product of (-2 m, m m, 1) and (x, 1, x x)
+                        which = np.flatnonzero(wanted == v) if same else np.arange(len(ids))
+                        mine = m[which]
+                        left[own] = which, np.column_stack((-2 * mine, (mine * mine).sum(axis=1), np.ones(len(which)))) if len(which) else mine
+                    which, mine = left[own]
                     if same and v is None or not len(which):
                         continue
-                    mine = m[which]
-                    d = np.maximum((mine * mine).sum(axis=1)[:, None] + norms[at][None, :] - 2 * mine @ x[at].T, 0)
                     if (nth, v) not in best:
-                        best[nth, v] = _Best(k, len(ids))
-                    best[nth, v].add(which, keys[at], d)
+                        best[nth, v] = Best(k, len(ids))
+                    step = rows_at_once(len(which))
+                    for low in range(0, len(at), step):
+                        some = at[low : low + step]
+                        best[nth, v].add(which, keys[some], mine @ right[some].T)
         for (nth, v), c in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[nth].value[0][c.q], pa.int64()), pa.array(c.key, pa.int64()), pa.array(c.d, pa.float64()), pa.array([v] * len(c.q), pa.string())], names=["query_id", "key", "distance", "group_value"])
+            q, key_, d = c.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[nth].value[0][q], pa.int64()), pa.array(key_, pa.int64()), pa.array(np.maximum(d, 0), pa.float64()), pa.array([v] * len(q), pa.string())], names=["query_id", "key", "distance", "group_value"])
 
     return src.mapInArrow(run, "query_id bigint, key bigint, distance double, group_value string")

@@ -49,3 +49,49 @@ def test_best_equals_sorting(kind):
         b.add(np.arange(6), keys[low : low + 30], d[:, low : low + 30])
     q, key, v = b.settle()
     assert sorted(zip(q.tolist(), v.tolist(), key.tolist())) == [(i, x, k) for i in range(6) for x, k in sorted(zip(d[i].tolist(), keys.tolist()))[:4] if x < np.inf]
+
+
+def test_vectors_of_words():
+    import hashlib
+
+    import pandas as pd
+
+    from lectern.functions import models
+
+    texts = ["One one two", "", None, "x\x1cy"]
+    for t, v in zip(texts, models.hashed_embedder(8)()(pd.Series(texts, dtype=object))):
+        want = np.zeros(8)
+        for w in (t or "").lower().split():
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[int(h[:4], 16) % 8] += 1 if h[4] >= "8" else -1
+        assert v.tolist() == (want / (np.linalg.norm(want) or 1)).tolist()
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_dense_holds_few_distances_at_once(spark, monkeypatch, same):
+    """Blocks of rows and queries, with repeated vectors across their edges."""
+    from lectern.operators import dense
+
+    shapes, real = [], best.Best.add
+    monkeypatch.setattr(best.Best, "add", lambda self, which, keys, d, *x: shapes.append(d.shape) or real(self, which, keys, d, *x))
+    monkeypatch.setattr(best, "CELLS", 64)
+    rng = np.random.default_rng(2)
+    m, x = rng.integers(0, 3, (40, 2)).astype(float), rng.integers(0, 3, (300, 2)).astype(float)
+
+    class Sent:
+        value = (np.arange(40), m, np.array(["g"] * 40, dtype=object))
+
+    class Rows:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["g"] * 300), pa.array(x.tolist())], names=["key", "g", "v"])
+            return [r for b in run(iter([batch])) for r in b.to_pylist()]
+
+    got = dense._candidates(Rows(), [Sent()], 3, "key", "v", "g", same)
+    dist = ((m[:, None] - x[None]) ** 2).sum(axis=2)
+    assert sorted((r["query_id"], round(r["distance"], 9), r["key"]) for r in got) == [(i, d, k) for i in range(40) for d, k in sorted(zip(dist[i].tolist(), range(300)))[:3]]
+    assert max(a * b for a, b in shapes) <= 40 * 16
