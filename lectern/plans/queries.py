@@ -28,9 +28,9 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query"))
 
 
-def _library(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks that are searched: one of each id, by its number, stored as a collection is, as searches read it several times."""
-    return written(_chunks(spark, d, "text", "author", "chapter", "parent_content", "source_type").drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id"), "library")
+def _library(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """The chunks that are searched, with the columns asked for: one of each id, by its number, stored as a collection is, as searches read it several times."""
+    return written(_chunks(spark, d, "text", *extra).drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id"), "library")
 
 
 def _chunks(spark: SparkSession, d: str, *extra: str) -> DataFrame:
@@ -102,7 +102,7 @@ def dense_topk_per_label(spark: SparkSession, d: str) -> DataFrame:
 
 def dense_topk_where(spark: SparkSession, d: str) -> DataFrame:
     """Chosen filters: they reach the scan."""
-    hits = hybrid.retrieved(_questions(spark, d), _library(spark, d), K, retrieval.where(source_type=present.SOURCE_TYPE_OF_LABEL["Books"], author=None, language=""))
+    hits = hybrid.retrieved(_questions(spark, d), _library(spark, d, "source_type"), K, retrieval.where(source_type=present.SOURCE_TYPE_OF_LABEL["Books"], author=None, language=""))
     return hits.select("query_id", "chunk_id", "similarity", "rank")
 
 
@@ -121,7 +121,7 @@ def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
 
 def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval without an answer: the context of each question's hits."""
-    library = _library(spark, d)
+    library = _library(spark, d, "author", "chapter", "parent_content")
     hits = hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions"))
     c = retrieval.flat_context(hits.join(library, "chunk_id"))
     return c.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("bigint").alias("n_chars"))
@@ -136,7 +136,7 @@ def expanded_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 def deep_search_by_author(spark: SparkSession, d: str) -> DataFrame:
     """The first author, by position, one of whose own best chunks is relevant, searched for in both wordings."""
-    q, library = _questions(spark, d), _library(spark, d)
+    q, library = _questions(spark, d), _library(spark, d, "author", "parent_content")
     other = retrieval.expanded(q, table(spark, d, "query_expansions")).select("query_id", F.col("expanded").alias("query"))
     hits = hybrid.by_author(q, library, other).join(library.select("chunk_id", "text", "parent_content"), "chunk_id").join(q, "query_id")
     authors = statistics.priority_authors(table(spark, d, "text_chunks"), ["Kelmora", "Duvarin"])
