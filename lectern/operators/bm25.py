@@ -20,21 +20,34 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLANKS, CONTROLS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+", "[\\x1c-\\x1f]"
 #: Words whose documents a task counts before it passes them on.
 COUNTED_AT_ONCE = 500_000
+#: Texts whose postings a task makes at once.
+TEXTS_AT_ONCE = 1_000
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("chunk_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
 
 
-def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(chunk_id, term, tf, dl): what an index stores. Null and empty texts have none. Counted map-side."""
-    words = _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"), F.explode("words").alias("term"))
-    return words.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
+def postings(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, term, tf, dl, *keep): what an index stores, with columns of docs. Null and empty texts have none. A text is counted where it is read, nothing is shuffled."""
+    src = docs.select(F.col(key).alias("chunk_id"), F.lower(F.col(text)).alias("text"), *keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, TEXTS_AT_ONCE):
+                some = b.slice(low, TEXTS_AT_ONCE)
+                coded, doc, word, tf, dl = _counted(some.column(1))
+                at = pa.array(doc)
+                cols = [some.column(0).take(at), coded.take(pa.array(word)), pa.array(tf, pa.int64()), pa.array(dl[doc], pa.int64()), *(c.take(at) for c in some.columns[2:])]
+                yield pa.RecordBatch.from_arrays(cols, names=["chunk_id", "term", "tf", "dl", *keep])
+
+    types = dict(src.dtypes)
+    return src.mapInArrow(run, f"chunk_id {types['chunk_id']}, term string, tf bigint, dl bigint" + "".join(f", {c} {types[c]}" for c in keep))
 
-def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(chunk_id, dl) of every document; null texts have length 0."""
-    return _words(docs, key, text).select("chunk_id", F.size("words").cast("bigint").alias("dl"))
+
+def lengths(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, dl, *keep) of every document; null texts have length 0."""
+    return docs.select(F.col(key).alias("chunk_id"), F.size(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).cast("bigint").alias("dl"), *keep)
 
 
 def term_stats(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -78,6 +91,18 @@ def split(lower: pa.Array) -> pa.Array:
     return pc.split_pattern_regex(lower, BLANKS) if odd else pc.utf8_split_whitespace(lower)
 
 
+def _counted(lower: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(different words, documents, places of words, times, lengths): documents' words by document, and the length of every document."""
+    lists = split(lower)
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(lower)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    coded, doc = flat.filter(pa.array(full)).dictionary_encode(), doc[full]
+    n = max(1, len(coded.dictionary))
+    pairs, tf = np.unique(doc * n + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary, *np.divmod(pairs, n), tf, np.bincount(doc, minlength=len(lower))
+
+
 def _scanned(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """One pass over the texts, written once: rows (chunk_id, dl, words, tfs) of documents with some of the terms, words being places in terms;
     and rows (term, df, dls) as term_stats() counts them, several a term."""
@@ -94,22 +119,14 @@ def _scanned(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFram
         for b in batches:
             n = b.num_rows
             schema = pa.schema([("chunk_id", b.column(0).type), ("dl", pa.int64()), ("words", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("term", pa.string()), ("df", pa.int64()), ("dls", pa.int64())])
-            lists = split(b.column(1))
-            flat = lists.flatten()
-            doc = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-            flat, doc = flat.filter(pa.array(full)), doc[full]
-            coded = flat.dictionary_encode()
-            dl = np.bincount(doc, minlength=n)
-            n_docs, dls = n_docs + n, dls + len(doc)
-            pairs, tf = np.unique(doc * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
-            doc, word = np.divmod(pairs, max(1, len(coded.dictionary)))
-            for t, df in zip(coded.dictionary.to_pylist(), np.bincount(word, minlength=len(coded.dictionary)).tolist()):
+            coded, doc, word, tf, dl = _counted(b.column(1))
+            n_docs, dls = n_docs + n, dls + int(dl.sum())
+            for t, df in zip(coded.to_pylist(), np.bincount(word, minlength=len(coded)).tolist()):
                 counts[t] = counts.get(t, 0) + df
             if len(counts) > COUNTED_AT_ONCE:
                 yield counted([*counts], [*counts.values()], [None] * len(counts))
                 counts = {}
-            place = pc.fill_null(pc.index_in(coded.dictionary, asked), -1).to_numpy()[word]
+            place = pc.fill_null(pc.index_in(coded, asked), -1).to_numpy()[word]
             at = np.flatnonzero(place >= 0)
             if len(at):
                 starts = np.flatnonzero(np.concatenate(([True], doc[at][1:] != doc[at][:-1])))
@@ -140,10 +157,10 @@ def search(queries: DataFrame, docs: DataFrame, key: str, k: int, text: str = "t
 
 
 def search_index(queries: DataFrame, postings: DataFrame, lengths: DataFrame, stats: DataFrame, k: int, query_key: str = "query_id", query_text: str = "text") -> DataFrame:
-    """search() in a stored index; only postings of words that some query has are gathered by document."""
+    """search() in a stored index; the words of the queries are broadcast, and only postings of words that some query has are gathered by document."""
     said = _said(queries, query_key, query_text)
     asked = said.select("term").distinct()
-    found = postings.join(asked, "term", "left_semi").groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    found = postings.join(F.broadcast(asked), "term", "left_semi").groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
     terms = asked.toArrow()["term"].to_pylist()
     return _best(queries, found.select("chunk_id", "dl", F.col("p.term").alias("words"), F.col("p.tf").alias("tfs")), _weights(said, stats), terms, lengths.select("chunk_id"), k, query_key)
 

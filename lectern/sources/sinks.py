@@ -57,11 +57,11 @@ def add_chunks(chunks: DataFrame, path: str, index: bool = True, dry_run: bool =
         return {"added": 0, "skipped": given.get["n"] - given.get["bad"] - n, "errors": given.get["bad"]}
     # Written aside first, so that chunks and index get the same rows whatever happens in between.
     aside, done = f"{path}/_batch-{uuid.uuid4().hex}", Observation("added")
-    fresh.observe(done, F.count("*").alias("n")).withColumn("source_part", part_of(F.col("source_file"))).write.parquet(aside)
+    fresh.observe(done, F.count("*").alias("n")).withColumn("source_part", part_of(F.col("source_file"))).write.option("compression", "zstd").parquet(aside)
     batch = spark.read.parquet(aside)
     if index:
         _write_index(batch, path, "append")
-    batch.write.mode("append").partitionBy("source_part").parquet(f"{path}/chunks")
+    batch.write.mode("append").option("compression", "zstd").partitionBy("source_part").parquet(f"{path}/chunks")
     _delete(spark, aside)
     if index:
         save_terms(spark, path)
@@ -71,10 +71,8 @@ def add_chunks(chunks: DataFrame, path: str, index: bool = True, dry_run: bool =
 
 def _write_index(chunks: DataFrame, path: str, mode: str) -> None:
     """Postings and lengths of chunks with their source_part; mode overwrite replaces the parts that the chunks are in."""
-    part = chunks.select(F.col("chunk_id").alias("_id"), "source_part")
-    for name, df in (("postings", bm25.postings(chunks, "chunk_id")), ("lengths", bm25.lengths(chunks, "chunk_id"))):
-        rows = df.join(part, df["chunk_id"] == F.col("_id")).drop("_id")
-        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_part").parquet(f"{path}/{name}")
+    for name, df in (("postings", bm25.postings(chunks, "chunk_id", keep=("source_part",))), ("lengths", bm25.lengths(chunks, "chunk_id", keep=("source_part",)))):
+        df.write.mode(mode).option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("source_part").parquet(f"{path}/{name}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -95,3 +95,11 @@ def test_dense_holds_few_distances_at_once(spark, monkeypatch, same):
     dist = ((m[:, None] - x[None]) ** 2).sum(axis=2)
     assert sorted((r["query_id"], round(r["distance"], 9), r["key"]) for r in got) == [(i, d, k) for i in range(40) for d, k in sorted(zip(dist[i].tolist(), range(300)))[:3]]
     assert max(a * b for a, b in shapes) <= 40 * 16
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([("a", "x Y y", 3), ("b", None, 4), ("c", " ", 5)], "id string, text string, part int")
+    made = bm25.postings(docs, "id", keep=("part",))
+    assert sorted(made.collect()) == [("a", "x", 1, 3, 3), ("a", "y", 2, 3, 3)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(bm25.lengths(docs, "id", keep=("part",)).collect()) == [("a", 3, 3), ("b", 0, 4), ("c", 0, 5)]
