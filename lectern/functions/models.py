@@ -11,9 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Texts whose words are held at once.
+TEXTS_AT_ONCE = 4_000
+
 
 def loaded_once(load: Callable[[], Callable[[pd.Series], pd.Series]], kind: str):
     """An iterator function that calls load() once in each task and applies its result to every batch."""
@@ -38,17 +43,22 @@ def hashed_embedder(dim: int = 64) -> Callable[[], Callable[[pd.Series], pd.Seri
                 at = self[w] = int(h[:4], 16) % dim + (0 if h[4] >= "8" else dim)
                 return at
 
-        places = Places()
+        places, width = Places({"": 2 * dim}), 2 * dim + 1  # blanks at an edge leave an empty word
 
         def embed(texts: pd.Series) -> pd.Series:
             out = []
-            for t in texts:
+            for low in range(0, len(texts), TEXTS_AT_ONCE):
                 if len(places) > 500_000:
                     places.clear()
-                n = np.bincount(np.fromiter(map(places.__getitem__, (t or "").lower().split()), np.int64), minlength=2 * dim)
-                v = (n[:dim] - n[dim:]).astype(float)
-                n = np.linalg.norm(v)
-                out.append(v / n if n else v)
+                    places[""] = 2 * dim
+                lists = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t in texts.iloc[low : low + TEXTS_AT_ONCE]], pa.large_string()))
+                words = lists.flatten().dictionary_encode()
+                place = np.fromiter(map(places.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+                doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+                n = np.bincount(doc * width + place[words.indices.to_numpy()], minlength=len(lists) * width).reshape(-1, width)
+                v = (n[:, :dim] - n[:, dim : 2 * dim]).astype(float)
+                size = np.sqrt((v * v).sum(axis=1))
+                out.extend(v / np.where(size > 0, size, 1)[:, None])
             return pd.Series(out)
 
         return embed

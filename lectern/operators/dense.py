@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.present import similarity
 from lectern.operators.best import QUERIES_AT_ONCE, Best, rows_at_once
+from lectern.session import written
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", group: str | None = None, same: bool = False) -> DataFrame:
@@ -20,13 +21,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", ve
 
     With group, the k best within each value of that column (a row's null group is one of its own); with same, only
     rows whose group equals the query's are scored. The rows are read once, the stated queries are broadcast in blocks of
-    QUERIES_AT_ONCE. Each task keeps k candidates a query, so that what is shuffled is bounded by tasks times queries times
-    k (times groups). Null vectors are left out; ties go to the smaller key.
+    QUERIES_AT_ONCE, each different vector once, however many queries have it. Each task keeps k candidates a vector, so that
+    what is shuffled is bounded by tasks times vectors times k (times groups). Null vectors are left out; ties go to the
+    smaller key.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.col(group).cast("string") if same else F.lit(None).cast("string")).alias("g"))
-    out = _candidates(rows, _blocks(q), k, key, vector, group, same)
-    by = ["query_id"] + (["group_value"] if group and not same else [])
-    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.round("distance", 9), "key"))).where(F.col("rank") <= k)
+    asked = written(q.groupBy("v", "g").agg(F.collect_list(F.struct("q")).alias("asked")).withColumn("q", F.monotonically_increasing_id()), "vectors")
+    out = _candidates(rows, _blocks(asked.select("q", "v", "g")), k, key, vector, group, same).withColumnRenamed("query_id", "q")
+    by = ["group_value"] if group and not same else []
+    best = lambda found, of: found.withColumn("rank", F.row_number().over(W.partitionBy(of, *by).orderBy(F.round("distance", 9), "key"))).where(F.col("rank") <= k)
+    ids = asked.select("q", F.explode("asked").alias("asked")).select("q", F.col("asked.q").alias("query_id"))
+    ranked = best(best(out, "q").drop("rank").join(ids, "q"), "query_id")  # a query has one vector, or the best of several
     extra = [F.col("group_value").alias(group)] if group and not same else []
     return ranked.select("query_id", F.col("key").alias(key), F.round("distance", 6).alias("distance"), F.round(similarity(F.col("distance")), 6).alias("similarity"), F.col("rank").cast("bigint").alias("rank"), *extra)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.config import Config
 from lectern.functions import models
 from lectern.operators import bm25, dense, retrieval
+from lectern.session import written
 
 
 def embedded(rows: DataFrame, text: str, embedder=None) -> DataFrame:
@@ -34,8 +35,8 @@ def fused(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | No
 
 def hybrid(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """(query_id, chunk_id, query, text, similarity, rank): the k best of both searches after reranking."""
-    hits = fused(questions, chunks, k, terms, config).select("query_id", "chunk_id", "rank")
-    texts = hits.join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", "query"), "query_id")
+    hits = written(fused(questions, chunks, k, terms, config).select("query_id", "chunk_id", "rank"), "fused")
+    texts = retrieval.sent(hits).join(chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("query_id", "query"), "query_id")
     return retrieval.rerank(texts, k).select("query_id", "chunk_id", "query", "text", "similarity", "rank")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.ingest import tokens
 from lectern.functions.present import citation, context_text, sigmoid
+from lectern.session import written
 
 
 def where(source_type: str | None = None, author: str | None = None, language: str | None = None, **filters) -> Column | None:
@@ -85,6 +86,32 @@ def first_of(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Bytes of a table at most that is sent to all tasks; a larger one is shuffled.
+SENT_BYTES = 8_000_000
+
+
+def sent(rows: DataFrame, row_bytes: int = 40) -> DataFrame:
+    """rows, a stored table of a few numbers a row, as one that a join sends to all tasks if it is small; it is counted first."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= SENT_BYTES else rows
+
+
+def first_of_wide(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """first_of() of rows with texts, few of them repeated: a row alone of its key goes by as it is read, others are shuffled.
+
+    Keys are told by their hashes, so that rows of another key with the same hash are shuffled too. Where too many are
+    repeated to be sent to all tasks, all rows are shuffled.
+    """
+    h = F.xxhash64(*key)
+    repeated = written(rows.groupBy(h.alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h"), "repeated")
+    if (n := repeated.count()) * 32 > SENT_BYTES:
+        return first_of(rows, key, *order)
+    if not n:
+        return rows
+    hashed = rows.withColumn("_h", h)
+    more = first_of(hashed.join(F.broadcast(repeated), "_h", "left_semi"), key, *order)  # measured above
+    return hashed.join(F.broadcast(repeated), "_h", "left_anti").unionByName(more).drop("_h")
+
+
 def with_neighbours(hits: DataFrame, chunks: DataFrame, pages: int = 1, cap: int = 25) -> DataFrame:
     """(query_id, chunk_id, source_file, page, similarity, initial): hits and the chunks of neighbouring pages.
 

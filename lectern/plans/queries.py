@@ -30,7 +30,8 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _library(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     """The chunks that are searched, with the columns asked for: one of each id, by its number, stored as a collection is, as searches read it several times."""
-    return written(_chunks(spark, d, "text", *extra).drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id"), "library")
+    rows = table(spark, d, "text_chunks").select("chunk_id", "chunk_key", "source_file", "page", "text", *extra).where("chunk_id is not null")
+    return written(retrieval.first_of_wide(rows, ["chunk_id"], "chunk_key").drop("chunk_id").withColumnRenamed("chunk_key", "chunk_id"), "library")
 
 
 def _chunks(spark: SparkSession, d: str, *extra: str) -> DataFrame:
@@ -130,7 +131,7 @@ def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
 def expanded_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Each question's hits and the chunks of the two pages around them."""
     library = _library(spark, d)
-    hits = written(hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions")), "hits").join(library.select("chunk_id", "source_file", "page"), "chunk_id")
+    hits = retrieval.sent(written(hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions")), "hits")).join(library.select("chunk_id", "source_file", "page"), "chunk_id")
     return retrieval.with_neighbours(hits, library, pages=2).select("query_id", "chunk_id", "similarity", "initial")
 
 

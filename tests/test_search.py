@@ -103,3 +103,29 @@ def test_postings_are_counted_without_a_shuffle(spark):
     assert sorted(made.collect()) == [("a", "x", 1, 3, 3), ("a", "y", 2, 3, 3)]
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(bm25.lengths(docs, "id", keep=("part",)).collect()) == [("a", 3, 3), ("b", 0, 4), ("c", 0, 5)]
+
+
+def test_repeated_vectors_are_searched_once(spark, monkeypatch):
+    from lectern.operators import dense
+
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id bigint, embedding array<double>")
+    asked = [(i, [float(i % 3), 1.0]) for i in range(9)] + [(9, [0.0, 1.0]), (9, [5.0, 1.0])]  # the last has two vectors
+    sent, real = [], dense._blocks
+    monkeypatch.setattr(dense, "_blocks", lambda q: sent.extend(real(q)) or sent)
+    got = dense.nearest(rows, spark.createDataFrame(asked, "query_id bigint, embedding array<double>"), 4).collect()
+    want = [(i, n + 1, i % 3 + 7 * n) for i in range(9) for n in range(4)] + [(9, n + 1, v) for n, v in enumerate((0, 5, 7, 12))]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == want
+    assert sum(len(b.value[0]) for b in sent) == 4
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_first_of_wide_rows(spark, monkeypatch, most):
+    """Rows alone of their key aren't shuffled; those repeated, or with a null key, give one."""
+    from lectern.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "SENT_BYTES", most)
+    made = lambda d: spark.createDataFrame(d, "id string, n int, text string")
+    d = [("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z"), (None, 4, "u"), (None, 3, "v"), ("c", None, "w"), ("c", 0, "t")]
+    assert sorted(r.text for r in retrieval.first_of_wide(made(d), ["id"], "n").collect()) == ["v", "w", "y", "z"]
+    assert sorted(r.text for r in retrieval.first_of_wide(made(d[1:3]), ["id"], "n").collect()) == ["y", "z"]
+    assert retrieval.first_of_wide(made([]), ["id"], "n").count() == 0
