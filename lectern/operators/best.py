@@ -16,6 +16,15 @@ def rows_at_once(n_queries: int) -> int:
     return max(16, CELLS // max(1, n_queries))
 
 
+def _ranked(q: np.ndarray, key: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by query, value and key, and the place of each in its query."""
+    by = np.unique(key, return_inverse=True)[1] if key.dtype == object else key
+    order = np.lexsort((by, np.round(d, 9), q))
+    sorted_q = q[order]
+    starts = np.flatnonzero(np.concatenate((np.full(min(1, len(q)), True), sorted_q[1:] != sorted_q[:-1])))
+    return order, np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+
+
 class Best:
     """The k rows of least value of each query seen so far, as flat arrays; values that agree in nine digits go by key."""
 
@@ -43,19 +52,37 @@ class Best:
         if self.waiting > self.most or np.isinf(self.edge[which]).any() and self.waiting > k * len(which):
             self.settle()
 
+    def add_some(self, which: np.ndarray, keys: np.ndarray, d: np.ndarray) -> None:
+        """d: the value of the query and the row at each place; a query and a row come together once."""
+        at = np.flatnonzero(d <= self.edge[which] + SLACK)
+        if len(at):
+            self.parts.append((which[at], keys[at], d[at]))
+            self.waiting += len(at)
+            if self.waiting > self.most:
+                self.settle()
+
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(queries, keys, values) of what is kept."""
         if not self.parts:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         q, key, d = (np.concatenate(x) for x in zip(*self.parts))
-        by = np.unique(key, return_inverse=True)[1] if key.dtype == object else key
-        order = np.lexsort((by, np.round(d, 9), q))
-        sorted_q = q[order]
-        starts = np.flatnonzero(np.concatenate(([True], sorted_q[1:] != sorted_q[:-1])))
-        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        order, place = _ranked(q, key, d)
         last = order[place == self.k - 1]
         self.edge[q[last]] = d[last]
         kept = order[place < self.k]
         self.parts = [(q[kept], key[kept], d[kept])]
         self.waiting = 0
         return self.parts[0]
+
+
+def merged(k: int, some: tuple[np.ndarray, np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query of two lists (queries, keys, values); of a key in both, the first list has the value."""
+    q, key, d = (np.concatenate(x) for x in zip(some, more))
+    again = np.concatenate((np.zeros(len(some[0]), np.int8), np.ones(len(more[0]), np.int8)))
+    by = np.unique(key, return_inverse=True)[1]
+    order = np.lexsort((again, by, q))
+    once = np.concatenate((np.full(min(1, len(q)), True), (q[order][1:] != q[order][:-1]) | (by[order][1:] != by[order][:-1])))
+    q, key, d = q[order][once], key[order][once], d[order][once]
+    order, place = _ranked(q, key, d)
+    kept = order[place < k]
+    return q[kept], key[kept], d[kept]

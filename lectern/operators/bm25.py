@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.ingest import tokens
-from lectern.operators.best import QUERIES_AT_ONCE, Best, rows_at_once
+from lectern.operators.best import CELLS, QUERIES_AT_ONCE, Best, merged, rows_at_once
 from lectern.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,6 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BLANKS, CONTROLS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+", "[\\x1c-\\x1f]"
 #: Words whose documents a task counts before it passes them on.
 COUNTED_AT_ONCE = 500_000
+#: A word is rare if at most one document in so many has it: the documents of a query's rare words are scored one by one.
+RARE = 16
 #: Texts whose postings a task makes at once.
 TEXTS_AT_ONCE = 1_000
 
@@ -82,7 +84,7 @@ def _said(queries: DataFrame, query_key: str, text: str) -> DataFrame:
 
 
 def _weights(said: DataFrame, stats: DataFrame) -> DataFrame:
-    return said.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl")
+    return said.join(stats, "term").select("query_id", "term", (F.col("idf") * F.col("times")).alias("w"), "avgdl", (F.col("df") * RARE <= F.col("n_docs")).alias("rare"))
 
 
 def split(lower: pa.Array) -> pa.Array:
@@ -165,39 +167,79 @@ def search_index(queries: DataFrame, postings: DataFrame, lengths: DataFrame, st
     return _best(queries, found.select("chunk_id", "dl", F.col("p.term").alias("words"), F.col("p.tf").alias("tfs")), _weights(said, stats), terms, lengths.select("chunk_id"), k, query_key)
 
 
-def _candidates(docs: DataFrame, weights: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """(query_id, chunk_id, score): each task's k best of docs (chunk_id, dl, words, tfs) for each query; words are terms or places in terms.
+def _grouped(asked: pa.Table, terms: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, bool]:
+    """Blocks of different queries; the ids of all queries, and the place of each one's query; whether all weights are positive.
 
-    The driver holds the words of all queries once, and so does each task.
+    Queries that have their words and weights but the rare ones in common are beside each other, as `common` words that are
+    scored once. A block has (words of its commons, words of its rare rest, the common of each query); words are (queries
+    or commons, weights, starts by code).
     """
-    asked = weights.toArrow()
     ids, q = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
     code = pc.index_in(asked["term"], pa.array(terms, pa.string())).to_numpy()
     w = asked["w"].to_numpy()
+    told = bool(len(w)) and bool(w.min() > 0)
+    rare = asked["rare"].to_numpy(zero_copy_only=False).astype(bool) if told else np.zeros(len(w), dtype=bool)
+    order = np.lexsort((code, rare, q))
+    parts = np.split(order, np.flatnonzero(np.diff(q[order])) + 1) if len(order) else []
+    each = [(tuple(zip(code[x[~rare[x]]].tolist(), w[x[~rare[x]]].tolist())), tuple(zip(code[x[rare[x]]].tolist(), w[x[rare[x]]].tolist()))) for x in parts]
+    different = sorted(set(each))
+    place = {x: n for n, x in enumerate(different)}
+
+    def by_code(lists: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = sorted((c, n, v) for n, x in enumerate(lists) for c, v in x)
+        return np.array([n for _, n, _ in flat], np.int64), np.array([v for *_, v in flat], np.float64), np.searchsorted(np.array([c for c, *_ in flat], np.int64), np.arange(len(terms) + 1))
+
     blocks = []
-    for low in range(0, len(ids), QUERIES_AT_ONCE):
-        at = np.flatnonzero((q >= low) & (q < low + QUERIES_AT_ONCE))
-        at = at[np.argsort(code[at], kind="stable")]
-        blocks.append((q[at] - low, w[at], np.searchsorted(code[at], np.arange(len(terms) + 1)), ids[low : low + QUERIES_AT_ONCE]))
-    sent = docs.sparkSession.sparkContext.broadcast((terms, blocks, asked["avgdl"][0].as_py() if len(asked) else 1.0))
+    for low in range(0, len(different), QUERIES_AT_ONCE):
+        own = different[low : low + QUERIES_AT_ONCE]
+        commons = {c: n for n, c in enumerate(dict.fromkeys(c for c, _ in own))}
+        blocks.append((by_code([*commons]), by_code([r for _, r in own]), np.array([commons[c] for c, _ in own], np.int64)))
+    return blocks, ids, np.array([place[x] for x in each], np.int64), told
+
+
+def _candidates(docs: DataFrame, weights: DataFrame, terms: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of docs (chunk_id, dl, words, tfs) each task's k best for each different query, and thereby for
+    all with the same words; words are terms or places in terms.
+
+    The driver holds the words of all queries once, and so does each task. What common words add to a document is found
+    once for all queries that have them; the k best of a query are among the k best by its common words and the documents
+    with its rare words, as these only add to a score.
+    """
+    asked = weights.toArrow()
+    blocks, ids, place, told = _grouped(asked, terms)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((terms, blocks, told, asked["avgdl"][0].as_py() if len(asked) else 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, blocks, avgdl = sent.value
-        best = [Best(k, len(own)) for *_, own in blocks]
-        step = rows_at_once(max((len(own) for *_, own in blocks), default=1))
+        terms, blocks, told, avgdl = sent.value
+        best = [(Best(k, int(of.max()) + 1), Best(k, len(of))) for *_, of in blocks]
+        step = rows_at_once(max((int(of.max()) + 1 for *_, of in blocks), default=1))
         for b in batches:
             kind = b.column(0).type
             keys = b.column(0).to_numpy() if pa.types.is_integer(kind) else np.array(b.column(0).to_pylist(), dtype=object)
             for (low, high), code, doc, factor in _matches(b, pa.array(terms, pa.string()), avgdl, step):
-                for (q, w, starts, own), c in zip(blocks, best):
-                    _add(c, q, w, starts, len(own), keys[low:high], code, doc, factor)
-        for (*_, own), c in zip(blocks, best):
-            q, key, d = c.settle()
+                for (common, rare, of), (by_common, by_rare) in zip(blocks, best):
+                    d = _add(by_common, *common, int(of.max()) + 1, keys[low:high], code, doc, factor, told)
+                    _add_rare(by_rare, *rare, of, d, keys[low:high], code, doc, factor)
+        for nth, ((*_, of), (by_common, by_rare)) in enumerate(zip(blocks, best)):
+            c, key, d = by_common.settle()
+            starts, order = np.searchsorted(np.sort(of), np.arange(int(of.max()) + 2)), np.argsort(of, kind="stable")
+            each, at = _spread(starts[c], starts[c + 1] - starts[c])
+            q, key, d = merged(k, by_rare.settle(), (order[at], key[each], d[each])) if len(c) else by_rare.settle()
             if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(key.tolist() if key.dtype == object else key, kind), pa.array(-d)], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q + nth * QUERIES_AT_ONCE, pa.int64()), pa.array(key.tolist() if key.dtype == object else key, kind), pa.array(-d)], names=["query_id", "chunk_id", "score"])
 
     types = dict(weights.dtypes) | dict(docs.dtypes)
-    return docs.mapInArrow(run, f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, score double")
+    found = docs.mapInArrow(run, f"query_id bigint, chunk_id {types['chunk_id']}, score double").withColumnRenamed("query_id", "nth")
+    found = found.withColumn("rank", F.row_number().over(W.partitionBy("nth").orderBy(F.round("score", 9).desc(), "chunk_id"))).where(F.col("rank") <= k)
+    named = spark.createDataFrame(pa.table({"query_id": pa.array(ids.tolist(), asked.schema.field("query_id").type), "nth": pa.array(place, pa.int64())}), f"query_id {types['query_id']}, nth bigint")
+    return found.join(named, "nth").select("query_id", "chunk_id", "score")
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place): the places low, low + 1, ... of ranges of n each, one after the other."""
+    each = np.repeat(np.arange(len(n)), n)
+    return each, np.arange(len(each)) + np.repeat(low - np.cumsum(n) + n, n)
 
 
 def _matches(b: pa.RecordBatch, terms: pa.Array, avgdl: float, step: int) -> Iterator[tuple]:
@@ -216,9 +258,9 @@ def _matches(b: pa.RecordBatch, terms: pa.Array, avgdl: float, step: int) -> Ite
         yield (low, min(n, low + step)), code[lo:hi], doc[lo:hi] - low, factor[lo:hi]
 
 
-def _add(best: Best, q: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int, keys: np.ndarray, code: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> None:
-    """The documents `keys` into the best of n queries. Values are scores below zero; where weights allow scores that don't tell a match, matches are marked."""
-    d, told = np.zeros((n, len(keys))), bool(len(w)) and w.min() > 0
+def _add(best: Best, q: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int, keys: np.ndarray, code: np.ndarray, doc: np.ndarray, factor: np.ndarray, told: bool) -> np.ndarray:
+    """The documents `keys` into the best of n queries, and their values: scores below zero. Unless scores tell a match, as with positive weights, matches are marked."""
+    d = np.zeros((n, len(keys)))
     seen = None if told else np.zeros(d.shape, dtype=bool)
     edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
     for lo, hi in zip(edges, edges[1:]):
@@ -232,6 +274,26 @@ def _add(best: Best, q: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int, k
     if seen is not None:
         d[~seen] = np.inf
     best.add(np.arange(n), keys, d, 0.0 if told else np.inf)
+    return d
+
+
+def _add_rare(best: Best, q: np.ndarray, w: np.ndarray, starts: np.ndarray, of: np.ndarray, common: np.ndarray, keys: np.ndarray, code: np.ndarray, doc: np.ndarray, factor: np.ndarray) -> None:
+    """The documents with rare words into the best of each query that has these; common: values by the query's common words, which `of` tells."""
+    n = starts[code + 1] - starts[code]
+    at = np.flatnonzero(n)
+    if not len(at):
+        return
+    code, doc, factor, n = code[at], doc[at], factor[at], n[at]
+    parts = (np.cumsum(np.bincount(doc, n, len(keys))) // CELLS)[doc]  # all of a document in one
+    for part in np.unique(parts):
+        own = np.flatnonzero(parts == part)
+        each, word = _spread(starts[code[own]], n[own])
+        each = own[each]
+        flat, d = q[word] * len(keys) + doc[each], -w[word] * factor[each]
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+        which, row = np.divmod(flat[order[first]], len(keys))
+        best.add_some(which, keys[row], np.add.reduceat(d[order], first) + common[of[which], row])
 
 
 def _best(queries: DataFrame, docs: DataFrame, weights: DataFrame, terms: list[str], ids: DataFrame, k: int, query_key: str) -> DataFrame:

@@ -129,3 +129,26 @@ def test_first_of_wide_rows(spark, monkeypatch, most):
     assert sorted(r.text for r in retrieval.first_of_wide(made(d), ["id"], "n").collect()) == ["v", "w", "y", "z"]
     assert sorted(r.text for r in retrieval.first_of_wide(made(d[1:3]), ["id"], "n").collect()) == ["y", "z"]
     assert retrieval.first_of_wide(made([]), ["id"], "n").count() == 0
+
+
+@pytest.mark.parametrize("at_once", [4096, 5])
+def test_common_words_are_scored_once_and_rare_ones_added(spark, monkeypatch, at_once):
+    """Repeated queries, queries that differ in a rare word, or have only rare words: the same as scoring each for itself."""
+    monkeypatch.setattr(bm25, "QUERIES_AT_ONCE", at_once)
+    texts = [" ".join(["a"] * (i % 3 + 1) + ["b"] * (i % 5 == 0) + [f"r{i % 40}"] + ["x"] * (i % 7)) for i in range(400)]
+    asked = [f"a b r{i % 9}" for i in range(30)] + ["a b", "r3 r4", "r5 r5 a", "a b r1 r2", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    sent, real = [], bm25._grouped
+    monkeypatch.setattr(bm25, "_grouped", lambda *x: sent.append(real(*x)) or sent[-1])
+    got = sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in bm25.search(q, docs, "id", 6).collect())
+    idf = {r.term: r.idf for r in bm25.term_stats(docs, "id").collect()}
+    words, want = [t.split() for t in texts], []
+    mean = sum(map(len, words)) / len(words)
+    for n, query in enumerate(asked):
+        score = [sum(idf.get(t, 0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in query.split()) for w in words]
+        want += [(n, k + 1, i, round(score[i], 8)) for k, i in enumerate(sorted(range(400), key=lambda i: (-round(score[i], 9), i))[:6])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+    blocks = sent[0][0]
+    assert sum(len(of) for *_, of in blocks) == 13  # different queries, with words that are there
+    assert at_once < 13 or len(blocks) == 1 and blocks[0][2].max() + 1 == 3  # a b, a, and none
