@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -16,18 +17,19 @@ from lectern.operators.best import QUERIES_AT_ONCE, Best, rows_at_once
 from lectern.session import written
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", group: str | None = None, same: bool = False) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", group: str | None = None, same: bool = False, load: Callable | None = None) -> DataFrame:
     """(query_id, key, distance, similarity, rank [, group]): the k rows of least squared distance to each query.
 
     With group, the k best within each value of that column (a row's null group is one of its own); with same, only
     rows whose group equals the query's are scored. The rows are read once, the stated queries are broadcast in blocks of
     QUERIES_AT_ONCE, each different vector once, however many queries have it. Each task keeps k candidates a vector, so that
     what is shuffled is bounded by tasks times vectors times k (times groups). Null vectors are left out; ties go to the
-    smaller key.
+    smaller key. With load, the loader of an embedder, the rows have a text in the column `vector`, which the tasks embed
+    where they score it; a null text has the embedder's vector.
     """
     q = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v"), (F.col(group).cast("string") if same else F.lit(None).cast("string")).alias("g"))
     asked = written(q.groupBy("v", "g").agg(F.collect_list(F.struct("q")).alias("asked")).withColumn("q", F.monotonically_increasing_id()), "vectors")
-    out = _candidates(rows, _blocks(asked.select("q", "v", "g")), k, key, vector, group, same).withColumnRenamed("query_id", "q")
+    out = _candidates(rows, _blocks(asked.select("q", "v", "g")), k, key, vector, group, same, load).withColumnRenamed("query_id", "q")
     by = ["group_value"] if group and not same else []
     best = lambda found, of: found.withColumn("rank", F.row_number().over(W.partitionBy(of, *by).orderBy(F.round("distance", 9), "key"))).where(F.col("rank") <= k)
     ids = asked.select("q", F.explode("asked").alias("asked")).select("q", F.col("asked.q").alias("query_id"))
@@ -53,18 +55,20 @@ def _blocks(q: DataFrame) -> list[Broadcast]:
     return out
 
 
-def _candidates(rows: DataFrame, blocks: list[Broadcast], k: int, key: str, vector: str, group: str | None, same: bool) -> DataFrame:
+def _candidates(rows: DataFrame, blocks: list[Broadcast], k: int, key: str, vector: str, group: str | None, same: bool, load: Callable | None = None) -> DataFrame:
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    src = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), g.alias("g"), F.col(vector).cast("array<double>").alias("v"))
+    some, v = (rows, F.col(vector)) if load else (rows.where(F.col(vector).isNotNull()), F.col(vector).cast("array<double>"))
+    src = some.select(F.col(key).cast("bigint").alias("key"), g.alias("g"), v.alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, str | None], Best] = {}
         left: dict[tuple[int, str | None], tuple[np.ndarray, np.ndarray]] = {}
+        model = load() if load else None
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            x = np.stack(list(model(pd.Series(b.column(2).to_pylist(), dtype=object)))) if model else b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
             right = np.column_stack((x, np.ones(n), (x * x).sum(axis=1)))
             keys = b.column(0).to_numpy(zero_copy_only=False)
             parts = [(None, np.arange(n))]

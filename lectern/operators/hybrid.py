@@ -19,8 +19,11 @@ def embedded(rows: DataFrame, text: str, embedder=None) -> DataFrame:
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int, filters: Column | None = None, group: str | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, similarity, rank [, group]) of questions (query_id, query) among chunks (chunk_id, text, ...); filters reach the scan, before any scoring."""
     chosen = chunks if filters is None else chunks.where(filters)
-    rows = embedded(chosen.select("chunk_id", "text", *(["embedding"] if "embedding" in chunks.columns else []), *([group] if group else [])), "text")
-    return dense.nearest(rows, embedded(questions.select("query_id", "query"), "query"), k, key="chunk_id", group=group)
+    kept = "embedding" in chunks.columns
+    vector, load = ("embedding", None) if kept else ("text", models.hashed_embedder())
+    rows = chosen.select("chunk_id", vector, *([group] if group else []))
+    asked = embedded(questions.select("query_id", "query"), "query").withColumnRenamed("embedding", vector)
+    return dense.nearest(rows, asked, k, key="chunk_id", vector=vector, group=group, load=load)
 
 
 def fused(questions: DataFrame, chunks: DataFrame, k: int, terms: DataFrame | None = None, config: Config = Config()) -> DataFrame:

@@ -123,8 +123,8 @@ def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
 def retrieved_context(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval without an answer: the context of each question's hits."""
     library = _library(spark, d, "author", "chapter", "parent_content")
-    hits = hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions"))
-    c = retrieval.flat_context(hits.join(library, "chunk_id"))
+    hits = written(hybrid.retrieved(_questions(spark, d), library, K, terms=table(spark, d, "query_expansions")), "hits")
+    c = retrieval.flat_context(retrieval.sent(hits).join(library, "chunk_id"))
     return c.select("query_id", F.md5(F.col("context").cast("binary")).alias("digest"), F.length("context").cast("bigint").alias("n_chars"))
 
 

@@ -152,3 +152,17 @@ def test_common_words_are_scored_once_and_rare_ones_added(spark, monkeypatch, at
     blocks = sent[0][0]
     assert sum(len(of) for *_, of in blocks) == 13  # different queries, with words that are there
     assert at_once < 13 or len(blocks) == 1 and blocks[0][2].max() + 1 == 3  # a b, a, and none
+
+
+def test_texts_are_embedded_where_they_are_scored(spark):
+    """Null and empty texts have the zero vector, as in a column of vectors; no column of vectors is made on the way."""
+    from lectern.functions import models
+    from lectern.operators import hybrid
+
+    chunks = spark.createDataFrame([(1, "One two"), (2, None), (3, "two  three "), (4, ""), (5, "one TWO")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(0, "two one"), (7, None), (8, "three"), (9, "two one")], "query_id long, query string")
+    found = hybrid.nearest_chunks(asked, chunks, 4)
+    want = hybrid.nearest_chunks(asked, chunks.withColumn("embedding", models.embedding(F.col("text"))), 4)
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert [(r.chunk_id, r.distance) for r in found.where("query_id = 9").orderBy("rank").collect()][:2] == [(1, 0.0), (5, 0.0)]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
